@@ -1,0 +1,23 @@
+"""Computing an expensive value once where an expression or plan refers to it often."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed exactly once per row.
+
+    A filter on a projected column is pushed below the projection, which repeats the
+    column's whole expression at every mention. It is not pushed below a generator, so an
+    explode of one element keeps parsing and matching from running again.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

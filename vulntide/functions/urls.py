@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
+
 # Schemes with a host part that is required, and their default ports.
 SPECIAL = r"^(https?|wss?|ftp)\z"
 DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
@@ -28,11 +30,6 @@ _VALID = (
 _NORMAL = r"^https?://[a-z0-9]+(?:[.\-][a-z0-9]+)*/[\x21-\x5b\x5d-\x7e]*\z"
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _trimmed(text: Column) -> Column:
     # Control characters and spaces at either end, and tabs and newlines anywhere, do not count.
     return F.regexp_replace(text, "^[\\x00-\\x20]+|[\\x00-\\x20]+\\z|[\\t\\n\\r]", "")
@@ -74,5 +71,5 @@ def normalise_url(text: Column) -> Column:
     Lower-cases scheme and host, drops a default port, adds the root path and encodes
     spaces. Dot segments, international host names and IP forms are left as they are.
     """
-    rebuilt = _let(_trimmed(text), lambda url: _let(_parts(url), _join))
+    rebuilt = let(_trimmed(text), lambda url: let(_parts(url), _join))
     return F.when(text.rlike(_NORMAL), text).otherwise(rebuilt)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
+
 
 def parse_document(text: Column) -> Column:
     """Variant of a JSON document, or null when ``text`` is not exactly one document.
@@ -15,21 +17,28 @@ def parse_document(text: Column) -> Column:
     """
     digest = F.md5(text)
     pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
-    whole = (F.try_variant_get(pair, "$[1]", "string") == digest) & (
-        F.schema_of_variant(F.try_variant_get(pair, "$[2]", "variant")).isNull()
-    )
-    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+    def first(both: Column) -> Column:
+        whole = (F.try_variant_get(both, "$[1]", "string") == digest) & ~present(
+            F.try_variant_get(both, "$[2]", "variant")
+        )
+        return F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
+
+    return let(pair, first)
+
+
+# Names of JSON shapes.
+SHAPES = {
+    "VOID": "missing", "STRING": "string", "ARRAY": "array", "OBJECT": "object",
+}
 
 
 def kind(value: Column) -> Column:
     """``missing`` (absent or JSON null), ``string``, ``array``, ``object`` or ``other``."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(shape.isNull() | (shape == "VOID"), F.lit("missing"))
-        .when(shape == "STRING", F.lit("string"))
-        .when(shape.startswith("ARRAY"), F.lit("array"))
-        .when(shape.startswith("OBJECT"), F.lit("object"))
-        .otherwise(F.lit("other"))
+    shape = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    names = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
+    return F.coalesce(
+        F.try_element_at(names, F.substring_index(shape, "<", 1)), F.lit("other")
     )
 
 

@@ -2,56 +2,123 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import materialise
+from ..schemas import LONG, SMALL, TEXT
+from ..session import materialise, new_folder
 
 KEY = ["application_name", "commit_id"]
 
+# Rows of the walk: a stretch of the branch (commit and distance from head), or a jump
+# (commit and the ancestor that many first parents back).
+WALK = T.StructType(
+    [T.StructField(name, TEXT) for name in [*KEY, "ancestor"]]
+    + [
+        T.StructField("distance", LONG),
+        T.StructField("round", SMALL),
+        T.StructField("kind", TEXT),
+    ]
+)
 
-def _first_parents(commits: DataFrame) -> DataFrame:
-    parent = F.get("parents", F.lit(0)).alias("ancestor")
-    return commits.select(*KEY, parent).filter("ancestor IS NOT NULL")
 
+def _stretch(commit: str, distance: Column) -> list[Column]:
+    return [
+        F.col("application_name"), F.col(commit).alias("commit_id"),
+        F.lit(None).cast("string").alias("ancestor"), distance.alias("distance"),
+        F.lit("branch").alias("kind"),
+    ]
 
-def _jump(commits: DataFrame, jumps: DataFrame, *columns) -> DataFrame:
-    """Follow ``jumps`` from the commits named in ``commit_id``."""
-    return commits.join(jumps, KEY).select("application_name", F.col("ancestor"), *columns)
 
+def _jump(ancestor: Column) -> list[Column]:
+    return [
+        F.col("application_name"), F.col("commit_id"), ancestor.alias("ancestor"),
+        F.lit(None).cast("bigint").alias("distance"), F.lit("jump").alias("kind"),
+    ]
 
-def branch_positions(commits: DataFrame) -> DataFrame:
+
+# Applications with at most this many commits, some hundred megabytes, are walked in a task.
+TASK_LIMIT = 500_000
+
+
+def branch_positions(commits: DataFrame, task_limit: int = TASK_LIMIT) -> DataFrame:
     """(application, commit, distance from head) of all commits on the default branch.
 
+    Applications are counted first. One of checked size is walked from its head inside a
+    task; a larger one goes through :func:`doubled_positions`, whatever its size.
+    """
+    sizes = commits.groupBy("application_name").agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.filter(F.col("_n") > task_limit).select("application_name")
+    if large.isEmpty():
+        return walked_positions(commits)
+    small = walked_positions(commits.join(large, "application_name", "left_anti"))
+    return small.unionByName(
+        doubled_positions(commits.join(large, "application_name", "left_semi"))
+    )
+
+
+def _walk(commits: pd.DataFrame) -> pd.DataFrame:
+    parent = dict(zip(commits["commit_id"], commits["parent"]))
+    found: dict[str, int] = {}
+    for at in commits.loc[commits["is_head"], "commit_id"]:
+        while at in parent:
+            if at in found:
+                raise ValueError("the first-parent chain of a commit leads back to itself")
+            found[at] = len(found)
+            at = parent[at]
+    rows = pd.DataFrame({"commit_id": list(found), "distance": list(found.values())})
+    return rows.assign(application_name=commits["application_name"].iloc[0])
+
+
+def walked_positions(commits: DataFrame) -> DataFrame:
+    """Positions by following first parents, one application per group."""
+    links = commits.select(*KEY, F.get("parents", F.lit(0)).alias("parent"), "is_head")
+    return links.groupBy("application_name").applyInPandas(
+        _walk, "application_name string, commit_id string, distance bigint"
+    )
+
+
+def doubled_positions(commits: DataFrame) -> DataFrame:
+    """Positions by joins alone, for applications of any size.
+
     Pointer doubling: round k knows each commit's 2^k-th first-parent ancestor and doubles
     the known stretch of every branch at once, so n commits take about log2(n) rounds.
     All joins are keyed by commit, so an application with most of the commits spreads over
-    all tasks. Each round is a stored table, and a branch never passes the driver.
+    all tasks. A round is one job that writes one table, and no branch passes the driver.
     """
-    jumps = materialise(_first_parents(commits), "jumps")
-    heads = commits.filter("is_head").select(*KEY, F.lit(0).cast("bigint").alias("distance"))
-    branch = materialise(heads, "branch")
-    limit = jumps.count() + 1
-    step = 1
+    spark = commits.sparkSession
+    root = new_folder(spark, "branch")
+
+    def store(number: int, branch: DataFrame, jumps: DataFrame) -> None:
+        rows = branch.unionByName(jumps)
+        rows.write.partitionBy("kind").parquet(f"{root}/round={number}")
+
+    def rows(kind: str) -> DataFrame:
+        return spark.read.schema(WALK).parquet(root).filter(F.col("kind") == kind)
+
+    heads = commits.filter("is_head").select(*_stretch("commit_id", F.lit(0).cast("bigint")))
+    parents = commits.filter(F.size("parents") > 0).select(*_jump(F.get("parents", F.lit(0))))
+    store(0, heads, parents)
+    limit = rows("jump").count()
+    number, step = 0, 1
     while True:
-        added = materialise(
-            _jump(branch, jumps, (F.col("distance") + step).alias("distance"))
-            .withColumnRenamed("ancestor", "commit_id"),
-            "branch",
+        jumps = rows("jump").filter(F.col("round") == number).select(*KEY, "ancestor")
+        branch = rows("branch").select(*KEY, "distance")
+        added = branch.join(jumps, KEY).select(*_stretch("ancestor", F.col("distance") + step))
+        onward = jumps.select(
+            "application_name", F.col("commit_id").alias("via"), F.col("ancestor").alias("further")
         )
-        if added.isEmpty():
+        doubled = jumps.withColumnRenamed("ancestor", "via").join(onward, ["application_name", "via"])
+        number, step = number + 1, step * 2
+        store(number, added, doubled.select(*_jump(F.col("further"))))
+        if rows("branch").filter(F.col("round") == number).isEmpty():
             break
-        branch = branch.union(added)
-        step *= 2
-        if step > 2 * limit:
+        if step > 4 * limit:
             raise ValueError("the first-parent chain of a commit leads back to itself")
-        further = jumps.withColumnRenamed("ancestor", "via").join(
-            jumps.select("application_name", F.col("commit_id").alias("via"), "ancestor"),
-            ["application_name", "via"],
-        )
-        jumps = materialise(further.select(*KEY, "ancestor"), "jumps")
     # A parent outside the table ends its branch.
-    return branch.join(commits.select(*KEY), KEY, "left_semi")
+    return rows("branch").select(*KEY, "distance").join(commits.select(*KEY), KEY, "left_semi")
 
 
 def first_parent_sequence(commits: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import with_computed
 from ..functions.text import choose_cvss
 from ..functions.times import parse_published, parse_rfc3339
 from ..functions.variants import as_string, elements_of, kind, present
@@ -163,12 +164,12 @@ def advisory_entries(documents: DataFrame, document: str = "document") -> DataFr
     )
     shape = kind(F.col("entry"))
     advisories = F.transform(elements_of(F.col("entry")), _advisory)
+    opened = with_computed(entries, "advisories", F.when(shape == "array", advisories))
     meta = (
         (shape == "object")
         & (kind(F.try_variant_get("entry", "$.advisory", "variant")) == "string")
         & present(F.try_variant_get("entry", "$.timestamp", "variant"))
     )
-    opened = entries.withColumn("advisories", F.when(shape == "array", advisories))
     return opened.select(
         "package",
         "advisories",

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.once import with_computed
 from ..functions.text import split_trimmed, unknown_cvss
 from ..functions.urls import normalise_url
 from .errors import error_struct, fails, first_of
@@ -53,22 +54,22 @@ def _with_cve(split: DataFrame, cve: DataFrame) -> DataFrame:
     )
     joined = split.join(known, F.col("cve_id") == F.col("_cve"), "left")
     hit = F.col("_cve").isNotNull()
-    raw_url = F.when(hit, F.col("_hit.url")).otherwise(F.col("advisory_url"))
-    text = F.when(hit, F.col("_hit.description")).otherwise(F.col("advisory_description"))
+    placed = with_computed(joined, "_url", F.when(hit, normalise_url(F.col("_hit.url"))))
     failed = F.when(
         hit,
         first_of(
             fails(F.col("_hit.url") == "", "advisory_url_empty"),
-            fails(normalise_url(F.col("_hit.url")).isNull(), "advisory_url_invalid"),
+            fails(F.col("_url").isNull(), "advisory_url_invalid"),
             fails(F.col("_hit.description") == "", "advisory_description_empty"),
         ),
     )
+    taken = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old))
     return (
-        joined.withColumn("failed", failed)
-        .withColumn("cvss", F.when(hit, F.col("_hit.cvss")).otherwise(F.col("cvss")))
-        .withColumn("advisory_url", F.when(hit, normalise_url(raw_url)).otherwise(raw_url))
-        .withColumn("advisory_description", text)
-        .drop("_cve", "_hit")
+        placed.withColumn("failed", failed)
+        .withColumn("cvss", taken("_hit.cvss", "cvss"))
+        .withColumn("advisory_url", taken("_url", "advisory_url"))
+        .withColumn("advisory_description", taken("_hit.description", "advisory_description"))
+        .drop("_cve", "_hit", "_url")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import derived_uuid
+from ..functions.once import let, with_computed
 from ..functions.text import trim_end, unknown_cvss
 from ..functions.urls import normalise_url
 from ..functions.variants import as_string, elements_of, kind, parse_document, present
@@ -80,23 +81,27 @@ def stamp(position: Column) -> list[Column]:
 
 def block_fields(block: Column) -> Column:
     """Values of a block by line. A value ends at its second ``": "``; none gives null."""
-    lines = F.split(trim_end(block), "\n")
-    value = lambda i: F.get(F.split(F.get(lines, F.lit(i)), ": "), F.lit(1))
-    return F.struct(
-        value(0).alias("affected_package"),
-        value(1).alias("installed_version"),
-        value(2).alias("advisory_id"),
-        value(3).alias("criticality"),
-        value(4).alias("advisory_url"),
-        value(5).alias("advisory_description"),
-        value(6).alias("solution"),
-    )
+
+    def fields(lines: Column) -> Column:
+        value = lambda i: F.get(F.split(F.get(lines, F.lit(i)), ": "), F.lit(1))
+        return F.struct(
+            value(0).alias("affected_package"),
+            value(1).alias("installed_version"),
+            value(2).alias("advisory_id"),
+            value(3).alias("criticality"),
+            value(4).alias("advisory_url"),
+            value(5).alias("advisory_description"),
+            value(6).alias("solution"),
+        )
+
+    return let(F.split(trim_end(block), "\n"), fields)
 
 
 def bundler_blocks(reports: DataFrame) -> DataFrame:
     """Header columns and ``blocks``, the parsed blocks of each report."""
-    blocks = F.regexp_extract_all(F.col("tool_output"), F.lit(BLOCK), F.lit(1))
-    return reports.select(*carry_header(), F.transform(blocks, block_fields).alias("blocks"))
+    found = F.regexp_extract_all(F.col("tool_output"), F.lit(BLOCK), F.lit(1))
+    rows = reports.select(*carry_header(), "tool_output")
+    return with_computed(rows, "blocks", F.transform(found, block_fields)).drop("tool_output")
 
 
 def _block_error(block: Column) -> Column:
@@ -122,7 +127,7 @@ def checked_bundler_blocks(reports: DataFrame) -> DataFrame:
     The check stays inside the report's own row, so it needs no shuffle.
     """
     blocks = bundler_blocks(reports)
-    return blocks.withColumn("failed", _first_error(F.col("blocks"), _block_error))
+    return with_computed(blocks, "failed", _first_error(F.col("blocks"), _block_error))
 
 
 def extract_bundler_findings(reports: DataFrame) -> DataFrame:
@@ -174,12 +179,14 @@ def _safety_item(item: Column) -> Column:
 
 def safety_items(reports: DataFrame) -> DataFrame:
     """Header columns and ``items``; ``items`` is null when the output cannot be read."""
-    parsed = reports.select(*carry_header(), parse_document(F.col("tool_output")).alias("_doc"))
-    listed = parsed.withColumn(
-        "items", F.transform(elements_of(F.col("_doc")), _safety_item)
+    rows = reports.select(*carry_header(), "tool_output")
+    parsed = with_computed(rows, "_doc", parse_document(F.col("tool_output")))
+    listed = with_computed(
+        parsed, "_items", F.transform(elements_of(F.col("_doc")), _safety_item)
     )
-    readable = (kind(F.col("_doc")) == "array") & ~F.exists("items", lambda item: item.isNull())
-    return listed.withColumn("items", F.when(readable, F.col("items"))).drop("_doc")
+    readable = (kind(F.col("_doc")) == "array") & ~F.exists("_items", lambda item: item.isNull())
+    opened = listed.withColumn("items", F.when(readable, F.col("_items")))
+    return opened.drop("_doc", "_items", "tool_output")
 
 
 def _item_error(item: Column) -> Column:
@@ -196,7 +203,7 @@ def checked_safety_items(reports: DataFrame) -> DataFrame:
     failed = F.when(F.col("items").isNull(), F.lit("safety_output")).otherwise(
         _first_error(F.col("items"), _item_error)
     )
-    return safety_items(reports).withColumn("failed", failed)
+    return with_computed(safety_items(reports), "failed", failed)
 
 
 def _explode_items(good: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import COMMIT_HASH, HEX_64, canonical_hex, canonical_uuid, is_uuid
+from ..functions.hashing import COMMIT_HASH, HEX_64, canonical_uuid, is_uuid
+from ..functions.once import let, with_computed
 from ..functions.times import parse_rfc3339
 from ..functions.urls import normalise_url
 from ..functions.variants import as_string, elements_of, fields_of, kind, parse_document
@@ -62,14 +63,17 @@ def text_rule(field: str, value: Column) -> Column:
 
 def json_rule(field: str, value: Column) -> Column:
     """Rules on a JSON value: present, a string, then the text rules."""
-    shape = kind(value)
     wrong_type = f"{field}_invalid" if field in TIMESTAMPS else f"{field}_type"
     missing = F.lit(None).cast("string") if field in OPTIONAL else F.lit(f"{field}_missing")
-    return (
-        F.when(shape == "missing", missing)
-        .when(shape != "string", F.lit(wrong_type))
-        .otherwise(text_rule(field, as_string(value)))
-    )
+
+    def rule(v: Column) -> Column:
+        return (
+            F.when(v["kind"] == "missing", missing)
+            .when(v["kind"] != "string", F.lit(wrong_type))
+            .otherwise(text_rule(field, v["text"]))
+        )
+
+    return let(F.struct(kind(value).alias("kind"), as_string(value).alias("text")), rule)
 
 
 def _issue_rule(issue: Column, order: list[str], record_error: str | None) -> Column:
@@ -88,8 +92,8 @@ def _first_issue_error(issues: Column, order: list[str], record_error: str | Non
 def _typed_issue(issue: Column) -> Column:
     text = lambda name: F.try_variant_get(issue, f"$.{name}", "string")
     return F.struct(
-        canonical_hex(text("issue_hash")).alias("issue_hash"),
-        parse_rfc3339(text("expiry_date")).alias("expiry_date"),
+        F.lower(text("issue_hash")).alias("issue_hash"),
+        let(text("expiry_date"), parse_rfc3339).alias("expiry_date"),
         text("suppression_reason").alias("suppression_reason"),
         text("suppressed_by").alias("suppressed_by"),
     )
@@ -104,26 +108,24 @@ def validate_reports(payloads: DataFrame, body: str = "body") -> DataFrame:
     kept = [F.col(name) for name in payloads.columns]
     text = F.col(body)
     names = REPORT_FIELDS + ["suppressed_issues"]
-    parsed = payloads.select(*kept, parse_document(text).alias("_doc"))
-    opened = parsed.select(
-        *kept, F.col("_doc").isNotNull().alias("_json"), fields_of(F.col("_doc"), names).alias("_f")
-    )
+    parsed = with_computed(payloads, "_doc", parse_document(text))
+    opened = with_computed(parsed, "_f", fields_of(F.col("_doc"), names))
     field = lambda name: F.col(f"_f.{name}")
     issues = field("suppressed_issues")
     error = first_of(
         fails(text.isNull() | (text == ""), "body_empty"),
-        fails(~F.col("_json"), "body_not_json"),
+        fails(F.col("_doc").isNull(), "body_not_json"),
         *[json_rule(name, field(name)) for name in REPORT_FIELDS],
         fails(kind(issues) != "array", "suppressed_issues_type"),
         _first_issue_error(elements_of(issues), ISSUE_FIELDS, None),
     )
-    named = opened.select(*kept, "_f", error.alias("_error"))
+    named = with_computed(opened, "_error", error)
 
     ok = F.col("_error").isNull()
     values = {name: as_string(field(name)) for name in REPORT_FIELDS}
-    values["event_id"] = canonical_uuid(values["event_id"])
-    values["start_time"] = parse_rfc3339(values["start_time"])
-    values["end_time"] = parse_rfc3339(values["end_time"])
+    values["event_id"] = let(values["event_id"], canonical_uuid)
+    values["start_time"] = let(values["start_time"], parse_rfc3339)
+    values["end_time"] = let(values["end_time"], parse_rfc3339)
     values["suppressed_issues"] = F.transform(elements_of(issues), _typed_issue)
     return named.select(
         *kept,
@@ -144,9 +146,9 @@ def rejected(validated: DataFrame, *keep: str) -> DataFrame:
 def validate_suppressions(listed: DataFrame, document: str = "document") -> DataFrame:
     """Check suppression records given on their own, one JSON value per row."""
     kept = [F.col(name) for name in listed.columns]
-    parsed = listed.select(*kept, parse_document(F.col(document)).alias("_doc"))
+    parsed = with_computed(listed, "_doc", parse_document(F.col(document)))
     error = _issue_rule(F.col("_doc"), LISTED_ISSUE_FIELDS, "suppression_not_table")
-    named = parsed.select(*kept, "_doc", error.alias("_error"))
+    named = with_computed(parsed, "_error", error)
     issue = F.when(F.col("_error").isNull(), _typed_issue(F.col("_doc")))
     return named.select(*kept, issue.alias("issue"), error_struct(F.col("_error")).alias("error"))
 
@@ -200,9 +202,14 @@ def finding_error(order: list[str] | None = None) -> Column:
     return first_of(*[rules[name] for name in (order or rules)])
 
 
+def _with_error(rows: DataFrame, name: Column) -> DataFrame:
+    named = with_computed(rows, "_error", name)
+    return named.withColumn("error", error_struct(F.col("_error"))).drop("_error")
+
+
 def validate_findings(findings: DataFrame) -> DataFrame:
     """Findings with ``error``, checked in the order in which extraction builds them."""
-    return findings.withColumn("error", error_struct(finding_error(EXTRACTION_ORDER)))
+    return _with_error(findings, finding_error(EXTRACTION_ORDER))
 
 
 def revalidate_findings(findings: DataFrame) -> DataFrame:
@@ -210,7 +217,7 @@ def revalidate_findings(findings: DataFrame) -> DataFrame:
 
     Wrong column types never get this far: the declared schema refuses them.
     """
-    return findings.withColumn("error", error_struct(finding_error()))
+    return _with_error(findings, finding_error())
 
 
 def revalidate_reports(reports: DataFrame) -> DataFrame:
@@ -241,4 +248,4 @@ def revalidate_reports(reports: DataFrame) -> DataFrame:
     names = F.transform(issues, issue_rule)
     checks.append(fails(issues.isNull(), "suppressed_issues_type"))
     checks.append(F.get(F.filter(names, lambda name: name.isNotNull()), F.lit(0)))
-    return reports.withColumn("error", error_struct(first_of(*checks)))
+    return _with_error(reports, first_of(*checks))
