@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF, duck, view
-from ..functions.hashing import derived_uuid, finding_hash
+from ..functions.hashing import FINDING_HASH, derived_uuid
 from ..functions.text import cvss_text, split_trimmed
 from ..functions.urls import normalise_url
 from ..operators import dimensions, enrichment, extraction, notification, suppression
@@ -265,7 +265,7 @@ def check_feed_hash(spark, sf_dir):
     content = F.when(F.col("feed") == "2004", F.lit("changed")).otherwise(F.col("feed"))
     files = feeds.withColumn("content", content)
     manifest = view(spark, sf_dir, "fx_manifests").select(
-        "feed", dimensions.parse_manifest(F.col("manifest")).getField("sha256").alias("sha256")
+        "feed", F.expr(dimensions.parse_manifest("manifest")).getField("sha256").alias("sha256")
     )
     return dimensions.check_feed_hash(files, manifest)
 
@@ -468,9 +468,9 @@ def rejected_extractions(spark, sf_dir):
     ),
 )
 def issue_hash(spark, sf_dir):
-    new_id = derived_uuid(F.col("parent_event_id"), F.col("advisory_id"))
+    new_id = F.expr(derived_uuid("parent_event_id", "advisory_id"))
     return findings(spark, sf_dir).select(
-        "event_id", finding_hash().alias("issue_hash"), new_id.alias("new_id")
+        "event_id", F.expr(FINDING_HASH).alias("issue_hash"), new_id.alias("new_id")
     )
 
 
@@ -482,7 +482,7 @@ _SCORE = (
 
 @query("cvss_text", duck(f"SELECT event_id, {_SCORE} AS cvss_text FROM fx_findings"))
 def cvss_text_query(spark, sf_dir):
-    return findings(spark, sf_dir).select("event_id", cvss_text(F.col("cvss")).alias("cvss_text"))
+    return findings(spark, sf_dir).select("event_id", F.expr(cvss_text("cvss")).alias("cvss_text"))
 
 
 @query(
@@ -511,7 +511,9 @@ def normalise_url_query(spark, sf_dir):
         .otherwise(url)
     )
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", normalise_url(text).alias("normal"))
+    return pages.select("page_id", text.alias("text")).selectExpr(
+        "page_id", f"{normalise_url('text')} AS normal"
+    )
 
 
 @query(
@@ -523,8 +525,7 @@ def normalise_url_query(spark, sf_dir):
 )
 def split_and_trim(spark, sf_dir):
     rows = view(spark, sf_dir, "fx_advisories").filter("cve_list IS NOT NULL")
-    cves = F.array_join(split_trimmed(F.col("cve_list")), "|")
-    return rows.select("id", "package", cves.alias("cves"))
+    return rows.selectExpr("id", "package", f"array_join({split_trimmed('cve_list')}, '|') AS cves")
 
 
 # Suppression
@@ -607,7 +608,7 @@ _MESSAGE = f"""concat('Vulnerable package found in: ', application_name, chr(10)
 
 @query("render_notification", duck(f"SELECT event_id, {_MESSAGE} AS text FROM fx_findings"))
 def render_notification(spark, sf_dir):
-    return findings(spark, sf_dir).select("event_id", notification.message_text().alias("text"))
+    return findings(spark, sf_dir).select("event_id", F.expr(notification.message_text()).alias("text"))
 
 
 @query(

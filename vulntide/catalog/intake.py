@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..fixtures import duck, view
-from ..functions.hashing import canonical_hex, canonical_uuid, is_uuid, COMMIT_HASH
+from ..fixtures import duck, view, with_cvss
+from ..functions.hashing import COMMIT_HASH, canonical_hex, canonical_uuid, derived_uuid, is_uuid
 from ..functions.text import branch_text, tool_version_text
 from ..functions.times import format_rfc3339, parse_rfc3339
 from ..operators import audit, validation
@@ -196,8 +196,6 @@ def _finding_oracle(name: str) -> str:
 
 
 def _raw_findings(spark, sf_dir):
-    from ..fixtures import with_cvss
-
     return with_cvss(view(spark, sf_dir, "fx_raw_findings"))
 
 
@@ -246,24 +244,22 @@ def revalidate_reports(spark, sf_dir):
 )
 def identifier_checks(spark, sf_dir):
     props = F.col("props")
-    from ..functions.hashing import derived_uuid
-
     kind = F.col("event_id") % 7
     value = (
         F.when(kind == 0, F.upper(F.md5(props)))
         .when(kind == 1, F.sha1(props))
         .when(kind == 2, F.upper(F.sha2(props, 256)))
-        .when(kind == 3, F.concat(F.lit("urn:uuid:"), derived_uuid(props)))
-        .when(kind == 4, F.upper(derived_uuid(props)))
+        .when(kind == 3, F.concat(F.lit("urn:uuid:"), F.expr(derived_uuid("props"))))
+        .when(kind == 4, F.upper(F.expr(derived_uuid("props"))))
         .when(kind == 5, F.concat(F.sha1(props), F.lit("\n")))
         .otherwise(props)
     )
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", value.alias("value"))
     return rows.select(
-        "event_id", "value", is_uuid(F.col("value")).alias("is_uuid"),
-        canonical_uuid(F.col("value")).alias("canonical"),
+        "event_id", "value", F.expr(is_uuid("value")).alias("is_uuid"),
+        F.expr(canonical_uuid("value")).alias("canonical"),
         F.col("value").rlike(COMMIT_HASH).alias("is_commit"),
-        canonical_hex(F.col("value")).alias("hex"),
+        F.expr(canonical_hex("value")).alias("hex"),
     )
 
 
@@ -301,10 +297,10 @@ def rfc3339_times(spark, sf_dir):
         .otherwise(F.lit("soon"))
     )
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", text.alias("text"))
-    parsed = rows.withColumn("instant", parse_rfc3339(F.col("text")))
+    parsed = rows.withColumn("instant", F.expr(parse_rfc3339("text")))
     return parsed.select(
         "event_id", "text", micros("instant", "micros"),
-        format_rfc3339(F.col("instant")).alias("formatted"),
+        F.expr(format_rfc3339("instant")).alias("formatted"),
     )
 
 
@@ -318,8 +314,8 @@ def rfc3339_times(spark, sf_dir):
 )
 def header_texts(spark, sf_dir):
     return reports(spark, sf_dir).select(
-        "event_id", branch_text(F.col("git_branch")).alias("branch"),
-        tool_version_text(F.col("tool_version")).alias("tool_version"),
+        "event_id", F.expr(branch_text("git_branch")).alias("branch"),
+        F.expr(tool_version_text("tool_version")).alias("tool_version"),
         F.char_length("tool_output").alias("n_chars"),
         F.col("output_format").isin(*validation.FORMATS).alias("known_format"),
     )

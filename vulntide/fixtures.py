@@ -449,5 +449,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_cvss(df: DataFrame) -> DataFrame:
     """Fold the flat score columns into the ``cvss`` struct."""
-    folded = df.withColumn("cvss", cvss_struct(F.col("cvss_version"), F.col("cvss_score")))
+    folded = df.withColumn("cvss", F.expr(cvss_struct("cvss_version", "cvss_score")))
     return folded.drop("cvss_version", "cvss_score")

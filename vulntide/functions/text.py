@@ -2,53 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import struct, text
 
+# White space of every kind, where ``trim`` cuts blanks only.
+_END = r"[\p{IsWhite_Space}]+\z"
+_BOTH = r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+\z"
 
-def trim_end(text: Column) -> Column:
-    """Cut white space of every kind at the end; ``rtrim`` cuts blanks only."""
-    return F.regexp_replace(text, r"[\p{IsWhite_Space}]+\z", "")
 
+def trim_end(t: str) -> str:
+    return f"regexp_replace({t}, {text(_END)}, '')"
 
-def trim_both(text: Column) -> Column:
-    return F.regexp_replace(text, r"^[\p{IsWhite_Space}]+|[\p{IsWhite_Space}]+\z", "")
 
+def trim_both(t: str) -> str:
+    return f"regexp_replace({t}, {text(_BOTH)}, '')"
 
-def split_trimmed(text: Column, separator: str = ",") -> Column:
-    return F.transform(F.split(text, separator), trim_both)
 
+def split_trimmed(t: str, separator: str = ",") -> str:
+    return f"transform(split({t}, {text(separator)}), s -> {trim_both('s')})"
 
-def branch_text(branch: Column) -> Column:
-    return F.coalesce(branch, F.lit("Not Provided"))
 
+def branch_text(branch: str) -> str:
+    return f"coalesce({branch}, 'Not Provided')"
 
-def tool_version_text(version: Column) -> Column:
-    return F.coalesce(version, F.lit(""))
 
+def tool_version_text(version: str) -> str:
+    return f"coalesce({version}, '')"
 
-def cvss_text(cvss: Column) -> Column:
+
+def cvss_text(cvss: str) -> str:
     """``Unknown`` or ``V3(7.5)``; a whole score prints without a fraction."""
-    version, score = cvss.getField("version"), cvss.getField("score")
-    digits = F.regexp_replace(score.cast("string"), r"\.0\z", "")
-    return F.when(version == "Unknown", version).otherwise(
-        F.concat(version, F.lit("("), digits, F.lit(")"))
+    whole = text(r"\.0\z")
+    digits = f"regexp_replace(CAST({cvss}.score AS STRING), {whole}, '')"
+    return (
+        f"if({cvss}.version = 'Unknown', 'Unknown', concat({cvss}.version, '(', {digits}, ')'))"
     )
 
 
-def cvss_struct(version: Column, score: Column) -> Column:
-    return F.struct(version.alias("version"), score.cast("float").alias("score"))
+def cvss_struct(version: str, score: str) -> str:
+    return struct(version=version, score=f"CAST({score} AS FLOAT)")
 
 
-def unknown_cvss() -> Column:
-    return cvss_struct(F.lit("Unknown"), F.lit(None))
+UNKNOWN_CVSS = cvss_struct("'Unknown'", "NULL")
 
 
-def choose_cvss(v3_score: Column, v2_score: Column) -> Column:
+def choose_cvss(v3_score: str, v2_score: str) -> str:
     """Version 3 score if there is one, else version 2, else unknown."""
     version = (
-        F.when(v3_score.isNotNull(), F.lit("V3"))
-        .when(v2_score.isNotNull(), F.lit("V2"))
-        .otherwise(F.lit("Unknown"))
+        f"CASE WHEN {v3_score} IS NOT NULL THEN 'V3' WHEN {v2_score} IS NOT NULL THEN 'V2' "
+        "ELSE 'Unknown' END"
     )
-    return cvss_struct(version, F.coalesce(v3_score, v2_score))
+    return cvss_struct(version, f"coalesce({v3_score}, {v2_score})")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import text
 
 # Fixed value: the accepted wire form of an instant. Any number of fraction digits, offset
 # hours 00-23 and minutes 00-59, second 60 allowed as a leap second.
@@ -13,56 +12,46 @@ RFC3339 = (
 )
 
 
-def parse_rfc3339(text: Column) -> Column:
+def parse_rfc3339(t: str) -> str:
     """UTC instant of an RFC 3339 text, or null when it is not one.
 
     Spark's own parser also takes texts without an offset and rejects offsets beyond 18
-    hours, so the parts are matched first and the offset is applied as an interval.
-    Digits beyond microseconds are cut. Second 60 is the instant one second after 59.
+    hours, so the form is matched first and the offset is applied as an interval. Digits
+    beyond microseconds are cut. Second 60 is the instant one second after 59.
     """
-    second = F.substring(text, 18, 2)
-    leap = second == "60"
-    fraction = F.substring(F.regexp_extract(text, r"\.\d+", 0), 1, 7)
-    local = F.concat(
-        F.substring(text, 1, 10), F.lit("T"), F.substring(text, 12, 6),
-        F.when(leap, F.lit("59")).otherwise(second), fraction, F.lit("Z"),
+    leap = f"substr({t}, 18, 2) = '60'"
+    local = (
+        f"concat(substr({t}, 1, 10), 'T', substr({t}, 12, 6), if({leap}, '59', substr({t}, 18, 2)), "
+        f"substr(regexp_extract({t}, {text(chr(92) + '.' + chr(92) + 'd+')}, 0), 1, 7), 'Z')"
     )
-    zone = F.substring(text, -6, 6)
-    offset = F.when(
-        zone.rlike("^[+-]"),
-        F.concat(F.substring(zone, 1, 1), F.lit("1")).try_cast("int")
-        * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")),
-    ).otherwise(0)
-    instant = F.try_to_timestamp(local)
-    shift = F.make_dt_interval(
-        mins=-offset, secs=F.when(leap, F.lit(1)).otherwise(F.lit(0)).cast("decimal(18,6)")
+    offset = (
+        f"if(substr({t}, -6, 1) IN ('+', '-'), "
+        f"if(substr({t}, -6, 1) = '-', -1, 1) * (try_cast(substr({t}, -5, 2) AS INT) * 60 "
+        f"+ try_cast(substr({t}, -2, 2) AS INT)), 0)"
     )
-    return F.when(text.rlike(RFC3339), instant + shift)
+    shift = f"make_dt_interval(0, 0, -({offset}), if({leap}, 1, 0))"
+    return f"if({t} RLIKE {text(RFC3339)}, try_to_timestamp({local}) + {shift}, NULL)"
 
 
-def format_rfc3339(instant: Column) -> Column:
+def format_rfc3339(instant: str) -> str:
     """``2019-09-13T19:35:38+00:00``; 3 or 6 fraction digits only when they are needed."""
-    micros = F.pmod(F.unix_micros(instant), F.lit(1_000_000))
-    head = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = (
-        F.when(micros == 0, F.lit(""))
-        .when(micros % 1000 == 0, F.date_format(instant, ".SSS"))
-        .otherwise(F.date_format(instant, ".SSSSSS"))
+    micros = f"pmod(unix_micros({instant}), 1000000)"
+    return (
+        f"concat(date_format({instant}, \"yyyy-MM-dd'T'HH:mm:ss\"), "
+        f"CASE WHEN {micros} = 0 THEN '' WHEN {micros} % 1000 = 0 THEN date_format({instant}, '.SSS') "
+        f"ELSE date_format({instant}, '.SSSSSS') END, '+00:00')"
     )
-    return F.concat(head, fraction, F.lit("+00:00"))
 
 
-def parse_published(text: Column) -> Column:
+def parse_published(t: str) -> str:
     """Feed publication dates: minutes and an offset but no seconds (``2019-09-13T19:35Z``)."""
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mmX")), parse_rfc3339(text)
-    )
+    return f"coalesce(try_to_timestamp({t}, \"yyyy-MM-dd'T'HH:mmX\"), {parse_rfc3339(t)})"
 
 
-def seconds_between(start: Column, end: Column) -> Column:
+def seconds_between(start: str, end: str) -> str:
     """Signed seconds from ``start`` to ``end`` with microsecond precision."""
-    return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(1_000_000)
+    return f"(unix_micros({end}) - unix_micros({start})) / 1000000"
 
 
-def nanos_between(start: Column, end: Column) -> Column:
-    return (F.unix_micros(end) - F.unix_micros(start)) * F.lit(1000)
+def nanos_between(start: str, end: str) -> str:
+    return f"(unix_micros({end}) - unix_micros({start})) * 1000"

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from .once import let
+from .sql import let, mapping, struct, text
 
 # Schemes with a host part that is required, and their default ports.
 SPECIAL = r"^(https?|wss?|ftp)\z"
@@ -30,46 +27,50 @@ _VALID = (
 _NORMAL = r"^https?://[a-z0-9]+(?:[.\-][a-z0-9]+)*/[\x21-\x5b\x5d-\x7e]*\z"
 
 
-def _trimmed(text: Column) -> Column:
+def _trimmed(t: str) -> str:
     # Control characters and spaces at either end, and tabs and newlines anywhere, do not count.
-    return F.regexp_replace(text, "^[\\x00-\\x20]+|[\\x00-\\x20]+\\z|[\\t\\n\\r]", "")
+    dropped = "^[\\x00-\\x20]+|[\\x00-\\x20]+\\z|[\\t\\n\\r]"
+    return f"regexp_replace({t}, {text(dropped)}, '')"
 
 
-def _parts(url: Column) -> Column:
-    return F.struct(
-        F.lower(F.regexp_extract(url, _SCHEME, 1)).alias("scheme"),
-        F.regexp_extract(url, _USER, 1).alias("user"),
-        F.lower(F.regexp_extract(url, _HOST, 1)).alias("host"),
-        F.regexp_extract(url, _PORT, 1).alias("port"),
-        F.regexp_extract(url, _PATH, 1).alias("path"),
-        F.regexp_extract(url, _TAIL, 1).alias("tail"),
-        url.alias("url"),
+def _parts(url: str) -> str:
+    part = lambda pattern: f"regexp_extract({url}, {text(pattern)}, 1)"
+    return struct(
+        scheme=f"lower({part(_SCHEME)})",
+        user=part(_USER),
+        host=f"lower({part(_HOST)})",
+        port=part(_PORT),
+        path=part(_PATH),
+        tail=part(_TAIL),
+        url=url,
     )
 
 
-def _join(part: Column) -> Column:
-    scheme, host, port = part["scheme"], part["host"], part["port"]
-    ports = F.create_map(*[F.lit(x) for pair in DEFAULT_PORTS.items() for x in pair])
-    usual = (port == "") | (port == F.element_at(ports, scheme))
-    escape = lambda text: F.replace(text, F.lit(" "), F.lit("%20"))
-    path = F.translate(part["path"], "\\", "/")
-    special = F.concat(
-        scheme, F.lit("://"), part["user"], host,
-        F.when(usual, F.lit("")).otherwise(F.concat(F.lit(":"), port)),
-        F.when(path == "", F.lit("/")).otherwise(escape(path)),
-        escape(part["tail"]),
+def _join(p: str) -> str:
+    ports = mapping({scheme: text(port) for scheme, port in DEFAULT_PORTS.items()})
+    usual = f"{p}.port = '' OR {p}.port <=> try_element_at({ports}, {p}.scheme)"
+    escaped = lambda t: f"replace({t}, ' ', '%20')"
+    slashed = f"translate({p}.path, {text(chr(92))}, '/')"
+    special = (
+        f"concat({p}.scheme, '://', {p}.user, {p}.host, "
+        f"if({usual}, '', concat(':', {p}.port)), "
+        f"if({p}.path = '', '/', {escaped(slashed)}), {escaped(p + '.tail')})"
+    )
+    valid = (
+        f"{p}.url RLIKE {text(_VALID)} AND ({p}.port = '' OR try_cast({p}.port AS INT) <= 65535)"
+    )
+    other = f"concat({p}.scheme, substr({p}.url, length({p}.scheme) + 1))"
+    return (
+        f"CASE WHEN {p}.scheme RLIKE {text(SPECIAL)} THEN if({valid}, {special}, NULL) "
+        f"WHEN {p}.scheme <> '' THEN {other} END"
     )
-    valid = part["url"].rlike(_VALID) & ((port == "") | (port.try_cast("int") <= 65535))
-    url = part["url"]
-    other = F.concat(scheme, F.substring(url, F.length(scheme) + 1, F.length(url)))
-    return F.when(scheme.rlike(SPECIAL), F.when(valid, special)).when(scheme != "", other)
 
 
-def normalise_url(text: Column) -> Column:
+def normalise_url(t: str) -> str:
     """Normal form of an absolute URL, or null when it is none.
 
     Lower-cases scheme and host, drops a default port, adds the root path and encodes
     spaces. Dot segments, international host names and IP forms are left as they are.
     """
-    rebuilt = let(_trimmed(text), lambda url: let(_parts(url), _join))
-    return F.when(text.rlike(_NORMAL), text).otherwise(rebuilt)
+    rebuilt = let("u", _trimmed(t), lambda u: let("p", _parts(u), _join))
+    return f"CASE WHEN {t} RLIKE {text(_NORMAL)} THEN {t} ELSE {rebuilt} END"

@@ -2,60 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import let, mapping, text
 
-from .once import let
+# Names of JSON shapes.
+SHAPES = {"VOID": "missing", "STRING": "string", "ARRAY": "array", "OBJECT": "object"}
 
 
-def parse_document(text: Column) -> Column:
-    """Variant of a JSON document, or null when ``text`` is not exactly one document.
+def field(value: str, path: str) -> str:
+    """The value at a path, itself a variant; null when the path does not exist."""
+    return f"try_variant_get({value}, '{path}', 'variant')"
 
-    ``try_parse_json`` alone ignores whatever follows the first value. The text is parsed
-    as the first of two array elements, the second being its own digest, so text that
-    ends early, runs on or closes the array itself cannot pass.
-    """
-    digest = F.md5(text)
-    pair = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')))
 
-    def first(both: Column) -> Column:
-        whole = (F.try_variant_get(both, "$[1]", "string") == digest) & ~present(
-            F.try_variant_get(both, "$[2]", "variant")
-        )
-        return F.when(whole, F.try_variant_get(both, "$[0]", "variant"))
+def as_string(value: str, path: str = "$") -> str:
+    return f"try_variant_get({value}, '{path}', 'string')"
 
-    return let(pair, first)
 
+def elements_of(value: str) -> str:
+    return f"try_variant_get({value}, '$', 'array<variant>')"
 
-# Names of JSON shapes.
-SHAPES = {
-    "VOID": "missing", "STRING": "string", "ARRAY": "array", "OBJECT": "object",
-}
 
+def fields_of(document: str, names: list[str]) -> str:
+    """All named fields of an object in one pass, each still a variant."""
+    shape = ", ".join(f"{name}: variant" for name in names)
+    return f"try_variant_get({document}, '$', 'struct<{shape}>')"
 
-def kind(value: Column) -> Column:
+
+def kind(value: str) -> str:
     """``missing`` (absent or JSON null), ``string``, ``array``, ``object`` or ``other``."""
-    shape = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-    names = F.create_map(*[F.lit(x) for pair in SHAPES.items() for x in pair])
-    return F.coalesce(
-        F.try_element_at(names, F.substring_index(shape, "<", 1)), F.lit("other")
-    )
+    shape = f"substring_index(coalesce(schema_of_variant({value}), 'VOID'), '<', 1)"
+    names = mapping({shape_name: text(name) for shape_name, name in SHAPES.items()})
+    return f"coalesce(try_element_at({names}, {shape}), 'other')"
 
 
-def present(value: Column) -> Column:
+def present(value: str) -> str:
     """True when the path exists, JSON null included."""
-    return F.schema_of_variant(value).isNotNull()
+    return f"schema_of_variant({value}) IS NOT NULL"
 
 
-def fields_of(document: Column, names: list[str]) -> Column:
-    """All named fields of an object in one pass, each still a variant."""
-    shape = ", ".join(f"{name}: variant" for name in names)
-    return F.try_variant_get(document, "$", f"struct<{shape}>")
-
-
-def as_string(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "string")
-
+def parse_document(t: str) -> str:
+    """Variant of a JSON document, or null when the text is not exactly one document.
 
-def elements_of(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "array<variant>")
+    ``try_parse_json`` alone ignores whatever follows the first value. The text is parsed
+    as the first of two array elements, the second being its own digest, so text that
+    ends early, runs on or closes the array itself cannot pass.
+    """
+    pair = f"try_parse_json(concat('[', {t}, ',\"', md5({t}), '\"]'))"
+    return let(
+        "d",
+        pair,
+        lambda d: (
+            f"if({as_string(d, '$[1]')} = md5({t}) AND NOT ({present(field(d, '$[2]'))}), "
+            f"{field(d, '$[0]')}, NULL)"
+        ),
+    )

@@ -85,7 +85,7 @@ def remediation_times(
     )
     return rows.withColumn(
         "remediation_time", F.col("fix_date") - F.col("cve_date")
-    ).withColumn("seconds", seconds_between(F.col("cve_date"), F.col("fix_date")))
+    ).withColumn("seconds", F.expr(seconds_between("cve_date", "fix_date")))
 
 
 def positive_remediation(rows: DataFrame) -> DataFrame:

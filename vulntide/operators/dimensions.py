@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.once import with_computed
+from ..functions.sql import cases, let, struct, text, with_computed
 from ..functions.text import choose_cvss
 from ..functions.times import parse_published, parse_rfc3339
-from ..functions.variants import as_string, elements_of, kind, present
+from ..functions.variants import as_string, elements_of, field, kind, present
 from ..schemas import CVE_FEED
 
 # Feed file or folder names, and manifest lines.
@@ -26,14 +26,13 @@ def feed_rank(feed: Column) -> Column:
     return F.when(feed == "modified", F.lit(MODIFIED_RANK)).otherwise(feed.try_cast("int"))
 
 
-def english_text(descriptions: Column) -> Column:
+def english_text(descriptions: str) -> str:
     """First English description, or an empty text."""
-    english = F.filter(descriptions, lambda d: d.getField("lang") == "en")
-    return F.coalesce(F.get(english, F.lit(0)).getField("value"), F.lit(""))
+    return f"coalesce(get(filter({descriptions}, d -> d.lang = 'en'), 0).value, '')"
 
 
-def first_reference_url(references: Column) -> Column:
-    return F.coalesce(F.get(references, F.lit(0)).getField("url"), F.lit(""))
+def first_reference_url(references: str) -> str:
+    return f"coalesce(get({references}, 0).url, '')"
 
 
 def parse_feed_documents(documents: DataFrame, document: str = "document") -> DataFrame:
@@ -45,17 +44,16 @@ def parse_feed_documents(documents: DataFrame, document: str = "document") -> Da
 
 def explode_cve_items(feeds: DataFrame) -> DataFrame:
     """One row per CVE of each feed; ``feed`` tells where it came from."""
-    item = feeds.select("feed", F.explode("CVE_Items").alias("item"))
-    cve = "item.cve"
-    return item.select(
-        F.col(f"{cve}.CVE_data_meta.ID").alias("cve_id"),
-        choose_cvss(
-            F.col("item.impact.baseMetricV3.cvssV3.baseScore"),
-            F.col("item.impact.baseMetricV2.cvssV2.baseScore"),
-        ).alias("cvss"),
-        english_text(F.col(f"{cve}.description.description_data")).alias("description"),
-        first_reference_url(F.col(f"{cve}.references.reference_data")).alias("url"),
-        parse_published(F.col("item.publishedDate")).alias("published"),
+    items = feeds.select("feed", F.explode("CVE_Items").alias("item"))
+    score = choose_cvss(
+        "item.impact.baseMetricV3.cvssV3.baseScore", "item.impact.baseMetricV2.cvssV2.baseScore"
+    )
+    return items.select(
+        F.col("item.cve.CVE_data_meta.ID").alias("cve_id"),
+        F.expr(score).alias("cvss"),
+        F.expr(english_text("item.cve.description.description_data")).alias("description"),
+        F.expr(first_reference_url("item.cve.references.reference_data")).alias("url"),
+        F.expr(parse_published("item.publishedDate")).alias("published"),
         "feed",
         feed_rank(F.col("feed")).alias("feed_rank"),
     )
@@ -97,19 +95,21 @@ def first_cve_date(items: DataFrame) -> DataFrame:
     )
 
 
-def parse_manifest(text: Column) -> Column:
+def parse_manifest(t: str) -> str:
     """Manifest fields, each null when its line is missing, and the first missing key."""
-    value = lambda key: F.when(
-        text.rlike(f"{key}:[^\\n]*\\r\\n"), F.regexp_extract(text, f"{key}:([^\\n]*)\\r\\n", 1)
-    )
+
+    def value(key: str) -> str:
+        line = text(key + r":([^\n]*)\r\n")
+        return f"if({t} RLIKE {line}, regexp_extract({t}, {line}, 1), NULL)"
+
     values = {key: value(key) for key in MANIFEST_KEYS}
-    error = F.coalesce(*[F.when(values[key].isNull(), F.lit(key)) for key in MANIFEST_KEYS])
-    return F.struct(
-        parse_rfc3339(values["lastModifiedDate"]).alias("last_modified"),
-        values["size"].try_cast("bigint").alias("size"),
-        values["gzSize"].try_cast("bigint").alias("gz_size"),
-        values["sha256"].alias("sha256"),
-        error.alias("error"),
+    error = cases(*[(f"{values[key]} IS NULL", text(key)) for key in MANIFEST_KEYS])
+    return struct(
+        last_modified=let("t", values["lastModifiedDate"], parse_rfc3339),
+        size=f"try_cast({values['size']} AS BIGINT)",
+        gz_size=f"try_cast({values['gzSize']} AS BIGINT)",
+        sha256=values["sha256"],
+        error=error,
     )
 
 
@@ -135,26 +135,20 @@ def check_feed_hash(files: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
-def _advisory(value: Column) -> Column:
+def _advisory(value: str) -> str:
     """Typed advisory; null unless all of its fields have the right type."""
-    get = lambda name: F.try_variant_get(value, f"$.{name}", "variant")
-    specs = F.transform(elements_of(get("specs")), kind)
-    complete = (
-        (kind(get("advisory")) == "string")
-        & (kind(get("id")) == "string")
-        & (kind(get("v")) == "string")
-        & present(get("cve"))
-        & (kind(get("specs")) == "array")
-        & F.forall(specs, lambda k: k == "string")
-    )
-    cve = F.when(kind(get("cve")) == "string", as_string(get("cve")))
-    return F.when(
-        complete, F.struct(as_string(get("id")).alias("id"), cve.alias("cve_list"))
-    )
+    is_text = lambda name: f"{kind(field(value, f'$.{name}'))} = 'string'"
+    specs = field(value, "$.specs")
+    complete = " AND ".join([
+        is_text("advisory"), is_text("id"), is_text("v"), present(field(value, "$.cve")),
+        f"{kind(specs)} = 'array'", f"forall({elements_of(specs)}, s -> {kind('s')} = 'string')",
+    ])
+    cves = f"if({is_text('cve')}, {as_string(value, '$.cve')}, NULL)"
+    return f"if({complete}, {struct(id=as_string(value, '$.id'), cve_list=cves)}, NULL)"
 
 
 def advisory_entries(documents: DataFrame, document: str = "document") -> DataFrame:
-    """Entries of the database documents: ``package``, ``entry`` and what shape it has.
+    """Entries of the database documents: ``package``, ``advisories`` and the entry's shape.
 
     The shape is taken from the JSON itself: opening the metadata object as a list would
     yield one advisory of nulls. ``malformed`` is neither a list of advisories nor metadata.
@@ -162,22 +156,20 @@ def advisory_entries(documents: DataFrame, document: str = "document") -> DataFr
     entries = documents.select(
         F.explode(F.from_json(F.col(document), "map<string,variant>")).alias("package", "entry")
     )
-    shape = kind(F.col("entry"))
-    advisories = F.transform(elements_of(F.col("entry")), _advisory)
-    opened = with_computed(entries, "advisories", F.when(shape == "array", advisories))
+    opened = with_computed(
+        entries,
+        advisories=f"if({kind('entry')} = 'array', "
+        f"transform({elements_of('entry')}, a -> {_advisory('a')}), NULL)",
+    )
     meta = (
-        (shape == "object")
-        & (kind(F.try_variant_get("entry", "$.advisory", "variant")) == "string")
-        & present(F.try_variant_get("entry", "$.timestamp", "variant"))
+        f"{kind('entry')} = 'object' AND {kind(field('entry', '$.advisory'))} = 'string' "
+        f"AND {present(field('entry', '$.timestamp'))}"
     )
-    return opened.select(
-        "package",
-        "advisories",
-        F.when(F.forall("advisories", lambda a: a.isNotNull()), F.lit("advisories"))
-        .when(meta, F.lit("meta"))
-        .otherwise(F.lit("malformed"))
-        .alias("shape"),
+    shape = cases(
+        ("forall(advisories, a -> a IS NOT NULL)", "'advisories'"), (meta, "'meta'"),
+        other="'malformed'",
     )
+    return opened.select("package", "advisories", F.expr(shape).alias("shape"))
 
 
 def flatten_advisories(documents: DataFrame, document: str = "document") -> DataFrame:

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.once import with_computed
-from ..functions.text import split_trimmed, unknown_cvss
+from ..functions.sql import with_computed
+from ..functions.text import UNKNOWN_CVSS, split_trimmed
 from ..functions.urls import normalise_url
 from .errors import error_struct, fails, first_of
 
@@ -23,7 +23,7 @@ def enrich_bundler(findings: DataFrame, cve: DataFrame) -> DataFrame:
     """Take the score, and only the score, from the CVE with the advisory's id."""
     scores = cve.select(F.col("cve_id").alias("_cve"), F.col("cvss").alias("_cvss"))
     joined = findings.join(scores, F.col("advisory_id") == F.col("_cve"), "left")
-    score = F.coalesce(F.col("_cvss"), unknown_cvss())
+    score = F.coalesce(F.col("_cvss"), F.expr(UNKNOWN_CVSS))
     return joined.withColumn("cvss", score).drop("_cve", "_cvss")
 
 
@@ -40,10 +40,8 @@ def lookup_advisory(findings: DataFrame, advisories: DataFrame) -> DataFrame:
 
 def split_cves(looked_up: DataFrame) -> DataFrame:
     """One row per listed CVE; findings without a list stay one row with a null ``cve_id``."""
-    cves = F.coalesce(
-        split_trimmed(F.col("cve_list")), F.array(F.lit(None).cast("string"))
-    )
-    return looked_up.select("*", F.posexplode(cves).alias("cve_position", "cve_id"))
+    cves = f"coalesce({split_trimmed('cve_list')}, array(CAST(NULL AS STRING)))"
+    return looked_up.select("*", F.expr(f"posexplode({cves}) AS (cve_position, cve_id)"))
 
 
 def _with_cve(split: DataFrame, cve: DataFrame) -> DataFrame:
@@ -53,24 +51,24 @@ def _with_cve(split: DataFrame, cve: DataFrame) -> DataFrame:
         F.struct("cvss", "description", "url").alias("_hit"),
     )
     joined = split.join(known, F.col("cve_id") == F.col("_cve"), "left")
-    hit = F.col("_cve").isNotNull()
-    placed = with_computed(joined, "_url", F.when(hit, normalise_url(F.col("_hit.url"))))
-    failed = F.when(
-        hit,
-        first_of(
-            fails(F.col("_hit.url") == "", "advisory_url_empty"),
-            fails(F.col("_url").isNull(), "advisory_url_invalid"),
-            fails(F.col("_hit.description") == "", "advisory_description_empty"),
-        ),
+    placed = with_computed(
+        joined, _url=f"if(_cve IS NOT NULL, {normalise_url('_hit.url')}, NULL)"
     )
-    taken = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old))
-    return (
-        placed.withColumn("failed", failed)
-        .withColumn("cvss", taken("_hit.cvss", "cvss"))
-        .withColumn("advisory_url", taken("_url", "advisory_url"))
-        .withColumn("advisory_description", taken("_hit.description", "advisory_description"))
-        .drop("_cve", "_hit", "_url")
+    failed = first_of(
+        fails("_hit.url = ''", "advisory_url_empty"),
+        fails("_cve IS NOT NULL AND _url IS NULL", "advisory_url_invalid"),
+        fails("_hit.description = ''", "advisory_description_empty"),
     )
+    hit = F.col("_cve").isNotNull()
+    taken = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old))
+    return placed.withColumns(
+        {
+            "failed": F.expr(failed),
+            "cvss": taken("_hit.cvss", "cvss"),
+            "advisory_url": taken("_url", "advisory_url"),
+            "advisory_description": taken("_hit.description", "advisory_description"),
+        }
+    ).drop("_cve", "_hit", "_url")
 
 
 def checked_safety_fan_out(
@@ -87,8 +85,8 @@ def failed_reports(checked: DataFrame) -> DataFrame:
 
 
 def rejected_fan_out(checked: DataFrame) -> DataFrame:
-    return failed_reports(checked).select(
-        "parent_event_id", error_struct(F.col("failed")).alias("error")
+    return failed_reports(checked).selectExpr(
+        "parent_event_id", f"{error_struct('failed')} AS error"
     )
 
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from ..functions.sql import mapping, struct, text
 
 # Name -> (code, message, field). Codes are not unique, and some field names
 # differ from the key they report on; both are part of the interface.
@@ -145,26 +144,30 @@ UNREADABLE: dict[str, str] = {
 }
 
 
-def _literal(code: int | None, message: str, field: str | None) -> Column:
-    return F.struct(
-        F.lit(code).cast("int").alias("error_code"),
-        F.lit(message).alias("error_message"),
-        F.lit(field).cast("string").alias("json_field_name"),
+def _literal(code: int | None, message: str, field: str | None) -> str:
+    return struct(
+        error_code=f"CAST({'NULL' if code is None else code} AS INT)",
+        error_message=text(message),
+        json_field_name=text(field),
     )
 
 
-def error_struct(name: Column) -> Column:
+_RECORDS = mapping(
+    {name: _literal(*entry) for name, entry in CATALOGUE.items()}
+    | {name: _literal(None, message, None) for name, message in UNREADABLE.items()}
+)
+
+
+def error_struct(name: str) -> str:
     """Error record of a catalogue name; null stays null."""
-    entries = [(key, _literal(*value)) for key, value in CATALOGUE.items()]
-    entries += [(key, _literal(None, text, None)) for key, text in UNREADABLE.items()]
-    table = F.create_map(*[x for key, value in entries for x in (F.lit(key), value)])
-    return F.when(name.isNotNull(), F.try_element_at(table, name))
+    return f"if({name} IS NULL, NULL, try_element_at({_RECORDS}, {name}))"
 
 
-def first_of(*names: Column) -> Column:
+def first_of(*names: str) -> str:
     """The first rule that failed."""
-    return F.coalesce(*names)
+    return f"coalesce({', '.join(names)})" if len(names) > 1 else names[0]
 
 
-def fails(condition: Column, name: str) -> Column:
-    return F.when(condition, F.lit(name))
+def fails(condition: str, name: str) -> str:
+    """``name`` if the condition holds, else null."""
+    return f"if({condition}, {text(name)}, NULL)"

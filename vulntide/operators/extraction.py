@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import derived_uuid
-from ..functions.once import let, with_computed
-from ..functions.text import trim_end, unknown_cvss
+from ..functions.sql import first_match, let, struct, text, with_computed
+from ..functions.text import UNKNOWN_CVSS, trim_end
 from ..functions.urls import normalise_url
-from ..functions.variants import as_string, elements_of, kind, parse_document, present
+from ..functions.variants import as_string, elements_of, field, kind, parse_document, present
 from .errors import error_struct, fails, first_of
 
 # The advisory database's address, and one bundler-audit block. A dot would
@@ -30,34 +32,25 @@ SAFETY_REQUIRED = SAFETY_FIELDS[:5]
 HEADER = ["application_name", "git_branch", "git_commit_hash"]
 
 
-def route() -> Column:
-    """``bundler``, ``safety``, or the name of the reason why no extractor fits."""
-    tool, output = F.col("tool_name"), F.col("output_format")
-    return (
-        F.when(
-            tool == "bundler-audit",
-            F.when(output == "PlainText", F.lit("bundler")).otherwise(F.lit("bundler_format")),
-        )
-        .when(
-            tool == "safety",
-            F.when(output == "JSON", F.lit("safety"))
-            .when(output == "PlainText", F.lit("safety_plain_text"))
-            .otherwise(F.lit("safety_format")),
-        )
-        .otherwise(F.lit("unknown_tool"))
-    )
+# ``bundler``, ``safety``, or the name of the reason why no extractor fits.
+ROUTE = """
+    CASE WHEN tool_name = 'bundler-audit'
+         THEN if(output_format = 'PlainText', 'bundler', 'bundler_format')
+         WHEN tool_name = 'safety'
+         THEN CASE output_format WHEN 'JSON' THEN 'safety' WHEN 'PlainText' THEN 'safety_plain_text'
+              ELSE 'safety_format' END
+         ELSE 'unknown_tool' END
+"""
 
 
 def route_by_tool(reports: DataFrame) -> DataFrame:
-    return reports.withColumn("route", route())
+    return reports.withColumn("route", F.expr(ROUTE))
 
 
 def unroutable(routed: DataFrame) -> DataFrame:
     """Reports no extractor can read, with the reason."""
     bad = routed.filter(~F.col("route").isin("bundler", "safety"))
-    return bad.select(
-        F.col("event_id").alias("parent_event_id"), error_struct(F.col("route")).alias("error")
-    )
+    return bad.selectExpr("event_id AS parent_event_id", f"{error_struct('route')} AS error")
 
 
 def carry_header() -> list[Column]:
@@ -70,55 +63,63 @@ def carry_header() -> list[Column]:
     ]
 
 
-def stamp(position: Column) -> list[Column]:
+def stamp(position: str = "position") -> list[Column]:
     """Columns every new finding starts with. The id depends on report and position only."""
     return [
         F.lit("1").alias("event_version"),
-        derived_uuid(F.col("parent_event_id"), position).alias("event_id"),
+        F.expr(derived_uuid("parent_event_id", position)).alias("event_id"),
         F.lit(False).alias("suppressed"),
     ]
 
 
-def block_fields(block: Column) -> Column:
+def block_fields(block: str) -> str:
     """Values of a block by line. A value ends at its second ``": "``; none gives null."""
+    value = lambda lines, i: f"get(split(get({lines}, {i}), ': '), 1)"
+    return let(
+        "l",
+        f"split({trim_end(block)}, '\\n')",
+        lambda lines: struct(
+            affected_package=value(lines, 0),
+            installed_version=value(lines, 1),
+            advisory_id=value(lines, 2),
+            criticality=value(lines, 3),
+            advisory_url=value(lines, 4),
+            advisory_description=value(lines, 5),
+            solution=value(lines, 6),
+        ),
+    )
 
-    def fields(lines: Column) -> Column:
-        value = lambda i: F.get(F.split(F.get(lines, F.lit(i)), ": "), F.lit(1))
-        return F.struct(
-            value(0).alias("affected_package"),
-            value(1).alias("installed_version"),
-            value(2).alias("advisory_id"),
-            value(3).alias("criticality"),
-            value(4).alias("advisory_url"),
-            value(5).alias("advisory_description"),
-            value(6).alias("solution"),
-        )
 
-    return let(F.split(trim_end(block), "\n"), fields)
+def _empty(item: str, name: str) -> str:
+    return fails(f"coalesce({item}.{name}, '') = ''", f"{name}_empty")
 
 
-def bundler_blocks(reports: DataFrame) -> DataFrame:
-    """Header columns and ``blocks``, the parsed blocks of each report."""
-    found = F.regexp_extract_all(F.col("tool_output"), F.lit(BLOCK), F.lit(1))
-    rows = reports.select(*carry_header(), "tool_output")
-    return with_computed(rows, "blocks", F.transform(found, block_fields)).drop("tool_output")
+def _block_error(block: str) -> str:
+    return first_of(
+        _empty(block, "advisory_id"),
+        _empty(block, "affected_package"),
+        _empty(block, "installed_version"),
+        _empty(block, "advisory_url"),
+        fails(f"{normalise_url(block + '.advisory_url')} IS NULL", "advisory_url_invalid"),
+        _empty(block, "advisory_description"),
+    )
 
 
-def _block_error(block: Column) -> Column:
-    blank = lambda name: F.coalesce(block.getField(name), F.lit("")) == ""
+def _item_error(item: str) -> str:
     return first_of(
-        fails(blank("advisory_id"), "advisory_id_empty"),
-        fails(blank("affected_package"), "affected_package_empty"),
-        fails(blank("installed_version"), "installed_version_empty"),
-        fails(blank("advisory_url"), "advisory_url_empty"),
-        fails(normalise_url(block.getField("advisory_url")).isNull(), "advisory_url_invalid"),
-        fails(blank("advisory_description"), "advisory_description_empty"),
+        _empty(item, "advisory_id"),
+        _empty(item, "affected_package"),
+        _empty(item, "installed_version"),
+        _empty(item, "advisory_description"),
     )
 
 
-def _first_error(items: Column, rule) -> Column:
-    names = F.transform(items, rule)
-    return F.get(F.filter(names, lambda name: name.isNotNull()), F.lit(0))
+def bundler_blocks(reports: DataFrame) -> DataFrame:
+    """Header columns and ``blocks``, the parsed blocks of each report."""
+    found = f"regexp_extract_all(tool_output, {text(BLOCK)}, 1)"
+    rows = reports.select(*carry_header(), "tool_output")
+    parsed = with_computed(rows, blocks=f"transform({found}, b -> {block_fields('b')})")
+    return parsed.drop("tool_output")
 
 
 def checked_bundler_blocks(reports: DataFrame) -> DataFrame:
@@ -126,109 +127,89 @@ def checked_bundler_blocks(reports: DataFrame) -> DataFrame:
 
     The check stays inside the report's own row, so it needs no shuffle.
     """
-    blocks = bundler_blocks(reports)
-    return with_computed(blocks, "failed", _first_error(F.col("blocks"), _block_error))
-
-
-def extract_bundler_findings(reports: DataFrame) -> DataFrame:
-    """One row per block of the reports routed to ``bundler``, in block order."""
-    good = checked_bundler_blocks(reports).filter("failed IS NULL").drop("failed")
-    exploded = good.select("*", F.posexplode("blocks").alias("position", "block")).drop("blocks")
-    return exploded.select(
-        *stamp(F.col("position")),
-        *[F.col(c) for c in exploded.columns if c not in ("block",)],
-        "block.affected_package",
-        "block.installed_version",
-        "block.advisory_id",
-        normalise_url(F.col("block.advisory_url")).alias("advisory_url"),
-        "block.advisory_description",
-        unknown_cvss().alias("cvss"),
+    return with_computed(
+        bundler_blocks(reports), failed=first_match("blocks", "b", _block_error)
     )
 
 
-def rejected_bundler_reports(reports: DataFrame) -> DataFrame:
-    bad = checked_bundler_blocks(reports).filter("failed IS NOT NULL")
-    return bad.select("parent_event_id", error_struct(F.col("failed")).alias("error"))
-
-
-def _safety_field(item: Column, index: int, name: str) -> Column:
-    """A field of a finding written as a list of seven, or as an object."""
-    return F.coalesce(
-        F.try_variant_get(item, f"$[{index}]", "variant"),
-        F.try_variant_get(item, f"$.{name}", "variant"),
+def _safety_item(item: str) -> str:
+    """Typed finding, written as a list of seven or as an object; null when malformed."""
+    full = (
+        f"({kind(item)} = 'object' OR {kind(item)} = 'array' AND {present(field(item, '$[6]'))} "
+        f"AND NOT ({present(field(item, '$[7]'))}))"
     )
+    values = {
+        name: f"coalesce({field(item, f'$[{i}]')}, {field(item, f'$.{name}')})"
+        for i, name in enumerate(SAFETY_FIELDS)
+    }
 
+    def typed(v: str) -> str:
+        checks = [full]
+        for name in SAFETY_FIELDS:
+            allowed = "('string')" if name in SAFETY_REQUIRED else "('string', 'missing')"
+            checks.append(f"{kind(f'{v}.{name}')} IN {allowed}")
+        texts = struct(**{name: as_string(f"{v}.{name}") for name in SAFETY_FIELDS})
+        return f"if({' AND '.join(checks)}, {texts}, NULL)"
 
-def _safety_item(item: Column) -> Column:
-    """Typed finding, null when its shape or a type is wrong."""
-    fields = {name: _safety_field(item, i, name) for i, name in enumerate(SAFETY_FIELDS)}
-    shape = kind(item)
-    full = (shape == "object") | (
-        (shape == "array")
-        & present(F.try_variant_get(item, "$[6]", "variant"))
-        & ~present(F.try_variant_get(item, "$[7]", "variant"))
-    )
-    typed = full
-    for name in SAFETY_FIELDS:
-        allowed = ("string",) if name in SAFETY_REQUIRED else ("string", "missing")
-        typed = typed & kind(fields[name]).isin(*allowed)
-    return F.when(
-        typed, F.struct(*[as_string(fields[name]).alias(name) for name in SAFETY_FIELDS])
-    )
+    return let("f", struct(**values), typed)
 
 
 def safety_items(reports: DataFrame) -> DataFrame:
     """Header columns and ``items``; ``items`` is null when the output cannot be read."""
     rows = reports.select(*carry_header(), "tool_output")
-    parsed = with_computed(rows, "_doc", parse_document(F.col("tool_output")))
     listed = with_computed(
-        parsed, "_items", F.transform(elements_of(F.col("_doc")), _safety_item)
+        rows,
+        _doc=parse_document("tool_output"),
+        _items=f"transform({elements_of('_doc')}, i -> {_safety_item('i')})",
     )
-    readable = (kind(F.col("_doc")) == "array") & ~F.exists("_items", lambda item: item.isNull())
-    opened = listed.withColumn("items", F.when(readable, F.col("_items")))
+    readable = f"{kind('_doc')} = 'array' AND NOT exists(_items, i -> i IS NULL)"
+    opened = listed.withColumn("items", F.expr(f"if({readable}, _items, NULL)"))
     return opened.drop("_doc", "_items", "tool_output")
 
 
-def _item_error(item: Column) -> Column:
-    blank = lambda name: item.getField(name) == ""
-    return first_of(
-        fails(blank("advisory_id"), "advisory_id_empty"),
-        fails(blank("affected_package"), "affected_package_empty"),
-        fails(blank("installed_version"), "installed_version_empty"),
-        fails(blank("advisory_description"), "advisory_description_empty"),
-    )
-
-
 def checked_safety_items(reports: DataFrame) -> DataFrame:
-    failed = F.when(F.col("items").isNull(), F.lit("safety_output")).otherwise(
-        _first_error(F.col("items"), _item_error)
-    )
-    return with_computed(safety_items(reports), "failed", failed)
-
-
-def _explode_items(good: DataFrame) -> DataFrame:
-    exploded = good.select("*", F.posexplode("items").alias("position", "item")).drop("items")
-    return exploded.select(
-        *stamp(F.col("position")),
-        *[F.col(c) for c in exploded.columns if c not in ("item",)],
+    """Items per report with ``failed``, the first error; one bad item fails the report."""
+    failed = f"if(items IS NULL, 'safety_output', {first_match('items', 'i', _item_error)})"
+    return with_computed(safety_items(reports), failed=failed)
+
+
+def _explode(checked: DataFrame, items: str, url: str) -> DataFrame:
+    """One row per item of the reports without an error, numbered in order."""
+    good = checked.filter("failed IS NULL").drop("failed")
+    rows = good.select("*", F.posexplode(items).alias("position", "item")).drop(items)
+    return rows.select(
+        *stamp(),
+        *[F.col(c) for c in rows.columns if c != "item"],
         "item.affected_package",
         "item.installed_version",
         "item.advisory_id",
-        F.lit(ADVISORY_DB_URL).alias("advisory_url"),
+        F.expr(url).alias("advisory_url"),
         "item.advisory_description",
-        unknown_cvss().alias("cvss"),
+        F.expr(UNKNOWN_CVSS).alias("cvss"),
     )
 
 
+def extract_bundler_findings(reports: DataFrame) -> DataFrame:
+    """One row per block of the reports routed to ``bundler``, in block order."""
+    return _explode(checked_bundler_blocks(reports), "blocks", normalise_url("item.advisory_url"))
+
+
 def extract_safety_findings(reports: DataFrame) -> DataFrame:
     """One row per finding of the reports routed to ``safety``, before the CVE fan-out."""
-    good = checked_safety_items(reports).filter("failed IS NULL").drop("failed")
-    return _explode_items(good)
+    return _explode(checked_safety_items(reports), "items", text(ADVISORY_DB_URL))
+
+
+def _rejected(reports: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    bad = check(reports).filter("failed IS NOT NULL")
+    return bad.selectExpr("parent_event_id", f"{error_struct('failed')} AS error")
+
+
+def rejected_bundler_reports(reports: DataFrame) -> DataFrame:
+    return _rejected(reports, checked_bundler_blocks)
 
 
 def rejected_safety_reports(reports: DataFrame) -> DataFrame:
-    bad = checked_safety_items(reports).filter("failed IS NOT NULL")
-    return bad.select("parent_event_id", error_struct(F.col("failed")).alias("error"))
+    return _rejected(reports, checked_safety_items)
 
 
 def explode_batch(messages: DataFrame, records: str = "records") -> DataFrame:

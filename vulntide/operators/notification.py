@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from string import Formatter
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import finding_hash
+from ..functions.hashing import FINDING_HASH
+from ..functions.sql import text
 from ..functions.text import branch_text, cvss_text
 from .suppression import unsuppressed
 
@@ -21,23 +24,24 @@ TEMPLATE = (
 )
 
 
-def message_text() -> Column:
-    slots = {
-        "application": F.col("application_name"),
-        "package": F.col("affected_package"),
-        "version": F.col("installed_version"),
-        "commit": F.col("git_commit_hash"),
-        "branch": branch_text(F.col("git_branch")),
-        "problem": F.col("advisory_description"),
-        "cvss": cvss_text(F.col("cvss")),
-        "url": F.col("advisory_url"),
-        "hash": finding_hash(),
-    }
-    parts: list[Column] = []
-    for piece in TEMPLATE.split("{"):
-        slot, closed, text = piece.partition("}")
-        parts += [slots[slot], F.lit(text)] if closed else [F.lit(piece)]
-    return F.concat(*parts)
+SLOTS = {
+    "application": "application_name",
+    "package": "affected_package",
+    "version": "installed_version",
+    "commit": "git_commit_hash",
+    "branch": branch_text("git_branch"),
+    "problem": "advisory_description",
+    "cvss": cvss_text("cvss"),
+    "url": "advisory_url",
+    "hash": FINDING_HASH,
+}
+
+
+def message_text() -> str:
+    parts = []
+    for literal, slot, _, _ in Formatter().parse(TEMPLATE):
+        parts += [text(literal)] + ([SLOTS[slot]] if slot else [])
+    return f"concat({', '.join(parts)})"
 
 
 def outbox(findings: DataFrame, channel: str) -> DataFrame:
@@ -48,5 +52,5 @@ def outbox(findings: DataFrame, channel: str) -> DataFrame:
         "event_id",
         position.alias("cve_position"),
         "parent_event_id",
-        message_text().alias("text"),
+        F.expr(message_text()).alias("text"),
     )

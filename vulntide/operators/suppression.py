@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import finding_hash
+from ..functions.hashing import FINDING_HASH
 
 
 def _now(as_of: Column | None) -> Column:
@@ -31,7 +31,7 @@ def any_live_match(issues: Column, issue_hash: Column, as_of: Column | None = No
 def apply_suppressions(findings: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Set ``suppressed`` from the list that the finding's own report carried."""
     flag = any_live_match(F.col("suppressed_issues"), F.col("issue_hash"), as_of)
-    hashed = findings.withColumn("issue_hash", finding_hash())
+    hashed = findings.withColumn("issue_hash", F.expr(FINDING_HASH))
     return hashed.withColumn("suppressed", flag)
 
 
@@ -42,7 +42,7 @@ def live_suppressions(suppressions: DataFrame, as_of: Column | None = None) -> D
 
 
 def _split(findings: DataFrame, suppressions: DataFrame, as_of: Column | None, how: str):
-    hashed = findings.withColumn("issue_hash", finding_hash())
+    hashed = findings.withColumn("issue_hash", F.expr(FINDING_HASH))
     return hashed.join(live_suppressions(suppressions, as_of), ["application_name", "issue_hash"], how)
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import COMMIT_HASH, HEX_64, canonical_uuid, is_uuid
-from ..functions.once import let, with_computed
+from ..functions.sql import first_match, let, struct, text, with_computed
 from ..functions.times import parse_rfc3339
 from ..functions.urls import normalise_url
-from ..functions.variants import as_string, elements_of, fields_of, kind, parse_document
+from ..functions.variants import as_string, elements_of, field, fields_of, kind, parse_document
 from ..schemas import REPORT
 from .errors import error_struct, fails, first_of
 
@@ -25,78 +25,78 @@ REPORT_FIELDS = [
 OPTIONAL = {"git_branch", "tool_version", "expiry_date"}
 # Timestamps report a wrong type, an empty text and a bad text alike.
 TIMESTAMPS = {"start_time", "end_time"}
+NO_EMPTY_RULE = TIMESTAMPS | {"issue_hash", "expiry_date"}
 ISSUE_FIELDS = ["issue_hash", "expiry_date", "suppression_reason", "suppressed_by"]
 # A suppression list on its own is checked in another order than one inside a report.
 LISTED_ISSUE_FIELDS = ["issue_hash", "suppression_reason", "expiry_date", "suppressed_by"]
 
 
-def _invalid(field: str, value: Column) -> Column | None:
-    """Condition under which a non-empty text breaks the field's own rule."""
-    rules = {
-        "event_version": lambda: value != "1",
-        "event_id": lambda: ~is_uuid(value),
-        "git_commit_hash": lambda: ~value.rlike(COMMIT_HASH),
-        "output_format": lambda: ~value.isin(*FORMATS),
-        "environment": lambda: ~value.isin(*ENVIRONMENTS),
-        "start_time": lambda: parse_rfc3339(value).isNull(),
-        "end_time": lambda: parse_rfc3339(value).isNull(),
-        "issue_hash": lambda: ~value.rlike(HEX_64),
-        "expiry_date": lambda: parse_rfc3339(value).isNull(),
-    }
-    return rules[field]() if field in rules else None
+def _one_of(value: str, allowed: tuple[str, ...]) -> str:
+    return f"{value} NOT IN ({', '.join(map(text, allowed))})"
 
 
-def _has_empty_rule(field: str) -> bool:
-    return field not in TIMESTAMPS | {"issue_hash", "expiry_date"}
+# Condition under which a text that is not empty breaks its field's own rule.
+INVALID = {
+    "event_version": lambda v: f"{v} <> '1'",
+    "event_id": lambda v: f"NOT ({is_uuid(v)})",
+    "git_commit_hash": lambda v: f"NOT ({v} RLIKE {text(COMMIT_HASH)})",
+    "output_format": lambda v: _one_of(v, FORMATS),
+    "environment": lambda v: _one_of(v, ENVIRONMENTS),
+    "start_time": lambda v: f"{parse_rfc3339(v)} IS NULL",
+    "end_time": lambda v: f"{parse_rfc3339(v)} IS NULL",
+    "issue_hash": lambda v: f"NOT ({v} RLIKE {text(HEX_64)})",
+    "expiry_date": lambda v: f"{parse_rfc3339(v)} IS NULL",
+}
 
 
-def text_rule(field: str, value: Column) -> Column:
+def text_rule(name: str, value: str) -> str:
     """Rules on a text that is there: not empty, then the field's own rule."""
     checks = []
-    if _has_empty_rule(field):
-        checks.append(fails(value == "", f"{field}_empty"))
-    invalid = _invalid(field, value)
-    if invalid is not None:
-        checks.append(fails(invalid, f"{field}_invalid"))
+    if name not in NO_EMPTY_RULE:
+        checks.append(fails(f"{value} = ''", f"{name}_empty"))
+    if name in INVALID:
+        checks.append(fails(INVALID[name](value), f"{name}_invalid"))
     return first_of(*checks)
 
 
-def json_rule(field: str, value: Column) -> Column:
+def json_rule(name: str, value: str) -> str:
     """Rules on a JSON value: present, a string, then the text rules."""
-    wrong_type = f"{field}_invalid" if field in TIMESTAMPS else f"{field}_type"
-    missing = F.lit(None).cast("string") if field in OPTIONAL else F.lit(f"{field}_missing")
-
-    def rule(v: Column) -> Column:
-        return (
-            F.when(v["kind"] == "missing", missing)
-            .when(v["kind"] != "string", F.lit(wrong_type))
-            .otherwise(text_rule(field, v["text"]))
-        )
+    wrong_type = f"{name}_invalid" if name in TIMESTAMPS else f"{name}_type"
+    missing = text(None if name in OPTIONAL else f"{name}_missing")
+    return let(
+        "v",
+        struct(kind=kind(value), text=as_string(value)),
+        lambda v: (
+            f"CASE WHEN {v}.kind = 'missing' THEN {missing} "
+            f"WHEN {v}.kind <> 'string' THEN {text(wrong_type)} "
+            f"ELSE {text_rule(name, v + '.text')} END"
+        ),
+    )
 
-    return let(F.struct(kind(value).alias("kind"), as_string(value).alias("text")), rule)
 
+def _issue_rule(order: list[str], not_a_record: str | None = None):
+    def rule(issue: str) -> str:
+        rules = first_of(*[json_rule(name, field(issue, f"$.{name}")) for name in order])
+        if not_a_record is None:
+            return rules
+        return f"if({kind(issue)} <> 'object', {text(not_a_record)}, {rules})"
 
-def _issue_rule(issue: Column, order: list[str], record_error: str | None) -> Column:
-    fields = {name: F.try_variant_get(issue, f"$.{name}", "variant") for name in order}
-    rules = first_of(*[json_rule(name, fields[name]) for name in order])
-    if record_error is None:
-        return rules
-    return F.when(kind(issue) != "object", F.lit(record_error)).otherwise(rules)
+    return rule
 
 
-def _first_issue_error(issues: Column, order: list[str], record_error: str | None) -> Column:
-    names = F.transform(issues, lambda issue: _issue_rule(issue, order, record_error))
-    return F.get(F.filter(names, lambda name: name.isNotNull()), F.lit(0))
+def _typed_issue(issue: str) -> str:
+    return struct(
+        issue_hash=f"lower({as_string(issue, '$.issue_hash')})",
+        expiry_date=let("e", as_string(issue, "$.expiry_date"), parse_rfc3339),
+        suppression_reason=as_string(issue, "$.suppression_reason"),
+        suppressed_by=as_string(issue, "$.suppressed_by"),
+    )
 
 
-def _typed_issue(issue: Column) -> Column:
-    text = lambda name: F.try_variant_get(issue, f"$.{name}", "string")
-    return F.struct(
-        F.lower(text("issue_hash")).alias("issue_hash"),
-        let(text("expiry_date"), parse_rfc3339).alias("expiry_date"),
-        text("suppression_reason").alias("suppression_reason"),
-        text("suppressed_by").alias("suppressed_by"),
-    )
+def _with_error(rows: DataFrame, name: str) -> DataFrame:
+    """``error``, the record of the rule named by an expression that runs once per row."""
+    named = with_computed(rows, _error=name)
+    return named.withColumn("error", F.expr(error_struct("_error")))
 
 
 def validate_reports(payloads: DataFrame, body: str = "body") -> DataFrame:
@@ -105,33 +105,29 @@ def validate_reports(payloads: DataFrame, body: str = "body") -> DataFrame:
     Other columns of ``payloads`` are kept. Each document is parsed once, and all fields
     come out of it in one pass.
     """
-    kept = [F.col(name) for name in payloads.columns]
-    text = F.col(body)
     names = REPORT_FIELDS + ["suppressed_issues"]
-    parsed = with_computed(payloads, "_doc", parse_document(text))
-    opened = with_computed(parsed, "_f", fields_of(F.col("_doc"), names))
-    field = lambda name: F.col(f"_f.{name}")
-    issues = field("suppressed_issues")
+    issues = "_f.suppressed_issues"
     error = first_of(
-        fails(text.isNull() | (text == ""), "body_empty"),
-        fails(F.col("_doc").isNull(), "body_not_json"),
-        *[json_rule(name, field(name)) for name in REPORT_FIELDS],
-        fails(kind(issues) != "array", "suppressed_issues_type"),
-        _first_issue_error(elements_of(issues), ISSUE_FIELDS, None),
-    )
-    named = with_computed(opened, "_error", error)
-
-    ok = F.col("_error").isNull()
-    values = {name: as_string(field(name)) for name in REPORT_FIELDS}
-    values["event_id"] = let(values["event_id"], canonical_uuid)
-    values["start_time"] = let(values["start_time"], parse_rfc3339)
-    values["end_time"] = let(values["end_time"], parse_rfc3339)
-    values["suppressed_issues"] = F.transform(elements_of(issues), _typed_issue)
-    return named.select(
-        *kept,
-        *[F.when(ok, values[f.name]).cast(f.dataType).alias(f.name) for f in REPORT],
-        error_struct(F.col("_error")).alias("error"),
+        fails(f"{body} IS NULL OR {body} = ''", "body_empty"),
+        fails("_doc IS NULL", "body_not_json"),
+        *[json_rule(name, f"_f.{name}") for name in REPORT_FIELDS],
+        fails(f"{kind(issues)} <> 'array'", "suppressed_issues_type"),
+        first_match(elements_of(issues), "i", _issue_rule(ISSUE_FIELDS)),
     )
+    opened = with_computed(payloads, _doc=parse_document(body), _f=fields_of("_doc", names))
+    checked = _with_error(opened, error)
+
+    values = {name: as_string(f"_f.{name}") for name in REPORT_FIELDS}
+    for name, convert in (
+        ("event_id", canonical_uuid), ("start_time", parse_rfc3339), ("end_time", parse_rfc3339),
+    ):
+        values[name] = let("t", values[name], convert)
+    values["suppressed_issues"] = f"transform({elements_of(issues)}, i -> {_typed_issue('i')})"
+    typed = [
+        F.expr(f"if(_error IS NULL, {values[f.name]}, NULL)").cast(f.dataType).alias(f.name)
+        for f in REPORT
+    ]
+    return checked.select(*[F.col(name) for name in payloads.columns], *typed, "error")
 
 
 def accepted(validated: DataFrame) -> DataFrame:
@@ -145,49 +141,49 @@ def rejected(validated: DataFrame, *keep: str) -> DataFrame:
 
 def validate_suppressions(listed: DataFrame, document: str = "document") -> DataFrame:
     """Check suppression records given on their own, one JSON value per row."""
-    kept = [F.col(name) for name in listed.columns]
-    parsed = with_computed(listed, "_doc", parse_document(F.col(document)))
-    error = _issue_rule(F.col("_doc"), LISTED_ISSUE_FIELDS, "suppression_not_table")
-    named = with_computed(parsed, "_error", error)
-    issue = F.when(F.col("_error").isNull(), _typed_issue(F.col("_doc")))
-    return named.select(*kept, issue.alias("issue"), error_struct(F.col("_error")).alias("error"))
+    rule = _issue_rule(LISTED_ISSUE_FIELDS, "suppression_not_table")
+    checked = _with_error(with_computed(listed, _doc=parse_document(document)), rule("_doc"))
+    issue = F.expr(f"if(_error IS NULL, {_typed_issue('_doc')}, NULL)").alias("issue")
+    return checked.select(*[F.col(c) for c in listed.columns], issue, "error")
 
 
 def first_suppression_error(lists: DataFrame, documents: str = "documents") -> DataFrame:
     """Error of the first bad record of a whole list, an array of JSON values per row."""
-    kept = [F.col(name) for name in lists.columns]
-    values = F.transform(F.col(documents), parse_document)
-    error = _first_issue_error(values, LISTED_ISSUE_FIELDS, "suppression_not_table")
-    return lists.select(*kept, error_struct(error).alias("error"))
-
-
-def finding_text_rules() -> dict[str, Column]:
-    """Rule of every checked finding column, by name."""
-    empty = lambda name: fails(F.coalesce(F.col(name), F.lit("")) == "", f"{name}_empty")
-    url = F.col("advisory_url")
-    known = F.col("cvss.version").isin("V2", "V3")
-    has_score = F.col("cvss.score").isNotNull()
-    return {
-        "event_version": text_rule("event_version", F.coalesce("event_version", F.lit(""))),
-        "event_id": text_rule("event_id", F.coalesce("event_id", F.lit(""))),
-        "parent_event_id": text_rule("event_id", F.coalesce("parent_event_id", F.lit(""))),
-        "application_name": empty("application_name"),
-        "git_branch": fails(F.col("git_branch") == "", "git_branch_empty"),
-        "git_commit_hash": text_rule("git_commit_hash", F.coalesce("git_commit_hash", F.lit(""))),
-        "timestamp": fails(F.col("timestamp").isNull(), "timestamp_invalid"),
-        "affected_package": empty("affected_package"),
-        "installed_version": empty("installed_version"),
-        "advisory_id": empty("advisory_id"),
-        "advisory_url": first_of(
-            empty("advisory_url"), fails(normalise_url(url).isNull(), "advisory_url_invalid")
-        ),
-        "advisory_description": empty("advisory_description"),
-        "cvss": first_of(
-            fails(known & ~has_score, "cvss_score_missing"),
-            fails(~known & has_score, "cvss_score_unexpected"),
-        ),
-    }
-
+    values = f"transform({documents}, t -> {parse_document('t')})"
+    rule = _issue_rule(LISTED_ISSUE_FIELDS, "suppression_not_table")
+    return _with_error(lists, first_match(values, "i", rule)).drop("_error")
+
+
+def _blank(column: str) -> str:
+    return f"coalesce({column}, '')"
+
+
+def _not_empty(column: str) -> str:
+    return fails(f"{_blank(column)} = ''", f"{column}_empty")
+
+
+# Rule of every checked finding column, in column order.
+FINDING_RULES = {
+    "event_version": text_rule("event_version", _blank("event_version")),
+    "event_id": text_rule("event_id", _blank("event_id")),
+    "parent_event_id": text_rule("event_id", _blank("parent_event_id")),
+    "application_name": _not_empty("application_name"),
+    "git_branch": fails("git_branch = ''", "git_branch_empty"),
+    "git_commit_hash": text_rule("git_commit_hash", _blank("git_commit_hash")),
+    "timestamp": fails("timestamp IS NULL", "timestamp_invalid"),
+    "affected_package": _not_empty("affected_package"),
+    "installed_version": _not_empty("installed_version"),
+    "advisory_id": _not_empty("advisory_id"),
+    "advisory_url": first_of(
+        _not_empty("advisory_url"),
+        fails(f"{normalise_url('advisory_url')} IS NULL", "advisory_url_invalid"),
+    ),
+    "advisory_description": _not_empty("advisory_description"),
+    "cvss": first_of(
+        fails("cvss.version IN ('V2', 'V3') AND cvss.score IS NULL", "cvss_score_missing"),
+        fails("cvss.version NOT IN ('V2', 'V3') AND cvss.score IS NOT NULL", "cvss_score_unexpected"),
+    ),
+}
 
 # The extractors build the advisory id before everything else.
 EXTRACTION_ORDER = [
@@ -196,20 +192,10 @@ EXTRACTION_ORDER = [
 ]
 
 
-def finding_error(order: list[str] | None = None) -> Column:
-    """Catalogue name of the first rule a finding row breaks."""
-    rules = finding_text_rules()
-    return first_of(*[rules[name] for name in (order or rules)])
-
-
-def _with_error(rows: DataFrame, name: Column) -> DataFrame:
-    named = with_computed(rows, "_error", name)
-    return named.withColumn("error", error_struct(F.col("_error"))).drop("_error")
-
-
 def validate_findings(findings: DataFrame) -> DataFrame:
     """Findings with ``error``, checked in the order in which extraction builds them."""
-    return _with_error(findings, finding_error(EXTRACTION_ORDER))
+    rules = [FINDING_RULES[name] for name in EXTRACTION_ORDER]
+    return _with_error(findings, first_of(*rules)).drop("_error")
 
 
 def revalidate_findings(findings: DataFrame) -> DataFrame:
@@ -217,35 +203,27 @@ def revalidate_findings(findings: DataFrame) -> DataFrame:
 
     Wrong column types never get this far: the declared schema refuses them.
     """
-    return _with_error(findings, finding_error())
+    return _with_error(findings, first_of(*FINDING_RULES.values())).drop("_error")
+
+
+def _typed_rule(name: str) -> str | None:
+    """Rule of a report column on a read from the log; an empty tool version passes."""
+    if name in TIMESTAMPS:
+        return fails(f"{name} IS NULL", f"{name}_invalid")
+    if name == "git_branch":
+        return fails("git_branch = ''", "git_branch_empty")
+    return None if name == "tool_version" else text_rule(name, _blank(name))
 
 
 def revalidate_reports(reports: DataFrame) -> DataFrame:
     """Report rows with ``error``, checked as on a read from the log.
 
-    An empty ``tool_version`` passes here, though intake refuses it.
+    A typed expiry date is valid by its type.
     """
-    blank = lambda name: F.coalesce(F.col(name), F.lit(""))
-    checks = []
-    for name in REPORT_FIELDS:
-        if name in TIMESTAMPS:
-            checks.append(fails(F.col(name).isNull(), f"{name}_invalid"))
-        elif name == "git_branch":
-            checks.append(fails(F.col(name) == "", "git_branch_empty"))
-        elif name != "tool_version":
-            checks.append(text_rule(name, blank(name)))
-
-    def issue_rule(issue: Column) -> Column:
-        text = lambda name: F.coalesce(issue.getField(name), F.lit(""))
-        # A typed expiry date is valid by its type.
-        return first_of(
-            text_rule("issue_hash", text("issue_hash")),
-            text_rule("suppression_reason", text("suppression_reason")),
-            text_rule("suppressed_by", text("suppressed_by")),
-        )
-
-    issues = F.col("suppressed_issues")
-    names = F.transform(issues, issue_rule)
-    checks.append(fails(issues.isNull(), "suppressed_issues_type"))
-    checks.append(F.get(F.filter(names, lambda name: name.isNotNull()), F.lit(0)))
-    return _with_error(reports, first_of(*checks))
+    issue_rule = lambda i: first_of(
+        *[text_rule(n, _blank(f"{i}.{n}")) for n in ISSUE_FIELDS if n != "expiry_date"]
+    )
+    checks = [rule for rule in map(_typed_rule, REPORT_FIELDS) if rule]
+    checks.append(fails("suppressed_issues IS NULL", "suppressed_issues_type"))
+    checks.append(first_match("suppressed_issues", "i", issue_rule))
+    return _with_error(reports, first_of(*checks)).drop("_error")

@@ -24,8 +24,8 @@ def read_payloads(
     max_files: int | None = None,
 ) -> DataFrame:
     """Request bodies, one JSON document per line or per file, as ``body``."""
-    reader = _source(spark, streaming, max_files).option("wholetext", whole_files)
-    return reader.text(path).withColumnRenamed("value", "body")
+    reader = _source(spark, streaming, max_files)
+    return reader.text(path, wholetext=whole_files).withColumnRenamed("value", "body")
 
 
 def read_reports(
@@ -56,24 +56,24 @@ def read_cve_feed(
 
 def read_feed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Uncompressed feed content by ``feed``, for the hash check."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         feed_name(F.col("_metadata.file_path")).alias("feed"), F.col("value").alias("content")
     )
 
 
 def read_feed_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(
         feed_name(F.col("_metadata.file_path")).alias("feed"),
-        parse_manifest(F.col("value")).alias("m"),
+        F.expr(parse_manifest("value")).alias("m"),
     ).select("feed", "m.*")
 
 
 def read_advisory_db(spark: SparkSession, path: str, *, whole_files: bool = True) -> DataFrame:
     """Advisory database documents, one per file or per line, as ``document``."""
-    reader = spark.read.option("wholetext", whole_files)
-    return reader.text(path).withColumnRenamed("value", "document")
+    documents = spark.read.text(path, wholetext=whole_files)
+    return documents.withColumnRenamed("value", "document")
 
 
 def read_suppressions(spark: SparkSession, path: str) -> DataFrame:
