@@ -17,9 +17,9 @@ SLOW_SECONDS = 60 * 60 * 24 * 365
 
 
 def _times(spark, sf_dir):
-    return remediation(
-        findings(spark, sf_dir), commits(spark, sf_dir), cve_table(spark, sf_dir)
-    )
+    # The commits are a stored table in use; here they are derived, so store them.
+    log = materialise(commits(spark, sf_dir), "commits")
+    return remediation(findings(spark, sf_dir), log, cve_table(spark, sf_dir))
 
 
 def _stats(spark, sf_dir):

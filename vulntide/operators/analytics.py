@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import seconds_between
+from ..session import materialise
 from .commits import next_commit
 from .ranking import grouped_quantiles, numbered
 
@@ -98,8 +99,12 @@ def remediated_count(rows: DataFrame) -> DataFrame:
 
 
 def remediation_stats(rows: DataFrame) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles of positive remediation times."""
-    positive = positive_remediation(rows).select(APP, "seconds")
+    """Count, mean, deviation, extremes and quartiles of positive remediation times.
+
+    The times are stored first, one row per application and CVE, so that the findings
+    behind them are read once and not for each statistic.
+    """
+    positive = materialise(positive_remediation(rows).select(APP, "seconds"), "times")
     moments = positive.groupBy(APP).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("seconds").alias("mean"),
