@@ -1,4 +1,4 @@
-"""Append-only tables. A batch id makes a repeated write replace itself."""
+"""Append-only tables. A batch id makes a repeated write come out once."""
 
 from __future__ import annotations
 
@@ -19,17 +19,30 @@ def _clustered(df: DataFrame, *order: str) -> DataFrame:
     return df.hint("rebalance", APP).sortWithinPartitions(APP, *order)
 
 
-def _write(df: DataFrame, path: str, batch_id: int | None) -> None:
+def _is_complete(spark: SparkSession, folder: str) -> bool:
+    """True once a write to ``folder`` has been committed."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
+def _write(df: DataFrame, path: str, batch_id: int | None, kind: str = "parquet") -> None:
+    """Append, or write a batch's own folder.
+
+    A batch that runs again has the same input, so a committed folder is left alone: a
+    stream that reads the table has seen its files. What an attempt left uncommitted is
+    replaced.
+    """
     if batch_id is None:
-        df.write.mode("append").parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        df.write.mode("append").format(kind).save(path)
+        return
+    folder = f"{path}/batch_id={batch_id}"
+    if not _is_complete(df.sparkSession, folder):
+        df.write.mode("overwrite").format(kind).save(folder)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Read back a table, written in batches or not."""
-    table = spark.read.option("recursiveFileLookup", True).parquet(path)
-    return table
+    return spark.read.option("recursiveFileLookup", True).parquet(path)
 
 
 def append_reports(reports: DataFrame, path: str, batch_id: int | None = None) -> None:
@@ -59,6 +72,4 @@ def append_rejected(rejected: DataFrame, path: str, batch_id: int | None = None)
 
 def append_audit(lines: DataFrame, path: str, batch_id: int | None = None) -> None:
     """One JSON text per line."""
-    target = path if batch_id is None else f"{path}/batch_id={batch_id}"
-    mode = "append" if batch_id is None else "overwrite"
-    lines.select(F.col("line").alias("value")).write.mode(mode).text(target)
+    _write(lines.select(F.col("line").alias("value")), path, batch_id, "text")

@@ -15,6 +15,11 @@ def _source(spark: SparkSession, streaming: bool, max_files: int | None):
     return reader.option("maxFilesPerTrigger", max_files) if streaming and max_files else reader
 
 
+def _log(spark: SparkSession, streaming: bool, max_files: int | None):
+    # A log written by a stream keeps each batch in its own folder.
+    return _source(spark, streaming, max_files).option("recursiveFileLookup", True)
+
+
 def read_payloads(
     spark: SparkSession,
     path: str,
@@ -31,14 +36,13 @@ def read_payloads(
 def read_reports(
     spark: SparkSession, path: str, *, streaming: bool = False, max_files: int | None = None
 ) -> DataFrame:
-    return _source(spark, streaming, max_files).schema(REPORT).parquet(path)
+    return _log(spark, streaming, max_files).schema(REPORT).parquet(path)
 
 
 def read_findings(
     spark: SparkSession, path: str, *, streaming: bool = False, max_files: int | None = None
 ) -> DataFrame:
-    schema = FINDING
-    return _source(spark, streaming, max_files).schema(schema).parquet(path)
+    return _log(spark, streaming, max_files).schema(FINDING).parquet(path)
 
 
 def read_cve_feed(

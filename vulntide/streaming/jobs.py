@@ -1,7 +1,8 @@
 """The same flows on unbounded input.
 
-Every sink writes a micro-batch into a folder named by its batch id, replacing what an
-interrupted attempt left there; with the query's checkpoint this gives each row once.
+Every sink writes a micro-batch into a folder named by its batch id, once: an interrupted
+attempt is replaced, a committed one is kept. With the query's checkpoint each row appears
+once, also to the next stream in line.
 """
 
 from __future__ import annotations
