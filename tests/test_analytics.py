@@ -91,13 +91,15 @@ def test_remediation_by_hand(spark):
     assert analytics.remediated_count(rows).first().n_remediated == 2
 
 
-def test_quantiles_match_numpy_on_skewed_groups(spark):
+@pytest.mark.parametrize("task_limit", [100_000, 100])
+def test_quantiles_match_numpy_on_skewed_groups(spark, task_limit):
     rng = np.random.default_rng(3)
     rows = [("hot", float(x)) for x in rng.integers(0, 5000, 20000)]
     rows += [("same", 7.0)] * 500 + [("one", 1.5)] + [("two", 1.0), ("two", 2.0)]
     rows += [(f"g{i}", float(x)) for i in range(20) for x in rng.normal(size=17)]
     frame = spark.createDataFrame(rows, "g string, x double").repartition(16)
-    got = {r.g: tuple(r)[1:] for r in grouped_quantiles(frame, "g", "x", analytics.QUARTILES).collect()}
+    got = {r.g: tuple(r)[1:] for r in grouped_quantiles(
+        frame, "g", "x", analytics.QUARTILES, task_limit).collect()}
     groups = {}
     for g, x in rows:
         groups.setdefault(g, []).append(x)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.sql import with_computed
 from ..functions.text import UNKNOWN_CVSS, split_trimmed
 from ..functions.urls import normalise_url
+from ..session import materialise
 from .errors import error_struct, fails, first_of
 
 ADVISORY_PREFIX = "pyup.io-"
@@ -50,7 +51,10 @@ def _with_cve(split: DataFrame, cve: DataFrame) -> DataFrame:
         F.col("cve_id").alias("_cve"),
         F.struct("cvss", "description", "url").alias("_hit"),
     )
-    joined = split.join(known, F.col("cve_id") == F.col("_cve"), "left")
+    # Findings without a CVE match nothing. Under one null key they would all meet in one
+    # partition of a shuffled join, so each gets a key of its own.
+    key = F.coalesce("cve_id", F.concat(F.lit("none "), "event_id", F.lit(" "), "position"))
+    joined = split.join(known, key == F.col("_cve"), "left")
     placed = with_computed(
         joined, _url=f"if(_cve IS NOT NULL, {normalise_url('_hit.url')}, NULL)"
     )
@@ -79,26 +83,31 @@ def checked_safety_fan_out(
 
 
 def failed_reports(checked: DataFrame) -> DataFrame:
-    """Reports with a failed row, and their first error in emission order."""
+    """Reports with a failed row, and their first error in emission order.
+
+    The list is stored, so that its size is known when the rows are filtered by it: a
+    short one is broadcast and the rows stay where they are. Left to one plan, all rows
+    would be shuffled before the list turns out short.
+    """
     first = F.min(F.struct("position", "cve_position", "failed")).getField("failed")
-    return checked.filter("failed IS NOT NULL").groupBy("parent_event_id").agg(first.alias("failed"))
+    bad = checked.filter("failed IS NOT NULL").groupBy("parent_event_id")
+    return materialise(bad.agg(first.alias("failed")), "failed")
 
 
-def rejected_fan_out(checked: DataFrame) -> DataFrame:
-    return failed_reports(checked).selectExpr(
-        "parent_event_id", f"{error_struct('failed')} AS error"
-    )
+def rejected_fan_out(failed: DataFrame) -> DataFrame:
+    return failed.selectExpr("parent_event_id", f"{error_struct('failed')} AS error")
 
 
-def without_failed_reports(checked: DataFrame) -> DataFrame:
+def without_failed_reports(checked: DataFrame, failed: DataFrame) -> DataFrame:
     """One bad row removes all rows of its report."""
-    bad = failed_reports(checked).select("parent_event_id")
-    return checked.join(bad, "parent_event_id", "left_anti").drop("failed")
+    rows = checked.drop("failed")
+    return rows.join(failed.select("parent_event_id"), "parent_event_id", "left_anti")
 
 
 def enrich_safety(findings: DataFrame, advisories: DataFrame, cve: DataFrame) -> DataFrame:
     """One finding per CVE of the advisory. All rows of a fan-out share their event id."""
-    return without_failed_reports(checked_safety_fan_out(findings, advisories, cve))
+    checked = checked_safety_fan_out(findings, advisories, cve)
+    return without_failed_reports(checked, failed_reports(checked))
 
 
 def union_findings(*parts: DataFrame) -> DataFrame:

@@ -73,21 +73,25 @@ def stamp(position: str = "position") -> list[Column]:
 
 
 def block_fields(block: str) -> str:
-    """Values of a block by line. A value ends at its second ``": "``; none gives null."""
-    value = lambda lines, i: f"get(split(get({lines}, {i}), ': '), 1)"
-    return let(
-        "l",
-        f"split({trim_end(block)}, '\\n')",
-        lambda lines: struct(
-            affected_package=value(lines, 0),
-            installed_version=value(lines, 1),
-            advisory_id=value(lines, 2),
-            criticality=value(lines, 3),
-            advisory_url=value(lines, 4),
-            advisory_description=value(lines, 5),
-            solution=value(lines, 6),
-        ),
-    )
+    """Values of a block by line. A value ends at its second ``": "``; none gives null.
+
+    White space at the block's end belongs to no value, so the last line loses it.
+    """
+    value = lambda line: f"get(split({line}, ': '), 1)"
+
+    def fields(lines: str) -> str:
+        line = lambda i: f"get({lines}, {i})"
+        return struct(
+            affected_package=value(line(0)),
+            installed_version=value(line(1)),
+            advisory_id=value(line(2)),
+            criticality=value(line(3)),
+            advisory_url=value(line(4)),
+            advisory_description=value(line(5)),
+            solution=value(trim_end(line(6))),
+        )
+
+    return let("l", f"split({block}, '\\n')", fields)
 
 
 def _empty(item: str, name: str) -> str:

@@ -10,6 +10,7 @@ from ..operators import analytics, commits as history
 from ..operators.enrichment import (
     checked_safety_fan_out,
     enrich_bundler,
+    failed_reports,
     rejected_fan_out,
     union_findings,
     without_failed_reports,
@@ -49,13 +50,14 @@ def findings_of(
     safety = routed.filter("route = 'safety'")
     from_bundler = enrich_bundler(extract_bundler_findings(bundler), cve)
     checked = checked_safety_fan_out(extract_safety_findings(safety), advisories, cve)
-    from_safety = without_failed_reports(checked).drop("cve_list", "advisory_known")
+    failed = failed_reports(checked)
+    from_safety = without_failed_reports(checked, failed).drop("cve_list", "advisory_known")
     findings = apply_suppressions(union_findings(from_bundler, from_safety), as_of)
     bad = (
         unroutable(routed)
         .unionByName(rejected_bundler_reports(bundler))
         .unionByName(rejected_safety_reports(safety))
-        .unionByName(rejected_fan_out(checked))
+        .unionByName(rejected_fan_out(failed))
     )
     return Split(findings.drop("suppressed_issues"), bad)
 
