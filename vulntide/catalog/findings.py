@@ -10,7 +10,7 @@ from ..functions.text import cvss_text, split_trimmed
 from ..functions.urls import normalise_url
 from ..operators import dimensions, enrichment, extraction, notification, suppression
 from ..plans.pipelines import findings_of
-from ..session import new_folder
+from ..session import materialise, new_folder
 from ..sinks import writers
 from ..sources import readers
 from . import oracles as o
@@ -24,7 +24,8 @@ def _routed(spark, sf_dir, route):
 
 
 def _advisories(spark, sf_dir):
-    return dimensions.dedup_advisories(view(spark, sf_dir, "fx_advisories").select("id", "cve_list"))
+    listed = view(spark, sf_dir, "fx_advisories").select("id", "cve_list")
+    return materialise(dimensions.dedup_advisories(listed), "advisories")
 
 
 def _flow(spark, sf_dir):

@@ -170,14 +170,6 @@ def sample_per_app(findings: DataFrame, n: int = 5) -> DataFrame:
     return findings.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= n)
 
 
-def in_emission_order(findings: DataFrame) -> DataFrame:
-    """Findings of a report in block order, then CVE order, within every partition."""
-    order = [APP, "timestamp", "parent_event_id", "position"]
-    if "cve_position" in findings.columns:
-        order.append("cve_position")
-    return findings.sortWithinPartitions(*order)
-
-
 def lineage(findings: DataFrame, reports: DataFrame) -> DataFrame:
     """Findings beside the tool and environment of the report they came from."""
     source = reports.select(

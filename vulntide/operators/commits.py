@@ -51,6 +51,7 @@ def branch_positions(commits: DataFrame, task_limit: int = TASK_LIMIT) -> DataFr
     """
     sizes = commits.groupBy("application_name").agg(F.count(F.lit(1)).alias("_n"))
     large = sizes.filter(F.col("_n") > task_limit).select("application_name")
+    large = materialise(large, "large")
     if large.isEmpty():
         return walked_positions(commits)
     small = walked_positions(commits.join(large, "application_name", "left_anti"))

@@ -3,7 +3,8 @@
 No join here carries a broadcast hint. Both sides' sizes are known to the optimiser: a
 table below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, at planning or by AQE
 from the measured shuffle size; beyond it the join sorts and merges, and AQE splits the
-partitions of an advisory that a large share of all findings refer to.
+partitions of an advisory that a large share of all findings refer to. For the split, pass
+stored tables: a table that comes straight from an aggregate has no shuffle of its own.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import FINDING_HASH
+from ..session import materialise
 
 
 def _now(as_of: Column | None) -> Column:
@@ -36,14 +37,23 @@ def apply_suppressions(findings: DataFrame, as_of: Column | None = None) -> Data
 
 
 def live_suppressions(suppressions: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Distinct (application, hash) pairs with at least one live suppression."""
+    """Distinct (application, hash) pairs with at least one live suppression, stored.
+
+    Stored, the pairs have a known size and, if it is large, a shuffle of their own in the
+    join. Adaptive execution splits a hot key only between two plain shuffles, and would
+    not where one side comes straight from an aggregate.
+    """
     kept = suppressions.filter(live(F.col("expiry_date"), as_of))
-    return kept.select("application_name", F.lower("issue_hash").alias("issue_hash")).distinct()
+    pairs = kept.select("application_name", F.lower("issue_hash").alias("issue_hash"))
+    return materialise(pairs.distinct(), "suppressions")
 
 
-def _split(findings: DataFrame, suppressions: DataFrame, as_of: Column | None, how: str):
+def _split(
+    findings: DataFrame, suppressions: DataFrame, as_of: Column | None, how: str
+) -> DataFrame:
     hashed = findings.withColumn("issue_hash", F.expr(FINDING_HASH))
-    return hashed.join(live_suppressions(suppressions, as_of), ["application_name", "issue_hash"], how)
+    pairs = live_suppressions(suppressions, as_of)
+    return hashed.join(pairs, ["application_name", "issue_hash"], how)
 
 
 def suppressed_by_table(

@@ -20,6 +20,7 @@ from ..operators.validation import accepted as accepted_reports
 from ..operators.validation import rejected as rejected_reports
 from ..operators.validation import validate_reports
 from ..plans.pipelines import findings_of
+from ..session import materialise
 from ..sinks import writers
 
 Dimension = Callable[[SparkSession], DataFrame]
@@ -106,29 +107,44 @@ def stream_trend(
 
 
 def publish_snapshot(table: DataFrame, root: str, version: int) -> None:
-    """Store a version of an enrichment table; writing a version again replaces it."""
+    """Store a version of an enrichment table. A version does not change once it is used."""
     table.write.mode("overwrite").parquet(f"{root}/version={version}")
 
 
-def overlaid_snapshots(root: str, key: str) -> Dimension:
-    """All versions laid over each other: the newest row per key. For the CVE table."""
+def _refreshing(root: str, build: Callable[[DataFrame, int], DataFrame]) -> Dimension:
+    """A table built from the versions below ``root``, and built again when one is added.
+
+    It is stored, so that each micro-batch joins a plain table of known size.
+    """
+    kept: dict[int, DataFrame] = {}
 
     def read(spark: SparkSession) -> DataFrame:
         versions = spark.read.parquet(root)
-        rest = [c for c in versions.columns if c not in (key, "version")]
-        newest = F.max(F.struct("version", F.struct(*rest).alias("row"))).alias("newest")
-        return versions.groupBy(key).agg(newest).select(key, "newest.row.*")
+        # The version comes from the folder name, so no column is read.
+        newest = versions.agg(F.max("version")).first()[0]
+        if newest not in kept:
+            kept.clear()
+            kept[newest] = materialise(build(versions, newest), "dimension")
+        return kept[newest]
 
     return read
 
 
+def overlaid_snapshots(root: str, key: str) -> Dimension:
+    """All versions laid over each other: the newest row per key. For the CVE table."""
+
+    def build(versions: DataFrame, newest: int) -> DataFrame:
+        rest = [c for c in versions.columns if c not in (key, "version")]
+        latest = F.max(F.struct("version", F.struct(*rest).alias("row"))).alias("latest")
+        return versions.groupBy(key).agg(latest).select(key, "latest.row.*")
+
+    return _refreshing(root, build)
+
+
 def newest_snapshot(root: str) -> Dimension:
     """The newest version alone. For the advisory table, which is replaced as a whole."""
 
-    def read(spark: SparkSession) -> DataFrame:
-        versions = spark.read.parquet(root)
-        # The version comes from the folder name, so no column is read.
-        newest = versions.select(F.max("version")).first()[0]
+    def build(versions: DataFrame, newest: int) -> DataFrame:
         return dedup_advisories(versions.filter(F.col("version") == newest))
 
-    return read
+    return _refreshing(root, build)
