@@ -245,10 +245,11 @@ def cves_per_app(spark, sf_dir):
 
 
 _RISK = """
-    SELECT application_name, count(*) AS n_dependencies, round(max(score), 3) AS max_score,
-           round(avg(score), 3) AS avg_score, round(coalesce(sum(score), 0), 3) AS total_score
+    SELECT application_name, count(*) AS n_dependencies, CAST(max(score) AS DOUBLE) AS max_score,
+           round(CAST(sum(score) AS DOUBLE) / count(score), 6) AS avg_score,
+           coalesce(CAST(sum(score) AS DOUBLE), 0) AS total_score
     FROM (SELECT application_name, affected_package, installed_version,
-                 round(CAST(max(cvss_score) AS DOUBLE), 4) AS score
+                 CAST(max(cvss_score) AS DECIMAL(9, 4)) AS score
           FROM fx_findings GROUP BY application_name, affected_package, installed_version) d
     GROUP BY application_name"""
 
@@ -264,8 +265,8 @@ def riskiest_apps(spark, sf_dir):
     risk = analytics.riskiest_apps(findings(spark, sf_dir))
     ranked = analytics.ranked_risk(risk)
     return ranked.select(
-        "application_name", "n_dependencies", F.round("max_score", 3).alias("max_score"),
-        F.round("avg_score", 3).alias("avg_score"), "total_score",
+        "application_name", "n_dependencies", "max_score",
+        F.round("avg_score", 6).alias("avg_score"), "total_score",
         F.col("risk_rank").cast("bigint").alias("risk_rank"),
     )
 

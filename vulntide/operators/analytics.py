@@ -134,23 +134,25 @@ def slowest_fix(rows: DataFrame) -> DataFrame:
 def riskiest_apps(findings: DataFrame) -> DataFrame:
     """Applications by vulnerable dependencies, with their CVSS scores.
 
-    The same package version reported many times counts once, at its highest score.
+    The same package version reported many times counts once, at its highest score. Scores
+    add up as decimals, so that the order of the rows does not show in the sums.
     """
     dependency = findings.groupBy(APP, "affected_package", "installed_version").agg(
-        F.max("cvss.score").cast("double").alias("score")
+        F.max("cvss.score").cast("decimal(9,4)").alias("score")
     )
-    return dependency.groupBy(APP).agg(
+    totals = dependency.groupBy(APP).agg(
         F.count(F.lit(1)).alias("n_dependencies"),
-        F.max("score").alias("max_score"),
-        F.avg("score").alias("avg_score"),
-        F.coalesce(F.sum("score"), F.lit(0.0)).alias("total_score"),
+        F.max("score").cast("double").alias("max_score"),
+        F.count("score").alias("_scored"),
+        F.coalesce(F.sum("score").cast("double"), F.lit(0.0)).alias("total_score"),
     )
+    average = F.when(F.col("_scored") > 0, F.col("total_score") / F.col("_scored"))
+    return totals.withColumn("avg_score", average).drop("_scored")
 
 
 def ranked_risk(risk: DataFrame) -> DataFrame:
     """Add ``risk_rank``, 1 for the greatest total score."""
-    rounded = risk.withColumn("total_score", F.round("total_score", 3))
-    return numbered(rounded, "risk_rank", F.desc("total_score"), F.col(APP))
+    return numbered(risk, "risk_rank", F.desc("total_score"), F.col(APP))
 
 
 def trend(findings: DataFrame, width: str = "30 days") -> DataFrame:
