@@ -47,33 +47,34 @@ def split_cves(looked_up: DataFrame) -> DataFrame:
 
 
 def _with_cve(split: DataFrame, cve: DataFrame) -> DataFrame:
-    """Score, text and URL replaced together where the CVE is known."""
-    known = cve.select(
+    """Score, text and URL replaced together where the CVE is known.
+
+    A CVE's URL is normalised and its fields are checked once, before the join, and not
+    for every finding that refers to it.
+    """
+    failed = first_of(
+        fails("url = ''", "advisory_url_empty"),
+        fails("_url IS NULL", "advisory_url_invalid"),
+        fails("description = ''", "advisory_description_empty"),
+    )
+    known = with_computed(cve, _url=normalise_url("url")).select(
         F.col("cve_id").alias("_cve"),
-        F.struct("cvss", "description", "url").alias("_hit"),
+        F.struct("cvss", "description", F.col("_url").alias("url")).alias("_hit"),
+        F.expr(failed).alias("failed"),
     )
     # Findings without a CVE match nothing. Under one null key they would all meet in one
     # partition of a shuffled join, so each gets a key of its own.
     key = F.coalesce("cve_id", F.concat(F.lit("none "), "event_id", F.lit(" "), "position"))
     joined = split.join(known, key == F.col("_cve"), "left")
-    placed = with_computed(
-        joined, _url=f"if(_cve IS NOT NULL, {normalise_url('_hit.url')}, NULL)"
-    )
-    failed = first_of(
-        fails("_hit.url = ''", "advisory_url_empty"),
-        fails("_cve IS NOT NULL AND _url IS NULL", "advisory_url_invalid"),
-        fails("_hit.description = ''", "advisory_description_empty"),
-    )
     hit = F.col("_cve").isNotNull()
     taken = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old))
-    return placed.withColumns(
+    return joined.withColumns(
         {
-            "failed": F.expr(failed),
             "cvss": taken("_hit.cvss", "cvss"),
-            "advisory_url": taken("_url", "advisory_url"),
+            "advisory_url": taken("_hit.url", "advisory_url"),
             "advisory_description": taken("_hit.description", "advisory_description"),
         }
-    ).drop("_cve", "_hit", "_url")
+    ).drop("_cve", "_hit")
 
 
 def checked_safety_fan_out(
