@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, tokenfiles, tokens
+from pyspark.sql import functions as F
+
+from . import bpe, mixing, shards, tokenfiles, tokens
 from .tables import table
 
 
@@ -21,12 +23,33 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, files)
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = shards.shuffled_shards(table(spark, sf_dir, "documents"))
+    written = shards.read_shards(spark, shards.write_shards(sharded), sharded)
+    return written.select(
+        "doc_id",
+        shards.record_size("text").alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
         op4_bpe,
         op5_token_files,
+        op6_shards,
+        op7_mixing,
     )
 }
 
