@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, shards, tokenfiles, tokens
+from . import bpe, mixing, neardup, quality, shards, tokenfiles, tokens
 from .tables import table
 
 
@@ -14,6 +14,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.apply_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    clean = F.sha2(F.col("clean_text"), 256).alias("clean_sha256")
+    return judged.select("doc_id", *[c for c in judged.columns if c not in ("doc_id", "clean_text")], clean)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -42,14 +48,21 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "class_size", "is_first")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_quality,
         op4_bpe,
         op5_token_files,
         op6_shards,
         op7_mixing,
+        op10_near_duplicates,
     )
 }
 

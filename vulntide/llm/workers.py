@@ -111,11 +111,15 @@ class FlatText:
 
     def word_hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
+        return self.span_hashes(self.first, self.last)
+
+    def span_hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each of the given runs of bytes."""
         powers = _powers(len(self.bytes) + 1)
         sums = np.zeros(len(self.bytes) + 1, np.uint64)
         np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:])
-        raw = (sums[self.last] - sums[self.first]) * _inverse_powers(len(self.bytes) + 1)[self.first]
-        return mix(raw + mix((self.last - self.first).astype(np.uint64)))
+        raw = (sums[last] - sums[first]) * _inverse_powers(len(self.bytes) + 1)[first]
+        return mix(raw + mix((last - first).astype(np.uint64)))
 
     def window_hashes(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every run of ``width`` words in a document, and the run's first word."""
