@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, quality, shards, tokenfiles, tokens
+from . import bpe, mixing, neardup, quality, shards, tokenfiles, tokens, vectors
 from .tables import table
 
 
@@ -48,6 +48,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "class_size", "is_first")
@@ -62,6 +66,7 @@ QUERIES = {
         op5_token_files,
         op6_shards,
         op7_mixing,
+        op9_nearest,
         op10_near_duplicates,
     )
 }
