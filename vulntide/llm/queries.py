@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, quality, shards, tokenfiles, tokens, vectors
+from . import bpe, mixing, neardup, pages, quality, shards, tokenfiles, tokens, vectors
 from .tables import table
 
 
@@ -48,6 +48,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -66,6 +70,7 @@ QUERIES = {
         op5_token_files,
         op6_shards,
         op7_mixing,
+        op8_main_text,
         op9_nearest,
         op10_near_duplicates,
     )
