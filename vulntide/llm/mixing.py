@@ -148,10 +148,11 @@ def mix_sources(
         for c in docs.columns
         if c.lower() not in (*_NEW, "draw") and (keep is None or c in keep)
     ]
-    light = rows.select(F.col(source).alias("source"), "size", "draw")
     if keep is not None and text not in keep:  # without the texts, all of it is light
         rows = materialise(rows.select(*{*carried, source}, "size", "draw"), "mixing-rows")
         light = rows.select(F.col(source).alias("source"), "size", "draw")
+    else:
+        light = materialise(rows.select(F.col(source).alias("source"), "size", "draw"), "mixing-rows")
     plan = materialise(mixing_plan(light, weights, share, epochs), "mixing-plan").select(
         F.col("source").alias("__source"), "source_size", "target", "whole", "last_draw"
     )

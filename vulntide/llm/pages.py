@@ -126,7 +126,7 @@ def parsed(page: str) -> tuple[list[str], list[Segment]]:
             pop(_CLOSES[name], frozenset(("ul", "ol", "dl", "table")))
         elif name in _BLOCKS and name != "br":
             pop(("p",), _BLOCKS - {"p", "br"})
-        marks = [(k.lower(), a or b or c) for k, a, b, c in _MARKS.findall(found["rest"] or "")]
+        marks = [(k.lower(), (a or b or c).replace(">", " ")) for k, a, b, c in _MARKS.findall(found["rest"] or "")]
         values = " ".join(v for _, v in marks)
         path = f"{stack[-1][1]}>{name}" + "".join(f"[{v}]" for _, v in marks)
         tags.append(path)

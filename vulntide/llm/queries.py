@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, pages, quality, shards, tokenfiles, tokens, vectors
+from . import bpe, mixing, neardup, pages, quality, secretscan, shards, tokenfiles, tokens, vectors
 from .tables import table
 
 
@@ -20,6 +20,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[c for c in judged.columns if c not in ("doc_id", "clean_text")], clean)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secretscan.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    clean = F.sha2(F.col("redacted_text"), 256).alias("redacted_sha256")
+    return scanned.select("doc_id", "n_candidates", "n_secrets", "secrets", clean)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_and_decode(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -66,6 +72,7 @@ QUERIES = {
     for f in (
         op1_token_counts,
         op2_quality,
+        op3_secrets,
         op4_bpe,
         op5_token_files,
         op6_shards,
