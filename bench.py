@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from vulntide.catalog import registry
@@ -25,7 +26,7 @@ RUNS = 2
 
 
 def main() -> None:
-    spark = local_session(CPUS)
+    spark = local_session(CPUS, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vulntide-bench-")})
     start = time.time()
 
     def stored(df, name):

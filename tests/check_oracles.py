@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -64,7 +65,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[bool, str]:
 def main() -> int:
     args = sys.argv[1:]
     sf_dir = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
-    spark, con = local_session(8), connect(sf_dir)
+    spark, con = local_session(8, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vulntide-check-")}), connect(sf_dir)
     bad = 0
     for name in args or sorted(QUERIES):
         try:

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -10,7 +11,7 @@ from vulntide.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8)
+    session = local_session(8, **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vulntide-tests-")})
     yield session
     session.stop()
 

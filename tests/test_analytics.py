@@ -32,36 +32,47 @@ def tree(seed, n, app):
     return rows, main
 
 
-@pytest.mark.parametrize("task_limit", [10_000, 0, 60])
-def test_first_parent_sequence_matches_brute_force(spark, task_limit):
+def sequence(spark, rows):
+    got = history.first_parent_sequence(spark.createDataFrame(rows, COMMIT)).collect()
+    assert len({(r.application_name, r.commit_id) for r in got}) == len(got)
+    return {(r.application_name, r.commit_id): r.seq for r in got}
+
+
+def test_first_parent_sequence_matches_brute_force(spark):
     rows, expected = [], {}
     for seed, n in enumerate((1, 2, 37, 120)):
         more, main = tree(seed, n, f"app{seed}")
         rows += more
         expected |= {(f"app{seed}", c): i for i, c in enumerate(main)}
     random.Random(5).shuffle(rows)
-    frame = spark.createDataFrame(rows, COMMIT)
-    positions = history.branch_positions(frame, task_limit)
-    depth = {a: max(i for (x, _), i in expected.items() if x == a) for a, _ in expected}
-    got = {(r.application_name, r.commit_id): depth[r.application_name] - r.distance for r in positions.collect()}
-    assert got == expected
-    if task_limit > 100:
-        sequence = history.first_parent_sequence(frame)
-        assert {(r.application_name, r.commit_id): r.seq for r in sequence.collect()} == expected
-
-
-@pytest.mark.parametrize("task_limit", [100, 0])
-def test_parent_outside_the_table_ends_the_branch(spark, task_limit):
+    assert sequence(spark, rows) == expected
+    assert sequence(spark, rows + rows[:40]) == expected  # repeated rows
+
+
+def test_several_heads_number_each_commit_once(spark):
+    rows = [
+        ("a", "1", [], 1, False), ("a", "2", ["1"], 2, False), ("a", "3", ["2"], 3, True),
+        ("a", "4", ["2"], 4, False), ("a", "5", ["4"], 5, True), ("a", "6", ["1"], 6, False),
+        ("a", "9", [], 9, True),
+    ]
+    assert sequence(spark, rows) == {
+        ("a", "1"): 0, ("a", "2"): 1, ("a", "3"): 2, ("a", "4"): 2, ("a", "5"): 3, ("a", "9"): 0,
+    }
+
+
+def test_parent_outside_the_table_ends_the_branch(spark):
     rows = [("a", "3", ["2"], 3, True), ("a", "2", ["1"], 2, False)]
-    got = history.branch_positions(spark.createDataFrame(rows, COMMIT), task_limit).collect()
-    assert sorted((r.commit_id, r.distance) for r in got) == [("2", 1), ("3", 0)]
+    assert sequence(spark, rows) == {("a", "3"): 1, ("a", "2"): 0}
+
+
+def test_no_commits(spark):
+    assert sequence(spark, []) == {}
 
 
-@pytest.mark.parametrize("task_limit", [100, 0])
-def test_cycle_is_an_error(spark, task_limit):
+def test_cycle_is_an_error(spark):
     rows = [("a", "1", ["2"], 1, True), ("a", "2", ["1"], 2, False)]
-    with pytest.raises(Exception, match="leads back to itself"):
-        history.branch_positions(spark.createDataFrame(rows, COMMIT), task_limit).collect()
+    with pytest.raises(ValueError, match="leads back to itself"):
+        sequence(spark, rows)
 
 
 def test_remediation_by_hand(spark):
@@ -91,15 +102,15 @@ def test_remediation_by_hand(spark):
     assert analytics.remediated_count(rows).first().n_remediated == 2
 
 
-@pytest.mark.parametrize("task_limit", [100_000, 100])
-def test_quantiles_match_numpy_on_skewed_groups(spark, task_limit):
+def test_quantiles_match_numpy_on_skewed_groups(spark):
     rng = np.random.default_rng(3)
     rows = [("hot", float(x)) for x in rng.integers(0, 5000, 20000)]
     rows += [("same", 7.0)] * 500 + [("one", 1.5)] + [("two", 1.0), ("two", 2.0)]
     rows += [(f"g{i}", float(x)) for i in range(20) for x in rng.normal(size=17)]
-    frame = spark.createDataFrame(rows, "g string, x double").repartition(16)
-    got = {r.g: tuple(r)[1:] for r in grouped_quantiles(
-        frame, "g", "x", analytics.QUARTILES, task_limit).collect()}
+    nulls = [("one", None)] * 5 + [("two", None)] + [("none", None)] * 3
+    frame = spark.createDataFrame(rows + nulls, "g string, x double").repartition(16)
+    got = {r.g: tuple(r)[1:] for r in grouped_quantiles(frame, "g", "x", analytics.QUARTILES).collect()}
+    assert got.pop("none") == (None, None, None)
     groups = {}
     for g, x in rows:
         groups.setdefault(g, []).append(x)
@@ -115,15 +126,16 @@ def test_numbered_is_one_total_order(spark):
     assert [(r.k, r.id) for r in rows] == sorted((r.k, r.id) for r in rows)
 
 
-def test_sample_limits_each_group_before_the_shuffle(spark):
-    frame = spark.range(1000).selectExpr(
+@pytest.mark.parametrize("n", [3, 1500])
+def test_sample_limits_each_group_by_partition_first(spark, n):
+    frame = spark.range(8000).repartition(16).selectExpr(
         "concat('app', id % 2) AS application_name", "CAST(id AS string) AS event_id",
         "timestamp_seconds(id) AS timestamp",
     )
-    sample = analytics.sample_per_app(frame, 3)
-    plan = sample._jdf.queryExecution().executedPlan().toString()
-    assert plan.index("3, Final") < plan.index("Exchange") < plan.index("3, Partial")
-    assert sorted(r.event_id for r in sample.collect()) == ["0", "1", "2", "3", "4", "5"]
+    sample = analytics.sample_per_app(frame, n)
+    plan = sample._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") >= 2 and "_part" in plan
+    assert sorted(int(r.event_id) for r in sample.collect()) == list(range(2 * n))
 
 
 def test_trend_buckets(spark):

@@ -1,9 +1,12 @@
 import json
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 from samples import PAYLOAD, block
+from test_skew import settings
 
+from vulntide.schemas import REPORT
 from vulntide.sinks import writers
 from vulntide.sources import readers
 from vulntide.streaming import jobs
@@ -76,18 +79,107 @@ def test_three_stages_restart_and_refresh(spark, tmp_path):
     assert count(spark, f"{root}/findings") == 12
 
 
+def typed_reports(spark, n, **columns):
+    one = {
+        "event_version": F.lit("1"), "event_id": F.format_string("00000000-0000-4000-8000-%012d", "id"),
+        "application_name": F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), F.col("id") % 50)),
+        "git_branch": F.lit("main"), "git_commit_hash": F.lit("ab" * 20), "tool_name": F.lit("bundler-audit"),
+        "tool_output": F.lit(block(name="pkg")), "output_format": F.lit("PlainText"),
+        "start_time": F.timestamp_seconds("id"), "end_time": F.timestamp_seconds("id"),
+        "environment": F.lit("CI"), "tool_version": F.lit(None).cast("string"),
+        "suppressed_issues": F.array().cast(REPORT["suppressed_issues"].dataType),
+    } | columns
+    return spark.range(n).select(*[v.alias(k) for k, v in one.items()])
+
+
 def test_hot_application_is_written_in_order(spark, tmp_path):
-    rows = spark.range(3000).select(
-        F.lit(PAYLOAD["event_version"]).alias("event_version"), F.col("id").cast("string").alias("event_id"),
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("a"), F.col("id") % 50)).alias("application_name"),
-        *[F.lit("x").alias(c) for c in ("git_branch", "git_commit_hash", "tool_name", "tool_output", "output_format")],
-        F.timestamp_seconds("id").alias("start_time"), F.timestamp_seconds("id").alias("end_time"),
-        F.lit("CI").alias("environment"), F.lit(None).cast("string").alias("tool_version"),
-        F.array().cast("array<struct<issue_hash string, expiry_date timestamp, suppression_reason string, suppressed_by string>>").alias("suppressed_issues"),
-    )
-    writers.append_reports(rows, str(tmp_path / "out"))
-    back = readers.read_reports(spark, str(tmp_path / "out"))
-    assert back.count() == 3000
+    with settings(spark, **{"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        writers.append_reports(typed_reports(spark, 3000), str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("part-*.parquet"))
+    assert len(files) > 1
+    rows = [r for f in files for r in spark.read.parquet(str(f)).collect()]
+    order = [(r.application_name, r.end_time, r.event_id) for r in rows]
+    assert len(order) == 3000 and order == sorted(order)
+    hot = [f for f in files if spark.read.parquet(str(f)).filter("application_name = 'hot'").count()]
+    assert len(hot) > 1  # the large application is cut
+
+
+def test_no_report_is_late_for_deduplication(spark, tmp_path):
+    root = str(tmp_path)
+    # A log by application: each file starts at the first time again.
+    for k in range(3):
+        rows = typed_reports(spark, 50, application_name=F.lit(f"app{k}"), event_id=F.format_string(f"0000000{k}-0000-4000-8000-%012d", "id"),
+                             end_time=F.expr(f"timestamp_seconds(id * 864000 + {k})"))
+        writers.append_reports(rows.coalesce(1), f"{root}/in", k)
+        writers.append_reports(rows.withColumn("end_time", F.expr("end_time + INTERVAL 1 HOUR")), f"{root}/in", 10 + k)
+    stream = readers.read_reports(spark, f"{root}/in", streaming=True, max_files=1)
+    writer = jobs.deduplicated(stream).writeStream.option("checkpointLocation", f"{root}/c")
+    writer.trigger(availableNow=True).start(f"{root}/out", format="parquet").awaitTermination()
+    ids = [r.event_id for r in spark.read.parquet(f"{root}/out").collect()]
+    assert len(ids) == len(set(ids)) == 150
+
+
+def test_replay_keeps_each_report_in_one_table(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    output = json.dumps([["pkg", "<1", "0.1", "text", "7"]])
+    safety = typed_reports(spark, 6, tool_name=F.lit("safety"), output_format=F.lit("JSON"), tool_output=F.lit(output))
+    writers.append_reports(safety, f"{root}/in", 0)
+    cve = lambda text: spark.createDataFrame([("CVE-2020-7", ("V3", 1.0), text, "http://x", None)], CVE)
+    jobs.publish_snapshot(cve(""), f"{root}/cve", 1)  # an empty text refuses the report
+    jobs.publish_snapshot(spark.createDataFrame([("pyup.io-7", "CVE-2020-7")], "id string, cve_list string"), f"{root}/adv", 1)
+
+    def run():
+        jobs.stream_findings(
+            readers.read_reports(spark, f"{root}/in", streaming=True), jobs.overlaid_snapshots(f"{root}/cve", "cve_id"),
+            jobs.newest_snapshot(f"{root}/adv"), f"{root}/out", f"{root}/bad", f"{root}/c", available_now=True,
+        ).awaitTermination()
+
+    class Stop(Exception):
+        pass
+
+    def stop(*_):
+        raise Stop
+
+    whole = writers.append_rejected
+    monkeypatch.setattr(writers, "append_rejected", stop)
+    with pytest.raises(Exception):
+        run()
+    monkeypatch.setattr(writers, "append_rejected", whole)
+    jobs.publish_snapshot(cve("fine"), f"{root}/cve", 2)
+    run()
+    good = {r.parent_event_id for r in writers.read_table(spark, f"{root}/out").collect()}
+    bad = {r.parent_event_id for r in writers.read_table(spark, f"{root}/bad").collect()}
+    assert not good & bad and len(good | bad) == 6
+
+
+def test_bad_typed_records_are_rejected_with_their_error(spark, tmp_path):
+    root = str(tmp_path)
+    bad_id = F.when(F.col("id") == 1, "no uuid").otherwise(F.format_string("00000000-0000-4000-8000-%012d", "id"))
+    writers.append_reports(typed_reports(spark, 4, event_id=bad_id), f"{root}/in", 0)
+    jobs.publish_snapshot(spark.createDataFrame([], CVE), f"{root}/cve", 1)
+    jobs.publish_snapshot(spark.createDataFrame([("a", None)], "id string, cve_list string"), f"{root}/adv", 1)
+    jobs.stream_findings(
+        readers.read_reports(spark, f"{root}/in", streaming=True), jobs.overlaid_snapshots(f"{root}/cve", "cve_id"),
+        jobs.newest_snapshot(f"{root}/adv"), f"{root}/out", f"{root}/bad", f"{root}/c", available_now=True,
+    ).awaitTermination()
+    (row,) = writers.read_table(spark, f"{root}/bad").collect()
+    assert (row.parent_event_id, row.error.error_code) == ("no uuid", 139)
+    assert count(spark, f"{root}/out") == 3
+
+
+def test_unpublished_batch_is_not_read(spark, tmp_path):
+    path = str(tmp_path / "log")
+    writers.append_reports(typed_reports(spark, 5), path, 0)
+
+    def half(folder):
+        typed_reports(spark, 5).write.parquet(folder)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        writers.publish_batch(spark, path, 1, half)
+    assert readers.read_reports(spark, path).count() == 5
+    writers.append_reports(typed_reports(spark, 7), path, 1)
+    assert readers.read_reports(spark, path).count() == 12
 
 
 def test_snapshots(spark, tmp_path):

@@ -95,7 +95,7 @@ def stream_deduplicated(spark, sf_dir):
     rows = reports(spark, sf_dir)
     again = rows.withColumn("end_time", F.col("end_time") + F.expr("INTERVAL 1 HOUR"))
     writers.append_reports(rows.unionByName(again), f"{root}/in")
-    stream = readers.read_reports(spark, f"{root}/in", streaming=True)
+    stream = readers.read_reports(spark, f"{root}/in", streaming=True, max_files=1)
     once = jobs.deduplicated(stream).select("event_id", "application_name")
     writer = once.writeStream.option("checkpointLocation", f"{root}/checkpoint")
     _finish(writer.trigger(availableNow=True).start(f"{root}/out", format="parquet"))
@@ -112,17 +112,16 @@ _SPAN = 2592000000000
             FROM (SELECT application_name,
                          CAST(floor(epoch_us(timestamp) / {_SPAN}) AS BIGINT) * {_SPAN} AS span_start
                   FROM fx_findings) f
-            WHERE span_start + {_SPAN} <= (SELECT max(epoch_us(timestamp)) FROM fx_findings) - 604800000000
             GROUP BY application_name, span_start"""
     ),
 )
 def stream_trend(spark, sf_dir):
-    """Windows still open at the end of the input are not written."""
+    """One file per micro-batch of a log in the order of applications, not of time."""
     root = new_folder(spark, "stream-trend")
     writers.append_findings(findings(spark, sf_dir), f"{root}/in")
-    stream = readers.read_findings(spark, f"{root}/in", streaming=True)
+    stream = readers.read_findings(spark, f"{root}/in", streaming=True, max_files=1)
     _finish(jobs.stream_trend(stream, f"{root}/out", f"{root}/checkpoint", available_now=True))
-    rows = spark.read.parquet(f"{root}/out")
+    rows = jobs.read_trend(spark, f"{root}/out")
     return rows.select("application_name", micros("span_start"), "n_findings")
 
 

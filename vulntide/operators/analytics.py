@@ -165,11 +165,16 @@ def trend(findings: DataFrame, width: str = "30 days") -> DataFrame:
 def sample_per_app(findings: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` rows per application by time.
 
-    Spark limits each group before the shuffle, so a task receives n rows per map task
-    of a large application and not all of its rows.
+    Each application is numbered within each partition of the input first, so a task sorts
+    no more of a large application than a partition holds, and only n rows of each part go
+    on, whatever n is.
     """
-    order = Window.partitionBy(APP).orderBy("timestamp", "event_id")
-    return findings.withColumn("row", F.row_number().over(order)).filter(F.col("row") <= n)
+    order = ["timestamp", "event_id"]
+    parted = findings.withColumn("_part", F.spark_partition_id())
+    first = Window.partitionBy(APP, "_part").orderBy(*order)
+    few = parted.withColumn("row", F.row_number().over(first)).filter(F.col("row") <= n).drop("_part")
+    last = Window.partitionBy(APP).orderBy(*order)
+    return few.withColumn("row", F.row_number().over(last)).filter(F.col("row") <= n)
 
 
 def lineage(findings: DataFrame, reports: DataFrame) -> DataFrame:

@@ -2,138 +2,92 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schemas import LONG, SMALL, TEXT
-from ..session import materialise, new_folder
+from ..session import materialise
 
 KEY = ["application_name", "commit_id"]
 
-# Rows of the walk: a stretch of the branch (commit and distance from head), or a jump
-# (commit and the ancestor that many first parents back).
-WALK = T.StructType(
-    [T.StructField(name, TEXT) for name in [*KEY, "ancestor"]]
-    + [
-        T.StructField("distance", LONG),
-        T.StructField("round", SMALL),
-        T.StructField("kind", TEXT),
-    ]
-)
 
+def first_parent_tree(commits: DataFrame) -> DataFrame:
+    """A row per commit: application, commit, first parent in the table (or null), head flag.
 
-def _stretch(commit: str, distance: Column) -> list[Column]:
-    return [
-        F.col("application_name"), F.col(commit).alias("commit_id"),
-        F.lit(None).cast("string").alias("ancestor"), distance.alias("distance"),
-        F.lit("branch").alias("kind"),
-    ]
-
-
-def _jump(ancestor: Column) -> list[Column]:
-    return [
-        F.col("application_name"), F.col("commit_id"), ancestor.alias("ancestor"),
-        F.lit(None).cast("bigint").alias("distance"), F.lit("jump").alias("kind"),
-    ]
-
-
-# Applications with at most this many commits, some hundred megabytes, are walked in a task.
-TASK_LIMIT = 500_000
-
-
-def branch_positions(commits: DataFrame, task_limit: int = TASK_LIMIT) -> DataFrame:
-    """(application, commit, distance from head) of all commits on the default branch.
-
-    Applications are counted first. One of checked size is walked from its head inside a
-    task; a larger one goes through :func:`doubled_positions`, whatever its size.
+    A commit listed several times is one: the least of its first parents, and a head if
+    any of its rows says so.
     """
-    sizes = commits.groupBy("application_name").agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.filter(F.col("_n") > task_limit).select("application_name")
-    large = materialise(large, "large")
-    if large.isEmpty():
-        return walked_positions(commits)
-    small = walked_positions(commits.join(large, "application_name", "left_anti"))
-    return small.unionByName(
-        doubled_positions(commits.join(large, "application_name", "left_semi"))
-    )
-
-
-def _walk(commits: pd.DataFrame) -> pd.DataFrame:
-    parent = dict(zip(commits["commit_id"], commits["parent"]))
-    found: dict[str, int] = {}
-    for at in commits.loc[commits["is_head"], "commit_id"]:
-        while at in parent:
-            if at in found:
-                raise ValueError("the first-parent chain of a commit leads back to itself")
-            found[at] = len(found)
-            at = parent[at]
-    rows = pd.DataFrame({"commit_id": list(found), "distance": list(found.values())})
-    return rows.assign(application_name=commits["application_name"].iloc[0])
-
-
-def walked_positions(commits: DataFrame) -> DataFrame:
-    """Positions by following first parents, one application per group."""
     links = commits.select(*KEY, F.get("parents", F.lit(0)).alias("parent"), "is_head")
-    return links.groupBy("application_name").applyInPandas(
-        _walk, "application_name string, commit_id string, distance bigint"
+    once = links.groupBy(*KEY).agg(
+        F.min("parent").alias("parent"), F.max(F.coalesce("is_head", F.lit(False))).alias("is_head")
     )
+    known = once.select("application_name", F.col("commit_id").alias("parent"), F.lit(True).alias("known"))
+    linked = once.join(known, ["application_name", "parent"], "left")
+    return linked.select(*KEY, F.when(F.col("known"), F.col("parent")).alias("parent"), "is_head")
 
 
-def doubled_positions(commits: DataFrame) -> DataFrame:
-    """Positions by joins alone, for applications of any size.
+def _doubled(tree: DataFrame) -> DataFrame:
+    """Each commit's reach doubled, and the marks carried over the reach it had before.
 
-    Pointer doubling: round k knows each commit's 2^k-th first-parent ancestor and doubles
-    the known stretch of every branch at once, so n commits take about log2(n) rounds.
-    All joins are keyed by commit, so an application with most of the commits spreads over
-    all tasks. A round is one job that writes one table, and no branch passes the driver.
+    ``at`` is the ancestor ``steps`` first parents back; ``open`` says that there are more.
+    A mark passes to that ancestor. Bit by bit, from the lowest, a mark so reaches every
+    ancestor: any distance is a sum of reaches that the commits on the way have.
     """
-    spark = commits.sparkSession
-    root = new_folder(spark, "branch")
-
-    def store(number: int, branch: DataFrame, jumps: DataFrame) -> None:
-        rows = branch.unionByName(jumps)
-        rows.write.partitionBy("kind").parquet(f"{root}/round={number}")
-
-    def rows(kind: str) -> DataFrame:
-        return spark.read.schema(WALK).parquet(root).filter(F.col("kind") == kind)
-
-    heads = commits.filter("is_head").select(*_stretch("commit_id", F.lit(0).cast("bigint")))
-    parents = commits.filter(F.size("parents") > 0).select(*_jump(F.get("parents", F.lit(0))))
-    store(0, heads, parents)
-    limit = rows("jump").count()
-    number, step = 0, 1
-    while True:
-        jumps = rows("jump").filter(F.col("round") == number).select(*KEY, "ancestor")
-        branch = rows("branch").select(*KEY, "distance")
-        added = branch.join(jumps, KEY).select(*_stretch("ancestor", F.col("distance") + step))
-        onward = jumps.select(
-            "application_name", F.col("commit_id").alias("via"), F.col("ancestor").alias("further")
-        )
-        doubled = jumps.withColumnRenamed("ancestor", "via").join(onward, ["application_name", "via"])
-        number, step = number + 1, step * 2
-        store(number, added, doubled.select(*_jump(F.col("further"))))
-        if rows("branch").filter(F.col("round") == number).isEmpty():
-            break
-        if step > 4 * limit:
-            raise ValueError("the first-parent chain of a commit leads back to itself")
-    # A parent outside the table ends its branch.
-    return rows("branch").select(*KEY, "distance").join(commits.select(*KEY), KEY, "left_semi")
+    reached = (
+        tree.filter("marked AND open")
+        .select("application_name", F.col("at").alias("commit_id"))
+        .distinct()
+        .withColumn("reached", F.lit(True))
+    )
+    further = tree.select(
+        "application_name",
+        F.col("commit_id").alias("at"),
+        F.col("at").alias("further"),
+        F.col("steps").alias("more"),
+        F.col("open").alias("onward"),
+    )
+    # Commits at the end of their chain stay as they are: they all share a few roots.
+    longer = tree.filter("open").join(further, ["application_name", "at"]).select(
+        *KEY, F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps"),
+        F.col("onward").alias("open"), "marked",
+    )
+    both = tree.filter("NOT open").select(*KEY, "at", "steps", "open", "marked").unionByName(longer)
+    return both.join(reached, KEY, "left").select(
+        *KEY, "at", "steps", "open", (F.col("marked") | F.coalesce("reached", F.lit(False))).alias("marked")
+    )
 
 
 def first_parent_sequence(commits: DataFrame) -> DataFrame:
-    """Commits of the default branch numbered from 0, oldest first; others are dropped."""
-    positions = materialise(branch_positions(commits), "positions")
-    depth = positions.groupBy("application_name").agg(F.max("distance").alias("_oldest"))
-    return positions.join(depth, "application_name").select(
-        *KEY, (F.col("_oldest") - F.col("distance")).alias("seq")
+    """Commits of the default branch numbered from 0, oldest first; others are dropped.
+
+    The branch is what first parents lead to from the heads. A commit's number is its
+    distance from the oldest commit of its chain, so it is the same from whatever head it
+    is reached, and each commit comes once; with several heads, commits of different
+    chains may share a number. A parent outside the table ends a chain.
+
+    One path for applications of any size: pointer doubling by joins keyed by commit, so an
+    application with most of the commits spreads over all tasks. n commits in a chain take
+    log2(n) rounds; two rounds make a job that stores one row per commit.
+    """
+    tree = first_parent_tree(commits)
+    has = F.col("parent").isNotNull()
+    state = materialise(
+        tree.select(
+            *KEY, F.coalesce("parent", "commit_id").alias("at"), has.cast("long").alias("steps"),
+            has.alias("open"), F.col("is_head").alias("marked"),
+        ),
+        "branch",
     )
+    limit, reach = state.count(), 1
+    while not state.filter("open").isEmpty():
+        if reach > 4 * limit:
+            raise ValueError("the first-parent chain of a commit leads back to itself")
+        state, reach = materialise(_doubled(_doubled(state)), "branch"), reach * 4
+    return state.filter("marked").select(*KEY, F.col("steps").alias("seq"))
 
 
 def mainline(commits: DataFrame) -> DataFrame:
     """Commits on the default branch, with all their columns."""
-    return commits.join(branch_positions(commits).select(*KEY), KEY, "left_semi")
+    return commits.join(first_parent_sequence(commits).select(*KEY), KEY, "left_semi")
 
 
 def next_commit(branch_commits: DataFrame) -> DataFrame:

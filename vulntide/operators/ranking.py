@@ -8,40 +8,17 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 
-# Groups of at most this many rows may be one aggregation buffer, some ten megabytes.
-TASK_LIMIT = 500_000
-
-
 def grouped_quantiles(
-    df: DataFrame,
-    group: str,
-    value: str,
-    probabilities: dict[str, float],
-    task_limit: int = TASK_LIMIT,
-) -> DataFrame:
-    """Linearly interpolated quantiles, one column per name in ``probabilities``.
-
-    The built-in exact percentile keeps all values of a group in one buffer, which is for
-    groups of checked size; beyond it the ranks are computed across partitions.
-    """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if sizes.filter(F.col("n") > task_limit).isEmpty():
-        picks = [F.percentile(value, F.lit(p)).alias(name) for name, p in probabilities.items()]
-        return df.groupBy(group).agg(*picks)
-    return spread_quantiles(df, group, value, probabilities)
-
-
-def spread_quantiles(
     df: DataFrame, group: str, value: str, probabilities: dict[str, float]
 ) -> DataFrame:
-    """Quantiles of groups of any size.
+    """Linearly interpolated quantiles of groups of any size, a column per name.
 
-    Equal values are counted first, the counts are range-partitioned by (group, value), and a
+    Nulls have no rank; a group of nulls alone has null quantiles. Equal values are counted first, the counts are range-partitioned by (group, value), and a
     running count gives each value its ranks: within a partition by a window over that
     partition, across partitions by the partitions' totals. A large group spreads over as
     many partitions as it needs.
     """
-    counts = df.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(group, value).agg(F.count(value).alias("n"))
     parted = materialise(
         counts.repartitionByRange(group, value).withColumn("part", F.spark_partition_id()),
         "quantiles",

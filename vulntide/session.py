@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+# A folder for the tables of some piece of work, below the shared one.
+SCRATCH_DIR = "vulntide.scratch.dir"
 
 # Runtime SQL settings. AQE turns shuffled joins into broadcast joins from the measured
 # size of a side, and splits partitions that one hot key makes too large.
@@ -46,18 +49,19 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return tune(spark)
 
 
+def checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only a local master may leave it unset; it then gets a new temporary folder.
+    Where that is unset, a folder in the warehouse, which the executors share as well. No
+    temporary folder of a machine is ever taken.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
+    folder = spark.conf.get(SCRATCH_DIR, None) or checkpoint_dir(spark)
     if not folder:
-        if not context.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="vulntide-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return folder.rstrip("/")
 
 
@@ -75,3 +79,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators store inside go when it ends.
+
+    For work that ends with a write of its own, such as a micro-batch of a stream: the
+    scratch folder of the session is one of its own meanwhile.
+    """
+    before = spark.conf.get(SCRATCH_DIR, None)
+    folder = new_folder(spark, "scratch")
+    spark.conf.set(SCRATCH_DIR, folder)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SCRATCH_DIR)
+        else:
+            spark.conf.set(SCRATCH_DIR, before)
+        drop_folder(spark, folder)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,33 +14,49 @@ APP = "application_name"
 
 
 def _clustered(df: DataFrame, *order: str) -> DataFrame:
-    """Rows of an application together and in order.
+    """Rows of an application together and in order, over the files as well.
 
-    Rebalancing by application keeps small ones in one file and lets AQE cut a large one
-    into several, where a plain repartition would give it to a single task.
+    Ranges of application and order: small applications share a file, a large one is cut
+    where its order allows, so its files follow each other by their number. The ranges are
+    found by sampling, so pass stored rows.
     """
-    return df.hint("rebalance", APP).sortWithinPartitions(APP, *order)
+    keys = [APP, *order]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def _is_complete(spark: SparkSession, folder: str) -> bool:
-    """True once a write to ``folder`` has been committed."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+def batch_folder(path: str, batch_id: int) -> str:
+    return f"{path}/batch_id={batch_id}"
 
 
-def _write(df: DataFrame, path: str, batch_id: int | None, kind: str = "parquet") -> None:
-    """Append, or write a batch's own folder.
+def has_batch(spark: SparkSession, path: str, batch_id: int) -> bool:
+    """True once a batch has been published below ``path``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(batch_folder(path, batch_id))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
 
-    A batch that runs again has the same input, so a committed folder is left alone: a
-    stream that reads the table has seen its files. What an attempt left uncommitted is
-    replaced.
+def publish_batch(spark: SparkSession, path: str, batch_id: int, write: Callable[[str], None]) -> None:
+    """Write a batch's folder aside, and show it whole by one rename.
+
+    A batch that runs again finds its folder and leaves it alone: a stream that reads the
+    table has seen its files. What an attempt left unfinished stays hidden below
+    ``_staging`` and is never read. The rename is one step on file systems with atomic
+    renames, which the log folders need.
     """
+    if has_batch(spark, path, batch_id):
+        return
+    aside = f"{path}/_staging/{batch_id}-{uuid.uuid4().hex}"
+    write(aside)
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, batch_folder(path, batch_id)))
+    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
+        raise OSError(f"cannot publish {target}")
+
+
+def _write(df: DataFrame, path: str, batch_id: int | None, kind: str = "parquet") -> None:
+    """Append, or publish a batch's own folder."""
     if batch_id is None:
         df.write.mode("append").format(kind).save(path)
-        return
-    folder = f"{path}/batch_id={batch_id}"
-    if not _is_complete(df.sparkSession, folder):
-        df.write.mode("overwrite").format(kind).save(folder)
+    else:
+        publish_batch(df.sparkSession, path, batch_id, lambda folder: df.write.format(kind).save(folder))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

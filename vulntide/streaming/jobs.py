@@ -1,26 +1,28 @@
 """The same flows on unbounded input.
 
-Every sink writes a micro-batch into a folder named by its batch id, once: an interrupted
-attempt is replaced, a committed one is kept. With the query's checkpoint each row appears
-once, also to the next stream in line.
+Every sink publishes a micro-batch as a folder named by its batch id, whole and once: an
+interrupted attempt is never seen, a published one is kept. With the query's checkpoint each
+row appears once, also to the next stream in line.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.hashing import is_uuid
 from ..operators.analytics import trend
 from ..operators.dimensions import dedup_advisories
 from ..operators.notification import outbox
 from ..operators.validation import accepted as accepted_reports
 from ..operators.validation import rejected as rejected_reports
-from ..operators.validation import validate_reports
+from ..operators.validation import revalidate_findings, revalidate_reports, validate_reports
 from ..plans.pipelines import findings_of
-from ..session import materialise
+from ..session import drop_folder, materialise, new_folder, scratch
 from ..sinks import writers
 
 Dimension = Callable[[SparkSession], DataFrame]
@@ -37,18 +39,29 @@ def stream_intake(
     """Payload stream to the report log and the rejected table."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        # Both writes use the checked rows; a micro-batch is small enough to keep.
-        checked = validate_reports(df).persist()
-        writers.append_reports(accepted_reports(checked), reports, batch_id)
-        writers.append_rejected(rejected_reports(checked, "body"), rejected, batch_id)
-        checked.unpersist()
+        spark = df.sparkSession
+        if all(writers.has_batch(spark, path, batch_id) for path in (reports, rejected)):
+            return
+        with scratch(spark):
+            checked = materialise(validate_reports(df), "checked")
+            writers.append_reports(accepted_reports(checked), reports, batch_id)
+            writers.append_rejected(rejected_reports(checked, "body"), rejected, batch_id)
 
     return _start(payloads, batch, checkpoint, available_now)
 
 
 def deduplicated(reports: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Reports by event id, once within ``delay``: producers may send one again."""
-    return reports.withWatermark("end_time", delay).dropDuplicatesWithinWatermark(["event_id"])
+    """Reports by event id, once within ``delay``: producers may send one again.
+
+    Time is the arrival of a report's file, which a stream takes in that order, so no
+    report is ever late, however few files a micro-batch takes and whatever order the log
+    has. A report without a proper id is known by all it says.
+    """
+    everything = F.sha2(F.to_json(F.struct("*")), 256)
+    key = F.when(F.expr(is_uuid("event_id")), F.col("event_id")).otherwise(everything)
+    arrived = reports.withColumns({"_key": key, "_arrived": F.col("_metadata.file_modification_time")})
+    once = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["_key"])
+    return once.drop("_key", "_arrived")
 
 
 def stream_findings(
@@ -60,30 +73,75 @@ def stream_findings(
     checkpoint: str,
     as_of: Column | None = None,
     available_now: bool = False,
+    delay: str = "1 day",
 ) -> StreamingQuery:
     """Report stream to the finding log.
 
+    ``reports`` is the stream as read from the log's files. Reports sent again within
+    ``delay`` count once. Each is checked as a typed record first; one that fails, or that
+    cannot be read, goes to the rejected table with its error and never stops the query.
+
     The enrichment tables are read anew in every micro-batch, so a snapshot published
-    while the stream runs counts from the next batch on. A report that cannot be read
-    goes to the rejected table and never stops the query.
+    while the stream runs counts from the next batch on. Findings and rejected rows of a
+    batch are stored together before either table gets them: a batch that runs again after
+    a new snapshot takes what it had found, so a report is in one of the tables.
     """
+    outcomes = f"{checkpoint}-outcomes"
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        split = findings_of(df, cve(spark), advisories(spark), as_of)
-        writers.append_findings(split.good, findings, batch_id)
-        writers.append_rejected(split.bad, rejected, batch_id)
-
-    return _start(reports, batch, checkpoint, available_now)
+        done = all(writers.has_batch(spark, path, batch_id) for path in (findings, rejected))
+        if done or writers.has_batch(spark, outcomes, batch_id):
+            # The deduplication has to see the batch again to keep its state.
+            df.write.format("noop").mode("overwrite").save()
+        if done:
+            return
+        if not writers.has_batch(spark, outcomes, batch_id):
+            tables = cve(spark), advisories(spark)
+
+            def write(folder: str) -> None:
+                checked = materialise(revalidate_reports(df), "checked")
+                split = findings_of(checked.filter("error IS NULL").drop("error"), *tables, as_of)
+                refused = checked.filter("error IS NOT NULL")
+                refused = refused.select(F.col("event_id").alias("parent_event_id"), "error")
+                split.good.write.parquet(f"{folder}/good")
+                split.bad.unionByName(refused).write.parquet(f"{folder}/bad")
+
+            with scratch(spark):
+                writers.publish_batch(spark, outcomes, batch_id, write)
+        found = writers.batch_folder(outcomes, batch_id)
+        writers.append_findings(spark.read.parquet(f"{found}/good"), findings, batch_id)
+        writers.append_rejected(spark.read.parquet(f"{found}/bad"), rejected, batch_id)
+        drop_folder(spark, found)
+
+    return _start(deduplicated(reports, delay), batch, checkpoint, available_now)
 
 
 def stream_outbox(
-    findings: DataFrame, channel: str, path: str, checkpoint: str, available_now: bool = False
+    findings: DataFrame,
+    channel: str,
+    path: str,
+    checkpoint: str,
+    available_now: bool = False,
+    rejected: str | None = None,
 ) -> StreamingQuery:
-    """Finding stream to the outbox."""
+    """Finding stream to the outbox.
+
+    Findings that fail the check of a typed record are not announced; ``rejected`` names
+    the table that gets them with their error.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        writers.append_outbox(outbox(df, channel), path, batch_id)
+        spark = df.sparkSession
+        paths = [path, *([rejected] if rejected else [])]
+        if all(writers.has_batch(spark, p, batch_id) for p in paths):
+            return
+        with scratch(spark):
+            checked = materialise(revalidate_findings(df), "checked")
+            good = checked.filter("error IS NULL").drop("error")
+            writers.append_outbox(outbox(good, channel), path, batch_id)
+            if rejected:
+                writers.append_rejected(checked.filter("error IS NOT NULL"), rejected, batch_id)
 
     return _start(findings, batch, checkpoint, available_now)
 
@@ -93,17 +151,27 @@ def stream_trend(
     path: str,
     checkpoint: str,
     width: str = "30 days",
-    delay: str = "7 days",
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Windowed counts of a finding stream; a window is written once it is closed."""
-    counts = trend(findings.withWatermark("timestamp", delay), width)
-    flat = counts.select(
-        "application_name", F.col("span.start").alias("span_start"), "n_findings"
-    )
-    writer = flat.writeStream.format("parquet").outputMode("append")
-    writer = writer.option("path", path).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    """Windowed counts of a finding stream, as partial counts per micro-batch.
+
+    No watermark and no state: :func:`read_trend` adds the parts up, so a finding counts
+    however late it comes, and windows that are still open are there as well.
+    """
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        counts = trend(df, width).select(
+            "application_name", F.col("span.start").alias("span_start"), "n_findings"
+        )
+        writers.publish_batch(df.sparkSession, path, batch_id, counts.write.parquet)
+
+    return _start(findings, batch, checkpoint, available_now)
+
+
+def read_trend(spark: SparkSession, path: str) -> DataFrame:
+    """The counts that a trend stream has written so far."""
+    parts = writers.read_table(spark, path).groupBy("application_name", "span_start")
+    return parts.agg(F.sum("n_findings").alias("n_findings"))
 
 
 def publish_snapshot(table: DataFrame, root: str, version: int) -> None:
@@ -111,21 +179,35 @@ def publish_snapshot(table: DataFrame, root: str, version: int) -> None:
     table.write.mode("overwrite").parquet(f"{root}/version={version}")
 
 
-def _refreshing(root: str, build: Callable[[DataFrame, int], DataFrame]) -> Dimension:
-    """A table built from the versions below ``root``, and built again when one is added.
+def _versions(spark: SparkSession, root: str) -> list[int]:
+    """Published versions, from the names of their folders."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+
+
+def _refreshing(root: str, build: Callable[[DataFrame | None, list[DataFrame]], DataFrame]) -> Dimension:
+    """A table kept up to date with the versions below ``root``.
 
-    It is stored, so that each micro-batch joins a plain table of known size.
+    ``build`` gets the table as stored last and the versions published since, so a version
+    is read once. The table is stored, and each micro-batch joins a plain table of known
+    size; the one before it goes when the next is there.
     """
-    kept: dict[int, DataFrame] = {}
+    kept: list = [None, None, None]  # newest version, folder, table
 
     def read(spark: SparkSession) -> DataFrame:
-        versions = spark.read.parquet(root)
-        # The version comes from the folder name, so no column is read.
-        newest = versions.agg(F.max("version")).first()[0]
-        if newest not in kept:
-            kept.clear()
-            kept[newest] = materialise(build(versions, newest), "dimension")
-        return kept[newest]
+        found = _versions(spark, root)
+        fresh = [v for v in found if kept[0] is None or v > kept[0]]
+        if fresh or kept[2] is None:
+            added = [
+                spark.read.parquet(f"{root}/version={v}").withColumn("version", F.lit(v)) for v in fresh
+            ]
+            folder, before = new_folder(spark, "dimension"), kept[1]
+            build(kept[2], added).write.parquet(folder)
+            kept[:] = found[-1], folder, spark.read.parquet(folder)
+            if before:
+                drop_folder(spark, before)
+        return kept[2]
 
     return read
 
@@ -133,10 +215,12 @@ def _refreshing(root: str, build: Callable[[DataFrame, int], DataFrame]) -> Dime
 def overlaid_snapshots(root: str, key: str) -> Dimension:
     """All versions laid over each other: the newest row per key. For the CVE table."""
 
-    def build(versions: DataFrame, newest: int) -> DataFrame:
-        rest = [c for c in versions.columns if c not in (key, "version")]
-        latest = F.max(F.struct("version", F.struct(*rest).alias("row"))).alias("latest")
-        return versions.groupBy(key).agg(latest).select(key, "latest.row.*")
+    def build(stored: DataFrame | None, added: list[DataFrame]) -> DataFrame:
+        layers = [stored.withColumn("version", F.lit(-1))] if stored is not None else []
+        rows = reduce(DataFrame.unionByName, layers + added)
+        rest = [c for c in rows.columns if c not in (key, "version")]
+        latest = F.max_by(F.struct(*rest), "version").alias("latest")
+        return rows.groupBy(key).agg(latest).select(key, "latest.*")
 
     return _refreshing(root, build)
 
@@ -144,7 +228,7 @@ def overlaid_snapshots(root: str, key: str) -> Dimension:
 def newest_snapshot(root: str) -> Dimension:
     """The newest version alone. For the advisory table, which is replaced as a whole."""
 
-    def build(versions: DataFrame, newest: int) -> DataFrame:
-        return dedup_advisories(versions.filter(F.col("version") == newest))
+    def build(stored: DataFrame | None, added: list[DataFrame]) -> DataFrame:
+        return dedup_advisories(added[-1].drop("version"))
 
     return _refreshing(root, build)
