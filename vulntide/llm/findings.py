@@ -48,6 +48,11 @@ def _prose(draw: random.Random) -> str:
     return " ".join(words) + draw.choice((" ", ". ", ", ", "\n"))
 
 
+def _word(draw: random.Random, n: int) -> str:
+    """A word of consonants and vowels in turn."""
+    return "".join(draw.choice("bcdfghlmnprstvy" if k % 2 else "aeiou") for k in range(n))
+
+
 def _secret(draw: random.Random) -> tuple[str, str, str]:
     body = draw.choice(
         (
@@ -84,6 +89,7 @@ def _harmless(draw: random.Random) -> tuple[str, str, str]:
         lambda: (draw.choice(("version ", "at ", "on ")), f"20{draw.randint(10, 29)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}T{draw.randint(0, 23):02}-30-{draw.randint(10, 59)}Z"),
         lambda: (draw.choice(("token = \"", "password: ", "api_key=", "secret: '")), draw.choice(("your_api_key_here_1", "xxxxxxxxxxxxxxxxxxx1", "CHANGE_ME_PLEASE_123", "example_token_value_1", "0000000000000000000a", "insert_password_here1", "test_password_12345"))),
         lambda: (draw.choice(("the secret: ", "password: ", "token = ", "Secret: ", "credentials: ")), (part() + part() + part())[: draw.randint(8, 14)]),
+        lambda: (draw.choice(("the secret: ", "password: ", "token = ", "Secret: ", "credentials: ")), _word(draw, draw.randint(8, 14))),
         lambda: (draw.choice(("password ", "secret ", "token ", "The key ")), "-".join(part() for _ in range(3)) + "-" + str(draw.randint(1, 99))),
         lambda: (draw.choice(("IMG_", "file ", "photo ")), f"IMG_20{draw.randint(10, 24)}0{draw.randint(1, 9)}1{draw.randint(0, 9)}_{draw.randint(100000, 235959)}"),
         lambda: ("data:image/png;base64,", _text(draw, _BASE64, draw.randint(40, 100))),
