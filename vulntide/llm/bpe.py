@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -17,13 +19,13 @@ from .workers import append_columns, per_process
 
 WORDS = "word_bpe_49k.json"
 
-WORD_ENTRIES = 300_000
+WORD_ENTRIES = 800_000
 LONGEST_KEPT = 64
 
 # A chunk ends with the first word that ends at or after a marked byte.
 HASH_WINDOW = 16
 HASH_BITS = 10
-CHUNK_BYTES_KEPT = 12 << 20
+CHUNK_BYTES_KEPT = 6 << 20
 
 # Letters whose normal form, lower case and byte alphabet are known, then ASCII marks
 # (no apostrophe: it starts contractions).
@@ -57,6 +59,7 @@ class WordEncoder:
                 '"type":"Lowercase"' in file.read().replace(" ", "").replace("\n", "")
                 and self.library.model.end_of_word_suffix == "</w>"
             )
+        self.merge = self.library.model.tokenize
         self.alphabet = _byte_alphabet()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -64,24 +67,24 @@ class WordEncoder:
         self.tokens = [self.library.id_to_token(k) or "" for k in range(size)]
 
     def _part(self, part: str) -> bytes:
-        """Ids of a run of letters or of marks."""
-        ids = self.parts.get(part)
-        if ids is None:
-            text = part.lower()
-            if not text.isascii():
-                text = text.encode().decode("latin-1").translate(self.alphabet)
-            ids = np.array([t.id for t in self.library.model.tokenize(text)], np.uint32).tobytes()
-            if len(self.parts) > WORD_ENTRIES:
-                self.parts.clear()
-            if len(part) <= LONGEST_KEPT:
-                self.parts[part] = ids
+        """Ids of a run of letters or of marks, which the table of parts lacks."""
+        text = part.lower()
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.alphabet)
+        ids = array("I", [t.id for t in self.merge(text)]).tobytes()
+        if len(self.parts) > WORD_ENTRIES:
+            self.parts.clear()
+        if len(part) <= LONGEST_KEPT:
+            self.parts[part] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
         found = _PLAIN.fullmatch(word) if self.plain else None
-        if found:
-            return b"".join(self._part(p) for p in found.groups() if p)
-        return self.encode_whole(word).tobytes()
+        if not found:
+            return self.encode_whole(word).tobytes()
+        letters, marks = found.groups()
+        ids = (self.parts.get(letters) or self._part(letters)) if letters else b""
+        return ids + (self.parts.get(marks) or self._part(marks)) if marks else ids
 
     def encode_whole(self, text: str) -> np.ndarray:
         """Ids the library gives for ``text`` in one piece."""
@@ -94,12 +97,15 @@ class WordEncoder:
         at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         ids = list(map(self.words.get, distinct))
         if len(self.words) > WORD_ENTRIES:
-            self.words.clear()
+            # The older half goes, but for what the texts still use.
+            self.words = dict(islice(self.words.items(), WORD_ENTRIES // 2, None))
+        known, learn = self.words, self._word
         for k, found in enumerate(ids):
             if found is None:
-                ids[k] = found = self._word(distinct[k])
-                if len(distinct[k]) <= LONGEST_KEPT:
-                    self.words[distinct[k]] = found
+                word = distinct[k]
+                ids[k] = found = learn(word)
+                if len(word) <= LONGEST_KEPT:
+                    known[word] = found
         pool = np.frombuffer(b"".join(ids), np.uint32)
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         start = np.cumsum(size) - size

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
-BATCH_ROWS = 512
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 8192
+BATCH_BYTES = 4 << 20
 
 # ASCII white space; every other byte of UTF-8 belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
