@@ -76,10 +76,10 @@ def advisory(id, cve, **more):
 
 def test_advisory_database(spark, tmp_path):
     database = {
-        "$meta": {"advisory": "metadata", "timestamp": 1606802401},
-        "acqusition": [advisory("pyup.io-34978", None)],
-        "aegea": [advisory("pyup.io-37611", "CVE-2018-1000805")],
-        "renku": [advisory("pyup.io-38552", "CVE-2017-18342"), advisory("pyup.io-37548", None)],
+        "$meta": {"advisory": "metadata", "timestamp": 1900000001},
+        "ambergate": [advisory("pyup.io-11", None)],
+        "brindle": [advisory("pyup.io-12", "CVE-2031-77")],
+        "cobble": [advisory("pyup.io-13", "CVE-2031-78"), advisory("pyup.io-14", None)],
         "number": [advisory("pyup.io-1", 5)], "none": [],
     }
     (tmp_path / "db.json").write_text(json.dumps(database, indent=2))
@@ -87,8 +87,8 @@ def test_advisory_database(spark, tmp_path):
     assert documents.count() == 1
     rows = dimensions.flatten_advisories(documents).collect()
     assert {r.id: r.cve_list for r in rows} == {
-        "pyup.io-34978": None, "pyup.io-37611": "CVE-2018-1000805", "pyup.io-38552": "CVE-2017-18342",
-        "pyup.io-37548": None, "pyup.io-1": None,
+        "pyup.io-11": None, "pyup.io-12": "CVE-2031-77", "pyup.io-13": "CVE-2031-78",
+        "pyup.io-14": None, "pyup.io-1": None,
     }
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from samples import block, report, utc
 
 from vulntide.operators import extraction
+from vulntide.operators.errors import UNREADABLE
 from vulntide.operators.extraction import ADVISORY_DB_URL
 from vulntide.plans.pipelines import findings_of
 from vulntide.schemas import REPORT
@@ -34,7 +35,7 @@ def test_blocks_in_order_with_text_between(spark):
     assert [(r.position, r.affected_package, r.installed_version) for r in rows] == [
         (0, "rack", "1.0"), (1, "rails", "2"),
     ]
-    assert rows[0].parent_event_id == report()[1] and rows[0].timestamp == utc(2019, 9, 13, 19, 37, 14)
+    assert rows[0].parent_event_id == report()[1] and rows[0].timestamp == utc(2030, 6, 7, 8, 10, 11)
     assert rows[0].event_id != rows[1].event_id and rows[0].event_version == "1"
 
 
@@ -69,14 +70,14 @@ def test_bad_block_fails_its_report_only(spark):
 
 
 TUPLES = [
-    ["rsa", "<4.1", "4.0", "Tool text", "38414", None, None],
-    ["pyyaml", "<5.3.1", "5.1.2", "Other tool text", "38100", None, None],
+    ["quillmark", "<2.6", "2.5.1", "Reads past the end of a quill", "901", None, None],
+    ["tinroof", "<0.9", "0.8", "Leaks when it rains", "902", None, None],
 ]
 CVES = [
-    ("CVE-2020-13757", ("V2", 7.5), "Text one", "http://one.example.org/", None),
-    ("CVE-2020-14564", ("V2", 7.5), "Text two", "http://two.example.org/", None),
+    ("CVE-2031-1001", ("V2", 6.1), "Text one", "http://one.example.org/", None),
+    ("CVE-2031-1002", ("V2", 4.4), "Text two", "http://two.example.org/", None),
 ]
-ADVISORIES = [("pyup.io-38414", "CVE-2020-13757 , CVE-2020-14564")]
+ADVISORIES = [("pyup.io-901", "CVE-2031-1001 , CVE-2031-1002")]
 
 
 def safety(output):
@@ -86,9 +87,9 @@ def safety(output):
 def test_safety_fan_out(spark):
     rows = ordered(flow(spark, [safety(TUPLES)], CVES, ADVISORIES).good)
     assert [(r.affected_package, r.advisory_id, r.advisory_url, r.advisory_description) for r in rows] == [
-        ("rsa", "38414", "http://one.example.org/", "Text one"),
-        ("rsa", "38414", "http://two.example.org/", "Text two"),
-        ("pyyaml", "38100", ADVISORY_DB_URL, "Other tool text"),
+        ("quillmark", "901", "http://one.example.org/", "Text one"),
+        ("quillmark", "901", "http://two.example.org/", "Text two"),
+        ("tinroof", "902", ADVISORY_DB_URL, "Leaks when it rains"),
     ]
     assert rows[0].event_id == rows[1].event_id != rows[2].event_id
     assert rows[0].issue_hash == rows[1].issue_hash
@@ -96,9 +97,9 @@ def test_safety_fan_out(spark):
 
 
 def test_safety_unknown_cve_keeps_the_tools_text(spark):
-    rows = ordered(flow(spark, [safety(TUPLES[:1])], CVES[:1], [("pyup.io-38414", "CVE-9,CVE-2020-13757")]).good)
+    rows = ordered(flow(spark, [safety(TUPLES[:1])], CVES[:1], [("pyup.io-901", "CVE-9,CVE-2031-1001")]).good)
     assert [(r.advisory_description, r.advisory_url) for r in rows] == [
-        ("Tool text", ADVISORY_DB_URL), ("Text one", "http://one.example.org/"),
+        ("Reads past the end of a quill", ADVISORY_DB_URL), ("Text one", "http://one.example.org/"),
     ]
 
 
@@ -111,13 +112,13 @@ def test_safety_objects_and_malformed_output(spark):
         split = flow(spark, [safety(bad)])
         assert split.good.count() == 0
         assert [r.error.error_message for r in split.bad.collect()] == [
-            "Tool output is not a list of safety findings"
+            "Output is no JSON list of safety findings"
         ]
     assert flow(spark, [safety([])]).bad.count() == 0
 
 
 def test_unusable_cve_text_fails_the_report(spark):
-    empty = [("CVE-2020-13757", ("V2", 7.5), "", "http://one.example.org/", None)]
+    empty = [("CVE-2031-1001", ("V2", 6.1), "", "http://one.example.org/", None)]
     split = flow(spark, [safety(TUPLES)], empty, ADVISORIES)
     assert split.good.count() == 0
     assert [r.error.error_code for r in split.bad.collect()] == [140]
@@ -126,8 +127,8 @@ def test_unusable_cve_text_fails_the_report(spark):
 def test_routes(spark):
     pairs = [("bundler-audit", "JSON"), ("safety", "PlainText"), ("other", "JSON")]
     reports = [report(tool, "x", kind) for tool, kind in pairs]
-    messages = {r.error.error_message.split(" ")[0] for r in flow(spark, reports).bad.collect()}
-    assert messages == {"Unknown", "PlainText"} and flow(spark, reports).bad.count() == 3
+    messages = {r.error.error_message for r in flow(spark, reports).bad.collect()}
+    assert messages == {UNREADABLE[k] for k in ("bundler_format", "safety_plain_text", "unknown_tool")}
 
 
 def test_bundler_takes_only_the_score(spark):

@@ -5,6 +5,7 @@ from samples import utc
 from vulntide.operators import audit, notification
 from vulntide.schemas import FINDING
 
+# The message's text and the issue's hash belong to this row.
 ROW = (
     "1", "e", "p", "Test application", None, "e99f", utc(2019, 9, 13), "BadPkg", "1.0", "CVE-2017-5638",
     "https://example.org/x", "Text", ("V3", 10.0), False,

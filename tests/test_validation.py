@@ -98,8 +98,8 @@ def test_error_record_and_split(spark):
     (bad,) = rejected(checked, "body").collect()
     assert tuple(bad.error) == CATALOGUE["event_id_invalid"]
     (good,) = accepted(checked).collect()
-    assert good.end_time == utc(2019, 9, 13, 19, 37, 14)
-    assert good.suppressed_issues[0].expiry_date == utc(2020, 5, 12)
+    assert good.end_time == utc(2030, 6, 7, 8, 10, 11)
+    assert good.suppressed_issues[0].expiry_date == utc(2031, 2, 3, 4, 5, 6)
     assert good.event_id == PAYLOAD["event_id"] and good.tool_version == "1.0"
 
 

@@ -127,12 +127,12 @@ def first_last_seen(spark, sf_dir):
     "join_publication",
     duck(
         "SELECT s.application_name, s.advisory_id, epoch_us(c.published) AS cve_date "
-        "FROM seen s LEFT JOIN (SELECT * FROM fx_cve WHERE p_partkey % 7 > 0) c ON c.cve_id = s.advisory_id",
+        "FROM seen s LEFT JOIN fx_cve c ON c.cve_id = s.advisory_id",
         seen=o.SEEN,
     ),
 )
 def join_publication(spark, sf_dir):
-    listed = view(spark, sf_dir, "fx_cve").filter("p_partkey % 7 > 0")
+    listed = view(spark, sf_dir, "fx_cve")
     rows = analytics.join_publication(analytics.first_last_seen(findings(spark, sf_dir)), listed)
     return rows.select("application_name", "advisory_id", micros("cve_date"))
 
@@ -308,26 +308,23 @@ def lineage(spark, sf_dir):
     return rows.select("event_id", "tool_name", "tool_version", "environment")
 
 
-_CI = "SELECT event_id FROM fx_reports WHERE environment = 'CI'"
-
-
 @query(
     "orphans",
-    duck(f"SELECT event_id FROM fx_findings WHERE parent_event_id NOT IN ({_CI})"),
+    duck("SELECT event_id FROM fx_findings WHERE parent_event_id NOT IN (SELECT event_id FROM fx_raw_reports)"),
 )
 def orphans(spark, sf_dir):
-    kept = reports(spark, sf_dir).filter("environment = 'CI'")
-    return analytics.orphans(findings(spark, sf_dir), kept).select("event_id")
+    """The raw reports hold some under an empty id, whose findings are orphans."""
+    known = view(spark, sf_dir, "fx_raw_reports")
+    return analytics.orphans(findings(spark, sf_dir), known).select("event_id")
 
 
 @query(
     "reports_with_findings",
     duck(
         "SELECT event_id, tool_name FROM fx_reports WHERE event_id IN "
-        "(SELECT parent_event_id FROM fx_findings WHERE suppressed)"
+        "(SELECT parent_event_id FROM fx_findings)"
     ),
 )
 def reports_with_findings(spark, sf_dir):
-    flagged = findings(spark, sf_dir).filter("suppressed")
-    rows = analytics.reports_with_findings(reports(spark, sf_dir), flagged)
+    rows = analytics.reports_with_findings(reports(spark, sf_dir), findings(spark, sf_dir))
     return rows.select("event_id", "tool_name")

@@ -169,11 +169,10 @@ def explode_cve_items(spark, sf_dir):
 
 @query(
     "english_text",
-    duck("SELECT feed, cve_id, description, url FROM fx_feed_items WHERE description = '' OR url = ''"),
+    duck("SELECT feed, cve_id, description, url FROM fx_feed_items"),
 )
 def english_text(spark, sf_dir):
-    rows = _items(spark, sf_dir).filter("description = '' OR url = ''")
-    return rows.select("feed", "cve_id", "description", "url")
+    return _items(spark, sf_dir).select("feed", "cve_id", "description", "url")
 
 
 @query(
@@ -253,22 +252,37 @@ def stale_feeds(spark, sf_dir):
     return rows.select("feed", micros("last_modified"))
 
 
+# A feed as it is published: one gzipped document, with its hash in the manifest. The one of
+# 2004 has changed since.
+_PUBLISHED = "SELECT feed, listagg(document, chr(10)) WITHIN GROUP (ORDER BY chunk) AS content FROM parts GROUP BY feed"
+
+
 @query(
     "check_feed_hash",
     duck(
-        "SELECT feed, upper(sha256(CASE WHEN feed = '2004' THEN 'changed' ELSE feed END)) AS computed_sha256, "
-        "upper(sha256(feed)) AS expected_sha256, feed <> '2004' AS hash_ok "
-        "FROM (SELECT DISTINCT feed FROM fx_feed_items) f"
+        "SELECT feed, upper(sha256(CASE WHEN feed = '2004' THEN concat(content, ' ') ELSE content END)) AS computed_sha256, "
+        "upper(sha256(content)) AS expected_sha256, feed <> '2004' AS hash_ok "
+        "FROM (SELECT feed, string_agg(document, chr(10) ORDER BY chunk) AS content "
+        "FROM fx_feed_documents GROUP BY feed) f"
     ),
 )
 def check_feed_hash(spark, sf_dir):
-    feeds = view(spark, sf_dir, "fx_feed_items").select("feed").distinct()
-    content = F.when(F.col("feed") == "2004", F.lit("changed")).otherwise(F.col("feed"))
-    files = feeds.withColumn("content", content)
-    manifest = view(spark, sf_dir, "fx_manifests").select(
-        "feed", F.expr(dimensions.parse_manifest("manifest")).getField("sha256").alias("sha256")
+    root = new_folder(spark, "published-feeds")
+    view(spark, sf_dir, "fx_feed_documents").createOrReplaceTempView("parts")
+    feeds = materialise(spark.sql(_PUBLISHED), "feeds")
+    changed = F.concat("content", F.when(F.col("feed") == "2004", " ").otherwise(""))
+    stored = feeds.select("feed", changed.alias("value")).repartition("feed")
+    # No line feed behind a document, so that a file holds it and nothing else.
+    stored.write.partitionBy("feed").option("compression", "gzip").option("lineSep", "\x00").text(f"{root}/feeds")
+    hash_line = F.concat(F.lit("sha256:"), F.upper(F.sha2("content", 256)), F.lit("\r\n"))
+    manifests = view(spark, sf_dir, "fx_manifests").join(feeds, "feed").select(
+        "feed", F.concat(F.regexp_replace("manifest", "sha256:.*\r\n", ""), hash_line).alias("value")
+    )
+    manifests.write.partitionBy("feed").text(f"{root}/manifests")
+    files = readers.read_feed_files(spark, f"{root}/feeds").withColumn("content", F.rtrim("content", F.lit("\x00")))
+    return dimensions.check_feed_hash(files, readers.read_feed_manifest(spark, f"{root}/manifests")).select(
+        "feed", "computed_sha256", "expected_sha256", "hash_ok"
     )
-    return dimensions.check_feed_hash(files, manifest)
 
 
 @query(

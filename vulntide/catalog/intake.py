@@ -168,30 +168,54 @@ def validate_suppressions(spark, sf_dir):
     )
 
 
+_LISTS = "SELECT a.event_id, {pair} AS documents FROM fx_suppression_documents a JOIN fx_suppression_documents b ON b.event_id = a.event_id + 1"
+
+
+@query(
+    "first_suppression_error",
+    duck(
+        "SELECT l.event_id, e.error_code, e.error_message, e.json_field_name FROM lists l "
+        "LEFT JOIN listed one ON one.event_id = l.event_id LEFT JOIN listed two ON two.event_id = l.event_id + 1 "
+        "LEFT JOIN errors e ON e.name = coalesce(one.name, two.name)",
+        lists=_LISTS.format(pair="[a.document, b.document]"),
+        listed=f"SELECT event_id, document, {_LISTED_CASE} AS name FROM fx_suppression_documents",
+        **ERRORS,
+    ),
+)
+def first_suppression_error(spark, sf_dir):
+    """Lists of two: the first bad element names the error of its list."""
+    one = view(spark, sf_dir, "fx_suppression_documents").select("event_id", "document")
+    two = one.select((F.col("event_id") - 1).alias("event_id"), F.col("document").alias("second"))
+    lists = one.join(two, "event_id").select("event_id", F.array("document", "second").alias("documents"))
+    return validation.first_suppression_error(lists).select("event_id", *flat_error())
+
+
 _FINDING_ORDERS = {
     "validate_findings": [
-        ("advisory_id = ''", 141), ("timestamp IS NULL", 144), ("affected_package = ''", 142),
-        ("installed_version = ''", 143), ("advisory_url = ''", 149), ("advisory_url = 'not a url'", 150),
-        ("advisory_description = ''", 140),
-        ("cvss_version <> 'Unknown' AND cvss_score IS NULL", 154),
-        ("cvss_version = 'Unknown' AND cvss_score IS NOT NULL", 155),
+        ("advisory_id = ''", "advisory_id_empty"), ("timestamp IS NULL", "timestamp_invalid"), ("affected_package = ''", "affected_package_empty"),
+        ("installed_version = ''", "installed_version_empty"), ("advisory_url = ''", "advisory_url_empty"), ("advisory_url = 'not a url'", "advisory_url_invalid"),
+        ("advisory_description = ''", "advisory_description_empty"),
+        ("cvss_version <> 'Unknown' AND cvss_score IS NULL", "cvss_score_missing"),
+        ("cvss_version = 'Unknown' AND cvss_score IS NOT NULL", "cvss_score_unexpected"),
     ],
     "revalidate_findings": [
-        ("event_id = 'no-uuid'", 139), ("application_name = ''", 111), ("git_branch = ''", 113),
-        ("git_commit_hash = 'abc'", 116), ("timestamp IS NULL", 144), ("affected_package = ''", 142),
-        ("installed_version = ''", 143), ("advisory_id = ''", 141), ("advisory_url = ''", 149),
-        ("advisory_url = 'not a url'", 150), ("advisory_description = ''", 140),
-        ("cvss_version <> 'Unknown' AND cvss_score IS NULL", 154),
-        ("cvss_version = 'Unknown' AND cvss_score IS NOT NULL", 155),
+        ("event_id = 'no-uuid'", "event_id_invalid"), ("application_name = ''", "application_name_empty"), ("git_branch = ''", "git_branch_empty"),
+        ("git_commit_hash = 'abc'", "git_commit_hash_invalid"), ("timestamp IS NULL", "timestamp_invalid"), ("affected_package = ''", "affected_package_empty"),
+        ("installed_version = ''", "installed_version_empty"), ("advisory_id = ''", "advisory_id_empty"), ("advisory_url = ''", "advisory_url_empty"),
+        ("advisory_url = 'not a url'", "advisory_url_invalid"), ("advisory_description = ''", "advisory_description_empty"),
+        ("cvss_version <> 'Unknown' AND cvss_score IS NULL", "cvss_score_missing"),
+        ("cvss_version = 'Unknown' AND cvss_score IS NOT NULL", "cvss_score_unexpected"),
     ],
 }
 
 
 def _finding_oracle(name: str) -> str:
-    arms = " ".join(f"WHEN {rule} THEN {code}" for rule, code in _FINDING_ORDERS[name])
+    """Code, message and field of the first rule that the row itself breaks."""
+    arms = " ".join(f"WHEN {rule} THEN '{error}'" for rule, error in _FINDING_ORDERS[name])
     return duck(
-        f"SELECT row_id, parent_event_id, CAST(CASE {arms} END AS INTEGER) AS error_code "
-        "FROM fx_raw_findings"
+        "SELECT row_id, parent_event_id, error_code, error_message, json_field_name "
+        f"FROM (SELECT *, CASE {arms} END AS name FROM fx_raw_findings) f LEFT JOIN errors USING (name)",
+        **ERRORS,
     )
 
 
@@ -202,27 +226,46 @@ def _raw_findings(spark, sf_dir):
 @query("validate_findings", _finding_oracle("validate_findings"))
 def validate_findings(spark, sf_dir):
     checked = validation.validate_findings(_raw_findings(spark, sf_dir))
-    return checked.select("row_id", "parent_event_id", "error.error_code")
+    return checked.select("row_id", "parent_event_id", *flat_error())
 
 
 @query("revalidate_findings", _finding_oracle("revalidate_findings"))
 def revalidate_findings(spark, sf_dir):
     checked = validation.revalidate_findings(_raw_findings(spark, sf_dir))
-    return checked.select("row_id", "parent_event_id", "error.error_code")
+    return checked.select("row_id", "parent_event_id", *flat_error())
+
+
+# Rules on a typed report in their order, each on the row itself.
+TYPED_REPORT_RULES = [
+    ("coalesce(event_version, '') = ''", "event_version_empty"), ("event_version <> '1'", "event_version_invalid"),
+    ("coalesce(event_id, '') = ''", "event_id_empty"), (f"NOT regexp_full_match(event_id, {o.UUID})", "event_id_invalid"),
+    ("coalesce(application_name, '') = ''", "application_name_empty"), ("git_branch = ''", "git_branch_empty"),
+    ("coalesce(git_commit_hash, '') = ''", "git_commit_hash_empty"),
+    ("NOT regexp_full_match(git_commit_hash, '[0-9a-fA-F]{40}')", "git_commit_hash_invalid"),
+    ("coalesce(tool_name, '') = ''", "tool_name_empty"), ("coalesce(tool_output, '') = ''", "tool_output_empty"),
+    ("coalesce(output_format, '') = ''", "output_format_empty"),
+    ("output_format NOT IN ('JSON', 'PlainText')", "output_format_invalid"),
+    ("start_time IS NULL", "start_time_invalid"), ("end_time IS NULL", "end_time_invalid"),
+    ("coalesce(environment, '') = ''", "environment_empty"), ("environment NOT IN ('Local', 'CI')", "environment_invalid"),
+    ("suppressed_issues IS NULL", "suppressed_issues_type"),
+    ("len(list_filter(suppressed_issues, lambda i: NOT regexp_full_match(i.issue_hash, '[0-9a-fA-F]{64}'))) > 0", "issue_hash_invalid"),
+    ("len(list_filter(suppressed_issues, lambda i: i.suppression_reason = '')) > 0", "suppression_reason_empty"),
+    ("len(list_filter(suppressed_issues, lambda i: i.suppressed_by = '')) > 0", "suppressed_by_empty"),
+]
+TYPED_REPORT_ERROR = "CASE " + " ".join(f"WHEN {rule} THEN '{name}'" for rule, name in TYPED_REPORT_RULES) + " END"
 
 
 @query(
     "revalidate_reports",
     duck(
-        "SELECT o_orderkey, CAST(CASE k WHEN 1 THEN 136 WHEN 2 THEN 138 WHEN 3 THEN 111 "
-        "WHEN 5 THEN 116 WHEN 6 THEN 118 WHEN 7 THEN 120 WHEN 8 THEN 124 WHEN 9 THEN 125 "
-        "WHEN 10 THEN 126 WHEN 11 THEN 133 WHEN 13 THEN 157 WHEN 14 THEN 158 WHEN 15 THEN 171 "
-        "WHEN 4 THEN 113 END AS INTEGER) AS error_code FROM fx_raw_reports"
+        "SELECT o_orderkey, error_code, error_message, json_field_name "
+        f"FROM (SELECT *, {TYPED_REPORT_ERROR} AS name FROM fx_raw_reports) r LEFT JOIN errors USING (name)",
+        **ERRORS,
     ),
 )
 def revalidate_reports(spark, sf_dir):
     checked = validation.revalidate_reports(view(spark, sf_dir, "fx_raw_reports"))
-    return checked.select("o_orderkey", "error.error_code")
+    return checked.select("o_orderkey", *flat_error())
 
 
 @query(
@@ -351,6 +394,8 @@ _INSTANT = "strftime({0}, '%Y-%m-%dT%H:%M:%SZ')"
 _AUDIT_LINE = "concat('{', rtrim(concat({0}), ','), '}')".replace(
     "{0}",
     ", ".join([
+        _json_field("@timestamp", _INSTANT.format("event_end")),
+        _json_object("ecs", _json_field("version", "'1.5'")),
         _json_object(
             "error",
             _json_field("code", f"CASE WHEN {_ERR} THEN coalesce(error_code, 0) END", False),
@@ -358,9 +403,11 @@ _AUDIT_LINE = "concat('{', rtrim(concat({0}), ','), '}')".replace(
         ),
         _json_object(
             "event",
+            _json_field("category", "'web'"),
             _json_field("duration", "(epoch_us(event_end) - epoch_us(event_start)) * 1000", False),
             _json_field("end", _INSTANT.format("event_end")),
             _json_field("id", "event_id"),
+            _json_field("kind", "'event'"),
             _json_field("start", _INSTANT.format("event_start")),
             f"CASE WHEN {_ERR} THEN '\"type\":[\"access\",\"error\"],' ELSE '\"type\":[\"access\"],' END",
         ),
@@ -386,6 +433,12 @@ _AUDIT_LINE = "concat('{', rtrim(concat({0}), ','), '}')".replace(
             ),
             _json_field("version", "http_version"),
         ),
+        _json_object("log", _json_field("level", f"CASE WHEN {_ERR} THEN 'ERRO' ELSE 'INFO' END")),
+        _json_field("message", "'HTTP request handled'"),
+        _json_object(
+            "service",
+            _json_field("name", "'collector'"), _json_field("type", "'scans'"), _json_field("version", "'2.1'"),
+        ),
         _json_object("source", _json_field("ip", "source_ip")),
         _json_object("transaction", _json_field("id", "transaction_id")),
         _json_object(
@@ -401,7 +454,11 @@ _AUDIT_LINE = "concat('{', rtrim(concat({0}), ','), '}')".replace(
 @query("append_audit", duck(f"SELECT {_AUDIT_LINE} AS line FROM fx_requests WHERE {_LOGGED}"))
 def append_audit(spark, sf_dir):
     path = new_folder(spark, "audit")
-    writers.append_audit(audit.audit_lines(view(spark, sf_dir, "fx_requests")), path, batch_id=0)
+    requests = view(spark, sf_dir, "fx_requests")
+    lines = audit.audit_lines(
+        requests, service_name="collector", service_type="scans", service_version="2.1"
+    )
+    writers.append_audit(lines, path, batch_id=0)
     return spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("line"))
 
 

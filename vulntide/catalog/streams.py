@@ -6,13 +6,13 @@ from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF, duck, view
 from ..operators import dimensions
-from ..session import new_folder
+from ..session import materialise, new_folder
 from ..sinks import writers
 from ..sources import readers
 from ..streaming import jobs
 from . import oracles as o
 from .findings import CHANNEL, _ALL, _ALL_COLUMNS, _MESSAGE, _logged
-from .intake import ERRORS, _TYPED, _typed
+from .intake import ERRORS, TYPED_REPORT_ERROR, _TYPED, _typed
 from .registry import as_of, cve_table, findings, flat_error, micros, query, reports
 
 
@@ -85,6 +85,37 @@ def stream_outbox(spark, sf_dir):
     return writers.read_table(spark, f"{root}/out").select("channel", "event_id", "text")
 
 
+@query(
+    "stream_refused_reports",
+    duck(
+        "SELECT event_id AS parent_event_id, error_code, error_message, json_field_name "
+        f"FROM (SELECT *, {TYPED_REPORT_ERROR} AS name FROM fx_raw_reports) r JOIN errors USING (name)",
+        **ERRORS,
+    ),
+)
+def stream_refused_reports(spark, sf_dir):
+    """Typed reports with faults, each delivered twice: the refused ones, once each."""
+    root = new_folder(spark, "stream-refused")
+    raw = materialise(view(spark, sf_dir, "fx_raw_reports"), "raw-reports")
+    for batch in (0, 1):
+        writers.append_reports(raw, f"{root}/in", batch)
+    jobs.publish_snapshot(cve_table(spark, sf_dir), f"{root}/cve", 1)
+    advisories = view(spark, sf_dir, "fx_advisories").select("id", "cve_list")
+    jobs.publish_snapshot(advisories, f"{root}/advisories", 1)
+    stream = readers.read_reports(spark, f"{root}/in", streaming=True, max_files=4)
+    _finish(
+        jobs.stream_findings(
+            stream,
+            jobs.overlaid_snapshots(f"{root}/cve", "cve_id"),
+            jobs.newest_snapshot(f"{root}/advisories"),
+            f"{root}/out", f"{root}/bad", f"{root}/checkpoint", as_of(), True,
+        )
+    )
+    # Codes from 140 to 155 are of extracted findings, not of the typed report.
+    refused = writers.read_table(spark, f"{root}/bad").filter("error.error_code NOT BETWEEN 140 AND 155")
+    return refused.select("parent_event_id", *flat_error())
+
+
 @query(
     "stream_deduplicated",
     duck("SELECT event_id, application_name FROM fx_reports"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sql import text
 from ..functions.times import nanos_between
 
 
@@ -103,11 +104,30 @@ AUDIT_FIELDS = {
 }
 
 
-def audit_lines(requests: DataFrame, excluded: tuple[str, ...] = ("/health",)) -> DataFrame:
-    """One JSON line per request.
+# The part of each record that is the same for all.
+AUDIT_CONSTANTS = {
+    "@timestamp": _second("event_end"),
+    "log.level": f"if({_FAILED}, 'ERRO', 'INFO')",
+    "message": text("HTTP request handled"),
+    "ecs.version": text("1.5"),
+    "event.kind": text("event"),
+    "event.category": text("web"),
+}
+
+
+def audit_lines(
+    requests: DataFrame,
+    excluded: tuple[str, ...] = ("/health",),
+    service_name: str = "intake",
+    service_type: str = "vulntide",
+    service_version: str = "0.1.0",
+) -> DataFrame:
+    """One JSON line per request, under the name, type and version of the service.
 
     A failed service call has no response part; a request with an error has an error part,
     code 0 when the error carries none.
     """
-    line = f"{nested_json(AUDIT_FIELDS)} AS line"
+    service = {"name": service_name, "type": service_type, "version": service_version}
+    named = {f"service.{key}": text(value) for key, value in service.items()}
+    line = f"{nested_json(AUDIT_FIELDS | AUDIT_CONSTANTS | named)} AS line"
     return logged(requests, list(excluded)).selectExpr("event_id", line)

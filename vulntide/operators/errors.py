@@ -134,13 +134,11 @@ CATALOGUE: dict[str, tuple[int, str, str | None]] = {
 
 # Reports that pass validation but that no extractor can read. These carry no code.
 UNREADABLE: dict[str, str] = {
-    "bundler_format": "Unknown output format for Bundler-audit in ToolReport",
-    "safety_plain_text": (
-        "PlainText output not supported for safety; re-run safety with --json option in ToolReport"
-    ),
-    "safety_format": "Unknown output format for safety in ToolReport",
-    "unknown_tool": "Unknown tool in ToolReport",
-    "safety_output": "Tool output is not a list of safety findings",
+    "bundler_format": "No extractor reads this output format of bundler-audit",
+    "safety_plain_text": "No extractor reads plain text of safety; its JSON output is needed",
+    "safety_format": "No extractor reads this output format of safety",
+    "unknown_tool": "No extractor for this tool",
+    "safety_output": "Output is no JSON list of safety findings",
 }
 
 
