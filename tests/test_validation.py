@@ -100,7 +100,7 @@ def test_error_record_and_split(spark):
     (good,) = accepted(checked).collect()
     assert good.end_time == utc(2030, 6, 7, 8, 10, 11)
     assert good.suppressed_issues[0].expiry_date == utc(2031, 2, 3, 4, 5, 6)
-    assert good.event_id == PAYLOAD["event_id"] and good.tool_version == "1.0"
+    assert good.event_id == PAYLOAD["event_id"] and good.tool_version == "3.2"
 
 
 def test_first_failing_field_wins(spark):
