@@ -13,15 +13,17 @@ SHARE = 1.5
 EPOCHS = 2
 SEED = 20_231
 
+DRAW_DIGITS = 15  # hexadecimal digits of a draw
 CELL_BITS = 10  # draws fall into 2**10 cells per source
-_SHIFT = 63 - CELL_BITS
+_SHIFT = 4 * DRAW_DIGITS - CELL_BITS
 _NEW = ["size", "source_size", "target", "copies", "taken"]
 
 
 def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seed: int = SEED) -> DataFrame:
-    """``docs`` with ``size`` (words of the text) and ``draw`` (its seeded place, 63 bits)."""
+    """``docs`` with ``size`` (words of the text) and ``draw`` (its seeded place, 60 bits of a digest)."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    draw = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).bitwiseAND(F.lit((1 << 63) - 1))
+    named = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(text))
+    draw = F.conv(F.substring(F.md5(named), 1, DRAW_DIGITS), 16, 10).cast("long")
     return docs.drop("size", "draw").withColumns({"size": size, "draw": draw})
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, mixing, neardup, pages, quality, secretscan, shards, tokenfiles, tokens, vectors
+from .oracles import ORACLES  # noqa: F401  (registered beside the queries)
 from .tables import table
 
 
@@ -82,5 +83,3 @@ QUERIES = {
         op10_near_duplicates,
     )
 }
-
-ORACLES: dict[str, str] = {}
