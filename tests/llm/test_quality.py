@@ -40,6 +40,9 @@ def test_lines_are_judged_before_the_document(spark):
         "symbols": ([f"word{k}*** other{k}$$$ thing{k}### that&&& here%%% more*** words$$$ again{k}###." for k in range(9)] + prose[:1], False, None),
         "shouting": ["BUY THIS%d THING NOW%d AND SAVE%d A LOT OF MONEY%d TODAY NUMBER %d!!" % (k, k, k, k, k) for k in range(20)],
         "no end": (prose + ["a line that just stops without an"], True, prose),
+        "cut off": (prose + ["A sentence. And one that is cut off at"], True, prose + ["A sentence. And one that is cut off at"]),
+        "short with a licence": (["Few words here."] + ["This work is licensed under the GNU General Public License, version 3."], True, ["Few words here."]),
+        "licence alone": (["This work is licensed under the GNU General Public License, version 3."], False, None),
         "wide end": (prose + ["これは 日本語 の 文 です。"], True, prose + ["これは 日本語 の 文 です。"]),
     }
     cases["shouting"] = (cases["shouting"], False, None)

@@ -65,17 +65,18 @@ line AS (
          len(regexp_extract_all(line, '[a-zß-ÿ]')) AS small
   FROM cut),
 judged AS (
-  SELECT *, words > 0 AND (
-    (words >= {quality.LONG_LINE} AND NOT regexp_matches(line, '[{_quoted(_ENDS)}][\x20\x09-\x0D]*$'))
+  SELECT *, words > 0 AND regexp_matches(line, '{_quoted(quality.BOILERPLATE)}', 'i') AS notice,
+    words > 0 AND (
+    (words >= {quality.LONG_LINE} AND NOT regexp_matches(line, '[{_quoted(_ENDS)}]([\x20\x09-\x0D]|$)'))
     OR (separators >= 3 AND separators > {quality.MOST_SEPARATORS}::DOUBLE * words)
     OR symbols > {quality.MOST_SYMBOLS}::DOUBLE * words
-    OR (capitals + small >= {quality.CAPITALS_FROM} AND capitals > {quality.MOST_CAPITALS}::DOUBLE * (capitals + small))
-    OR regexp_matches(line, '{_quoted(quality.BOILERPLATE)}', 'i')) AS failed
+    OR (capitals + small >= {quality.CAPITALS_FROM} AND capitals > {quality.MOST_CAPITALS}::DOUBLE * (capitals + small))) AS failed
   FROM line),
 lines AS (
-  SELECT doc_id, coalesce(sum(words) FILTER (failed), 0)::BIGINT AS lost_words,
+  SELECT doc_id, coalesce(sum(words) FILTER (failed OR notice), 0)::BIGINT AS lost_words,
+         coalesce(sum(words) FILTER (notice), 0)::BIGINT AS notice_words,
          (count(*) FILTER (words > 0) - count(DISTINCT line) FILTER (words > 0))::BIGINT AS n_dup_lines,
-         coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT failed), '') AS clean_text
+         coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT (failed OR notice)), '') AS clean_text
   FROM judged GROUP BY doc_id),
 windows AS (
   SELECT doc_id, i, array_to_string(words[i : i + {quality.WINDOW - 1}], ' ') AS words
@@ -87,14 +88,14 @@ repeats AS (SELECT doc_id, count(DISTINCT place)::BIGINT AS n_repeat_words FROM
 f AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, len(array_to_string(words, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(array_to_string(words, ' '), '{_SYMBOLS}'))::BIGINT AS n_symbols,
-         n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost_words, clean_text
+         n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, lost_words, notice_words, clean_text
   FROM w JOIN lines USING (doc_id) LEFT JOIN repeats USING (doc_id)),
 b AS (
   SELECT *, n_words < {quality.LEAST_WORDS} OR 100 * n_repeat_words > {quality.MOST_REPEATED} * n_words AS base_failed
   FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost_words, base_failed,
-       NOT base_failed AND lost_words <= {quality.MOST_LOST}::DOUBLE * n_words
-         AND n_words - lost_words >= {quality.LEAST_WORDS} AS kept,
+       NOT base_failed AND lost_words - notice_words <= {quality.MOST_LOST}::DOUBLE * (n_words - notice_words)
+         AND n_words > notice_words AS kept,
        sha256(clean_text) AS clean_sha256
 FROM b
 """

@@ -24,11 +24,11 @@ SYMBOLS = b"#*$%&<|>"
 MOST_SYMBOLS = 0.5  # per word
 MOST_CAPITALS = 0.8  # of at least twenty letters
 CAPITALS_FROM = 20
-LONG_LINE = 3  # words from which a line has to end as a sentence
+LONG_LINE = 3  # words from which a line has to hold the end of a sentence or clause
 LINE_ENDS = b".!?:;,\"')]}"
 WIDE_ENDS = ("…", "”", "’", "»", "。", "！", "？", "」")
 
-# A document that loses more than this share of its words goes.
+# A document goes if more than this share of its words, notices aside, is in failed lines.
 MOST_LOST = 0.5
 
 # Phrases of notices, menus and licences.
@@ -79,8 +79,13 @@ def duplicate_lines(flat: FlatText, lines: Lines) -> np.ndarray:
     return np.bincount(lines.doc[at[again]], minlength=len(flat))
 
 
-def failed_lines(flat: FlatText, lines: Lines, texts: pa.Array) -> np.ndarray:
-    """Lines that break a rule: no end of a sentence, menu, symbols, capitals, boilerplate."""
+def failed_lines(flat: FlatText, lines: Lines, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lines that break a rule, and those that are notices.
+
+    A line fails without any end of a sentence or clause, as a menu, by its symbols or by its
+    capitals. Notices (licences, rights, cookies) are cut as well, but tell nothing about the
+    text that they stand beside.
+    """
     b = flat.bytes
 
     def per_line(mask: np.ndarray) -> np.ndarray:
@@ -98,26 +103,23 @@ def failed_lines(flat: FlatText, lines: Lines, texts: pa.Array) -> np.ndarray:
     letters = capitals + small
 
     spoken = lines.words > 0
-    ends = np.zeros(len(lines.start), np.int64)
-    ends[spoken] = flat.last[lines.high[spoken] - 1]
-    closes = np.zeros(len(ends), bool)
-    closes[spoken] = np.isin(b[ends[spoken] - 1], np.frombuffer(LINE_ENDS, np.uint8))
-    for k in np.flatnonzero(spoken & ~closes):
-        closes[k] = b[max(ends[k] - 3, 0) : ends[k]].tobytes().endswith(tuple(e.encode() for e in WIDE_ENDS))
+    closing = np.concatenate([[0], np.cumsum(among(LINE_ENDS)[flat.last - 1])])
+    closes = closing[lines.high] > closing[lines.low]
+    for k in np.flatnonzero(spoken & ~closes & (lines.words >= LONG_LINE)):
+        line = b[lines.start[k] : lines.end[k]].tobytes().decode()
+        closes[k] = any(word.endswith(WIDE_ENDS) for word in line.split())
 
     fails = spoken & ~closes & (lines.words >= LONG_LINE)
     fails |= (separators >= 3) & (separators > MOST_SEPARATORS * lines.words)
     fails |= spoken & (symbols > MOST_SYMBOLS * lines.words)
     fails |= (letters >= CAPITALS_FROM) & (capitals > MOST_CAPITALS * letters)
+    notices = np.zeros(len(fails), bool)
     suspects = pc.fill_null(pc.match_substring_regex(texts, BOILERPLATE, ignore_case=True), False)
     for doc in np.flatnonzero(suspects.to_numpy(zero_copy_only=False)):
-        own = np.flatnonzero(lines.doc == doc) if len(lines.doc) < 64 else np.arange(
-            *np.searchsorted(lines.doc, [doc, doc + 1])
-        )
-        for k in own:
+        for k in range(*np.searchsorted(lines.doc, [doc, doc + 1])):
             if _BOILERPLATE.search(b[lines.start[k] : lines.end[k]].tobytes().decode()):
-                fails[k] = True
-    return fails & spoken
+                notices[k] = True
+    return fails & spoken & ~notices, notices & spoken
 
 
 def apply_rules(
@@ -129,8 +131,7 @@ def apply_rules(
     base_failed, kept``, and ``clean`` (null: not wanted), the text without the lines that
     break a rule. A document fails the base rules with fewer than ``LEAST_WORDS`` words or
     more than ``MOST_REPEATED`` per cent of them in repeated windows; it is kept if it passes
-    them and the line rules take no more than ``MOST_LOST`` of its words and leave it
-    ``LEAST_WORDS``. A null text has no words, so it fails, and its cleaned text is empty.
+    them and no more than ``MOST_LOST`` of its words, notices aside, are in lines that fail. A null text has no words, so it fails, and its cleaned text is empty.
     Rows are judged alone: repeated rows get equal verdicts, an empty table stays empty.
     No shuffle; columns of the new names are replaced.
     """
@@ -143,10 +144,15 @@ def apply_rules(
             words = np.diff(flat.doc_first)
             chars = flat.per_doc(~flat.space & (flat.bytes & 0xC0 != 0x80))
             repeats = repeated_words(flat)
-            failed = failed_lines(flat, lines, texts)
-            lost = np.bincount(lines.doc, weights=lines.words * failed, minlength=len(flat)).astype(np.int64)
+            faults, notices = failed_lines(flat, lines, texts)
+            failed = faults | notices
+            faulty, noticed = (
+                np.bincount(lines.doc, weights=lines.words * some, minlength=len(flat)).astype(np.int64)
+                for some in (faults, notices)
+            )
+            lost, own = faulty + noticed, words - noticed
             base = (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * words)
-            kept = ~base & (lost <= MOST_LOST * words) & (words - lost >= LEAST_WORDS)
+            kept = ~base & (faulty <= MOST_LOST * own) & (own > 0)
             out = [
                 pa.array(n.astype(np.int64))
                 for n in (words, chars, flat.per_doc(_COUNTED[flat.bytes]), duplicate_lines(flat, lines), repeats, lost)
