@@ -89,15 +89,25 @@ def test_hot_suppressed_issue_is_split(spark, shuffled):
     assert "skew=true" in plan and len(rows) == N - N // 3
 
 
-def test_findings_without_a_cve_spread_over_the_partitions(spark, shuffled):
-    split = findings(spark).withColumns({
-        "position": F.lit(0), "cve_position": F.lit(0), "advisory_url": F.lit("http://x/"),
-        "advisory_description": F.lit("d"), "cve_id": F.lit(None).cast("string"),
+def test_hot_advisory_is_split(spark, shuffled):
+    hot = F.when(F.col("advisory_id") == "CVE-hot", "7").otherwise(F.substring("advisory_id", 5, 9))
+    rows = findings(spark).withColumns({
+        "position": F.lit(0), "advisory_url": F.lit("http://x/"), "advisory_description": F.lit("d"),
+        "advisory_id": hot,
     })
-    cve = spark.createDataFrame([("CVE-1", ("V2", 1.0), "d", "http://x/")],
+    cve = spark.createDataFrame([("CVE-1", ("V2", 1.0), "e", "http://y/"), ("CVE-2", ("V2", 2.0), "", "http://y/")],
                                 "cve_id string, cvss struct<version string, score float>, description string, url string")
-    rows, plan = run(enrichment._with_cve(split, cve).select("event_id", F.spark_partition_id().alias("p")))
-    sizes = {}
-    for r in rows:
-        sizes[r.p] = sizes.get(r.p, 0) + 1
-    assert len(rows) == N and max(sizes.values()) < N / 3
+    advisories = spark.createDataFrame([("pyup.io-7", "CVE-1, CVE-2"), ("pyup.io-8", None), ("pyup.io-9", "CVE-3")],
+                                       "id string, cve_list string")
+    checked = enrichment.checked_safety_fan_out(rows, advisories, cve)
+    out, plan = run(checked.groupBy("advisory_known", "cve_id", "failed", "advisory_description").count())
+    counts = {tuple(r)[:4]: r["count"] for r in out}
+    sevens = N // 3 + sum(1 for i in range(N) if i % 3 and i % 5000 == 7)
+    eights, nines = (sum(1 for i in range(N) if i % 3 and i % 5000 == k) for k in (8, 9))
+    assert counts == {
+        (True, "CVE-1", None, "e"): sevens, (True, "CVE-2", "advisory_description_empty", ""): sevens,
+        (True, None, None, "d"): eights, (True, "CVE-3", None, "d"): nines,
+        (False, None, None, "d"): N - sevens - eights - nines,
+    }
+    rows, plan = run(checked.select("event_id"))
+    assert "skew=true" in plan

@@ -46,42 +46,69 @@ def split_cves(looked_up: DataFrame) -> DataFrame:
     return looked_up.select("*", F.expr(f"posexplode({cves}) AS (cve_position, cve_id)"))
 
 
-def _with_cve(split: DataFrame, cve: DataFrame) -> DataFrame:
-    """Score, text and URL replaced together where the CVE is known.
+def _checked_cve(cve: DataFrame) -> DataFrame:
+    """CVEs with what they replace in a finding, and the error of an unusable one.
 
-    A CVE's URL is normalised and its fields are checked once, before the join, and not
-    for every finding that refers to it.
+    A CVE's URL is normalised and its fields are checked here, once, and not for every
+    finding that refers to it.
     """
     failed = first_of(
         fails("url = ''", "advisory_url_empty"),
         fails("_url IS NULL", "advisory_url_invalid"),
         fails("description = ''", "advisory_description_empty"),
     )
-    known = with_computed(cve, _url=normalise_url("url")).select(
+    return with_computed(cve, _url=normalise_url("url")).select(
         F.col("cve_id").alias("_cve"),
-        F.struct("cvss", "description", F.col("_url").alias("url")).alias("_hit"),
+        F.struct("cvss", "description", F.col("_url").alias("url")).alias("hit"),
         F.expr(failed).alias("failed"),
     )
-    # Findings without a CVE match nothing. Under one null key they would all meet in one
-    # partition of a shuffled join, so each gets a key of its own.
-    key = F.coalesce("cve_id", F.concat(F.lit("none "), "event_id", F.lit(" "), "position"))
-    joined = split.join(known, key == F.col("_cve"), "left")
-    hit = F.col("_cve").isNotNull()
-    taken = lambda new, old: F.when(hit, F.col(new)).otherwise(F.col(old))
-    return joined.withColumns(
-        {
-            "cvss": taken("_hit.cvss", "cvss"),
-            "advisory_url": taken("_hit.url", "advisory_url"),
-            "advisory_description": taken("_hit.description", "advisory_description"),
-        }
-    ).drop("_cve", "_hit")
+
+
+def cves_by_advisory(advisories: DataFrame, cve: DataFrame) -> DataFrame:
+    """``_id, cve_list, hits`` per advisory: its CVEs in order, each with its record.
+
+    The two enrichment tables meet here, at their own size, so that the findings need one
+    join. An advisory without a list has one entry without a CVE. The list is one
+    advisory's own, which bounds the row.
+    """
+    split = split_cves(advisories.select(F.col("id").alias("_id"), "cve_list"))
+    # Entries without a CVE match nothing, and each has a key of its own.
+    key = F.coalesce("cve_id", F.concat(F.lit("none "), "_id"))
+    joined = split.join(_checked_cve(cve), key == F.col("_cve"), "left")
+    entry = F.struct("cve_position", "cve_id", "hit", "failed")
+    return joined.groupBy("_id", "cve_list").agg(F.sort_array(F.collect_list(entry)).alias("hits"))
 
 
 def checked_safety_fan_out(
     findings: DataFrame, advisories: DataFrame, cve: DataFrame
 ) -> DataFrame:
-    """Fan-out rows with ``failed`` set where the CVE's own text or URL is unusable."""
-    return _with_cve(split_cves(lookup_advisory(findings, advisories)), cve)
+    """Fan-out rows with ``failed`` set where the CVE's own text or URL is unusable.
+
+    Score, text and URL are replaced together where the CVE is known. The advisories with
+    their CVEs are stored, so their size is known to the join, and a hot advisory is split.
+    """
+    known = materialise(cves_by_advisory(advisories, cve), "advisory-cves")
+    joined = findings.join(
+        known, F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id")) == F.col("_id"), "left"
+    )
+    kind = known.schema["hits"].dataType.elementType
+    unknown = F.array(F.struct(*[
+        (F.lit(0) if f.name == "cve_position" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind
+    ]))
+    rows = joined.select("*", F.explode(F.coalesce("hits", unknown)).alias("e")).withColumn(
+        "advisory_known", F.col("_id").isNotNull()
+    )
+    taken = lambda new, old: F.when(F.col("e.hit").isNotNull(), F.col(f"e.hit.{new}")).otherwise(F.col(old))
+    return rows.withColumns(
+        {
+            "cve_position": F.col("e.cve_position"),
+            "cve_id": F.col("e.cve_id"),
+            "failed": F.col("e.failed"),
+            "cvss": taken("cvss", "cvss"),
+            "advisory_url": taken("url", "advisory_url"),
+            "advisory_description": taken("description", "advisory_description"),
+        }
+    ).drop("_id", "hits", "e")
 
 
 def failed_reports(checked: DataFrame) -> DataFrame:

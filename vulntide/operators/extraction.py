@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -193,27 +192,38 @@ def _explode(checked: DataFrame, items: str, url: str) -> DataFrame:
     )
 
 
+def bundler_findings(checked: DataFrame) -> DataFrame:
+    """One row per block of checked reports, in block order."""
+    return _explode(checked, "blocks", normalise_url("item.advisory_url"))
+
+
+def safety_findings(checked: DataFrame) -> DataFrame:
+    """One row per item of checked reports, before the CVE fan-out."""
+    return _explode(checked, "items", text(ADVISORY_DB_URL))
+
+
+def refused(checked: DataFrame) -> DataFrame:
+    """Checked reports with an error."""
+    bad = checked.filter("failed IS NOT NULL")
+    return bad.selectExpr("parent_event_id", f"{error_struct('failed')} AS error")
+
+
 def extract_bundler_findings(reports: DataFrame) -> DataFrame:
     """One row per block of the reports routed to ``bundler``, in block order."""
-    return _explode(checked_bundler_blocks(reports), "blocks", normalise_url("item.advisory_url"))
+    return bundler_findings(checked_bundler_blocks(reports))
 
 
 def extract_safety_findings(reports: DataFrame) -> DataFrame:
     """One row per finding of the reports routed to ``safety``, before the CVE fan-out."""
-    return _explode(checked_safety_items(reports), "items", text(ADVISORY_DB_URL))
-
-
-def _rejected(reports: DataFrame, check: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    bad = check(reports).filter("failed IS NOT NULL")
-    return bad.selectExpr("parent_event_id", f"{error_struct('failed')} AS error")
+    return safety_findings(checked_safety_items(reports))
 
 
 def rejected_bundler_reports(reports: DataFrame) -> DataFrame:
-    return _rejected(reports, checked_bundler_blocks)
+    return refused(checked_bundler_blocks(reports))
 
 
 def rejected_safety_reports(reports: DataFrame) -> DataFrame:
-    return _rejected(reports, checked_safety_items)
+    return refused(checked_safety_items(reports))
 
 
 def explode_batch(messages: DataFrame, records: str = "records") -> DataFrame:

@@ -16,15 +16,17 @@ from ..operators.enrichment import (
     without_failed_reports,
 )
 from ..operators.extraction import (
-    extract_bundler_findings,
-    extract_safety_findings,
-    rejected_bundler_reports,
-    rejected_safety_reports,
+    bundler_findings,
+    checked_bundler_blocks,
+    checked_safety_items,
+    refused,
     route_by_tool,
+    safety_findings,
     unroutable,
 )
 from ..operators.suppression import apply_suppressions
 from ..operators.validation import accepted, rejected, validate_reports
+from ..session import materialise
 
 
 @dataclass(frozen=True)
@@ -44,19 +46,23 @@ def intake(payloads: DataFrame, *keep: str) -> Split:
 def findings_of(
     reports: DataFrame, cve: DataFrame, advisories: DataFrame, as_of: Column | None = None
 ) -> Split:
-    """Report rows to enriched findings of all tools, with the suppression flag."""
+    """Report rows to enriched findings of all tools, with the suppression flag.
+
+    The parsed reports and the fan-out are stored when this is called.
+    """
     routed = route_by_tool(reports)
-    bundler = routed.filter("route = 'bundler'")
-    safety = routed.filter("route = 'safety'")
-    from_bundler = enrich_bundler(extract_bundler_findings(bundler), cve)
-    checked = checked_safety_fan_out(extract_safety_findings(safety), advisories, cve)
+    # Each report's output is parsed once; good and bad rows come from what is stored.
+    blocks = materialise(checked_bundler_blocks(routed.filter("route = 'bundler'")), "blocks")
+    items = materialise(checked_safety_items(routed.filter("route = 'safety'")), "items")
+    from_bundler = enrich_bundler(bundler_findings(blocks), cve)
+    checked = materialise(checked_safety_fan_out(safety_findings(items), advisories, cve), "fan-out")
     failed = failed_reports(checked)
     from_safety = without_failed_reports(checked, failed).drop("cve_list", "advisory_known")
     findings = apply_suppressions(union_findings(from_bundler, from_safety), as_of)
     bad = (
         unroutable(routed)
-        .unionByName(rejected_bundler_reports(bundler))
-        .unionByName(rejected_safety_reports(safety))
+        .unionByName(refused(blocks))
+        .unionByName(refused(items))
         .unionByName(rejected_fan_out(failed))
     )
     return Split(findings.drop("suppressed_issues"), bad)
