@@ -139,3 +139,11 @@ def test_row_order_changes_nothing(spark):
     frame = spark.createDataFrame(rows, "id int, body string")
     key = lambda df: sorted((r.id, r.error and r.error.error_message or "") for r in df.collect())
     assert key(validate_reports(frame)) == key(validate_reports(frame.orderBy("body").repartition(5)))
+
+
+def test_fixed_errors():
+    # Code, message and field of some errors, as their readers know them.
+    assert CATALOGUE["body_empty"] == (100, "Request body empty", None)
+    assert CATALOGUE["git_commit_hash_invalid"] == (116, "Git commit hash not valid", "git_commit_hash")
+    assert CATALOGUE["event_id_missing"] == (137, "Event ID missing", "event_version")
+    assert CATALOGUE["suppressed_by_empty"][0] == 171

@@ -104,16 +104,16 @@ def extract_safety_findings(spark, sf_dir):
 @query(
     "emission_order",
     duck(
-        "SELECT parent_event_id, string_agg(advisory_id, '|' ORDER BY position) AS advisories "
-        "FROM bundler WHERE NOT failed GROUP BY parent_event_id",
-        **o.BLOCKS_TO_FINDINGS,
+        "SELECT parent_event_id, position, advisory_id FROM bundler WHERE NOT failed "
+        "UNION ALL SELECT parent_event_id, position, advisory_id FROM safety_all WHERE failed IS NULL",
+        **o.BLOCKS_TO_FINDINGS, tuples=o.TUPLES, safety_all=o.SAFETY_ALL,
     ),
 )
 def emission_order(spark, sf_dir):
-    rows = extraction.extract_bundler_findings(_routed(spark, sf_dir, "bundler"))
-    listed = F.sort_array(F.collect_list(F.struct("position", "advisory_id")))
-    grouped = rows.groupBy("parent_event_id").agg(listed.alias("listed"))
-    return grouped.select("parent_event_id", F.array_join("listed.advisory_id", "|").alias("advisories"))
+    """The place of each finding in its report, for both tools."""
+    bundler = extraction.extract_bundler_findings(_routed(spark, sf_dir, "bundler"))
+    safety = extraction.extract_safety_findings(_routed(spark, sf_dir, "safety"))
+    return enrichment.union_findings(bundler, safety).select("parent_event_id", "position", "advisory_id")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF, duck, view
@@ -49,6 +50,30 @@ def stream_rejected(spark, sf_dir):
     return writers.read_table(spark, f"{root}/bad").select("body", *flat_error())
 
 
+@query(
+    "report_order",
+    duck("SELECT application_name, CAST(count(*) AS BIGINT) AS n, TRUE AS in_order FROM fx_reports GROUP BY application_name"),
+)
+def report_order(spark, sf_dir):
+    """Whether the log keeps each application's reports in the order of time, over its files."""
+    path = new_folder(spark, "report-order")
+    writers.append_reports(materialise(reports(spark, sf_dir), "reports"), path)
+    rows = readers.read_reports(spark, path).select(
+        "application_name", "end_time", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")
+    )
+    after = rows.select(
+        "file", (F.col("row") - 1).alias("row"), F.col("application_name").alias("next_name"), F.col("end_time").alias("next_time")
+    )
+    falls = (F.col("application_name") == F.col("next_name")) & (F.col("next_time") < F.col("end_time"))
+    within = rows.join(after, ["file", "row"], "left").groupBy("application_name", "file").agg(
+        F.count(F.lit(1)).alias("n"), F.min("end_time").alias("first"), F.max("end_time").alias("last"),
+        F.count_if(falls).alias("falls"),
+    )
+    before = F.lag("last").over(Window.partitionBy("application_name").orderBy("file"))
+    joined = within.withColumn("falls", F.col("falls") + F.when(before > F.col("first"), 1).otherwise(0))
+    return joined.groupBy("application_name").agg(F.sum("n").alias("n"), (F.sum("falls") == 0).alias("in_order"))
+
+
 @query("stream_findings", duck(f"SELECT {_ALL_COLUMNS} FROM flagged", **_ALL))
 def stream_findings(spark, sf_dir):
     """The CVE table arrives as an old snapshot with a newer one laid over it."""

@@ -39,7 +39,8 @@ def cves_per_app(findings: DataFrame, approximate: bool = False) -> DataFrame:
 def first_last_seen(findings: DataFrame) -> DataFrame:
     """First and last sighting of each CVE per application, ties broken by event id.
 
-    Least and greatest struct combine on the map side; nothing is sorted by time.
+    Least and greatest struct combine on the map side, so a hot key sends a row per task;
+    within a task Spark sorts the rows of a split by key to do so.
     """
     sighting = F.struct("timestamp", "event_id", "git_commit_hash")
     ends = cves_only(findings).groupBy(APP, "advisory_id").agg(

@@ -103,7 +103,9 @@ def validate_reports(payloads: DataFrame, body: str = "body") -> DataFrame:
     """Typed report columns plus ``error``; the columns are null where ``error`` is set.
 
     Other columns of ``payloads`` are kept. Each document is parsed once, and all fields
-    come out of it in one pass.
+    come out of it in one pass. A repeated key keeps its last value on a session that
+    ``session.tune`` has set up; without ``spark.sql.variant.allowDuplicateKeys`` such a
+    document is not JSON (101).
     """
     names = REPORT_FIELDS + ["suppressed_issues"]
     issues = "_f.suppressed_issues"
