@@ -66,7 +66,7 @@ def first_parent_sequence(commits: DataFrame) -> DataFrame:
 
     One path for applications of any size: pointer doubling by joins keyed by commit, so an
     application with most of the commits spreads over all tasks. n commits in a chain take
-    log2(n) rounds; two rounds make a job that stores one row per commit.
+    log2(n) rounds, and each stores one row per commit.
     """
     tree = first_parent_tree(commits)
     has = F.col("parent").isNotNull()
@@ -81,7 +81,7 @@ def first_parent_sequence(commits: DataFrame) -> DataFrame:
     while not state.filter("open").isEmpty():
         if reach > 4 * limit:
             raise ValueError("the first-parent chain of a commit leads back to itself")
-        state, reach = materialise(_doubled(_doubled(state)), "branch"), reach * 4
+        state, reach = materialise(_doubled(state), "branch"), reach * 2
     return state.filter("marked").select(*KEY, F.col("steps").alias("seq"))
 
 
