@@ -58,6 +58,16 @@ def test_template_marks_the_article_where_no_element_does(spark):
         assert text == f"{re.search('Title [0-9]', page).group()}\n{a}\n{b}"
 
 
+def test_a_box_that_the_template_fills_leaves_the_article(spark):
+    body = (
+        "<html><body><article class='post'><p>{a}</p><div class='x7'><p>Buy our hats.</p><p>Now <b>cheap</b>.</p></div>"
+        "<div class='k2'><p>{b}</p><p>Same on every page.</p></div></article></body></html>"
+    )
+    for (_, page), text in zip(site(4, body), extracted(spark, site(4, body))):
+        a, b = re.findall(r"<p>([a-g ]*\.)</p>", page)
+        assert text == f"{a}\n{b}\nSame on every page."
+
+
 def test_equal_vectors_form_a_class(spark):
     frame = spark.createDataFrame([(k, "h", h) for k, (_, h) in enumerate(site(3, "<html><body><p>{a}</p><div><i>{b}</i></div></body></html>"))], "page_id long, host string, html string")
     (row,) = pages.templates(frame).collect()

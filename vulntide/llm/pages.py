@@ -72,11 +72,11 @@ _MAIN_ROLE = re.compile(r"(?:^|\s)(?:main|article)(?:$|\s)", re.IGNORECASE)
 
 
 class Segment:
-    """A run of text: its path of open elements, and whether it starts a block."""
+    """A run of text: its path of open elements, that of the marked article, and whether it starts a block."""
 
     __slots__ = ("path", "text", "outside", "main", "linked", "breaks")
 
-    def __init__(self, path: str, text: str, outside: bool, main: bool, linked: bool, breaks: bool):
+    def __init__(self, path: str, text: str, outside: bool, main: str, linked: bool, breaks: bool):
         self.path, self.text, self.outside = path, text, outside
         self.main, self.linked, self.breaks = main, linked, breaks
 
@@ -85,8 +85,8 @@ def parsed(page: str) -> tuple[list[str], list[Segment]]:
     """The tag tokens of a page, each told apart by its path, and its texts in order."""
     tags: list[str] = []
     segments: list[Segment] = []
-    # Open elements: name, path, outside the article, inside the main part, in a link.
-    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, False)]
+    # Open elements: name, path, outside the article, path of the main part, in a link.
+    stack: list[tuple[str, str, int, str, bool]] = [("", "", 0, "", False)]
     breaks, at = True, 0
 
     def text(upto: int) -> None:
@@ -142,7 +142,7 @@ def parsed(page: str) -> tuple[list[str], list[Segment]]:
         elif values and name not in ("html", "body"):
             named = _HEADING.sub(" ", values) if main else values
             outside = max(outside, _BY_MARK * bool(_ASIDE.search(named)))
-        stack.append((name, path, outside, main or own, linked or name == "a"))
+        stack.append((name, path, outside, path if own else main, linked or name == "a"))
     text(len(page))
     return tags, segments
 
@@ -169,9 +169,9 @@ def blocks_text(segments: list[Segment], chosen: list[bool]) -> str:
 def tokens(pages: DataFrame) -> DataFrame:
     """``host, token, page, n``: how often each page holds each token.
 
-    Tokens are the tags by their path, and, outside the marked article and the marked
-    surroundings, whole texts by their path. ``page`` names a row of the table, the same
-    whenever its task runs again.
+    Tokens are the tags by their path, and, outside the marked surroundings, whole texts by
+    their path; in a marked article only those inside a box. ``page`` names a row of the
+    table, the same whenever its task runs again.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                 held.update(
                     f"{s.path}={_normal(s.text)}"
                     for s in segments
-                    if not s.outside and not s.main and len(s.text) < 400
+                    if not s.outside and (not s.main or _boxes(s)) and len(s.text) < 400
                 )
                 hosts += [host] * len(held)
                 found += held
@@ -226,18 +226,21 @@ def templates(pages: DataFrame, support: float = LEAST_SUPPORT) -> DataFrame:
     )
 
 
-def main_text(page: str, template: set[str], host_pages: int) -> str:
-    """The text of a page's article slots.
+def main_text(page: str, template: dict[str, int], host_pages: int) -> str:
+    """The text of a page's article slots; ``template`` gives the class of each token.
 
-    Template tokens bound the slots. If the template marks the article, its slots outside
-    the surroundings are the text. If not, slots that hold the template's own texts or
+    If the page marks the article, its slots outside the surroundings are the text, without
+    the boxes that the template fills. If not, slots that hold the template's own texts or
     little but links are left out, and of the others those under the template element with
     the most text are taken.
     """
     _, segments = parsed(page)
+    constant = template if host_pages >= LEAST_PAGES else {}
     if any(s.main and not s.outside for s in segments):
-        return blocks_text(segments, [s.main and not s.outside for s in segments])
-    constant = template if host_pages >= LEAST_PAGES else set()
+        filled = _filled(segments, constant)
+        return blocks_text(
+            segments, [bool(s.main) and not s.outside and filled.isdisjoint(_boxes(s)) for s in segments]
+        )
     free = [
         not s.outside and not s.main and f"{s.path}={_normal(s.text)}" not in constant for s in segments
     ]
@@ -257,7 +260,37 @@ def main_text(page: str, template: set[str], host_pages: int) -> str:
     )
 
 
-def _slot(path: str, template: set[str]) -> str:
+def _boxes(segment: Segment) -> list[str]:
+    """The marked elements around a text inside the marked article, the outermost first."""
+    path, out = segment.main, []
+    for element in segment.path[len(path) + 1 :].split(">"):
+        path = f"{path}>{element}"
+        if "[" in element:
+            out.append(path)
+    return out
+
+
+def _filled(segments: list[Segment], template: dict[str, int]) -> set[str]:
+    """Boxes of a marked article in which every text is the template's.
+
+    A text is the template's if it is of one class with the box or with an element between:
+    that element then never stands without it.
+    """
+    fixed, varied = set(), set()
+    for s in segments:
+        if s.main and not s.outside and s.text.strip():
+            of = template.get(f"{s.path}={_normal(s.text)}")
+            path, same = s.path, False
+            boxes = _boxes(s)
+            for box in reversed(boxes):
+                while len(path) >= len(box):
+                    same = same or of is not None and template.get(path) == of
+                    path = path.rpartition(">")[0]
+                (fixed if same else varied).add(box)
+    return fixed - varied
+
+
+def _slot(path: str, template: dict[str, int]) -> str:
     """The innermost template element, not of the kind that runs within a line, around a text."""
     while path and not (path in template and _element(path) in _SLOTS):
         path = path.rpartition(">")[0]
@@ -296,17 +329,17 @@ def extract_main_text(
         named.alias("host"),
     )
     learnt = materialise(templates(rows), "templates")
-    lists = learnt.select("host", "host_pages", F.col("tokens.token").alias("tokens"))
-    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "host", "host_pages", "tokens")
+    lists = learnt.select("host", "host_pages", F.col("tokens.token").alias("tokens"), F.col("tokens.class").alias("classes"))
+    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "host", "host_pages", "tokens", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, set())
+        known: tuple = (None, {})
         for batch in batches:
             texts = []
             hosts, sizes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for k, page in enumerate(batch.column(2).to_pylist()):
                 if known[0] != hosts[k]:
-                    known = hosts[k], set(batch.column(5)[k].as_py() or ())
+                    known = hosts[k], dict(zip(batch.column(5)[k].as_py() or (), batch.column(6)[k].as_py() or ()))
                 texts.append(main_text(page, known[1], sizes[k] or 0))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
