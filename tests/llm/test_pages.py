@@ -68,6 +68,14 @@ def test_a_box_that_the_template_fills_leaves_the_article(spark):
         assert text == f"{a}\n{b}\nSame on every page."
 
 
+def test_no_good_slot_is_dropped(spark):
+    body = "<html><body><section id=a><p>{a}</p></section><section id=b><p>{b}</p><p>Part {i}</p></section></body></html>"
+    rows = site(5, body)
+    rows.append(("http://alone.example.org/", "<div id=c><p>intro</p><blockquote><p>long quote</p></blockquote></div>"))
+    for (_, page), text in zip(rows, extracted(spark, rows)):
+        assert text == "\n".join(re.findall(r"<p>(.*?)</p>", page))
+
+
 def test_equal_vectors_form_a_class(spark):
     frame = spark.createDataFrame([(k, "h", h) for k, (_, h) in enumerate(site(3, "<html><body><p>{a}</p><div><i>{b}</i></div></body></html>"))], "page_id long, host string, html string")
     (row,) = pages.templates(frame).collect()

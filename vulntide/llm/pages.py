@@ -231,8 +231,7 @@ def main_text(page: str, template: dict[str, int], host_pages: int) -> str:
 
     If the page marks the article, its slots outside the surroundings are the text, without
     the boxes that the template fills. If not, slots that hold the template's own texts or
-    little but links are left out, and of the others those under the template element with
-    the most text are taken.
+    little but links are left out, and all others are taken.
     """
     _, segments = parsed(page)
     constant = template if host_pages >= LEAST_PAGES else {}
@@ -251,13 +250,7 @@ def main_text(page: str, template: dict[str, int], host_pages: int) -> str:
             size[slot] += len(s.text.strip())
             linked[slot] += len(s.text.strip()) * s.linked
     good = {slot for slot in size if size[slot] and linked[slot] <= MOST_LINKED * size[slot]}
-    if not good:
-        return ""
-    root = _slot_root(max(good, key=lambda slot: (size[slot], slot)))
-    return blocks_text(
-        segments,
-        [wanted and slot in good and (slot == root or slot.startswith(f"{root}>")) for wanted, slot in zip(free, slots)],
-    )
+    return blocks_text(segments, [wanted and slot in good for wanted, slot in zip(free, slots)])
 
 
 def _boxes(segment: Segment) -> list[str]:
@@ -301,14 +294,6 @@ def _element(path: str) -> str:
     return path.rpartition(">")[2].partition("[")[0]
 
 
-def _slot_root(path: str) -> str:
-    """The element that holds a slot's paragraphs: the slot itself or what it is a row of."""
-    rows = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li")
-    while _element(path) in rows or _element(path) in ("ul", "ol"):
-        path = path.rpartition(">")[0]
-    return path
-
-
 def extract_main_text(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html"
 ) -> DataFrame:
