@@ -76,6 +76,14 @@ def test_no_good_slot_is_dropped(spark):
         assert text == "\n".join(re.findall(r"<p>(.*?)</p>", page))
 
 
+def test_constant_texts_go_whatever_their_length_and_the_number_of_pages(spark):
+    consent = "We and our partners keep things on your device. " * 40
+    body = "<html><body><div id=x4><p>" + consent + "</p></div><div id=c><p>{a}</p></div><div id=x5>Imprint</div></body></html>"
+    rows = site(6, body) + site(7, body, 2)
+    for (_, page), text in zip(rows, extracted(spark, rows)):
+        assert text == re.search(r"<div id=c><p>(.*?)</p>", page).group(1)
+
+
 def test_equal_vectors_form_a_class(spark):
     frame = spark.createDataFrame([(k, "h", h) for k, (_, h) in enumerate(site(3, "<html><body><p>{a}</p><div><i>{b}</i></div></body></html>"))], "page_id long, host string, html string")
     (row,) = pages.templates(frame).collect()

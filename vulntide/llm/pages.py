@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as references
 import re
 from collections import Counter
@@ -17,8 +18,6 @@ from .workers import bounded_batches
 
 # Share of a host's pages that a template token has to occur in.
 LEAST_SUPPORT = 0.5
-# Pages of a host from which constant texts count as template.
-LEAST_PAGES = 4
 # Share of a slot's characters in links from which it is a menu.
 MOST_LINKED = 0.5
 
@@ -151,6 +150,15 @@ def _normal(text: str) -> str:
     return " ".join(text.split())
 
 
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=16).digest()
+
+
+def _token(segment: Segment) -> str:
+    """A text's token: a hash of the text, whatever its length, and its path."""
+    return f"={_digest(_normal(segment.text)).hex()}{segment.path}"
+
+
 def blocks_text(segments: list[Segment], chosen: list[bool]) -> str:
     """The chosen segments: white space made single inside a block, a line per block."""
     blocks: list[list[str]] = []
@@ -167,36 +175,37 @@ def blocks_text(segments: list[Segment], chosen: list[bool]) -> str:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """``host, token, page, n``: how often each page holds each token.
+    """``host, token, page, n, content``: how often each page holds each token.
 
     Tokens are the tags by their path, and, outside the marked surroundings, whole texts by
     their path; in a marked article only those inside a box. ``page`` names a row of the
-    table, the same whenever its task runs again.
+    table, the same whenever its task runs again; ``content`` is equal for equal pages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         for batch in batches:
-            hosts, found, rows, counts = [], [], [], []
+            hosts, found, rows, counts, contents = [], [], [], [], []
             for k, (host, page) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 tags, segments = parsed(page)
                 held = Counter(tags)
-                held.update(
-                    f"{s.path}={_normal(s.text)}"
-                    for s in segments
-                    if not s.outside and (not s.main or _boxes(s)) and len(s.text) < 400
-                )
+                held.update(_token(s) for s in segments if not s.outside and (not s.main or _boxes(s)))
                 hosts += [host] * len(held)
                 found += held
                 rows += [first + k] * len(held)
                 counts += held.values()
+                contents += [int.from_bytes(_digest(page)[:8], "big", signed=True)] * len(held)
             first += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(found, pa.string()), pa.array(rows, pa.int64()), pa.array(counts, pa.int64())],
-                names=["host", "token", "page", "n"],
+                [
+                    pa.array(hosts, pa.string()),
+                    pa.array(found, pa.string()),
+                    *(pa.array(column, pa.int64()) for column in (rows, counts, contents)),
+                ],
+                names=["host", "token", "page", "n", "content"],
             )
 
-    return pages.select("host", "html").mapInArrow(run, "host string, token string, page long, n long")
+    return pages.select("host", "html").mapInArrow(run, "host string, token string, page long, n long, content long")
 
 
 def templates(pages: DataFrame, support: float = LEAST_SUPPORT) -> DataFrame:
@@ -206,17 +215,22 @@ def templates(pages: DataFrame, support: float = LEAST_SUPPORT) -> DataFrame:
     them) form an equivalence class. The vector is never gathered: the exclusive or of a
     hash per page and number stands for it, so a host of any size is summed before the
     shuffle. Classes on at least ``support`` of the host's pages are kept; paths nest them,
-    since a token's path holds the tokens around it. ``tokens`` holds ``token, class, pages``.
+    since a token's path holds the tokens around it. A text has to be on two pages that
+    differ, since copies of one page do not tell what is constant. ``tokens`` holds
+    ``token, class, pages``.
     """
     held = tokens(pages)
     vectors = held.groupBy("host", "token").agg(
         F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
         F.count(F.lit(1)).alias("pages"),
         F.sum("n").alias("occurrences"),
+        (F.min("content") != F.max("content")).alias("differ"),
     )
     vectors = materialise(vectors, "occurrence-vectors")
     sizes = vectors.groupBy("host").agg(F.max("pages").alias("host_pages"))
-    frequent = vectors.join(sizes, "host").where(F.col("pages") >= F.col("host_pages") * support)
+    frequent = vectors.join(sizes, "host").where(
+        (F.col("pages") >= F.col("host_pages") * support) & (F.col("differ") | ~F.col("token").startswith("="))
+    )
     classes = frequent.groupBy("host", "host_pages", "vector").agg(
         F.max("pages").alias("pages"), F.collect_list("token").alias("members")
     )
@@ -226,7 +240,7 @@ def templates(pages: DataFrame, support: float = LEAST_SUPPORT) -> DataFrame:
     )
 
 
-def main_text(page: str, template: dict[str, int], host_pages: int) -> str:
+def main_text(page: str, template: dict[str, int]) -> str:
     """The text of a page's article slots; ``template`` gives the class of each token.
 
     If the page marks the article, its slots outside the surroundings are the text, without
@@ -234,15 +248,12 @@ def main_text(page: str, template: dict[str, int], host_pages: int) -> str:
     little but links are left out, and all others are taken.
     """
     _, segments = parsed(page)
-    constant = template if host_pages >= LEAST_PAGES else {}
     if any(s.main and not s.outside for s in segments):
-        filled = _filled(segments, constant)
+        filled = _filled(segments, template)
         return blocks_text(
             segments, [bool(s.main) and not s.outside and filled.isdisjoint(_boxes(s)) for s in segments]
         )
-    free = [
-        not s.outside and not s.main and f"{s.path}={_normal(s.text)}" not in constant for s in segments
-    ]
+    free = [not s.outside and not s.main and _token(s) not in template for s in segments]
     slots = [_slot(s.path, template) for s in segments]
     size, linked = Counter(), Counter()
     for s, slot, wanted in zip(segments, slots, free):
@@ -272,7 +283,7 @@ def _filled(segments: list[Segment], template: dict[str, int]) -> set[str]:
     fixed, varied = set(), set()
     for s in segments:
         if s.main and not s.outside and s.text.strip():
-            of = template.get(f"{s.path}={_normal(s.text)}")
+            of = template.get(_token(s))
             path, same = s.path, False
             boxes = _boxes(s)
             for box in reversed(boxes):
@@ -314,18 +325,18 @@ def extract_main_text(
         named.alias("host"),
     )
     learnt = materialise(templates(rows), "templates")
-    lists = learnt.select("host", "host_pages", F.col("tokens.token").alias("tokens"), F.col("tokens.class").alias("classes"))
-    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "host", "host_pages", "tokens", "classes")
+    lists = learnt.select("host", F.col("tokens.token").alias("tokens"), F.col("tokens.class").alias("classes"))
+    joined = rows.join(lists, "host", "left").select("page_id", "url", "html", "host", "tokens", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple = (None, {})
         for batch in batches:
             texts = []
-            hosts, sizes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            hosts = batch.column(3).to_pylist()
             for k, page in enumerate(batch.column(2).to_pylist()):
                 if known[0] != hosts[k]:
-                    known = hosts[k], dict(zip(batch.column(5)[k].as_py() or (), batch.column(6)[k].as_py() or ()))
-                texts.append(main_text(page, known[1], sizes[k] or 0))
+                    known = hosts[k], dict(zip(batch.column(4)[k].as_py() or (), batch.column(5)[k].as_py() or ()))
+                texts.append(main_text(page, known[1]))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],
