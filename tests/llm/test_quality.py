@@ -54,6 +54,22 @@ def test_lines_are_judged_before_the_document(spark):
             assert out[name].clean_text == "\n".join(left), name
 
 
+def judged(spark, cases):
+    rows = [(k, "\n".join(lines)) for k, lines in cases.items()]
+    return {r.doc_id: r for r in apply_rules(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+
+
+def test_only_the_sentence_of_a_notice_is_cut(spark):
+    words = lambda n: " ".join(f"word{n}x{k}" for k in range(n))
+    out = judged(spark, {
+        "paragraph": [f"{words(30)}. Read our privacy policy. {words(9)} end."],
+        "mention": [f"{words(40)} what the terms of service of the firm said then."],
+    })
+    assert out["paragraph"].kept and out["paragraph"].clean_text == f"{words(30)}. {words(9)} end."
+    assert out["paragraph"].lost_words == 4
+    assert out["mention"].kept and out["mention"].clean_text == out["mention"].text
+
+
 def test_labelled_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

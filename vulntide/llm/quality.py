@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField
 
-from .workers import FlatText, append_columns, mix
+from .workers import WORD, FlatText, append_columns, mix
 
 # Base rules.
 LEAST_WORDS = 10
@@ -39,6 +39,9 @@ BOILERPLATE = (
     r"log in to (comment|reply)|skip to (main )?content|powered by wordpress"
 )
 _BOILERPLATE = re.compile(BOILERPLATE, re.IGNORECASE)
+NOTICE_START = 12  # a sentence that names a phrase after so many words is prose about it
+_SENTENCE = re.compile(r"\S.*?(?:[.!?…](?=\s)\s*|[。！？]\s*|\Z)", re.DOTALL)
+_WORDS = re.compile(WORD)
 _COUNTED = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
@@ -79,12 +82,33 @@ def duplicate_lines(flat: FlatText, lines: Lines) -> np.ndarray:
     return np.bincount(lines.doc[at[again]], minlength=len(flat))
 
 
-def failed_lines(flat: FlatText, lines: Lines, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lines that break a rule, and those that are notices.
+def without_notices(line: str) -> str:
+    """The line without the sentences that are notices.
+
+    A notice holds a phrase of ``BOILERPLATE`` that starts in its first ``NOTICE_START``
+    words; the other sentences of the line stay.
+    """
+    if not _BOILERPLATE.search(line):
+        return line
+    found, cut = [sentence[0] for sentence in _SENTENCE.finditer(line)], False
+    stay = []
+    for sentence in found:
+        phrase = _BOILERPLATE.search(sentence)
+        if phrase and len(sentence[: phrase.start()].split()) < NOTICE_START:
+            cut = True
+        else:
+            stay.append(sentence)
+    return "".join(stay).rstrip() if cut else line
+
+
+def failed_lines(
+    flat: FlatText, lines: Lines, texts: pa.Array
+) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    """Lines that break a rule, the words of notices in each other line, and what those leave.
 
     A line fails without any end of a sentence or clause, as a menu, by its symbols or by its
-    capitals. Notices (licences, rights, cookies) are cut as well, but tell nothing about the
-    text that they stand beside.
+    capitals. Notices (licences, rights, cookies) are cut as well, sentence by sentence, but
+    tell nothing about the text that they stand beside. A line of notices alone never fails.
     """
     b = flat.bytes
 
@@ -113,13 +137,17 @@ def failed_lines(flat: FlatText, lines: Lines, texts: pa.Array) -> tuple[np.ndar
     fails |= (separators >= 3) & (separators > MOST_SEPARATORS * lines.words)
     fails |= spoken & (symbols > MOST_SYMBOLS * lines.words)
     fails |= (letters >= CAPITALS_FROM) & (capitals > MOST_CAPITALS * letters)
-    notices = np.zeros(len(fails), bool)
+    fails &= spoken
+    notices, left = np.zeros(len(fails), np.int64), {}
     suspects = pc.fill_null(pc.match_substring_regex(texts, BOILERPLATE, ignore_case=True), False)
     for doc in np.flatnonzero(suspects.to_numpy(zero_copy_only=False)):
         for k in range(*np.searchsorted(lines.doc, [doc, doc + 1])):
-            if _BOILERPLATE.search(b[lines.start[k] : lines.end[k]].tobytes().decode()):
-                notices[k] = True
-    return fails & spoken & ~notices, notices & spoken
+            line = b[lines.start[k] : lines.end[k]].tobytes().decode()
+            rest = without_notices(line)
+            if rest != line and not (fails[k] and rest):
+                notices[k] = lines.words[k] - len(_WORDS.findall(rest))
+                fails[k], left[k] = False, rest
+    return fails, notices, left
 
 
 def apply_rules(
@@ -144,11 +172,10 @@ def apply_rules(
             words = np.diff(flat.doc_first)
             chars = flat.per_doc(~flat.space & (flat.bytes & 0xC0 != 0x80))
             repeats = repeated_words(flat)
-            faults, notices = failed_lines(flat, lines, texts)
-            failed = faults | notices
+            faults, notices, left = failed_lines(flat, lines, texts)
             faulty, noticed = (
-                np.bincount(lines.doc, weights=lines.words * some, minlength=len(flat)).astype(np.int64)
-                for some in (faults, notices)
+                np.bincount(lines.doc, weights=some, minlength=len(flat)).astype(np.int64)
+                for some in (lines.words * faults, notices)
             )
             lost, own = faulty + noticed, words - noticed
             base = (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * words)
@@ -159,7 +186,7 @@ def apply_rules(
             ]
             out += [pa.array(base), pa.array(kept)]
             if clean:
-                out.append(pa.array(_without(flat, lines, failed), pa.string()))
+                out.append(pa.array(_without(flat, lines, faults, left), pa.string()))
             return out
 
         return compute
@@ -172,16 +199,19 @@ def apply_rules(
     return append_columns(docs, text, fields, make, keep)
 
 
-def _without(flat: FlatText, lines: Lines, failed: np.ndarray) -> list[str]:
-    """The texts without their failed lines."""
+def _without(flat: FlatText, lines: Lines, failed: np.ndarray, left: dict[int, str]) -> list[str]:
+    """The texts without their failed lines and notices; ``left`` has what notices leave of a line."""
     data = flat.bytes.tobytes()
     bounds = np.searchsorted(lines.doc, np.arange(len(flat) + 1))
-    spoiled = np.add.reduceat(np.append(failed, False), bounds[:-1]) if len(flat) else []
+    touched = failed.copy()
+    touched[list(left)] = True
+    spoiled = np.add.reduceat(np.append(touched, False), bounds[:-1]) if len(flat) else []
     out = []
     for doc, (a, z) in enumerate(zip(bounds[:-1], bounds[1:])):
         if not spoiled[doc]:
             out.append(data[flat.offsets[doc] : flat.offsets[doc + 1]].decode())
         else:
-            stay = [k for k in range(a, z) if not failed[k]]
-            out.append(b"\n".join(data[lines.start[k] : lines.end[k]] for k in stay).decode())
+            stay = [k for k in range(a, z) if not failed[k] and left.get(k, " ")]
+            parts = (left[k].encode() if k in left else data[lines.start[k] : lines.end[k]] for k in stay)
+            out.append(b"\n".join(parts).decode())
     return out
