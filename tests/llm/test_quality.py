@@ -70,6 +70,17 @@ def test_only_the_sentence_of_a_notice_is_cut(spark):
     assert out["mention"].kept and out["mention"].clean_text == out["mention"].text
 
 
+def test_notices_count_as_loss_but_for_one(spark):
+    notices = [f"All rights reserved by owner{k} of part{k} and his heirs{k} there{k}." for k in range(18)]
+    out = judged(spark, {
+        "notices": notices + ["Hi."],
+        "one line": [" ".join(notices) + " Hi."],
+        "one of them": notices[:1] + ["Hi."],
+    })
+    assert not out["notices"].kept and not out["one line"].kept
+    assert out["one of them"].kept and out["one of them"].clean_text == "Hi."
+
+
 def test_labelled_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

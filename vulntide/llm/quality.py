@@ -28,8 +28,9 @@ LONG_LINE = 3  # words from which a line has to hold the end of a sentence or cl
 LINE_ENDS = b".!?:;,\"')]}"
 WIDE_ENDS = ("…", "”", "’", "»", "。", "！", "？", "」")
 
-# A document goes if more than this share of its words, notices aside, is in failed lines.
+# A document goes if it loses more than this share of its words, one short notice aside.
 MOST_LOST = 0.5
+EXEMPT_WORDS = 20  # of the line with the most words of notices
 
 # Phrases of notices, menus and licences.
 BOILERPLATE = (
@@ -107,8 +108,8 @@ def failed_lines(
     """Lines that break a rule, the words of notices in each other line, and what those leave.
 
     A line fails without any end of a sentence or clause, as a menu, by its symbols or by its
-    capitals. Notices (licences, rights, cookies) are cut as well, sentence by sentence, but
-    tell nothing about the text that they stand beside. A line of notices alone never fails.
+    capitals. Notices (licences, rights, cookies) are cut as well, sentence by sentence. A
+    line of notices alone never fails.
     """
     b = flat.bytes
 
@@ -159,7 +160,8 @@ def apply_rules(
     base_failed, kept``, and ``clean`` (null: not wanted), the text without the lines that
     break a rule. A document fails the base rules with fewer than ``LEAST_WORDS`` words or
     more than ``MOST_REPEATED`` per cent of them in repeated windows; it is kept if it passes
-    them and no more than ``MOST_LOST`` of its words, notices aside, are in lines that fail. A null text has no words, so it fails, and its cleaned text is empty.
+    them, has words left, and loses no more than ``MOST_LOST`` of its words to failed lines and
+    notices, up to ``EXEMPT_WORDS`` of one line's notices aside. A null text has no words, so it fails, and its cleaned text is empty.
     Rows are judged alone: repeated rows get equal verdicts, an empty table stays empty.
     No shuffle; columns of the new names are replaced.
     """
@@ -177,9 +179,11 @@ def apply_rules(
                 np.bincount(lines.doc, weights=some, minlength=len(flat)).astype(np.int64)
                 for some in (lines.words * faults, notices)
             )
-            lost, own = faulty + noticed, words - noticed
+            lost, exempt = faulty + noticed, np.zeros(len(flat), np.int64)
+            np.maximum.at(exempt, lines.doc, np.minimum(notices, EXEMPT_WORDS))
+            own = words - exempt
             base = (words < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * words)
-            kept = ~base & (faulty <= MOST_LOST * own) & (own > 0)
+            kept = ~base & (lost - exempt <= MOST_LOST * own) & (words > lost)
             out = [
                 pa.array(n.astype(np.int64))
                 for n in (words, chars, flat.per_doc(_COUNTED[flat.bytes]), duplicate_lines(flat, lines), repeats, lost)
