@@ -81,6 +81,21 @@ def test_notices_count_as_loss_but_for_one(spark):
     assert out["one of them"].kept and out["one of them"].clean_text == "Hi."
 
 
+def test_menus_without_separators_are_cut(spark):
+    prose = [" ".join(f"word{k}x{j}" for j in range(11)) + "." for k in range(3)]
+    down = ["Home", "Products", "", "About us", "Our team here", "Contact"]
+    out = judged(spark, {
+        "down": [f"{name}{k}" for k in range(40) for name in down if name],
+        "down and prose": down + prose,
+        "along": ["Home, News, Sport, Weather", "(Home) (News) (Sport) (Our weather)"] + prose,
+        "heading": ["The title", "A. Author"] + prose + ["He bought eggs, some milk, bread and a book, then"],
+    })
+    assert not out["down"].kept
+    assert out["down and prose"].kept and out["down and prose"].clean_text == "\n".join(["", *prose])
+    assert out["along"].kept and out["along"].clean_text == "\n".join(prose)
+    assert out["heading"].kept and out["heading"].clean_text == out["heading"].text
+
+
 def test_labelled_documents(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

@@ -27,6 +27,14 @@ CAPITALS_FROM = 20
 LONG_LINE = 3  # words from which a line has to hold the end of a sentence or clause
 LINE_ENDS = b".!?:;,\"')]}"
 WIDE_ENDS = ("…", "”", "’", "»", "。", "！", "？", "」")
+# Menus down the page: so many lines on end, each of few words and bytes, or without an end.
+MENU_LINES = 4
+MENU_BYTES = 40
+SHORT_ENDS = b".!?:;\"'"
+# Menus along a line: so many items of few words, between marks that end no sentence.
+MENU_ITEMS = 4
+WEAK_ENDS = b",;:()[]{}"
+_ITEMS = re.compile(r"[,;:()\[\]{}]+")
 
 # A document goes if it loses more than this share of its words, one short notice aside.
 MOST_LOST = 0.5
@@ -102,13 +110,53 @@ def without_notices(line: str) -> str:
     return "".join(stay).rstrip() if cut else line
 
 
+def _line(flat: FlatText, lines: Lines, k: int) -> str:
+    return flat.bytes[lines.start[k] : lines.end[k]].tobytes().decode()
+
+
+def _last_bytes(flat: FlatText, lines: Lines) -> np.ndarray:
+    """The last byte of each line's last word (0: no words)."""
+    out = np.zeros(len(lines.words), np.uint8)
+    at = np.flatnonzero(lines.words)
+    out[at] = flat.bytes[flat.last[lines.high[at] - 1] - 1]
+    return out
+
+
+def menu_items(flat: FlatText, lines: Lines, marks: np.ndarray) -> np.ndarray:
+    """Lines of ``MENU_ITEMS`` items or more, none with ``LONG_LINE`` words, and no sentence's end."""
+    found = (marks >= MENU_ITEMS - 1) & (lines.words < LONG_LINE * (marks + 1))
+    found &= ~np.isin(_last_bytes(flat, lines), np.frombuffer(b".!?", np.uint8))
+    for k in np.flatnonzero(found):
+        line = _line(flat, lines, k)
+        items = [len(item.split()) for item in _ITEMS.split(line) if item.strip()]
+        found[k] = len(items) >= MENU_ITEMS and max(items) < LONG_LINE and not line.rstrip().endswith(WIDE_ENDS)
+    return found
+
+
+def menu_runs(flat: FlatText, lines: Lines, fails: np.ndarray) -> np.ndarray:
+    """Short lines without an end in a run of ``MENU_LINES`` or more such or failed lines."""
+    at = np.flatnonzero(lines.words)  # empty lines part no run
+    last = _last_bytes(flat, lines)[at]
+    short = (lines.words[at] < LONG_LINE) & (lines.end[at] - lines.start[at] <= MENU_BYTES)
+    short &= ~np.isin(last, np.frombuffer(SHORT_ENDS, np.uint8))
+    for k in np.flatnonzero(short & (last >= 128)):
+        short[k] = not _line(flat, lines, at[k]).rstrip().endswith(WIDE_ENDS)
+    member = short | fails[at]
+    starts = np.ones(len(at), bool)
+    starts[1:] = (member[1:] != member[:-1]) | (lines.doc[at][1:] != lines.doc[at][:-1])
+    run = np.cumsum(starts) - 1
+    out = np.zeros(len(fails), bool)
+    out[at] = short & (np.bincount(run)[run] >= MENU_LINES) if len(at) else False
+    return out
+
+
 def failed_lines(
     flat: FlatText, lines: Lines, texts: pa.Array
 ) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
     """Lines that break a rule, the words of notices in each other line, and what those leave.
 
-    A line fails without any end of a sentence or clause, as a menu, by its symbols or by its
-    capitals. Notices (licences, rights, cookies) are cut as well, sentence by sentence. A
+    A line fails without any end of a sentence or clause, as a menu or as part of one, by its
+    symbols or by its capitals. Notices (licences, rights, cookies) are cut as well, sentence by sentence. A
     line of notices alone never fails.
     """
     b = flat.bytes
@@ -135,6 +183,8 @@ def failed_lines(
         closes[k] = any(word.endswith(WIDE_ENDS) for word in line.split())
 
     fails = spoken & ~closes & (lines.words >= LONG_LINE)
+    fails |= menu_items(flat, lines, per_line(among(WEAK_ENDS)))
+    fails |= menu_runs(flat, lines, fails)
     fails |= (separators >= 3) & (separators > MOST_SEPARATORS * lines.words)
     fails |= spoken & (symbols > MOST_SYMBOLS * lines.words)
     fails |= (letters >= CAPITALS_FROM) & (capitals > MOST_CAPITALS * letters)
@@ -143,7 +193,7 @@ def failed_lines(
     suspects = pc.fill_null(pc.match_substring_regex(texts, BOILERPLATE, ignore_case=True), False)
     for doc in np.flatnonzero(suspects.to_numpy(zero_copy_only=False)):
         for k in range(*np.searchsorted(lines.doc, [doc, doc + 1])):
-            line = b[lines.start[k] : lines.end[k]].tobytes().decode()
+            line = _line(flat, lines, k)
             rest = without_notices(line)
             if rest != line and not (fails[k] and rest):
                 notices[k] = lines.words[k] - len(_WORDS.findall(rest))
