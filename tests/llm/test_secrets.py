@@ -46,6 +46,15 @@ def test_cases_by_hand(forest):
         assert not secretscan.scan(forest, text)[1], text
 
 
+def test_no_candidate_is_skipped(spark, forest):
+    names = ["password", "passwd", "PWD", "Secret", "token", "credentials", "api_key", "api-key", "access_key", "Access-Key", "accesskey"]
+    texts = [f'{name} = "AbCdEfGhIjKlMnOp"' for name in names] + ["-----BEGIN PRIVATE KEY-----\nMIIE"]
+    rows = secretscan.scan_secrets(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    for row in rows:
+        n, spans = secretscan.scan(forest, row.text)
+        assert (row.n_candidates, row.n_secrets) == (n, len(spans)) and n == 1, row.text
+
+
 def test_odd_tables(spark, odd_docs, no_docs):
     out = secretscan.scan_secrets(odd_docs).collect()
     assert all(r.n_secrets == 0 and r.redacted_text == (r.text or "") for r in out)

@@ -28,11 +28,12 @@ LEAST_VOTE = 0.5
 MASK = "[SECRET]"
 CONTEXT = 48
 
+_NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key"
 # A text without any of these holds no candidate.
-_WORTH = r"[0-9]|PRIVATE KEY|(?i:passw|pwd|secret|token|credential|api.?key)"
+_WORTH = f"[0-9]|PRIVATE KEY|(?i:{_NAMES})"
 _LONG = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])(?=[0-9+/_\-]{0,200}[A-Za-z])[A-Za-z0-9+/_\-]{16,}={0,2}"
 _ASSIGNED = (
-    r"(?i:passw(?:or)?d|passwd|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
+    rf"(?i:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
     r"(?P<value>[^\s\"'<>,;]{8,})"
 )
 _PEM = r"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z))"
