@@ -30,6 +30,18 @@ def test_shards_are_shuffled_and_repeat(spark):
     assert first != place(shards.shuffled_shards(docs, bucket_bytes=2000, seed=1))
 
 
+def test_copies_are_spread_over_buckets(spark):
+    docs = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", "id AS other")
+    docs = docs.union(spark.range(300).selectExpr("id AS doc_id", "'abc' AS text", "-id AS other")).repartition(5)
+    sharded = shards.shuffled_shards(docs, bucket_bytes=200)
+    rows = sharded.collect()
+    assert sorted(r.other for r in rows) == sorted(r.other for r in docs.collect())
+    assert sorted(r.slot * 16 + r.shard for r in rows) == list(range(3300))
+    # A bucket is a run of places, so copies in one bucket would leave the others apart from them.
+    places = sorted(r.slot * 16 + r.shard for r in rows if r.doc_id is not None)
+    assert max(b - a for a, b in zip(places, places[1:])) < 1500
+
+
 def test_odd_tables_are_sharded(spark, odd_docs, no_docs):
     rows = shards.shuffled_shards(odd_docs.withColumnRenamed("lang", "SLOT")).collect()
     assert len(rows) == odd_docs.count() and "SLOT" not in rows[0].asDict()

@@ -40,20 +40,27 @@ def shuffled_shards(
     slots have no gaps.
 
     Null ids, null texts and repeated rows are rows like others; rows equal in id and text
-    share a bucket. More shards than rows leave shards empty; an empty table gives an empty
+    share a bucket unless they would fill one: then they are numbered, and the number is
+    hashed too. More shards than rows leave shards empty; an empty table gives an empty
     table. Columns named ``shard`` or ``slot`` are replaced.
     """
     rows = docs.drop(*[c for c in docs.columns if c.lower() in _NEW])
     total = rows.agg(F.sum(record_size(text))).first()[0] or 0
     buckets = max(1, math.ceil(total / bucket_bytes))
     draw = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
-    bucket = F.pmod(draw, F.lit(buckets)).cast("int")
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+    keyed = rows.select(draw.alias("draw"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
+    alike = rows.groupBy(draw.alias("draw")).agg(F.count(F.lit(1)).alias("rows"), F.sum(record_size(text)).alias("bytes"))
+    large = materialise(alike.where((F.col("rows") > 1) & (F.col("bytes") > bucket_bytes)).select("draw"), "shard-copies")
+    if not large.isEmpty():
+        spread = _numbered(keyed.join(large, "draw", "left_semi"))
+        spread = spread.select(F.xxhash64("draw", "number").alias("draw"), "row")
+        keyed = keyed.join(large, "draw", "left_anti").union(spread)
+    bucket = F.pmod("draw", F.lit(buckets)).cast("int")
+    counts = keyed.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long"))
     bases = materialise(counts.withColumn("base", base).select("bucket", "base"), "shard-bases")
-    record = F.struct(draw.alias("draw"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
-    gathered = rows.groupBy(bucket.alias("bucket")).agg(F.collect_list(record).alias("records"))
+    gathered = keyed.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("draw", "row")).alias("records"))
     fixed = gathered.withColumn("records", F.array_sort("records", _by_draw))
     permuted = (
         fixed.join(bases, "bucket")
@@ -69,6 +76,21 @@ def shuffled_shards(
     )
 
 
+def _numbered(keyed: DataFrame) -> DataFrame:
+    """``draw, number, row``: rows of one draw numbered from 0, in their input partitions first.
+
+    The rows are stored once, so that each keeps its number whenever it is read.
+    """
+    at = [F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")]
+    stored = materialise(keyed.select("draw", "row", *at), "shard-numbers")
+    earlier = Window.partitionBy("draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = stored.groupBy("draw", "part").agg(F.count(F.lit(1)).alias("rows"))
+    bases = parts.select("draw", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("draw", "part").orderBy("at"))
+    numbered = stored.withColumn("within", within).join(bases, ["draw", "part"])
+    return numbered.select("draw", (F.col("base") + F.col("within") - 1).alias("number"), "row")
+
+
 def _by_draw(left: F.Column, right: F.Column) -> F.Column:
     a, b = left["draw"], right["draw"]
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
