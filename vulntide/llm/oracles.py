@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, negatives, quality
 from .workers import WORD
 
 _BEFORE = "rows between unbounded preceding and 1 preceding"
@@ -100,4 +100,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, lost
 FROM b
 """
 
-ORACLES = {"op2_quality": QUALITY, "op7_mixing": MIXING}
+NEGATIVES = f"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label::BIGINT END AS label,
+         list_transform(embedding, lambda x: floor({negatives.SCALE} * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS row_id, a.label = r.label AS alike,
+         list_inner_product(a.v, r.v)::BIGINT AS score
+  FROM e a JOIN e r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, row_id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, row_id) <= {negatives.POSITIVES})
+SELECT p.anchor_id, positive_id, row_id AS negative_id, positive_score, score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, row_id)::INTEGER AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike
+  AND {negatives.LOW_PERCENT} * positive_score <= 100 * score AND score <= positive_score
+QUALIFY rank <= {negatives.NEGATIVES}
+"""
+
+ORACLES = {"op11_hard_negatives": NEGATIVES, "op2_quality": QUALITY, "op7_mixing": MIXING}

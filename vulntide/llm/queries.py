@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, pages, quality, secretscan, shards, tokenfiles, tokens, vectors
+from . import bpe, mixing, neardup, negatives, pages, quality, secretscan, shards, tokenfiles, tokens, vectors
 from .oracles import ORACLES  # noqa: F401  (registered beside the queries)
 from .tables import table
 
@@ -68,6 +68,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "class_size", "is_first")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,5 +86,6 @@ QUERIES = {
         op8_main_text,
         op9_nearest,
         op10_near_duplicates,
+        op11_hard_negatives,
     )
 }
