@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, negatives, pages, quality, secretscan, shards, tokenfiles, tokens, vectors
+from . import bpe, mixing, neardup, negatives, packing, pages, quality, secretscan, shards, tokenfiles, tokens, vectors
 from .oracles import ORACLES  # noqa: F401  (registered beside the queries)
 from .tables import table
 
@@ -73,6 +73,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -87,5 +92,6 @@ QUERIES = {
         op9_nearest,
         op10_near_duplicates,
         op11_hard_negatives,
+        op12_packing,
     )
 }
