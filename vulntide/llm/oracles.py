@@ -121,4 +121,73 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike
 QUALIFY rank <= {negatives.NEGATIVES}
 """
 
-ORACLES = {"op11_hard_negatives": NEGATIVES, "op2_quality": QUALITY, "op7_mixing": MIXING}
+
+
+def _sized(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_sized(f) for f in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+# crc32 bit by bit: DuckDB has none. The table is the remainders of all bytes.
+_CRC_TABLE = (
+    "list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: "
+    "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b))"
+)
+
+MANIFEST = f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {_CRC_TABLE} AS bytes),
+d AS (
+  SELECT *, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+           lambda c, b: xor(c >> 8, bytes[xor(c & 255, b) + 1]), 4294967295), 4294967295) AS crc
+  FROM documents, crc),
+leaves AS MATERIALIZED (
+  SELECT doc_id, lang, {_leaf('n_chars')} AS leaf,
+         CASE WHEN crc % 7 = 0 THEN {_leaf('(n_chars::HUGEINT + 1)')} ELSE {_leaf('n_chars')} END AS changed
+  FROM d),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+up(lang, level, pos, digest, n) AS (
+  SELECT lang, 0, pos, leaf, n FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 1) // 2)
+  FROM up WHERE n > 1 GROUP BY lang, level, pos // 2),
+nodes AS MATERIALIZED (SELECT * FROM up),
+subroots AS MATERIALIZED (
+  SELECT lang, level, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+over(level, pos, digest, n) AS (
+  SELECT 0, pos, subroot, n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos)), max((n + 1) // 2)
+  FROM over WHERE n > 1 GROUP BY level, pos // 2),
+tops AS MATERIALIZED (SELECT * FROM over),
+levels AS MATERIALIZED (SELECT DISTINCT level FROM nodes UNION SELECT DISTINCT level FROM tops),
+steps AS MATERIALIZED (
+  SELECT p.lang, p.pos, l.level, (p.pos >> l.level) & 1 AS slot, coalesce(s.digest, '') AS sibling
+  FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang JOIN levels l ON l.level < r.level
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM p.lang AND s.level = l.level AND s.pos = xor(p.pos >> l.level, 1)
+  UNION ALL
+  SELECT p.lang, p.pos, r.level + l.level, (r.pos >> l.level) & 1, coalesce(s.digest, '')
+  FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang
+  JOIN levels l ON l.level < (SELECT max(level) FROM tops)
+  LEFT JOIN tops s ON s.level = l.level AND s.pos = xor(r.pos >> l.level, 1)),
+folded(lang, pos, level, digest) AS (
+  SELECT lang, pos, 0, changed FROM placed
+  UNION ALL
+  SELECT f.lang, f.pos, f.level + 1, sha256(CASE WHEN slot = 1 THEN sibling || digest ELSE digest || sibling END)
+  FROM folded f JOIN steps s ON s.lang IS NOT DISTINCT FROM f.lang AND s.pos = f.pos AND s.level = f.level),
+ends AS MATERIALIZED (SELECT lang, pos, arg_max(digest, level) AS folded_root FROM folded GROUP BY lang, pos),
+proofs AS MATERIALIZED (
+  SELECT lang, pos, string_agg(sibling, '' ORDER BY level) AS siblings FROM steps GROUP BY lang, pos),
+root AS (SELECT digest AS root FROM tops WHERE n = 1)
+SELECT p.doc_id, leaf, subroot, root, sha256(coalesce(siblings, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed p JOIN subroots r ON r.lang IS NOT DISTINCT FROM p.lang CROSS JOIN root
+JOIN ends e ON e.lang IS NOT DISTINCT FROM p.lang AND e.pos = p.pos
+LEFT JOIN proofs x ON x.lang IS NOT DISTINCT FROM p.lang AND x.pos = p.pos
+"""
+
+ORACLES = {"op13_manifest": MANIFEST, "op11_hard_negatives": NEGATIVES, "op2_quality": QUALITY, "op7_mixing": MIXING}

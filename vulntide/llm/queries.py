@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, neardup, negatives, packing, pages, quality, secretscan, shards, tokenfiles, tokens, vectors
+from . import bpe, manifest, mixing, neardup, negatives, packing, pages, quality, secretscan, shards, tokenfiles, tokens, vectors
 from .oracles import ORACLES  # noqa: F401  (registered beside the queries)
 from .tables import table
 
@@ -78,6 +78,20 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    # As a decimal, so that the greatest long has a successor.
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    changed = {"n_chars": F.when(tampered, n_chars + 1).otherwise(n_chars).cast("decimal(20,0)")}
+    rows = manifest.dataset_manifest(docs, changed=changed)
+    rows = rows.withColumn("folded_root", manifest.fold(F.col("changed_leaf"), F.col("path")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,5 +107,6 @@ QUERIES = {
         op10_near_duplicates,
         op11_hard_negatives,
         op12_packing,
+        op13_manifest,
     )
 }
