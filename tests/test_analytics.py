@@ -32,8 +32,8 @@ def tree(seed, n, app):
     return rows, main
 
 
-def sequence(spark, rows):
-    got = history.first_parent_sequence(spark.createDataFrame(rows, COMMIT)).collect()
+def sequence(spark, rows, cell_rows=history.CELL_ROWS):
+    got = history.first_parent_sequence(spark.createDataFrame(rows, COMMIT), cell_rows).collect()
     assert len({(r.application_name, r.commit_id) for r in got}) == len(got)
     return {(r.application_name, r.commit_id): r.seq for r in got}
 
@@ -49,6 +49,66 @@ def test_first_parent_sequence_matches_brute_force(spark):
     assert sequence(spark, rows + rows[:40]) == expected  # repeated rows
 
 
+def branches(seed, n, app, heads, times):
+    """A random history with several heads, merges and branches, and its numbers by hand."""
+    rng = random.Random(seed)
+    parents, rows = {}, []
+    for i in range(n):
+        commit = f"{app}-{i:05d}"
+        # Mostly a branch goes on; now and then one forks off, a root starts, or a parent is unknown.
+        draw = rng.random()
+        recent = list(parents)[-6:]
+        own = [] if not parents or draw < 0.02 else ["lost"] if draw < 0.04 else [rng.choice(recent)]
+        parents[commit] = own[0] if own else None
+        merged = [rng.choice(recent)] if own and rng.random() < 0.2 else []
+        time = {"rising": i, "falling": -i, "equal": 7, "none": None}.get(times, rng.randrange(10 * n))
+        rows.append((app, commit, own + merged, time, False))
+    for k in rng.sample(range(n), min(heads, n)):
+        rows[k] = (*rows[k][:4], True)
+    expected = {}
+
+    def number(commit):
+        if parents.get(commit) not in parents:
+            return 0
+        return 1 + number(parents[commit])
+
+    for _, commit, _, _, head in rows:
+        while head and commit in parents:
+            expected[app, commit] = number(commit)
+            commit = parents[commit]
+    return rows, expected
+
+
+@pytest.mark.parametrize("times", ["rising", "falling", "equal", "none", "random"])
+@pytest.mark.parametrize("cell_rows", [1, 9, 1000])
+def test_cells_of_any_size_and_times_of_any_order(spark, times, cell_rows):
+    rows, expected = [], {}
+    for seed, (n, heads) in enumerate([(150, 3), (1, 1), (40, 1), (60, 0), (12, 5)]):
+        more, numbers = branches(seed, n, f"app{seed}", heads, times)
+        rows += more
+        expected |= numbers
+    random.Random(9).shuffle(rows)
+    assert sequence(spark, rows + rows[:30], cell_rows) == expected
+
+
+def test_long_branches_cross_many_cells(spark):
+    rows = [("hot", f"{i:05d}", [f"{i - 1:05d}"] if i else [], i, i == 2999) for i in range(3000)]
+    rows += [("hot", f"x{i:04d}", [f"x{i - 1:04d}" if i else "00700"], 700 + i, i == 199) for i in range(200)]
+    expected = {("hot", f"{i:05d}"): i for i in range(3000)} | {("hot", f"x{i:04d}"): 701 + i for i in range(200)}
+    assert sequence(spark, rows, 100) == expected
+
+
+def test_odd_commits(spark):
+    rows = [
+        (None, "1", [], 1, False), (None, "2", ["1"], 2, True), ("a", None, ["1"], 3, True), ("a", "1", [], 1, False),
+        ("b", "1", None, None, True), ("b", "2", [None, "1"], 2, True), ("c", "9", ["1"], 9, None),
+        ("d", "1", ["1"], 9, False), ("d", "2", [], 9, True),
+    ]
+    with pytest.raises(ValueError, match="leads back to itself"):
+        sequence(spark, rows)
+    assert sequence(spark, rows[:-2]) == {(None, "2"): 0, ("a", None): 1, ("a", "1"): 0, ("b", "1"): 0, ("b", "2"): 0}
+
+
 def test_several_heads_number_each_commit_once(spark):
     rows = [
         ("a", "1", [], 1, False), ("a", "2", ["1"], 2, False), ("a", "3", ["2"], 3, True),
@@ -69,10 +129,12 @@ def test_no_commits(spark):
     assert sequence(spark, []) == {}
 
 
-def test_cycle_is_an_error(spark):
+@pytest.mark.parametrize("cell_rows", [1, 100])
+def test_cycle_is_an_error(spark, cell_rows):
     rows = [("a", "1", ["2"], 1, True), ("a", "2", ["1"], 2, False)]
+    rows += [("a", str(k), [str(k - 1)], k, False) for k in range(3, 30)]
     with pytest.raises(ValueError, match="leads back to itself"):
-        sequence(spark, rows)
+        sequence(spark, rows, cell_rows)
 
 
 def test_remediation_by_hand(spark):

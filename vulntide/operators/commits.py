@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,28 +11,170 @@ from ..session import materialise
 
 KEY = ["application_name", "commit_id"]
 
+# Commits that a task holds at a time while it contracts a history.
+CELL_ROWS = 1 << 18
+
 
-def first_parent_tree(commits: DataFrame) -> DataFrame:
-    """A row per commit: application, commit, first parent in the table (or null), head flag.
+def first_parents(commits: DataFrame) -> DataFrame:
+    """A row per commit: application, commit, first parent (or null), time, head flag.
 
-    A commit listed several times is one: the least of its first parents, and a head if
-    any of its rows says so.
+    A commit listed several times is one: the least of its first parents, the least of its
+    times, and a head if any of its rows says so.
     """
-    links = commits.select(*KEY, F.get("parents", F.lit(0)).alias("parent"), "is_head")
-    once = links.groupBy(*KEY).agg(
-        F.min("parent").alias("parent"), F.max(F.coalesce("is_head", F.lit(False))).alias("is_head")
+    links = commits.select(*KEY, F.get("parents", F.lit(0)).alias("parent"), "commit_time", "is_head")
+    return links.groupBy(*KEY).agg(
+        F.min("parent").alias("parent"),
+        F.min("commit_time").alias("commit_time"),
+        F.max(F.coalesce("is_head", F.lit(False))).alias("is_head"),
     )
-    known = once.select("application_name", F.col("commit_id").alias("parent"), F.lit(True).alias("known"))
-    linked = once.join(known, ["application_name", "parent"], "left")
-    return linked.select(*KEY, F.when(F.col("known"), F.col("parent")).alias("parent"), "is_head")
+
+
+def _celled(commits: DataFrame, cell_rows: int) -> DataFrame:
+    """First parents dealt to ``slice``s: the spans of time of an application.
+
+    An application has one span per ``cell_rows`` of its rows, so one that fits a cell is
+    whole, and a larger one is cut where few first parents cross if its times rise.
+    """
+    ends = commits.groupBy(F.col("application_name").alias("application")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("commit_time").alias("oldest"), F.max("commit_time").alias("newest")
+    )
+    length = F.expr("CAST(newest AS DOUBLE) - oldest + 1")
+    spans = F.expr(f"(n + {cell_rows - 1}) div {cell_rows}")
+    span = F.floor((F.col("commit_time").cast("double") - F.col("oldest")) / length * spans)
+    dealt = first_parents(commits).join(ends, F.col("application_name").eqNullSafe(F.col("application")))
+    return dealt.withColumn("slice", F.coalesce(span, F.lit(0)).cast("long")).drop("application", "n", "oldest", "newest")
+
+
+def _per_cell(rows: DataFrame, names: list[str], order: list[str], schema: str, compute: Callable, cell_rows: int) -> DataFrame:
+    """``compute(table, number)`` over runs of rows that agree in the columns ``names``.
+
+    A run longer than ``cell_rows`` is cut, so no more than a cell is held at a time.
+    """
+    width = len(names)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        held, size, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            changes = np.zeros(batch.num_rows - 1, bool)
+            for k in range(width):
+                changes |= np.diff(batch.column(k).dictionary_encode("encode").indices.to_numpy()) != 0
+            bounds = [0, *(np.flatnonzero(changes) + 1).tolist(), batch.num_rows]
+            for first, end in zip(bounds[:-1], bounds[1:]):
+                name = [batch.column(k)[first].as_py() for k in range(width)]
+                while first < end:
+                    if held and (name != last or size >= cell_rows):
+                        yield from compute(pa.Table.from_batches(held), number).to_batches()
+                        held, size, number = [], 0, number + 1
+                    part = batch.slice(first, min(end - first, cell_rows - size))
+                    held.append(part)
+                    size, last, first = size + part.num_rows, name, first + part.num_rows
+        if held:
+            yield from compute(pa.Table.from_batches(held), number).to_batches()
+
+    rest = [c for c in rows.columns if c not in names]
+    ordered = rows.select(*names, *rest).repartition(*names).sortWithinPartitions(*names, *order)
+    return ordered.mapInArrow(run, schema)
+
+
+_CELL = (
+    "application_name string, commit_id string, parent string, commit_time long, is_head boolean, "
+    "root string, depth long, marked boolean, cell long"
+)
+
+
+def _contracted(commits: DataFrame, cell_rows: int) -> DataFrame:
+    """First parents with each commit's ``root``, ``depth``, ``marked`` and ``cell``.
+
+    The root is the oldest commit that first parents lead to within the commit's cell, and
+    the depth is the way there. Marked are heads of the cell and what they lead to in it.
+    Commits that lead into a circle are roots, each its own.
+    """
+    names = [part.split()[0] for part in _CELL.split(", ")]
+
+    def compute(table, number):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.combine_chunks()
+        commit, parent = table.column("commit_id"), table.column("parent")
+        n = table.num_rows
+        at = pc.index_in(parent, value_set=commit.combine_chunks(), skip_nulls=True)
+        at = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        if table.column("application_name")[0].as_py() is None:
+            at[:] = -1  # no application, no history
+        own = np.arange(n)
+        up, depth = np.where(at < 0, own, at), (at >= 0).astype(np.int64)
+        marked = table.column("is_head").to_numpy()
+        for _ in range(n.bit_length() + 1):
+            marked = marked.copy()
+            marked[up[marked]] = True
+            depth = depth + depth[up]
+            further = up[up]
+            if np.array_equal(further, up):
+                break
+            up = further
+        circle = at[up] >= 0
+        up, depth = np.where(circle, own, up), np.where(circle, 0, depth)
+        columns = [table.column(name) for name in names[:5]]
+        columns += [commit.take(pa.array(up)), pa.array(depth), pa.array(marked), pa.array(np.full(n, number, np.int64))]
+        return pa.Table.from_arrays([pc.cast(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    import pyarrow as pa
+
+    kinds = [pa.string()] * 3 + [pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
+    rows = _celled(commits, cell_rows)
+    return _per_cell(rows, ["application_name", "slice"], ["commit_time", "commit_id"], _CELL, compute, cell_rows)
+
+
+_NUMBERED = "application_name string, commit_id string, parent string, commit_time long, seq long"
+
+
+def _numbered(rows: DataFrame, cell_rows: int) -> DataFrame:
+    """Marked commits and those at or before an entry of their cell, with their number.
+
+    ``rows`` has whole cells and the number of each root as ``base``. ``entered`` names the
+    commits at which a younger cell goes on.
+    """
+    names = [part.split()[0] for part in _NUMBERED.split(", ")]
+
+    def compute(table, number):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        table = table.combine_chunks()
+        commit, parent = table.column("commit_id"), table.column("parent")
+        depth = table.column("depth").to_numpy()
+        own = np.arange(table.num_rows)
+        at = pc.fill_null(pc.index_in(parent, value_set=commit.combine_chunks(), skip_nulls=True), -1)
+        up = np.where(depth > 0, at.to_numpy().astype(np.int64), own)
+        marked = table.column("entered").to_numpy()
+        for _ in range(int(depth.max()).bit_length()):
+            marked = marked.copy()
+            marked[up[marked]] = True
+            up = up[up]
+        seq = table.column("base").to_numpy() + depth
+        kept = pa.array(marked | table.column("marked").to_numpy())
+        columns = [*(table.column(name) for name in names[:4]), pa.chunked_array([pa.array(seq)])]
+        return pa.Table.from_arrays([c.filter(kept) for c in columns], names=names)
+
+    return _per_cell(rows, ["cell"], ["commit_id"], _NUMBERED, compute, cell_rows)
 
 
 def _doubled(tree: DataFrame) -> DataFrame:
-    """Each commit's reach doubled, and the marks carried over the reach it had before.
+    """Each node's reach doubled, and the marks carried over the reach it had before.
 
-    ``at`` is the ancestor ``steps`` first parents back; ``open`` says that there are more.
-    A mark passes to that ancestor. Bit by bit, from the lowest, a mark so reaches every
-    ancestor: any distance is a sum of reaches that the commits on the way have.
+    ``at`` is the ancestor so many nodes back, ``steps`` first parents away; ``open`` says
+    that there are more. A mark passes to that ancestor. Bit by bit, from the lowest, a mark
+    so reaches every ancestor: any distance is a sum of reaches that the nodes on the way have.
     """
     reached = (
         tree.filter("marked AND open")
@@ -45,7 +189,7 @@ def _doubled(tree: DataFrame) -> DataFrame:
         F.col("steps").alias("more"),
         F.col("open").alias("onward"),
     )
-    # Commits at the end of their chain stay as they are: they all share a few roots.
+    # Nodes at the end of their chain stay as they are: they all share a few roots.
     longer = tree.filter("open").join(further, ["application_name", "at"]).select(
         *KEY, F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps"),
         F.col("onward").alias("open"), "marked",
@@ -56,38 +200,86 @@ def _doubled(tree: DataFrame) -> DataFrame:
     )
 
 
-def first_parent_sequence(commits: DataFrame) -> DataFrame:
-    """Commits of the default branch numbered from 0, oldest first; others are dropped.
+def branch(commits: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Commits of the default branch: ``parent``, ``commit_time`` and ``seq``, from 0, oldest first.
 
     The branch is what first parents lead to from the heads. A commit's number is its
     distance from the oldest commit of its chain, so it is the same from whatever head it
     is reached, and each commit comes once; with several heads, commits of different
     chains may share a number. A parent outside the table ends a chain.
 
-    One path for applications of any size: pointer doubling by joins keyed by commit, so an
-    application with most of the commits spreads over all tasks. n commits in a chain take
-    log2(n) rounds, and each stores one row per commit.
+    List ranking by contraction. Applications are cut into cells of at most ``cell_rows``
+    commits by time, and each cell is reduced to the commits whose first parent lies outside
+    it. Only these nodes take part in pointer doubling by joins, log2 rounds of the cells that
+    a chain crosses; their numbers and marks are then spread back over the cells. Work is
+    linear in the commits but for the nodes. The order of times decides how few nodes there
+    are, never the result: branches may interleave, and where no time rises along a chain,
+    all commits of an application beyond one cell are nodes.
     """
-    tree = first_parent_tree(commits)
-    has = F.col("parent").isNotNull()
+    cells = materialise(_contracted(commits, cell_rows), "cells")
+    roots = cells.filter("depth = 0").select(*KEY, "parent")
+    known = cells.select(
+        "application_name", F.col("commit_id").alias("parent"), F.col("root").alias("at"),
+        (F.col("depth") + 1).alias("steps"), "cell",
+    )
+    beyond = roots.filter("parent IS NOT NULL").join(known, ["application_name", "parent"])
+    crossed = materialise(beyond.select(*KEY, "parent", "at", "steps", "cell"), "crossings")
+    if crossed.isEmpty():
+        # No chain leaves its cell: there is nothing to rank, and the marks are complete.
+        return cells.filter("marked").select(*KEY, "parent", "commit_time", F.col("depth").alias("seq"))
+    headed = cells.filter("is_head").select(
+        F.col("application_name").alias("application"), F.col("root").alias("headed")
+    ).distinct()
+    state = roots.drop("parent").join(crossed.drop("parent", "cell"), KEY, "left").join(
+        headed, F.expr("application_name <=> application AND commit_id <=> headed"), "left"
+    )
     state = materialise(
-        tree.select(
-            *KEY, F.coalesce("parent", "commit_id").alias("at"), has.cast("long").alias("steps"),
-            has.alias("open"), F.col("is_head").alias("marked"),
+        state.select(
+            *KEY, F.coalesce("at", "commit_id").alias("at"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"),
+            F.col("at").isNotNull().alias("open"), F.expr("commit_id <=> headed AND headed IS NOT NULL").alias("marked"),
         ),
         "branch",
     )
-    limit, reach = state.count(), 1
+    limit, reach = None, 1
     while not state.filter("open").isEmpty():
+        limit = limit or state.count()
         if reach > 4 * limit:
             raise ValueError("the first-parent chain of a commit leads back to itself")
         state, reach = materialise(_doubled(state), "branch"), reach * 2
-    return state.filter("marked").select(*KEY, F.col("steps").alias("seq"))
+    on_branch = state.filter("marked")
+    nodes = on_branch.select(
+        F.col("application_name").alias("application"), F.col("commit_id").alias("node"), F.col("steps").alias("base")
+    )
+    based = cells.join(nodes, F.expr("application_name <=> application AND root <=> node")).drop("application", "node")
+    # Where the chain of a marked node goes on in an older cell. Only such cells are read
+    # again as a whole; in all others the marks within the cell are complete.
+    entries = crossed.join(on_branch.select(*KEY), KEY, "left_semi")
+    entered = entries.select("cell", "application_name", F.col("parent").alias("commit_id")).distinct()
+    touched = entered.select("cell").distinct()
+    complete = based.join(touched, "cell", "left_anti").filter("marked")
+    reopened = based.join(touched, "cell", "left_semi").join(
+        entered.withColumn("entered", F.lit(True)), ["cell", *KEY], "left"
+    )
+    reopened = reopened.withColumn("entered", F.col("entered").isNotNull()).drop("is_head", "root")
+    seq = (F.col("base") + F.col("depth")).alias("seq")
+    return complete.select(*KEY, "parent", "commit_time", seq).unionByName(_numbered(reopened, cell_rows))
+
+
+def first_parent_sequence(commits: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Commits of the default branch numbered from 0, oldest first; see :func:`branch`."""
+    return branch(commits, cell_rows).select(*KEY, "seq")
 
 
 def mainline(commits: DataFrame) -> DataFrame:
-    """Commits on the default branch, with all their columns."""
-    return commits.join(first_parent_sequence(commits).select(*KEY), KEY, "left_semi")
+    """Commits on the default branch, with all their columns. The branch is stored first."""
+    return commits.join(materialise(first_parent_sequence(commits).select(*KEY), "mainline"), KEY, "left_semi")
+
+
+def branch_links(commits: DataFrame) -> DataFrame:
+    """The branch's commits, each once, with what :func:`next_commit` needs of them."""
+    return branch(commits).select(
+        *KEY, F.array_compact(F.array("parent")).alias("parents"), "commit_time"
+    )
 
 
 def next_commit(branch_commits: DataFrame) -> DataFrame:

@@ -72,4 +72,4 @@ def remediation(
     findings: DataFrame, commits: DataFrame, published: DataFrame
 ) -> DataFrame:
     """Findings, commits and publication dates to one row per remediated CVE."""
-    return analytics.remediation_times(findings, history.mainline(commits), published)
+    return analytics.remediation_times(findings, history.branch_links(commits), published)
