@@ -459,7 +459,7 @@ def append_audit(spark, sf_dir):
         requests, service_name="collector", service_type="scans", service_version="2.1"
     )
     writers.append_audit(lines, path, batch_id=0)
-    return spark.read.option("recursiveFileLookup", True).text(path).select(F.col("value").alias("line"))
+    return writers.read_table(spark, path, "text").select(F.col("value").alias("line"))
 
 
 @query(

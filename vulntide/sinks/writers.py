@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FINDING, REPORT
+from . import manifests
 
 APP = "application_name"
 
@@ -24,44 +24,37 @@ def _clustered(df: DataFrame, *order: str) -> DataFrame:
     return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
-def batch_folder(path: str, batch_id: int) -> str:
-    return f"{path}/batch_id={batch_id}"
+def batch_name(batch_id: int) -> str:
+    return f"batch-{batch_id:012d}"
 
 
 def has_batch(spark: SparkSession, path: str, batch_id: int) -> bool:
-    """True once a batch has been published below ``path``."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(batch_folder(path, batch_id))
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    """True once a batch has been published to a table."""
+    return manifests.is_published(spark, path, batch_name(batch_id))
 
 
 def publish_batch(spark: SparkSession, path: str, batch_id: int, write: Callable[[str], None]) -> None:
-    """Write a batch's folder aside, and show it whole by one rename.
+    """Write a batch aside, and show it whole by one entry; see :mod:`manifests`.
 
-    A batch that runs again finds its folder and leaves it alone: a stream that reads the
-    table has seen its files. What an attempt left unfinished stays hidden below
-    ``_staging`` and is never read. The rename is one step on file systems with atomic
-    renames, which the log folders need.
+    A batch that runs again finds its entry and leaves it alone: a stream that reads the
+    table has seen its rows.
     """
-    if has_batch(spark, path, batch_id):
-        return
-    aside = f"{path}/_staging/{batch_id}-{uuid.uuid4().hex}"
-    write(aside)
-    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (aside, batch_folder(path, batch_id)))
-    if not source.getFileSystem(spark._jsc.hadoopConfiguration()).rename(source, target):
-        raise OSError(f"cannot publish {target}")
+    manifests.publish(spark, path, batch_name(batch_id), write)
 
 
 def _write(df: DataFrame, path: str, batch_id: int | None, kind: str = "parquet") -> None:
-    """Append, or publish a batch's own folder."""
+    """Append, or publish a batch."""
     if batch_id is None:
         df.write.mode("append").format(kind).save(path)
     else:
         publish_batch(df.sparkSession, path, batch_id, lambda folder: df.write.format(kind).save(folder))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Read back a table, written in batches or not."""
-    return spark.read.option("recursiveFileLookup", True).parquet(path)
+def read_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
+    """Read back a table, published in batches or not."""
+    if manifests.has_manifests(spark, path):
+        return manifests.read(spark, path, kind=kind)
+    return spark.read.format(kind).option("recursiveFileLookup", True).load(path)
 
 
 def append_reports(reports: DataFrame, path: str, batch_id: int | None = None) -> None:

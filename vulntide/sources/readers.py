@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.dimensions import feed_name, parse_manifest
 from ..schemas import COMMIT, CVE_FEED, FINDING, REPORT, SUPPRESSION
+from ..sinks import manifests
 
 
-def _source(spark: SparkSession, streaming: bool, max_files: int | None):
-    reader = spark.readStream if streaming else spark.read
-    # A stream takes at most this many files per micro-batch.
-    return reader.option("maxFilesPerTrigger", max_files) if streaming and max_files else reader
+def _source(spark: SparkSession, streaming: bool, max_files: int | None, max_bytes: int | None = None):
+    if not streaming:
+        return spark.read
+    # A stream takes at most this many files, or about this many bytes, per micro-batch.
+    limits = {"maxFilesPerTrigger": max_files, "maxBytesPerTrigger": max_bytes}
+    return spark.readStream.options(**{k: v for k, v in limits.items() if v})
 
 
-def _log(spark: SparkSession, streaming: bool, max_files: int | None):
-    # A log written by a stream keeps each batch in its own folder.
-    return _source(spark, streaming, max_files).option("recursiveFileLookup", True)
+def _log(
+    spark: SparkSession, path: str, schema: StructType, streaming: bool, max_files: int | None, max_bytes: int | None
+) -> DataFrame:
+    """A log's rows. Of a log that is published in batches, a stream gives the batches' entries,
+    at most ``max_files`` at a time, which the jobs turn into rows."""
+    if not manifests.has_manifests(spark, path):
+        return _source(spark, streaming, max_files, max_bytes).option("recursiveFileLookup", True).schema(schema).parquet(path)
+    if streaming:
+        return manifests.stream_entries(spark, path, max_files)
+    return manifests.read(spark, path, schema)
 
 
 def read_payloads(
@@ -27,22 +38,33 @@ def read_payloads(
     whole_files: bool = False,
     streaming: bool = False,
     max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Request bodies, one JSON document per line or per file, as ``body``."""
-    reader = _source(spark, streaming, max_files)
+    reader = _source(spark, streaming, max_files, max_bytes)
     return reader.text(path, wholetext=whole_files).withColumnRenamed("value", "body")
 
 
 def read_reports(
-    spark: SparkSession, path: str, *, streaming: bool = False, max_files: int | None = None
+    spark: SparkSession,
+    path: str,
+    *,
+    streaming: bool = False,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    return _log(spark, streaming, max_files).schema(REPORT).parquet(path)
+    return _log(spark, path, REPORT, streaming, max_files, max_bytes)
 
 
 def read_findings(
-    spark: SparkSession, path: str, *, streaming: bool = False, max_files: int | None = None
+    spark: SparkSession,
+    path: str,
+    *,
+    streaming: bool = False,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
 ) -> DataFrame:
-    return _log(spark, streaming, max_files).schema(FINDING).parquet(path)
+    return _log(spark, path, FINDING, streaming, max_files, max_bytes)
 
 
 def read_cve_feed(

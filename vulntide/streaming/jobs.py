@@ -1,18 +1,20 @@
 """The same flows on unbounded input.
 
-Every sink publishes a micro-batch as a folder named by its batch id, whole and once: an
+Every sink publishes a micro-batch by one entry of its manifest, whole and once: an
 interrupted attempt is never seen, a published one is kept. With the query's checkpoint each
 row appears once, also to the next stream in line.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..functions.hashing import is_uuid
 from ..operators.analytics import trend
@@ -22,14 +24,31 @@ from ..operators.validation import accepted as accepted_reports
 from ..operators.validation import rejected as rejected_reports
 from ..operators.validation import revalidate_findings, revalidate_reports, validate_reports
 from ..plans.pipelines import findings_of
+from ..schemas import FINDING, REPORT
 from ..session import drop_folder, materialise, new_folder, scratch
-from ..sinks import writers
+from ..sinks import manifests, writers
 
 Dimension = Callable[[SparkSession], DataFrame]
 
+# Seconds between two looks for a new version of an enrichment table, fixed by the data's rhythm.
+CVE_REFRESH = 2 * 60 * 60
+ADVISORY_REFRESH = 24 * 60 * 60
 
-def _start(stream: DataFrame, batch: Callable, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+# Buckets of the index of seen ids, and the batches after which parts are merged.
+KEY_BUCKETS = 64
+KEY_BATCHES = 32
+TREND_BATCHES = 16
+
+
+def _start(
+    stream: DataFrame, batch: Callable, checkpoint: str, available_now: bool, schema: StructType | None = None
+) -> StreamingQuery:
+    """Run ``batch`` on each micro-batch; entries of a published log are turned into its rows."""
+
+    def rows(df: DataFrame, batch_id: int) -> None:
+        batch(manifests.entered_rows(df, schema) if "_manifest" in df.columns else df, batch_id)
+
+    writer = stream.writeStream.foreachBatch(rows).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -50,20 +69,52 @@ def stream_intake(
     return _start(payloads, batch, checkpoint, available_now)
 
 
+def report_key() -> Column:
+    """What makes a report one: its id, or all it says if it has no proper one."""
+    everything = F.sha2(F.to_json(F.struct("*")), 256)
+    return F.when(F.expr(is_uuid("event_id")), F.col("event_id")).otherwise(everything)
+
+
 def deduplicated(reports: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Reports by event id, once within ``delay``: producers may send one again.
+    """A stream's reports by event id, once within ``delay``: producers may send one again.
 
     Time is the arrival of a report's file, which a stream takes in that order, so no
     report is ever late, however few files a micro-batch takes and whatever order the log
-    has. A report without a proper id is known by all it says.
+    has. :func:`unseen` forgets nothing.
     """
-    everything = F.sha2(F.to_json(F.struct("*")), 256)
-    key = F.when(F.expr(is_uuid("event_id")), F.col("event_id")).otherwise(everything)
-    arrived = reports.withColumns({"_key": key, "_arrived": F.col("_metadata.file_modification_time")})
+    arrived = reports.withColumns({"_key": report_key(), "_arrived": F.col("_metadata.file_modification_time")})
     once = arrived.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["_key"])
     return once.drop("_key", "_arrived")
 
 
+def unseen(reports: DataFrame, index: str) -> DataFrame:
+    """Reports of a batch that no batch before had, once each, with their ``_key`` and ``_bucket``.
+
+    ``index`` holds every key seen so far, in buckets by hash, each bucket in files of its
+    own. Only the buckets of the batch's own keys are read.
+    """
+    spark = reports.sparkSession
+    bucket = F.pmod(F.xxhash64("_key"), F.lit(KEY_BUCKETS)).cast("int")
+    once = reports.withColumn("_key", report_key()).withColumn("_bucket", bucket).dropDuplicates(["_key"])
+    published = manifests.entries(spark, index)
+    if not published:
+        return once
+    asked = {f"_bucket={r[0]}" for r in once.select("_bucket").distinct().collect()}
+    files = manifests.paths(index, published, lambda file: not asked.isdisjoint(file.split("/")))
+    return once.join(manifests.read_files(spark, files, "_key string"), "_key", "left_anti")
+
+
+def _keep_keys(spark: SparkSession, keys: DataFrame, index: str, batch_id: int) -> None:
+    """Add a batch's keys to the index, and merge the index now and then."""
+
+    def write(rows: DataFrame, folder: str) -> None:
+        bucket = F.pmod(F.xxhash64("_key"), F.lit(KEY_BUCKETS)).cast("int").alias("_bucket")
+        rows.select("_key", bucket).repartition("_bucket").write.partitionBy("_bucket").parquet(folder)
+
+    writers.publish_batch(spark, index, batch_id, lambda folder: write(keys, folder))
+    manifests.compact(spark, index, write, KEY_BATCHES)
+
+
 def stream_findings(
     reports: DataFrame,
     cve: Dimension,
@@ -73,48 +124,51 @@ def stream_findings(
     checkpoint: str,
     as_of: Column | None = None,
     available_now: bool = False,
-    delay: str = "1 day",
 ) -> StreamingQuery:
     """Report stream to the finding log.
 
-    ``reports`` is the stream as read from the log's files. Reports sent again within
-    ``delay`` count once. Each is checked as a typed record first; one that fails, or that
-    cannot be read, goes to the rejected table with its error and never stops the query.
+    ``reports`` is the stream as read from the log. A report counts once, however much
+    later it is sent again: an index of all ids lies beside the checkpoint. Each report is
+    checked as a typed record first; one that fails, or that cannot be read, goes to the
+    rejected table with its error and never stops the query.
 
-    The enrichment tables are read anew in every micro-batch, so a snapshot published
-    while the stream runs counts from the next batch on. Findings and rejected rows of a
-    batch are stored together before either table gets them: a batch that runs again after
+    The enrichment tables are asked for in every micro-batch, so a snapshot published
+    while the stream runs counts from a later batch on. Findings, rejected rows and ids of a
+    batch are stored together before any table gets them: a batch that runs again after
     a new snapshot takes what it had found, so a report is in one of the tables.
     """
-    outcomes = f"{checkpoint}-outcomes"
+    outcomes, index = f"{checkpoint}-outcomes", f"{checkpoint}-seen"
 
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        done = all(writers.has_batch(spark, path, batch_id) for path in (findings, rejected))
-        if done or writers.has_batch(spark, outcomes, batch_id):
-            # The deduplication has to see the batch again to keep its state.
-            df.write.format("noop").mode("overwrite").save()
-        if done:
+        name = writers.batch_name(batch_id)
+        if all(writers.has_batch(spark, path, batch_id) for path in (findings, rejected, index)):
             return
-        if not writers.has_batch(spark, outcomes, batch_id):
+
+        def write(folder: str) -> None:
+            fresh = materialise(unseen(df, index), "fresh")
+            fresh.select("_key").write.parquet(f"{folder}/keys")
+            checked = materialise(revalidate_reports(fresh.drop("_key", "_bucket")), "checked")
             tables = cve(spark), advisories(spark)
+            split = findings_of(checked.filter("error IS NULL").drop("error"), *tables, as_of)
+            refused = checked.filter("error IS NOT NULL")
+            refused = refused.select(F.col("event_id").alias("parent_event_id"), "error")
+            split.good.write.parquet(f"{folder}/good")
+            split.bad.unionByName(refused).write.parquet(f"{folder}/bad")
+
+        with scratch(spark):
+            writers.publish_batch(spark, outcomes, batch_id, write)
+        (found,) = [entry for entry in manifests.entries(spark, outcomes) if entry.name == name]
 
-            def write(folder: str) -> None:
-                checked = materialise(revalidate_reports(df), "checked")
-                split = findings_of(checked.filter("error IS NULL").drop("error"), *tables, as_of)
-                refused = checked.filter("error IS NOT NULL")
-                refused = refused.select(F.col("event_id").alias("parent_event_id"), "error")
-                split.good.write.parquet(f"{folder}/good")
-                split.bad.unionByName(refused).write.parquet(f"{folder}/bad")
+        def part(kind: str) -> DataFrame:
+            return manifests.read_files(spark, manifests.paths(outcomes, [found], lambda f: f"/{kind}/" in f))
 
-            with scratch(spark):
-                writers.publish_batch(spark, outcomes, batch_id, write)
-        found = writers.batch_folder(outcomes, batch_id)
-        writers.append_findings(spark.read.parquet(f"{found}/good"), findings, batch_id)
-        writers.append_rejected(spark.read.parquet(f"{found}/bad"), rejected, batch_id)
-        drop_folder(spark, found)
+        writers.append_findings(part("good"), findings, batch_id)
+        writers.append_rejected(part("bad"), rejected, batch_id)
+        _keep_keys(spark, part("keys"), index, batch_id)
+        drop_folder(spark, f"{outcomes}/{found.files[0].rpartition('/')[0].rpartition('/')[0]}")
 
-    return _start(deduplicated(reports, delay), batch, checkpoint, available_now)
+    return _start(reports, batch, checkpoint, available_now, REPORT)
 
 
 def stream_outbox(
@@ -143,7 +197,7 @@ def stream_outbox(
             if rejected:
                 writers.append_rejected(checked.filter("error IS NOT NULL"), rejected, batch_id)
 
-    return _start(findings, batch, checkpoint, available_now)
+    return _start(findings, batch, checkpoint, available_now, FINDING)
 
 
 def stream_trend(
@@ -156,7 +210,8 @@ def stream_trend(
     """Windowed counts of a finding stream, as partial counts per micro-batch.
 
     No watermark and no state: :func:`read_trend` adds the parts up, so a finding counts
-    however late it comes, and windows that are still open are there as well.
+    however late it comes, and windows that are still open are there as well. Parts are added
+    up into one now and then, so their number stays bounded.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
@@ -164,55 +219,77 @@ def stream_trend(
             "application_name", F.col("span.start").alias("span_start"), "n_findings"
         )
         writers.publish_batch(df.sparkSession, path, batch_id, counts.write.parquet)
+        manifests.compact(df.sparkSession, path, _added_up, TREND_BATCHES)
 
-    return _start(findings, batch, checkpoint, available_now)
+    return _start(findings, batch, checkpoint, available_now, FINDING)
+
+
+def _added_up(parts: DataFrame, folder: str) -> None:
+    _summed(parts).write.parquet(folder)
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("application_name", "span_start").agg(F.sum("n_findings").alias("n_findings"))
 
 
 def read_trend(spark: SparkSession, path: str) -> DataFrame:
     """The counts that a trend stream has written so far."""
-    parts = writers.read_table(spark, path).groupBy("application_name", "span_start")
-    return parts.agg(F.sum("n_findings").alias("n_findings"))
+    return _summed(writers.read_table(spark, path))
 
 
 def publish_snapshot(table: DataFrame, root: str, version: int) -> None:
-    """Store a version of an enrichment table. A version does not change once it is used."""
-    table.write.mode("overwrite").parquet(f"{root}/version={version}")
+    """Store a version of an enrichment table, shown whole by one entry of its manifest.
+
+    A version that is there stays as it is: readers may have used it.
+    """
+    manifests.publish(table.sparkSession, root, f"version-{version:020d}", table.write.parquet)
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    """Published versions, from the names of their folders."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
+def _version(entry: manifests.Entry) -> int:
+    return int(entry.name.rpartition("-")[2])
 
 
-def _refreshing(root: str, build: Callable[[DataFrame | None, list[DataFrame]], DataFrame]) -> Dimension:
-    """A table kept up to date with the versions below ``root``.
+def _refreshing(
+    root: str,
+    build: Callable[[DataFrame | None, list[DataFrame]], DataFrame],
+    every: float = 0,
+    clock: Callable[[], float] = time.monotonic,
+) -> Dimension:
+    """A table kept up to date with the versions published in ``root``.
 
     ``build`` gets the table as stored last and the versions published since, so a version
-    is read once. The table is stored, and each micro-batch joins a plain table of known
-    size; the one before it goes when the next is there.
+    is read once. Versions are looked for when ``every`` seconds have passed since the last
+    look, by a clock of the table's own; a version that is still being written is not there
+    yet. The table is stored, and each micro-batch joins a plain table of known size; the one
+    before it goes when the next is there.
     """
-    kept: list = [None, None, None]  # newest version, folder, table
+    kept: list = [None, None, None, None]  # newest version, folder, table, time of the last look
 
     def read(spark: SparkSession) -> DataFrame:
-        found = _versions(spark, root)
-        fresh = [v for v in found if kept[0] is None or v > kept[0]]
-        if fresh or kept[2] is None:
+        now = clock()
+        if kept[2] is not None and now - kept[3] < every:
+            return kept[2]
+        found = manifests.entries(spark, root)
+        if not found:
+            raise LookupError(f"no version of the table in {root}")
+        fresh = [entry for entry in found if kept[0] is None or _version(entry) > kept[0]]
+        if fresh:
             added = [
-                spark.read.parquet(f"{root}/version={v}").withColumn("version", F.lit(v)) for v in fresh
+                manifests.read_files(spark, manifests.paths(root, [entry])).withColumn("version", F.lit(_version(entry)))
+                for entry in fresh
             ]
             folder, before = new_folder(spark, "dimension"), kept[1]
             build(kept[2], added).write.parquet(folder)
-            kept[:] = found[-1], folder, spark.read.parquet(folder)
+            kept[:3] = _version(found[-1]), folder, spark.read.parquet(folder)
             if before:
                 drop_folder(spark, before)
+        kept[3] = now
         return kept[2]
 
     return read
 
 
-def overlaid_snapshots(root: str, key: str) -> Dimension:
+def overlaid_snapshots(root: str, key: str, every: float = 0, clock: Callable[[], float] = time.monotonic) -> Dimension:
     """All versions laid over each other: the newest row per key. For the CVE table."""
 
     def build(stored: DataFrame | None, added: list[DataFrame]) -> DataFrame:
@@ -222,13 +299,13 @@ def overlaid_snapshots(root: str, key: str) -> Dimension:
         latest = F.max_by(F.struct(*rest), "version").alias("latest")
         return rows.groupBy(key).agg(latest).select(key, "latest.*")
 
-    return _refreshing(root, build)
+    return _refreshing(root, build, every, clock)
 
 
-def newest_snapshot(root: str) -> Dimension:
+def newest_snapshot(root: str, every: float = 0, clock: Callable[[], float] = time.monotonic) -> Dimension:
     """The newest version alone. For the advisory table, which is replaced as a whole."""
 
     def build(stored: DataFrame | None, added: list[DataFrame]) -> DataFrame:
         return dedup_advisories(added[-1].drop("version"))
 
-    return _refreshing(root, build)
+    return _refreshing(root, build, every, clock)
