@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from samples import utc
 
 from vulntide.operators import analytics, commits as history
@@ -205,3 +206,19 @@ def test_trend_buckets(spark):
                                   "application_name string, timestamp timestamp")
     rows = analytics.trend(frame).orderBy("span.start").collect()
     assert [(r.span.start, r.n_findings) for r in rows] == [(utc(1970, 1, 1), 2), (utc(1970, 1, 31), 1)]
+
+
+def test_sketches_merge_and_estimate(spark):
+    frame = spark.range(60_000).selectExpr(
+        "IF(id % 3 = 0, 'hot', concat('a', id % 7)) AS application_name", "concat('CVE-', id % 9000) AS advisory_id",
+        "timestamp_seconds(id % 40 * 86400) AS timestamp", "id",
+    )
+    halves = [analytics.cve_sketches(frame.where(f"id % 2 = {k}")) for k in (0, 1)]
+    merged = analytics.merged_sketches(halves[0].unionByName(halves[1]))
+    days = [F.lit(d).cast("date") for d in ("1970-01-05", "1970-01-20")]
+    for asked, rows in ((merged, frame), (merged, frame.where("id % 40 BETWEEN 4 AND 19"))):
+        given = () if rows is frame else days
+        got = {r.application_name: r.n_cves for r in analytics.estimated_cves(asked, *given).collect()}
+        want = {r.application_name: r.n_cves for r in analytics.cves_per_app(rows).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[a] - n) <= max(1, 0.06 * n) for a, n in want.items())

@@ -70,6 +70,25 @@ def test_manifest_and_hash(spark, tmp_path):
     assert [r.feed for r in stale.collect()] == ["2019"]
 
 
+def test_feeds_in_parts(spark):
+    files = [("2018", 0, "a"), ("2018", 1, "b"), ("2019", 0, "c"), ("2020", 0, "d"), ("2020", 1, None)]
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest().upper()
+    listed = [("2018", 0, sha("a")), ("2018", 1, sha("b")), ("2019", 0, sha("x")), ("2019", 1, sha("y")), ("2020", 0, sha("d")), ("2020", 1, None)]
+    parts = dimensions.check_feed_parts(
+        spark.createDataFrame(files, "feed string, part long, content string"),
+        spark.createDataFrame(listed, "feed string, part long, sha256 string"),
+    )
+    rows = {(r.feed, r.part): r for r in parts.collect()}
+    assert {k: r.hash_ok for k, r in rows.items()} == {
+        ("2018", 0): True, ("2018", 1): True, ("2019", 0): False, ("2019", 1): False, ("2020", 0): True, ("2020", 1): False,
+    }
+    assert rows["2019", 1].computed_sha256 is None
+    feeds = {r.feed: r for r in dimensions.check_whole_feeds(parts).collect()}
+    assert {k: (r.n_parts, r.hash_ok) for k, r in feeds.items()} == {"2018": (2, True), "2019": (2, False), "2020": (2, False)}
+    assert feeds["2018"].computed_sha256 == sha(sha("a") + sha("b")) == feeds["2018"].expected_sha256
+    assert feeds["2019"].computed_sha256 == sha(sha("c") + "-") and feeds["2019"].expected_sha256 == sha(sha("x") + sha("y"))
+
+
 def advisory(id, cve, **more):
     return {"advisory": "text", "cve": cve, "id": id, "specs": ["<1"], "v": "<1", **more}
 

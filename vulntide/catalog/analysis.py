@@ -244,6 +244,27 @@ def cves_per_app(spark, sf_dir):
     return analytics.cves_per_app(findings(spark, sf_dir))
 
 
+@query(
+    "estimated_cves",
+    duck(
+        "SELECT application_name, count(DISTINCT advisory_id) AS n_cves, TRUE AS close FROM fx_findings "
+        "WHERE starts_with(advisory_id, 'CVE') AND timestamp >= TIMESTAMP '1994-01-01' AND timestamp < TIMESTAMP '1996-01-01' "
+        "GROUP BY application_name"
+    ),
+)
+def estimated_cves(spark, sf_dir):
+    """Estimates of two years, from stored sketches by day of two halves of the findings."""
+    rows = findings(spark, sf_dir)
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    halves = [analytics.cve_sketches(rows.where(half == k)) for k in (0, 1)]
+    stored = materialise(analytics.merged_sketches(halves[0].unionByName(halves[1])), "sketches")
+    days = [F.lit(day).cast("date") for day in ("1994-01-01", "1995-12-31")]
+    estimates = analytics.estimated_cves(stored, *days).withColumnRenamed("n_cves", "estimate")
+    exact = analytics.cves_per_app(rows.where(F.to_date("timestamp").between(*days)))
+    close = F.abs(F.col("estimate") - F.col("n_cves")) <= F.greatest(F.lit(1.0), F.col("n_cves") * 0.06)
+    return exact.join(estimates, "application_name", "left").select("application_name", "n_cves", close.alias("close"))
+
+
 _RISK = """
     SELECT application_name, count(*) AS n_dependencies, CAST(max(score) AS DOUBLE) AS max_score,
            round(CAST(sum(score) AS DOUBLE) / count(score), 6) AS avg_score,

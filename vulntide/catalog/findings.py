@@ -252,37 +252,51 @@ def stale_feeds(spark, sf_dir):
     return rows.select("feed", micros("last_modified"))
 
 
-# A feed as it is published: one gzipped document, with its hash in the manifest. The one of
-# 2004 has changed since.
-_PUBLISHED = "SELECT feed, listagg(document, chr(10)) WITHIN GROUP (ORDER BY chunk) AS content FROM parts GROUP BY feed"
+# Feeds as gzipped parts, each with a manifest of its own. One part in two of 2004 has changed
+# since, and 2006 has a part that no manifest lists.
+_CHANGED = "feed = '2004' AND chunk % 2 = 1"
+_UNLISTED = "feed = '2006' AND chunk = 0"
+_PARTS = f"""SELECT feed, chunk AS part,
+                    upper(sha256(CASE WHEN {_CHANGED} THEN concat(document, ' ') ELSE document END)) AS computed_sha256,
+                    CASE WHEN NOT ({_UNLISTED}) THEN upper(sha256(document)) END AS expected_sha256,
+                    NOT ({_CHANGED}) AND NOT ({_UNLISTED}) AS hash_ok
+             FROM fx_feed_documents"""
+
+
+def _feed_parts(spark, sf_dir):
+    root = new_folder(spark, "published-feeds")
+    parts = materialise(view(spark, sf_dir, "fx_feed_documents").select("feed", "chunk", "document"), "feed-parts")
+    content = F.concat("document", F.when(F.expr(_CHANGED), " ").otherwise(""))
+    stored = parts.select("feed", F.col("chunk").alias("part"), content.alias("value")).repartition("feed", "part")
+    # No line feed behind a document, so that a file holds it and nothing else.
+    stored.write.partitionBy("feed", "part").option("compression", "gzip").option("lineSep", "\x00").text(f"{root}/feeds")
+    # The other lines of a part's manifest are those of its feed.
+    hash_line = F.concat(F.lit("sha256:"), F.upper(F.sha2("document", 256)), F.lit("\r\n"))
+    lines = F.concat(F.regexp_replace("manifest", "sha256:.*\r\n", ""), hash_line)
+    listed = view(spark, sf_dir, "fx_manifests").join(parts, "feed").where(f"NOT ({_UNLISTED})")
+    listed = listed.select("feed", F.col("chunk").alias("part"), lines.alias("value")).repartition("feed", "part")
+    listed.write.partitionBy("feed", "part").text(f"{root}/manifests")
+    files = readers.read_feed_parts(spark, f"{root}/feeds").withColumn("content", F.rtrim("content", F.lit("\x00")))
+    return dimensions.check_feed_parts(files, readers.read_part_manifests(spark, f"{root}/manifests"))
+
+
+@query("check_feed_hash", duck(_PARTS))
+def check_feed_hash(spark, sf_dir):
+    return _feed_parts(spark, sf_dir)
 
 
 @query(
-    "check_feed_hash",
+    "check_whole_feeds",
     duck(
-        "SELECT feed, upper(sha256(CASE WHEN feed = '2004' THEN concat(content, ' ') ELSE content END)) AS computed_sha256, "
-        "upper(sha256(content)) AS expected_sha256, feed <> '2004' AS hash_ok "
-        "FROM (SELECT feed, string_agg(document, chr(10) ORDER BY chunk) AS content "
-        "FROM fx_feed_documents GROUP BY feed) f"
+        "SELECT feed, CAST(count(*) AS INTEGER) AS n_parts, bool_and(hash_ok) AS hash_ok, "
+        "upper(sha256(string_agg(computed_sha256, '' ORDER BY part))) AS computed_sha256, "
+        "upper(sha256(string_agg(coalesce(expected_sha256, '-'), '' ORDER BY part))) AS expected_sha256 "
+        "FROM parts GROUP BY feed",
+        parts=_PARTS,
     ),
 )
-def check_feed_hash(spark, sf_dir):
-    root = new_folder(spark, "published-feeds")
-    view(spark, sf_dir, "fx_feed_documents").createOrReplaceTempView("parts")
-    feeds = materialise(spark.sql(_PUBLISHED), "feeds")
-    changed = F.concat("content", F.when(F.col("feed") == "2004", " ").otherwise(""))
-    stored = feeds.select("feed", changed.alias("value")).repartition("feed")
-    # No line feed behind a document, so that a file holds it and nothing else.
-    stored.write.partitionBy("feed").option("compression", "gzip").option("lineSep", "\x00").text(f"{root}/feeds")
-    hash_line = F.concat(F.lit("sha256:"), F.upper(F.sha2("content", 256)), F.lit("\r\n"))
-    manifests = view(spark, sf_dir, "fx_manifests").join(feeds, "feed").select(
-        "feed", F.concat(F.regexp_replace("manifest", "sha256:.*\r\n", ""), hash_line).alias("value")
-    )
-    manifests.write.partitionBy("feed").text(f"{root}/manifests")
-    files = readers.read_feed_files(spark, f"{root}/feeds").withColumn("content", F.rtrim("content", F.lit("\x00")))
-    return dimensions.check_feed_hash(files, readers.read_feed_manifest(spark, f"{root}/manifests")).select(
-        "feed", "computed_sha256", "expected_sha256", "hash_ok"
-    )
+def check_whole_feeds(spark, sf_dir):
+    return dimensions.check_whole_feeds(_feed_parts(spark, sf_dir))
 
 
 @query(

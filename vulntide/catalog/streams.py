@@ -12,7 +12,7 @@ from ..sinks import writers
 from ..sources import readers
 from ..streaming import jobs
 from . import oracles as o
-from .findings import CHANNEL, _ALL, _ALL_COLUMNS, _MESSAGE, _logged
+from .findings import CHANNEL, _ALL, _ALL_COLUMNS, _MESSAGE, _flow, _logged
 from .intake import ERRORS, TYPED_REPORT_ERROR, _TYPED, _typed
 from .registry import as_of, cve_table, findings, flat_error, micros, query, reports
 
@@ -158,6 +158,64 @@ def stream_deduplicated(spark, sf_dir):
     return spark.read.parquet(f"{root}/out")
 
 
+def _arrived(spark, path, days):
+    """Set back the time at which the files of a folder arrived."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(place):
+        fs.setTimes(status.getPath(), status.getModificationTime() - days * 86_400_000, -1)
+
+
+@query("stream_unique_reports", duck("SELECT event_id, application_name FROM fx_reports"))
+def stream_unique_reports(spark, sf_dir):
+    """Copies that arrive within the batch, and a month and two months later."""
+    root = new_folder(spark, "stream-unique")
+    rows = materialise(reports(spark, sf_dir), "reports")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(4))
+    for days, sent in ((62, rows.where(part < 2)), (31, rows.where(part.isin(1, 2))), (0, rows.unionByName(rows))):
+        writers.append_reports(sent, f"{root}/in")
+        if days:
+            _arrived(spark, f"{root}/in", 31)
+        stream = readers.read_reports(spark, f"{root}/in", streaming=True)
+        _finish(jobs.stream_unique_reports(stream, f"{root}/out", f"{root}/checkpoint", True))
+    return writers.read_table(spark, f"{root}/out").select("event_id", "application_name")
+
+
+@query("replayed_batch", duck(f"SELECT {_ALL_COLUMNS} FROM flagged", **_ALL))
+def replayed_batch(spark, sf_dir):
+    """Findings in two batches, one lost half way and both sent again."""
+    path = new_folder(spark, "replayed")
+    rows = materialise(_flow(spark, sf_dir).good, "findings")
+    first = F.pmod(F.xxhash64("parent_event_id"), F.lit(2)) == 0
+    batches = [rows.where(first), rows.where(~first)]
+
+    def lost(folder):
+        batches[1].limit(100).write.parquet(folder)
+        raise InterruptedError
+
+    writers.append_findings(batches[0], path, 0)
+    try:
+        writers.publish_batch(spark, path, 1, lost)
+    except InterruptedError:
+        pass
+    for _ in range(2):
+        for batch_id, batch in enumerate(batches):
+            writers.append_findings(batch, path, batch_id)
+    return _logged(writers.read_table(spark, path))
+
+
+@query("stream_intake_by_bytes", duck(_TYPED, checked=o.CHECKED))
+def stream_intake_by_bytes(spark, sf_dir):
+    """Micro-batches bounded by bytes, not by files."""
+    root = new_folder(spark, "stream-bytes")
+    view(spark, sf_dir, "fx_payloads").select("body").repartition(3).write.text(f"{root}/in")
+    payloads = readers.read_payloads(spark, f"{root}/in", streaming=True, max_bytes=1 << 10)
+    _finish(
+        jobs.stream_intake(payloads, f"{root}/out", f"{root}/bad", f"{root}/checkpoint", True)
+    )
+    return _typed(writers.read_table(spark, f"{root}/out"))
+
+
 _SPAN = 2592000000000
 
 
@@ -181,6 +239,28 @@ def stream_trend(spark, sf_dir):
     return rows.select("application_name", micros("span_start"), "n_findings")
 
 
+_PANE = 864000000000
+
+
+@query(
+    "stream_sliding_trend",
+    duck(
+        f"""SELECT application_name, (pane - shift) * {_PANE} AS span_start, CAST(sum(n) AS BIGINT) AS n_findings
+            FROM (SELECT application_name, CAST(floor(epoch_us(timestamp) / {_PANE}) AS BIGINT) AS pane, count(*) AS n
+                  FROM fx_findings GROUP BY ALL) p, (VALUES (0), (1), (2)) s (shift)
+            GROUP BY application_name, pane - shift"""
+    ),
+)
+def stream_sliding_trend(spark, sf_dir):
+    """Windows of thirty days, one every ten, from panes of ten days."""
+    root = new_folder(spark, "stream-sliding")
+    writers.append_findings(findings(spark, sf_dir), f"{root}/in")
+    stream = readers.read_findings(spark, f"{root}/in", streaming=True, max_files=1)
+    _finish(jobs.stream_trend(stream, f"{root}/out", f"{root}/checkpoint", "10 days", available_now=True))
+    rows = jobs.read_trend(spark, f"{root}/out", "30 days", "10 days")
+    return rows.select("application_name", micros("span_start"), "n_findings")
+
+
 @query(
     "refreshing_dims",
     duck(

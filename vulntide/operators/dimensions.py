@@ -135,6 +135,31 @@ def check_feed_hash(files: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def check_feed_parts(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """A row per part of a feed, on either side, with ``hash_ok``.
+
+    ``files`` has ``feed, part, content``, ``listed`` has ``feed, part, sha256``. A feed in
+    parts of bounded size is never one value: each part is hashed where it is read, and only
+    hashes are joined. A part without an entry, and an entry without a part, is not ok.
+    """
+    hashed = files.select("feed", "part", F.upper(F.sha2("content", 256)).alias("computed_sha256"))
+    expected = listed.select("feed", "part", F.col("sha256").alias("expected_sha256"))
+    joined = hashed.join(expected, ["feed", "part"], "full")
+    same = F.coalesce(F.col("computed_sha256") == F.col("expected_sha256"), F.lit(False))
+    return joined.withColumn("hash_ok", same)
+
+
+def check_whole_feeds(parts: DataFrame) -> DataFrame:
+    """Feeds of :func:`check_feed_parts` with the hash over their parts' hashes, in order."""
+    both = F.struct("part", "computed_sha256", "expected_sha256")
+    gathered = parts.groupBy("feed").agg(F.array_sort(F.collect_list(both)).alias("parts"), F.min("hash_ok").alias("hash_ok"))
+    over = lambda name: F.upper(F.sha2(F.array_join(F.transform("parts", lambda p: F.coalesce(p[name], F.lit("-"))), ""), 256))
+    return gathered.select(
+        "feed", F.size("parts").alias("n_parts"), over("computed_sha256").alias("computed_sha256"),
+        over("expected_sha256").alias("expected_sha256"), "hash_ok",
+    )
+
+
 def _advisory(value: str) -> str:
     """Typed advisory; null unless all of its fields have the right type."""
     is_text = lambda name: f"{kind(field(value, f'$.{name}'))} = 'string'"

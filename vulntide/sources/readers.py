@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -88,6 +88,29 @@ def read_feed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def _part() -> Column:
+    return F.regexp_extract("_metadata.file_path", r"part=(\d+)/", 1).cast("long").alias("part")
+
+
+def read_feed_parts(spark: SparkSession, path: str) -> DataFrame:
+    """Content of feeds that are kept in files of bounded size: ``feed, part, content``.
+
+    The part's number is in its folder's name, ``part=<n>``.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(
+        feed_name(F.col("_metadata.file_path")).alias("feed"), _part(), F.col("value").alias("content")
+    )
+
+
+def read_part_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Manifest entries of the parts of feeds: ``feed, part`` and the manifest's fields."""
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return files.select(
+        feed_name(F.col("_metadata.file_path")).alias("feed"), _part(), F.expr(parse_manifest("value")).alias("m")
+    ).select("feed", "part", "m.*")
+
+
 def read_feed_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     files = spark.read.text(path, wholetext=True)
     return files.select(

@@ -171,6 +171,28 @@ def stream_findings(
     return _start(reports, batch, checkpoint, available_now, REPORT)
 
 
+def stream_unique_reports(
+    reports: DataFrame, path: str, checkpoint: str, available_now: bool = False
+) -> StreamingQuery:
+    """Report stream to a log that has each report once, however much later it is sent again."""
+    index = f"{checkpoint}-seen"
+
+    def batch(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        if writers.has_batch(spark, index, batch_id):
+            return
+        if not writers.has_batch(spark, path, batch_id):
+            with scratch(spark):
+                fresh = materialise(unseen(df, index).drop("_key", "_bucket"), "fresh")
+                writers.append_reports(fresh, path, batch_id)
+        # The keys of what was published, so that both agree when a batch runs again.
+        (found,) = [e for e in manifests.entries(spark, path) if e.name == writers.batch_name(batch_id)]
+        rows = manifests.read_files(spark, manifests.paths(path, [found]), REPORT)
+        _keep_keys(spark, rows.select(report_key().alias("_key")), index, batch_id)
+
+    return _start(reports, batch, checkpoint, available_now, REPORT)
+
+
 def stream_outbox(
     findings: DataFrame,
     channel: str,
@@ -232,9 +254,17 @@ def _summed(parts: DataFrame) -> DataFrame:
     return parts.groupBy("application_name", "span_start").agg(F.sum("n_findings").alias("n_findings"))
 
 
-def read_trend(spark: SparkSession, path: str) -> DataFrame:
-    """The counts that a trend stream has written so far."""
-    return _summed(writers.read_table(spark, path))
+def read_trend(spark: SparkSession, path: str, width: str | None = None, slide: str | None = None) -> DataFrame:
+    """The counts that a trend stream has written so far.
+
+    With ``width``, the stream's windows are panes, and windows of that width, one every
+    ``slide``, are added up from them. The panes' width has to divide both.
+    """
+    panes = _summed(writers.read_table(spark, path))
+    if width is None:
+        return panes
+    span = F.window("span_start", width, slide or width)
+    return _summed(panes.withColumn("span_start", span["start"]))
 
 
 def publish_snapshot(table: DataFrame, root: str, version: int) -> None:
