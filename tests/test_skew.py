@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vulntide.operators import analytics, enrichment, suppression
+from vulntide.operators.skew import heavy_keys, salted_join
 
 N = 60_000
 
@@ -111,3 +112,63 @@ def test_hot_advisory_is_split(spark, shuffled):
     }
     rows, plan = run(checked.select("event_id"))
     assert "skew=true" in plan
+
+
+@pytest.fixture
+def static(spark, shuffled):
+    """No adaptive execution: what the plan says is what happens."""
+    with settings(spark, **{"spark.sql.adaptive.enabled": "false"}):
+        yield
+
+
+def largest(df):
+    """Most rows in one partition of a joined table, beside the mean of all 40."""
+    rows = df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    return max(r["count"] for r in rows) / (sum(r["count"] for r in rows) / 40)
+
+
+def test_heavy_keys(spark):
+    rows = findings(spark)
+    assert heavy_keys(rows, "advisory_id") == ["CVE-hot"] and heavy_keys(rows, "parent_event_id") == ["report-hot"]
+    assert len(heavy_keys(rows, "application_name")) == 51  # each of them holds a hundredth or more
+    assert heavy_keys(rows.limit(0), "advisory_id") == []
+    assert heavy_keys(rows.select(F.lit(None).cast("string").alias("k")), "k") == []
+    tail = spark.range(200_000).select(F.when(F.col("id") % 100 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    assert heavy_keys(tail.repartition(24), "k") == [-1]
+
+
+def test_heavy_keys_spread_without_adaptive_execution(spark, static):
+    rows = findings(spark)
+    cve = spark.createDataFrame([("CVE-hot", ("V3", 9.0)), ("CVE-1", ("V2", 1.0))],
+                                "cve_id string, cvss struct<version string, score float>")
+    plain = enrichment.enrich_bundler(rows, cve)
+    spread = enrichment.enrich_bundler(rows, cve, heavy_keys(rows, "advisory_id"))
+    assert largest(plain) > 10 and largest(spread) < 4
+    assert "_salt" in spread._jdf.queryExecution().executedPlan().toString() and spread.columns == plain.columns
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+
+    reports = spark.createDataFrame([("report-hot", "t", None, "CI"), ("r1", "t", None, "CI")],
+                                    "event_id string, tool_name string, tool_version string, environment string")
+    plain = analytics.lineage(rows, reports)
+    spread = analytics.lineage(rows, reports, heavy_keys(rows, "parent_event_id"))
+    assert largest(plain) > 10 and largest(spread) < 6
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+
+    advisories = spark.createDataFrame([("pyup.io-7", "CVE-1, CVE-2"), ("pyup.io-8", None)], "id string, cve_list string")
+    hot = F.when(F.col("advisory_id") == "CVE-hot", "7").otherwise(F.substring("advisory_id", 5, 9))
+    rows = rows.withColumn("advisory_id", hot)
+    plain = enrichment.lookup_advisory(rows, advisories)
+    spread = enrichment.lookup_advisory(rows, advisories, heavy_keys(rows, "advisory_id"))
+    assert largest(plain) > 10 and largest(spread) < 4
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_each_pair_meets_once(spark, how):
+    left = spark.range(600).selectExpr("id", "IF(id % 2 = 0, 'hot', IF(id % 7 = 0, NULL, concat('k', id % 20))) AS k")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("k3", 3), ("k5", 4), (None, 5), ("hat", 6)], "r string, x int")
+    keys = F.col("k"), F.col("r")
+    plain = left.join(right, keys[0] == keys[1], how)
+    got = salted_join(left, right, *keys, ["hat", "hot"], how, salts=5)
+    assert got.columns == plain.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect()))

@@ -10,6 +10,7 @@ from ..functions.text import cvss_text, split_trimmed
 from ..functions.urls import normalise_url
 from ..operators import dimensions, enrichment, extraction, notification, suppression
 from ..plans.pipelines import findings_of
+from ..operators.skew import heavy_keys
 from ..session import materialise, new_folder
 from ..sinks import writers
 from ..sources import readers
@@ -348,17 +349,14 @@ def dedup_advisories(spark, sf_dir):
 # Enrichment
 
 
-@query(
-    "enrich_bundler",
-    duck(
-        """SELECT parent_event_id, CAST(position AS INTEGER) AS position, advisory_id,
+_ENRICHED = """SELECT parent_event_id, CAST(position AS INTEGER) AS position, advisory_id,
                   coalesce(c.cvss_version, 'Unknown') AS cvss_version,
                   round(CAST(c.cvss_score AS DOUBLE), 4) AS cvss_score, advisory_description
            FROM (SELECT * FROM bundler WHERE NOT failed) b
-           LEFT JOIN (SELECT cve_id, cvss_version, cvss_score FROM fx_cve) c ON c.cve_id = advisory_id""",
-        **o.BLOCKS_TO_FINDINGS,
-    ),
-)
+           LEFT JOIN (SELECT cve_id, cvss_version, cvss_score FROM fx_cve) c ON c.cve_id = advisory_id"""
+
+
+@query("enrich_bundler", duck(_ENRICHED, **o.BLOCKS_TO_FINDINGS))
 def enrich_bundler(spark, sf_dir):
     rows = extraction.extract_bundler_findings(_routed(spark, sf_dir, "bundler"))
     rich = enrichment.enrich_bundler(rows, cve_table(spark, sf_dir))
@@ -367,6 +365,16 @@ def enrich_bundler(spark, sf_dir):
     )
 
 
+@query("enrich_bundler_salted", duck(_ENRICHED, **o.BLOCKS_TO_FINDINGS))
+def enrich_bundler_salted(spark, sf_dir):
+    """The same, with the heaviest advisories found by a sketch and spread by the plan."""
+    rows = materialise(extraction.extract_bundler_findings(_routed(spark, sf_dir, "bundler")), "bundler")
+    rich = enrichment.enrich_bundler(rows, cve_table(spark, sf_dir), heavy_keys(rows, "advisory_id"))
+    return rich.select(
+        "parent_event_id", "position", "advisory_id", *flat_cvss(), "advisory_description"
+    )
+
+
 def _looked_up(spark, sf_dir):
     rows = extraction.extract_safety_findings(_routed(spark, sf_dir, "safety"))
     return enrichment.lookup_advisory(rows, _advisories(spark, sf_dir))

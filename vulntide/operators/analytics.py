@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.times import seconds_between
 from ..session import materialise
 from .commits import next_commit
 from .ranking import grouped_quantiles, numbered
+from .skew import salted_join
 
 APP = "application_name"
 SKETCH_LOG_SIZE = 12
@@ -207,12 +210,15 @@ def sample_per_app(findings: DataFrame, n: int = 5) -> DataFrame:
     return few.withColumn("row", F.row_number().over(last)).filter(F.col("row") <= n)
 
 
-def lineage(findings: DataFrame, reports: DataFrame) -> DataFrame:
-    """Findings beside the tool and environment of the report they came from."""
-    source = reports.select(
-        F.col("event_id").alias("parent_event_id"), "tool_name", "tool_version", "environment"
-    )
-    return findings.join(source, "parent_event_id")
+def lineage(findings: DataFrame, reports: DataFrame, heavy: Iterable[str] = ()) -> DataFrame:
+    """Findings beside the tool and environment of the report they came from.
+
+    ``heavy`` names reports with so many findings that the plan is to spread them.
+    """
+    source = reports.select(F.col("event_id").alias("_report"), "tool_name", "tool_version", "environment")
+    joined = salted_join(findings, source, F.col("parent_event_id"), F.col("_report"), list(heavy), "inner").drop("_report")
+    first = ["parent_event_id", *(c for c in findings.columns if c != "parent_event_id")]
+    return joined.select(*first, "tool_name", "tool_version", "environment")
 
 
 def orphans(findings: DataFrame, reports: DataFrame) -> DataFrame:

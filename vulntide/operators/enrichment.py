@@ -5,10 +5,13 @@ table below ``spark.sql.autoBroadcastJoinThreshold`` is broadcast, at planning o
 from the measured shuffle size; beyond it the join sorts and merges, and AQE splits the
 partitions of an advisory that a large share of all findings refer to. For the split, pass
 stored tables: a table that comes straight from an aggregate has no shuffle of its own.
+With ``heavy``, the keys that :func:`skew.heavy_keys` found, the plan itself spreads them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,26 +20,31 @@ from ..functions.text import UNKNOWN_CVSS, split_trimmed
 from ..functions.urls import normalise_url
 from ..session import materialise
 from .errors import error_struct, fails, first_of
+from .skew import salted_join
 
 ADVISORY_PREFIX = "pyup.io-"
 
 
-def enrich_bundler(findings: DataFrame, cve: DataFrame) -> DataFrame:
+def enrich_bundler(findings: DataFrame, cve: DataFrame, heavy: Iterable[str] = ()) -> DataFrame:
     """Take the score, and only the score, from the CVE with the advisory's id."""
     scores = cve.select(F.col("cve_id").alias("_cve"), F.col("cvss").alias("_cvss"))
-    joined = findings.join(scores, F.col("advisory_id") == F.col("_cve"), "left")
+    joined = salted_join(findings, scores, F.col("advisory_id"), F.col("_cve"), list(heavy))
     score = F.coalesce(F.col("_cvss"), F.expr(UNKNOWN_CVSS))
     return joined.withColumn("cvss", score).drop("_cve", "_cvss")
 
 
-def lookup_advisory(findings: DataFrame, advisories: DataFrame) -> DataFrame:
+def _prefixed(heavy: Iterable[str]) -> list[str]:
+    return [ADVISORY_PREFIX + key for key in heavy]
+
+
+def lookup_advisory(findings: DataFrame, advisories: DataFrame, heavy: Iterable[str] = ()) -> DataFrame:
     """Add ``advisory_known`` and ``cve_list`` from the advisory database.
 
     Three outcomes: unknown advisory, known without CVEs, known with a CVE list.
     """
     listed = advisories.select(F.col("id").alias("_id"), "cve_list")
     key = F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id"))
-    joined = findings.join(listed, key == F.col("_id"), "left")
+    joined = salted_join(findings, listed, key, F.col("_id"), _prefixed(heavy))
     return joined.withColumn("advisory_known", F.col("_id").isNotNull()).drop("_id")
 
 
@@ -80,7 +88,7 @@ def cves_by_advisory(advisories: DataFrame, cve: DataFrame) -> DataFrame:
 
 
 def checked_safety_fan_out(
-    findings: DataFrame, advisories: DataFrame, cve: DataFrame
+    findings: DataFrame, advisories: DataFrame, cve: DataFrame, heavy: Iterable[str] = ()
 ) -> DataFrame:
     """Fan-out rows with ``failed`` set where the CVE's own text or URL is unusable.
 
@@ -88,9 +96,8 @@ def checked_safety_fan_out(
     their CVEs are stored, so their size is known to the join, and a hot advisory is split.
     """
     known = materialise(cves_by_advisory(advisories, cve), "advisory-cves")
-    joined = findings.join(
-        known, F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id")) == F.col("_id"), "left"
-    )
+    key = F.concat(F.lit(ADVISORY_PREFIX), F.col("advisory_id"))
+    joined = salted_join(findings, known, key, F.col("_id"), _prefixed(heavy))
     kind = known.schema["hits"].dataType.elementType
     unknown = F.array(F.struct(*[
         (F.lit(0) if f.name == "cve_position" else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind
