@@ -43,8 +43,7 @@ def _text(draw: random.Random, letters: str, n: int) -> str:
 
 
 def _prose(draw: random.Random) -> str:
-    syllables = "the er on an re ed in es or en ch ei eau ou que tion ado cion und st".split()
-    words = ("".join(draw.choices(syllables, k=draw.randint(1, 4))) for _ in range(draw.randint(1, 5)))
+    words = (_word(draw, draw.randint(2, 11)) for _ in range(draw.randint(1, 5)))
     return " ".join(words) + draw.choice((" ", ". ", ", ", "\n"))
 
 
@@ -53,7 +52,19 @@ def _word(draw: random.Random, n: int) -> str:
     return "".join(draw.choice("bcdfghlmnprstvy" if k % 2 else "aeiou") for k in range(n))
 
 
+def _block(draw: random.Random) -> str:
+    kind = draw.choice(("", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "))
+    return f"-----BEGIN {kind}PRIVATE KEY-----" + draw.choice(("\n", " ", "\n\n"))
+
+
 def _secret(draw: random.Random) -> tuple[str, str, str]:
+    if draw.random() < 0.08:
+        return _prose(draw) + _block(draw), "MII" + _text(draw, _BASE64, draw.choice((1, 5, 60, 400, 1600))), draw.choice(("", "\n")) + _prose(draw)
+    if draw.random() < 0.08:
+        chosen = _word(draw, draw.randint(5, 9)) + _text(draw, string.digits, draw.randint(1, 4))
+        chosen += draw.choice(("", _word(draw, draw.randint(3, 7)))) + draw.choice("!@#%$&*?")
+        lead = draw.choice(("password: ", "password = \"", "passwd=", "pwd: ", "secret: "))
+        return _prose(draw) + lead, chosen, draw.choice((" ", "\n", '"')) + _prose(draw)
     body = draw.choice(
         (
             lambda: _text(draw, _HEX, draw.choice((32, 40, 40, 48, 64))),
@@ -94,6 +105,7 @@ def _harmless(draw: random.Random) -> tuple[str, str, str]:
         lambda: (draw.choice(("IMG_", "file ", "photo ")), f"IMG_20{draw.randint(10, 24)}0{draw.randint(1, 9)}1{draw.randint(0, 9)}_{draw.randint(100000, 235959)}"),
         lambda: ("data:image/png;base64,", _text(draw, _BASE64, draw.randint(40, 100))),
         lambda: (draw.choice(("part no ", "isbn ", "model ", "serial ")), _text(draw, string.ascii_uppercase, 3) + "-" + _text(draw, string.digits, 13)),
+        lambda: (_block(draw), draw.choice((part(), _word(draw, draw.randint(2, 12)), part() + part() + part(), "x" * draw.randint(3, 40), "yourkeygoeshere"))),
         lambda: (_prose(draw), _prose(draw).split()[0].replace(".", "") * 4 + str(draw.randint(1, 99))),
     )
     lead, body = draw.choice(forms)()

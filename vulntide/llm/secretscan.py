@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,23 @@ CONTEXT = 48
 _NAMES = r"passw(?:or)?d|passwd|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key"
 # A text without any of these holds no candidate.
 _WORTH = f"[0-9]|PRIVATE KEY|(?i:{_NAMES})"
-_LONG = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])(?=[0-9+/_\-]{0,200}[A-Za-z])[A-Za-z0-9+/_\-]{16,}={0,2}"
+_LONG = r"(?<![A-Za-z0-9+/_\-])(?P<run>[A-Za-z0-9+/_\-]{16,}={0,2})"
 _ASSIGNED = (
     rf"(?i:{_NAMES})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?"
     r"(?P<value>[^\s\"'<>,;]{8,})"
 )
-_PEM = r"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z))"
-_CANDIDATE = re.compile(f"{_PEM}|{_ASSIGNED}|{_LONG}", re.DOTALL)
+# A private-key block ends where its alphabet does: header lines and chunks of base 64. A last
+# short chunk belongs to it if the block or the text ends there.
+_BREAK = r"(?:\s|\\[nr])"
+_HEADER = r"(?:Proc-Type|DEK-Info|Comment|Version): [^\n\\]*"
+_CHUNK = rf"[A-Za-z0-9+/]{{16,}}={{0,2}}(?={_BREAK}|-----|\Z)"
+_PEM = (
+    rf"(?P<pem>-----BEGIN [A-Z ]*PRIVATE KEY-----(?P<body>(?:{_BREAK}+(?:{_HEADER}|{_CHUNK}))*"
+    rf"(?:{_BREAK}+[A-Za-z0-9+/=]{{1,76}}(?={_BREAK}*(?:-----END|\Z)))?)"
+    rf"(?:{_BREAK}*-----END [A-Z ]*PRIVATE KEY-----)?)"
+)
+_CANDIDATE = re.compile(f"{_PEM}|{_ASSIGNED}|{_LONG}")
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 
 _KEYWORD = re.compile(
     r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth\w*|bearer|credentials?)"
@@ -45,6 +56,7 @@ _KEYWORD = re.compile(
 )
 _HARMLESS = re.compile(r"(?:commit|sha\d*|md5|checksum|digest|integrity|etag|uuid|guid|revision|blob|base64,|merge|version|isbn|id)\W{0,3}$")
 _PREFIX = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|ghs_|sk_live_|sk-|xox[abp]-|AIza|eyJ|glpat-|npm_)")
+_BLOCK = re.compile(r"begin [a-z ]*private key-----\s*$")
 _PLACE = re.compile(r"(?:[/\\]|https?:|www\.)")
 
 # Words that identifiers, paths and placeholders are made of.
@@ -67,7 +79,7 @@ _WORDS = sorted(
         "source space spec stack start state static status step stop store stream string style submit success support "
         "system table target task team temp template test text theme thread time title token tool total track type "
         "unit update upload user util value version video view web week width window word work world write year your "
-        "the er on an re ed in es or en ch ei eau ou que tion ado cion und st".split()
+        "the and for not you all can has was one our out day get him his how its may new now old see two who did".split()
     ),
     key=len,
     reverse=True,
@@ -101,6 +113,7 @@ def features(before: str, candidate: str, after: str) -> list[float]:
         float(bool(_HARMLESS.search(near))),
         float(before[-1:] in "\"'" and before[-1:] != ""),
         float(bool(_PREFIX.match(candidate))),
+        float(bool(_BLOCK.search(near))),
     ]
 
 
@@ -160,18 +173,36 @@ def _nodes(root) -> list[tuple[int, float, int, int, float]]:
     return out
 
 
+def candidates(text: str) -> Iterator[tuple[tuple[int, int], int, str]]:
+    """Span of each candidate, where the part to be judged starts, and that part.
+
+    A run without a digit or without a letter is none, however long it is; what stands
+    inside it may still be one.
+    """
+    at = 0
+    while found := _CANDIDATE.search(text, at):
+        at = found.end()
+        if found["value"]:
+            yield found.span("value"), found.start("value"), found["value"]
+        elif found["pem"]:
+            if found["body"]:
+                yield found.span(), found.start("body"), "".join(found["body"].replace("\\n", " ").split())
+        elif _DIGIT.search(found["run"]) and _LETTER.search(found["run"]):
+            yield found.span(), found.start(), found["run"]
+        else:
+            at = found.start() + 1
+
+
 def scan(forest: Forest, text: str) -> tuple[int, list[tuple[int, int]]]:
     """Number of candidates of a text, and the spans of those that are secrets."""
-    spans, rows, sure = [], [], []
-    for found in _CANDIDATE.finditer(text):
-        a, z = found.span("value") if found["value"] else found.span()
+    spans, rows = [], []
+    for (a, z), start, judged in candidates(text):
         spans.append((a, z))
-        sure.append(found["pem"] is not None)
-        rows.append(features(text[max(a - CONTEXT, 0) : a], text[a : min(z, a + 4096)], text[z : z + 16]))
+        rows.append(features(text[max(start - CONTEXT, 0) : start], judged, text[z : z + 16]))
     if not spans:
         return 0, []
     votes = forest.score(np.array(rows)) >= LEAST_VOTE
-    return len(spans), [s for s, vote, known in zip(spans, votes, sure) if vote or known]
+    return len(spans), [s for s, vote in zip(spans, votes) if vote]
 
 
 def redacted(text: str, spans: list[tuple[int, int]]) -> str:
@@ -191,7 +222,9 @@ def scan_secrets(
     """``docs`` with ``n_candidates, n_secrets, secrets`` and ``redacted_text``.
 
     Candidates are private-key blocks, values assigned to a key's name, and long runs of
-    letters and digits; the forest, trained on ``findings``, removes the false ones.
+    letters and digits; the forest, trained on ``findings``, removes the false ones. Texts and
+    candidates of any length are searched and judged whole. A block ends where its alphabet
+    ends, so prose that names one loses nothing.
     ``secrets`` lists the spans as ``start-end`` (code points), parted by commas. A null
     text has no candidates and an empty redacted text. Repeated rows get equal results; an
     empty table stays empty; columns of the new names are replaced. No shuffle: the trained
