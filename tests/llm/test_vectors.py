@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vulntide.llm.vectors import nearest
+from vulntide.llm.vectors import estimated_products, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
 
@@ -64,3 +64,27 @@ def test_odd_vectors_take_no_part(spark):
     assert set(got) == {0, 7, 8, 9, 10, 11, 50}
     assert [j for j, _ in got[8]] == [9] and got[0][0][0] == 50 and [j for j, _ in got[0]][:2] == [50, 50]
     assert result(frame.limit(0), F.col("vec_id") >= 0) == {}
+
+
+def test_doubles_keep_their_precision_and_range(spark):
+    rows = [
+        (0, [1e300, 1e300]), (1, [1e300, 1.0]), (2, [1.0, 1.0]), (3, [1.0, 1.0 + 1e-13]), (4, [1e-300, 1e-300]),
+        (5, [-1e300, 1e300]), (6, [3e38, 1e39]),
+    ]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(frame, F.col("vec_id") == 0)[0]
+    assert {j for j, _ in got[:3]} == {2, 3, 4}
+    assert {j for j, _ in got} == {1, 2, 3, 4, 6} and dict(got)[1] == pytest.approx(0.5**0.5, abs=1e-15)
+    assert dict(got)[6] == pytest.approx(1.3 / (2 * 1.09) ** 0.5, abs=1e-15)
+    one = result(frame, F.col("vec_id") == 3)[3]
+    assert dict(one)[2] == pytest.approx(1.0, abs=1e-15)
+
+
+@pytest.mark.parametrize("width", [1, 7, 64, 65, 200])
+def test_products_from_packed_bits(width):
+    rng = np.random.default_rng(width)
+    signs = rng.integers(0, 2, (300, width)).astype(bool)
+    turned = rng.normal(size=(150, width))
+    got, bound = estimated_products(np.packbits(signs, axis=1), turned)
+    want = (signs * 2.0 - 1) @ turned.T
+    assert (np.abs(got - want) <= bound + 1e-9).all()

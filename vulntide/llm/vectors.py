@@ -22,7 +22,9 @@ SEED = 40_961
 # Half-width of the bounds in standard errors of the estimate.
 BOUND = 3.0
 
-_INDEX = "vec_id long, embedding array<float>, code binary, aligned double"
+# Bits of a query's components, and queries that are estimated at a time.
+QUERY_BITS = 8
+QUERIES_AT_ONCE = 128
 
 
 def usable(vector: Column) -> Column:
@@ -61,7 +63,7 @@ def encoded(vectors: DataFrame, seed: int = SEED) -> DataFrame:
             start = np.cumsum(widths) - widths
             for width in np.unique(widths):
                 at = np.flatnonzero(widths == width)
-                rows = values[start[at][:, None] + np.arange(width)]
+                rows = _in_range(values[start[at][:, None] + np.arange(width)])
                 turned = (rows / _norms(rows)[:, None]) @ rotation(int(width), seed)
                 for k, bits in zip(at, np.packbits(turned > 0, axis=1)):
                     codes[k] = bits.tobytes()
@@ -71,13 +73,50 @@ def encoded(vectors: DataFrame, seed: int = SEED) -> DataFrame:
                 names=["vec_id", "embedding", "code", "aligned"],
             )
 
-    return vectors.select("vec_id", "embedding").mapInArrow(run, _INDEX)
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    return vectors.select("vec_id", "embedding").mapInArrow(
+        run, f"vec_id long, embedding {kind}, code binary, aligned double"
+    )
+
+
+def _in_range(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled by powers of two, which is exact, so that no product leaves the range."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None])
 
 
 def _norms(rows: np.ndarray) -> np.ndarray:
-    # Scaled first, so that neither the largest nor the smallest numbers leave the range.
-    top = np.abs(rows).max(axis=1)
-    return top * np.sqrt(((rows / top[:, None]) ** 2).sum(axis=1))
+    return np.sqrt((rows**2).sum(axis=1))
+
+
+def estimated_products(codes: np.ndarray, turned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Inner products of the corners that ``codes`` name, as signs, with rotated queries.
+
+    From packed bits alone: a query's components become integers of ``QUERY_BITS`` bits, and
+    each of their bits a plane packed like the codes, so a product is a sum of counted bits.
+    The second array bounds, per query, what rounding to integers can change.
+    """
+    rows, width = len(codes), turned.shape[1]
+    words = -(-width // 64)
+    packed = np.zeros((rows, 8 * words), np.uint8)
+    packed[:, : codes.shape[1]] = codes
+    packed = packed.view(np.uint64)
+    low = turned.min(axis=1)
+    step = np.maximum((turned.max(axis=1) - low) / (2**QUERY_BITS - 1), 1e-300)
+    whole = np.rint((turned - low[:, None]) / step[:, None]).astype(np.int64)
+    ones = np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+    out = np.empty((rows, len(turned)))
+    for a in range(0, len(turned), QUERIES_AT_ONCE):
+        part = slice(a, a + QUERIES_AT_ONCE)
+        total = np.zeros((rows, len(whole[part])), np.int32)
+        for bit in range(QUERY_BITS):
+            plane = np.zeros((len(whole[part]), 8 * words), np.uint8)
+            bits = np.packbits((whole[part] >> bit) & 1, axis=1)
+            plane[:, : bits.shape[1]] = bits
+            plane = plane.view(np.uint64)
+            for word in range(words):
+                total += np.bitwise_count(packed[:, word, None] & plane[:, word]).astype(np.int32) << bit
+        out[:, part] = 2 * (total * step[part] + ones[:, None] * low[part]) - turned[part].sum(axis=1)
+    return out, step * width
 
 
 def nearest(
@@ -100,11 +139,14 @@ def nearest(
     Rows are dealt to blocks by a hash, and each block of queries meets each block of rows
     in one group of bounded size. There the codes give estimates of all inner products; the
     bounds of an estimate tell which vectors can still be among the ``k`` nearest, and only
-    they are scored, in double precision on the original vectors. A group gives its ``k``
+    they are scored, in double precision on the original vectors, be they floats or doubles
+    of any size. A group gives its ``k``
     best per query, and the best of these are the result.
     """
+    plain = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if plain else "array<double>"
     valid = vectors.select(
-        F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>").alias("embedding")
+        F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("embedding")
     ).where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
     asked = valid.where(queries).distinct()
     rows, questions = valid.count(), asked.count()
@@ -154,16 +196,16 @@ def _search(group: pa.Table, k: int, seed: int) -> pa.RecordBatch | None:
         return None
     ids = group.column(4).to_numpy()
     all_rows = group.column(5).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    all_rows = all_rows.astype(np.float64).reshape(-1, width)
+    originals = all_rows.astype(np.float64).reshape(-1, width)
+    all_rows = _in_range(originals)
     norms = _norms(all_rows)
     rows, row_ids, row_norms = all_rows[data], ids[data], norms[data]
     codes = np.frombuffer(b"".join(group.column(6).take(pa.array(data)).to_pylist()), np.uint8)
-    signs = np.unpackbits(codes.reshape(len(data), -1), axis=1, count=width).astype(np.float32) * 2 - 1
     aligned = group.column(7).to_numpy()[data]
     turned = (all_rows[asked] / norms[asked][:, None]) @ rotation(width, seed)
-    estimate = (signs @ turned.T.astype(np.float32)) / (math.sqrt(width) * aligned)[:, None]
+    products, rounding = estimated_products(codes.reshape(len(data), -1), turned)
     error = BOUND * np.sqrt(np.maximum(1 - aligned**2, 0)) / aligned / math.sqrt(max(width - 1, 1))
-    upper = estimate + error[:, None] + 1e-5
+    upper = (products + rounding) / (math.sqrt(width) * aligned)[:, None] + error[:, None] + 1e-5
     out: list[tuple] = []
     for q, at in enumerate(asked):
         high = np.where(row_ids == ids[at], -np.inf, upper[:, q])
@@ -174,7 +216,7 @@ def _search(group: pa.Table, k: int, seed: int) -> pa.RecordBatch | None:
         left = np.flatnonzero((high >= floor) & ~np.isneginf(high))
         scores = _cosine(rows[left], row_norms[left], all_rows[at], norms[at])
         order = np.lexsort((row_ids[left], -scores))[:k]
-        key = int.from_bytes(hashlib.blake2b(all_rows[at].tobytes(), digest_size=8).digest(), "little", signed=True)
+        key = int.from_bytes(hashlib.blake2b(originals[at].tobytes(), digest_size=8).digest(), "little", signed=True)
         out += [(ids[at], key, row_ids[left[o]], scores[o]) for o in order]
     if not out:
         return None
