@@ -91,6 +91,21 @@ def test_mix_meets_its_targets(spark):
     assert len(mixing.repeated(mixing.mix_sources(docs), docs.columns).collect()) == sum(r.copies for r in out)
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_equal_rows_meet_their_target(spark, parts):
+    rows = [(None, "a", "three little words")] * 1000 + [(k, "b", "word " * (k % 50)) for k in range(400)]
+    rows += [(7, "a", "three little words")] * 285 + [(9, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(parts)
+    for keep in (None, ["doc_id"]):
+        out = mixing.mix_sources(docs, weights=(1, 9, 1), share=0.7, keep=keep).collect()
+        assert len(out) == len(rows)
+        for source_size in {r.source_size for r in out}:
+            mine = [r for r in out if r.source_size == source_size]
+            assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) / 2 + 1e-6
+            assert all(r.taken <= 2 * r.size for r in mine)
+        assert 0 < sum(r.taken for r in out if r.source_size == 3855) < 3855
+
+
 def test_odd_tables_are_mixed(spark, odd_docs, no_docs):
     out = mixing.mix_sources(odd_docs.withColumnRenamed("lang", "Taken")).collect()
     assert len(out) == odd_docs.count()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .shards import _numbered
 from .workers import WORD
 
 WEIGHTS = (5, 2, 1)
@@ -27,6 +28,30 @@ def measured(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", seed:
     return docs.drop("size", "draw").withColumns({"size": size, "draw": draw})
 
 
+def _told_apart(rows: DataFrame, source: str, light: DataFrame) -> DataFrame | None:
+    """``rows`` in which equal rows of a source have draws of their own; None if all have.
+
+    ``light`` has ``source`` and ``draw`` of all rows. Only rows whose draw another has are
+    looked at. They are numbered, in their input partitions first, and all but the first take
+    a draw from the digest of theirs and their number. So a source of equal rows is cut at
+    any one of them, however many there are.
+    """
+    key = lambda name: F.xxhash64(F.col(name), F.col("draw"))
+    shared = light.groupBy(key("source").alias("key")).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = materialise(shared.select("key"), "mixing-equal")
+    if shared.isEmpty():
+        return None
+    keyed = rows.withColumn("__key", key(source))
+    alike = keyed.join(shared, F.col("__key") == F.col("key"), "left_semi")
+    columns = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    numbered = _numbered(alike.select(F.col("__key").alias("draw"), columns.alias("row"))).select("number", "row.*")
+    named = F.concat_ws("|", F.lit("copy"), F.col("draw").cast("string"), F.col("number").cast("string"))
+    other = F.conv(F.substring(F.md5(named), 1, DRAW_DIGITS), 16, 10).cast("long")
+    apart = numbered.withColumn("draw", F.when(F.col("number") == 0, F.col("draw")).otherwise(other))
+    single = keyed.join(shared, F.col("__key") == F.col("key"), "left_anti")
+    return single.select(*rows.columns).unionByName(apart.select(*rows.columns))
+
+
 def water_filling(totals: DataFrame, weights=WEIGHTS, share=SHARE, epochs=EPOCHS) -> DataFrame:
     """Targets per source, from ``source`` and ``source_size``: adds ``target``.
 
@@ -139,8 +164,8 @@ def mix_sources(
 
     ``size`` counts words (null text: 0), ``target`` is the source's, ``copies`` how often
     the mix takes the document whole, ``taken`` the words of these copies. A source's taken
-    words miss its target by at most half of one document; rows equal in id and text share
-    a decision. A null source is a source. Sources without words get the target 0. The same
+    words miss its target by at most half of one document, also where rows are equal in id
+    and text. Texts of any length count whole; an empty table gives an empty table. A null source is a source. Sources without words get the target 0. The same
     rows and seed give the same mix, however they are partitioned. ``keep`` names the
     columns to carry (default: all); columns of the new names are replaced.
     """
@@ -155,6 +180,10 @@ def mix_sources(
         light = rows.select(F.col(source).alias("source"), "size", "draw")
     else:
         light = materialise(rows.select(F.col(source).alias("source"), "size", "draw"), "mixing-rows")
+    apart = _told_apart(rows, source, light)
+    if apart is not None:
+        rows = materialise(apart, "mixing-apart")
+        light = rows.select(F.col(source).alias("source"), "size", "draw")
     plan = materialise(mixing_plan(light, weights, share, epochs), "mixing-plan").select(
         F.col("source").alias("__source"), "source_size", "target", "whole", "last_draw"
     )

@@ -10,11 +10,17 @@ _ONWARDS = "rows between current row and unbounded following"
 _WEIGHTS = ", ".join(f"{float(w)}::DOUBLE" for w in mixing.WEIGHTS)
 
 MIXING = f"""
-WITH d AS (
+WITH d_all AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
          ('0x' || substr(md5(concat_ws('|', '{mixing.SEED}', coalesce(doc_id::VARCHAR, ''), text)),
                          1, {mixing.DRAW_DIGITS}))::BIGINT AS draw
   FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, draw) - 1 AS number FROM d_all),
+d AS (
+  SELECT doc_id, source, size,
+         CASE WHEN number = 0 THEN draw
+              ELSE ('0x' || substr(md5(concat_ws('|', 'copy', draw, number)), 1, {mixing.DRAW_DIGITS}))::BIGINT END AS draw
+  FROM n),
 t AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} AS turn
