@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from vulntide.llm import bpe, tokenfiles, tokens
+from vulntide.llm.bpe import WORDS, ChunkCoder, WordEncoder
 
 PIECES = ["a", " ", "  ", "\n", "the", "▁", "é", "é", "日本", "<s>", "<|endoftext|>", "<|end", "'s", "n't", "ß", "Σ", ".", "1", " ", "\x85", "가", "\x00"]
 
@@ -110,3 +112,50 @@ def test_files_round_trip(spark, odd_docs, no_docs, words):
     assert sorted((key(r.doc_id), r.n_tokens, r.ids_crc32) for r in rows) == want
     assert files.dtype == "<u2"
     assert tokenfiles.read_token_files(spark, tokenfiles.write_token_files(no_docs)).count() == 0
+
+
+def _without_spaces(kind, n):
+    rng = random.Random(kind)
+    ideograph = lambda: chr(rng.randrange(0x4E00, 0x9FA0))
+    make = {
+        "ideographs": ideograph,
+        "sentences": lambda: ideograph() if rng.random() < 0.93 else rng.choice("。，、！"),
+        "base 64": lambda: rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+        "thai": lambda: chr(rng.randrange(0xE01, 0xE3B)),
+        "code": lambda: rng.choice(["var a=", "function(){", "x.y(1,2);", "'s", "}", "12ab", "<|endoftext|>", "é", "é", "ﬁ", "1º", "a1́"]),
+    }[kind]
+    return "".join(make() for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["ideographs", "sentences", "base 64", "thai", "code"])
+def test_texts_without_white_space_are_coded_in_linear_time(kind):
+    text = _without_spaces(kind, 1_000_000)
+    while len(text.encode()) > 1_000_000:
+        text = text[: len(text) // 2]
+    encoder = WordEncoder(public_tokenizers.path(WORDS))
+    start = time.process_time()
+    ids = encoder.encode_whole(text)
+    encoder.decode(ids)
+    library = time.process_time() - start
+    coder = ChunkCoder(encoder)
+    start = time.process_time()
+    ((n, ids_sha256, decoded_sha256),) = coder.code([text])
+    own = time.process_time() - start
+    assert (n, ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+    assert decoded_sha256 == hashlib.sha256(encoder.decode(ids).encode()).hexdigest()
+    assert own < 3 * library + 0.5 and coder.join_bytes < 1 << 20
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_any_cut_is_repaired(seed, monkeypatch):
+    """Chunks cut at any character, so that most joins have to be mended."""
+    rng = random.Random(seed)
+    pieces = ["ab", "a", " ", "1", "e", "\u0301", "é", "'s", "'", "l", "<|", "endoftext", "|>", "日", "。", "\n", "ſ", "İ", "-", "한", "\u1100", "\u1161"]
+    text = "".join(rng.choice(pieces) for _ in range(400))
+    cuts = sorted(rng.sample(range(1, len(text)), 60))
+    ends = [len(text[:k].encode()) for k in cuts] + [len(text.encode())]
+    monkeypatch.setattr(bpe, "chunk_ends", lambda data: ends)
+    encoder = WordEncoder(public_tokenizers.path(WORDS))
+    ((n, ids_sha256, _),) = ChunkCoder(encoder).code([text])
+    ids = encoder.encode_whole(text)
+    assert (n, ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())

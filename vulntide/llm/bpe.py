@@ -30,7 +30,16 @@ CHUNK_BYTES_KEPT = 6 << 20
 # Letters whose normal form, lower case and byte alphabet are known, then ASCII marks
 # (no apostrophe: it starts contractions).
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)")
-_BREAK = re.compile(rb"[\x20\x09-\x0D]")
+# Places in UTF-8 at which a text can be cut: ASCII white space, and seams, where one pre-token
+# ends and no normal form reaches over: between an ASCII letter and a digit, and between wide
+# punctuation and an ideograph.
+_BREAK = re.compile(
+    rb"[\x20\x09-\x0D]|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])"
+    rb"|(?:(?<=\xe3\x80[\x81\x82])|(?<=\xef\xbc[\x81\x8c\x9a\x9b\x9f]))(?=[\xe5-\xe9])"
+)
+# Bytes of a chunk's end that are searched for its last such place before more are.
+TAIL = 64
+JOIN_BYTES_KEPT = 16 << 20
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -141,9 +150,9 @@ def rolling_marks(data: np.ndarray) -> np.ndarray:
 def chunk_ends(data: bytes) -> list[int]:
     """Ends of the content-defined chunks of a text.
 
-    A chunk ends at the first white space at or after a mark, so equal passages give equal
-    chunks wherever they stand, but for those at their ends. Where no white space follows
-    within four mean chunks, it ends at the next character's first byte.
+    A chunk ends at the first white space or seam at or after a mark, so equal passages give
+    equal chunks wherever they stand, but for those at their ends. A mark with neither within
+    four mean chunks ends none: such a run is one piece, encoded once.
     """
     if len(data) < 1 << HASH_BITS:
         return [len(data)] if data else []
@@ -152,9 +161,7 @@ def chunk_ends(data: bytes) -> list[int]:
         if ends and mark < ends[-1]:
             continue
         found = _BREAK.search(data, mark, mark + reach)
-        end = found.start() if found else mark
-        while end < len(data) and data[end] & 0xC0 == 0x80:
-            end += 1
+        end = found.start() if found else 0
         if end and (not ends or end > ends[-1]) and end < len(data):
             ends.append(end)
     return [*ends, len(data)]
@@ -173,6 +180,7 @@ class ChunkCoder:
         self.old: dict[bytes, tuple[np.ndarray, bytes]] = {}
         self.held = 0
         self.joins: dict[tuple[bytes, bytes], bool] = {}
+        self.join_bytes = 0
 
     def _keep(self, chunk: bytes, coded: tuple[np.ndarray, bytes]) -> None:
         if self.held > CHUNK_BYTES_KEPT:
@@ -217,23 +225,38 @@ class ChunkCoder:
     def joined(self, chunks: list[bytes], used: dict) -> list[tuple[np.ndarray, bytes]]:
         """The coded chunks of a text, with the joins repaired.
 
-        At each join the words on both sides are encoded in one piece. If that agrees with
-        the words' own ids, the join stands. If not, both chunks are encoded anew as one,
-        which then has to agree with its own neighbours in the same way.
+        At each join the ends of both sides are encoded in one piece. If that agrees with the
+        ends' own ids, the join stands. Chunks whose joins do not are taken together, a whole
+        run of them at once, and encoded anew as one; until all joins agree.
         """
-        out: list[tuple[bytes, np.ndarray, bytes]] = []
-        for chunk in chunks:
-            piece = (chunk, *used[chunk])
-            while out and not self._agrees(out[-1][0], piece[0]):
-                whole = out.pop()[0] + piece[0]
-                ids = self.encoder.encode_whole(whole.decode())
-                piece = (whole, ids, self.encoder.decode(ids).encode())
-            out.append(piece)
-        return [(ids, decoded) for _, ids, decoded in out]
+        pieces = [(chunk, *used[chunk]) for chunk in chunks]
+        while True:
+            groups: list[list[tuple[bytes, np.ndarray, bytes]]] = []
+            for piece in pieces:
+                if groups and not self._agrees(groups[-1][-1][0], piece[0]):
+                    groups[-1].append(piece)
+                else:
+                    groups.append([piece])
+            if len(groups) == len(pieces):
+                return [(ids, decoded) for _, ids, decoded in pieces]
+            pieces = [group[0] if len(group) == 1 else self._anew(group) for group in groups]
+
+    def _anew(self, group: list[tuple[bytes, np.ndarray, bytes]]) -> tuple[bytes, np.ndarray, bytes]:
+        whole = b"".join(chunk for chunk, _, _ in group)
+        ids = self.encoder.encode_whole(whole.decode())
+        return whole, ids, self.encoder.decode(ids).encode()
 
     def _agrees(self, left: bytes, right: bytes) -> bool:
-        """Whether the last word of ``left`` and the first of ``right`` keep their ids."""
-        start = max(left.rfind(s) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
+        """Whether what follows the last cut of ``left``, and what precedes the first of
+        ``right``, keep their ids side by side."""
+        start, tail = 0, TAIL
+        while tail // 4 < len(left):
+            # From before the tail, since a seam is known by the byte in front of it.
+            cuts = [m.end() for m in _BREAK.finditer(left, max(len(left) - tail, 0)) if m.end() < len(left) or m.end() > m.start()]
+            if cuts:
+                start = cuts[-1]
+                break
+            tail *= 4
         found = _BREAK.search(right, 1)
         before, after = left[start:], right[: found.start() if found else len(right)]
         key = before, after
@@ -242,9 +265,11 @@ class ChunkCoder:
             encode = self.encoder.encode_whole
             apart = np.concatenate([encode(before.decode()), encode(after.decode())])
             held = np.array_equal(apart, encode((before + after).decode()))
-            if len(self.joins) > WORD_ENTRIES:
+            if self.join_bytes > JOIN_BYTES_KEPT:
                 self.joins.clear()
+                self.join_bytes = 0
             self.joins[key] = held
+            self.join_bytes += len(before) + len(after)
         return held
 
 
@@ -255,8 +280,10 @@ def encode_and_decode(
 
     The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded
     text in UTF-8. A null text counts as empty: no ids, the digests of nothing. Rows are
-    kept as they are, repeated ones too; columns of these names are replaced. No shuffle:
-    chunks are shared by the documents a worker process meets.
+    kept as they are, repeated ones too; columns of these names are replaced; an empty table
+    gives an empty table. Texts of any length are encoded whole, in time in proportion, with
+    or without white space. No shuffle: chunks are shared by the documents a worker process
+    meets.
     """
     path = path or public_tokenizers.path(WORDS)
 
