@@ -102,3 +102,32 @@ def test_odd_pages(spark):
     assert text[0] == text[1] == text[4] == "" and text[2] == "plain text only" and text[3].startswith("cut off")
     assert text[5] == "<b> A & &unknown;" and len(text[6]) == 249_999 and text[7] == "1 < 2 and 3 > 2"
     assert extracted(spark, []) == []
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        '<div class="overflow-hidden"><article><p>{}</p></article></div>',
+        '<article><p>before</p><p aria-hidden="false">{}</p></article>',
+        '<article><p><a href="/the/hidden/valley">{}</a> and more words than the link has, by far, in this line</p></article>',
+        '<div class="content has-sidebar"><p>{}</p></div>',
+        '<article><h2 id="related-work">{}</h2><p>x y z</p></article>',
+        '<article><section id="social-history"><p>{}</p></section></article>',
+        '<article><h2 id="search">{}</h2></article>',
+        '<article><p style="color: none; border: hidden">{}</p></article>',
+    ],
+)
+def test_attributes_that_hide_nothing(spark, body):
+    text = "A sentence of the article itself, long enough to count."
+    (got,) = extracted(spark, [("http://one.example.org/", body.format(text))])
+    assert text in got
+
+
+@pytest.mark.parametrize(
+    "box",
+    ['<div hidden>{}</div>', '<p HIDDEN="">{}</p>', '<p style="color:red; DISPLAY : none">{}</p>', '<div id="comments"><p>{}</p></div>',
+     '<div class="related-posts"><p>{}</p></div>', "<div style='display:none'>{}</div>"],
+)
+def test_boxes_that_are_hidden_or_beside_the_article_go(spark, box):
+    page = "<article><p>Words of the article.</p>" + box.format("Not of it.") + "</article>"
+    assert extracted(spark, [("http://one.example.org/", page)]) == ["Words of the article."]

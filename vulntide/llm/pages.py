@@ -30,7 +30,11 @@ _TAG = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_MAY_HIDE = re.compile(r"hidden|none", re.IGNORECASE)
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
+# Class names that tell a state of the layout, not what the element is.
+_STATE = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|is|hide|show)[-_]\S+", re.IGNORECASE)
 
 # Elements of the markup language, by what they mean here.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,10 +70,38 @@ _NO_ARTICLE = re.compile(
     r"(?:^|[\s_-])(?:comments?|replies|respond|related|recommended|ads?|advert\w*|sponsor\w*|promo\w*|widget)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _BY_MARK, _BY_NAME = 1, 2  # why an element is outside
 _MAIN_ROLE = re.compile(r"(?:^|\s)(?:main|article)(?:$|\s)", re.IGNORECASE)
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether a tag has the attribute ``hidden`` or the style ``display: none``."""
+    if not _MAY_HIDE.search(attributes):
+        return False
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        if name.lower() == "hidden" or name.lower() == "style" and _NOT_SHOWN.search("".join(values)):
+            return True
+    return False
+
+
+def _says_aside(name: str, marks: list[tuple[str, str]], main: bool) -> bool:
+    """Whether classes, id or role name something that is not the article.
+
+    In an article an id is often a heading's words, so there it counts only as a whole, and
+    on headings not at all.
+    """
+    for kind, value in marks:
+        if kind == "id" and main:
+            if name not in _HEADINGS and (found := _ASIDE.match(value)) and found.end() == len(value):
+                return True
+            continue
+        value = _STATE.sub(" ", value) if kind == "class" else value
+        if _ASIDE.search(_HEADING.sub(" ", value) if main else value):
+            return True
+    return False
+
+
 class Segment:
     """A run of text: its path of open elements, that of the marked article, and whether it starts a block."""
 
@@ -134,13 +166,12 @@ def parsed(page: str) -> tuple[list[str], list[Segment]]:
         _, _, outside, main, linked = stack[-1]
         own = name in _MAIN or any(k == "role" and _MAIN_ROLE.search(v) for k, v in marks)
         own = own and not _NO_ARTICLE.search(values)
-        if name in _OUTSIDE and not (name == "header" and main) or _HIDDEN.search(found["rest"] or ""):
+        if name in _OUTSIDE and not (name == "header" and main) or _hidden(found["rest"] or ""):
             outside = _BY_NAME
         elif own:
             outside = 0 if outside == _BY_MARK and not main else outside
         elif values and name not in ("html", "body"):
-            named = _HEADING.sub(" ", values) if main else values
-            outside = max(outside, _BY_MARK * bool(_ASIDE.search(named)))
+            outside = max(outside, _BY_MARK * _says_aside(name, marks, bool(main)))
         stack.append((name, path, outside, path if own else main, linked or name == "a"))
     text(len(page))
     return tags, segments
