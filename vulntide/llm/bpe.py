@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField
 
-from .workers import append_columns, per_process
+from .workers import append_columns, per_process, release
 
 WORDS = "word_bpe_49k.json"
 
@@ -288,6 +288,7 @@ def encode_and_decode(
     path = path or public_tokenizers.path(WORDS)
 
     def make():
+        release("powers")  # an earlier stage's table of hash powers, up to 128 MB
         coder = per_process(("chunks", path), lambda: ChunkCoder(word_encoder(path)))
 
         def compute(texts: pa.Array) -> list[pa.Array]:

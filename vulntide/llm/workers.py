@@ -33,6 +33,14 @@ def per_process(key: tuple, build: Callable[[], object]) -> object:
     return objects[key]
 
 
+def release(kind: str) -> None:
+    """Drop the objects of one kind that this worker has kept from an earlier stage."""
+    store = sys.modules.get("vulntide_worker_store")
+    objects = store.__dict__.get("objects", {}) if store else {}
+    for key in [key for key in objects if key[0] == kind]:
+        del objects[key]
+
+
 def append_columns(
     df: DataFrame,
     column: str,
