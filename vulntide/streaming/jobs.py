@@ -149,15 +149,17 @@ def stream_findings(
             fresh = materialise(unseen(df, index), "fresh")
             fresh.select("_key").write.parquet(f"{folder}/keys")
             checked = materialise(revalidate_reports(fresh.drop("_key", "_bucket")), "checked")
-            tables = cve(spark), advisories(spark)
             split = findings_of(checked.filter("error IS NULL").drop("error"), *tables, as_of)
             refused = checked.filter("error IS NOT NULL")
             refused = refused.select(F.col("event_id").alias("parent_event_id"), "error")
             split.good.write.parquet(f"{folder}/good")
             split.bad.unionByName(refused).write.parquet(f"{folder}/bad")
 
-        with scratch(spark):
-            writers.publish_batch(spark, outcomes, batch_id, write)
+        if not writers.has_batch(spark, outcomes, batch_id):
+            # Outside the batch's scratch: the tables outlive it.
+            tables = cve(spark), advisories(spark)
+            with scratch(spark):
+                writers.publish_batch(spark, outcomes, batch_id, write)
         (found,) = [entry for entry in manifests.entries(spark, outcomes) if entry.name == name]
 
         def part(kind: str) -> DataFrame:
