@@ -168,6 +168,20 @@ def test_bad_typed_records_are_rejected_with_their_error(spark, tmp_path):
     assert count(spark, f"{root}/out") == 3
 
 
+def test_enrichment_tables_outlive_a_batch(spark, tmp_path):
+    root = str(tmp_path)
+    jobs.publish_snapshot(spark.createDataFrame([], CVE), f"{root}/cve", 1)
+    jobs.publish_snapshot(spark.createDataFrame([("a", None)], "id string, cve_list string"), f"{root}/adv", 1)
+    for k in range(3):
+        rows = typed_reports(spark, 4, event_id=F.format_string(f"0000000{k}-0000-4000-8000-%012d", "id"))
+        writers.append_reports(rows, f"{root}/in", k)
+    jobs.stream_findings(
+        readers.read_reports(spark, f"{root}/in", streaming=True, max_files=1), jobs.overlaid_snapshots(f"{root}/cve", "cve_id"),
+        jobs.newest_snapshot(f"{root}/adv"), f"{root}/out", f"{root}/bad", f"{root}/c", available_now=True,
+    ).awaitTermination()
+    assert count(spark, f"{root}/out") == 12 and len(manifests.entries(spark, f"{root}/out")) == 3
+
+
 def test_unpublished_batch_is_not_read(spark, tmp_path):
     path = str(tmp_path / "log")
     writers.append_reports(typed_reports(spark, 5), path, 0)
