@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from samples import utc
 
-from vulntide.functions import hashing, text, times, urls
+from vulntide.functions import hashing, text, times
 
 
 def test_issue_hash_golden(evaluate):
@@ -48,24 +48,6 @@ def test_published(evaluate):
     assert evaluate(times.parse_published("t"), t="2019-09-13T19:35Z") == utc(2019, 9, 13, 19, 35)
 
 
-@pytest.mark.parametrize(
-    "value, expected",
-    [
-        ("https://example.org/a?b#c", "https://example.org/a?b#c"),
-        ("HTTPS://Example.ORG", "https://example.org/"),
-        ("http://example.org:80/x", "http://example.org/x"),
-        ("http://example.org:8080", "http://example.org:8080/"),
-        ("http://example.org:99999/", None), ("http://", None), ("not a url", None), ("/path", None),
-        (" https://example.org/a b\r", "https://example.org/a%20b"),
-        ("https:\\\\example.org\\x", "https://example.org/x"),
-        ("https://me@Example.org/?q=a b", "https://me@example.org/?q=a%20b"),
-        ("mailto:a@b", "mailto:a@b"), ("http://a<b/", None), ("http://[::1]/", "http://[::1]/"),
-    ],
-)
-def test_url(evaluate, value, expected):
-    assert evaluate(urls.normalise_url("t"), t=value) == expected
-
-
 @pytest.mark.parametrize(
     "version, score, expected",
     [("Unknown", None, "Unknown"), ("V3", 7.5, "V3(7.5)"), ("V2", 10.0, "V2(10)")],

@@ -522,29 +522,47 @@ def cvss_text_query(spark, sf_dir):
     return findings(spark, sf_dir).select("event_id", F.expr(cvss_text("cvss")).alias("cvss_text"))
 
 
+# Twelve ways to write the address of a page; the last seven have their normal form beside them.
+_ORIGIN = "regexp_extract(url, '^https?://[^/]+')"
+_NAME = "regexp_extract(url, '^https?://([^/]+)', 1)"
+_URL_PARTS = "regexp_extract(text, '^([a-zA-Z]+)://([^/?#]+)(.*)$', {})"
+
+
 @query(
     "normalise_url",
     duck(
-        """SELECT page_id, CASE WHEN parts[1] = '' THEN NULL ELSE concat(lower(parts[1]), '://', lower(parts[2]),
-                  CASE WHEN parts[3] = '' THEN '/' ELSE replace(parts[3], ' ', '%20') END) END AS normal
-           FROM (SELECT page_id, regexp_extract(text, '^([a-zA-Z]+)://([^/?#]+)(.*)$', ['s', 'h', 'r']) AS f,
-                        [regexp_extract(text, '^([a-zA-Z]+)://([^/?#]+)(.*)$', 1),
-                         regexp_extract(text, '^([a-zA-Z]+)://([^/?#]+)(.*)$', 2),
-                         regexp_extract(text, '^([a-zA-Z]+)://([^/?#]+)(.*)$', 3)] AS parts
-                 FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN replace(url, 'http', 'HTTP')
-                         WHEN 1 THEN concat(regexp_extract(url, '^https?://[^/]+'), '/a b')
-                         WHEN 2 THEN upper(regexp_extract(url, '^https?://[^/]+'))
+        f"""SELECT page_id, CASE page_id % 12
+                  WHEN 5 THEN {_ORIGIN} || '/y/p' || page_id
+                  WHEN 6 THEN 'http://' || ((page_id * 65537) // 16777216 % 256) || '.' || ((page_id * 65537) // 65536 % 256)
+                              || '.' || ((page_id * 65537) // 256 % 256) || '.' || ((page_id * 65537) % 256) || '/'
+                  WHEN 7 THEN 'http://192.' || (page_id % 256) || '.' || ((page_id % 65536) // 256) || '.' || (page_id % 256) || '/'
+                  WHEN 8 THEN 'https://xn--bcher-kva.example/%C3%A9' || page_id
+                  WHEN 9 THEN 'http://[2001:db8::' || CASE WHEN page_id % 65536 = 0 THEN '' ELSE lower(to_hex(page_id % 65536)) END || ']/'
+                  WHEN 10 THEN NULL
+                  WHEN 11 THEN 'ftp://u%20ser:p%40ss@' || {_NAME} || '/a%22b%60%7B' || page_id || '%7D?q=%27' || page_id
+                  ELSE CASE WHEN parts[1] = '' THEN NULL ELSE concat(lower(parts[1]), '://', lower(parts[2]),
+                       CASE WHEN parts[3] = '' THEN '/' ELSE replace(parts[3], ' ', '%20') END) END END AS normal
+           FROM (SELECT page_id, url, [{_URL_PARTS.format(1)}, {_URL_PARTS.format(2)}, {_URL_PARTS.format(3)}] AS parts
+                 FROM (SELECT page_id, url, CASE page_id % 12 WHEN 0 THEN replace(url, 'http', 'HTTP')
+                         WHEN 1 THEN concat({_ORIGIN}, '/a b') WHEN 2 THEN upper({_ORIGIN})
                          WHEN 3 THEN 'not a url' ELSE url END AS text FROM pages) u) p"""
     ),
 )
 def normalise_url_query(spark, sf_dir):
-    url, kind = F.col("url"), F.col("page_id") % 5
-    host = F.regexp_extract(url, "^https?://[^/]+", 0)
+    url, page, kind = F.col("url"), F.col("page_id"), F.col("page_id") % 12
+    origin, name = (F.regexp_extract(url, "^(https?://([^/]+))", k) for k in (1, 2))
     text = (
         F.when(kind == 0, F.replace(url, F.lit("http"), F.lit("HTTP")))
-        .when(kind == 1, F.concat(host, F.lit("/a b")))
-        .when(kind == 2, F.upper(host))
+        .when(kind == 1, F.concat(origin, F.lit("/a b")))
+        .when(kind == 2, F.upper(origin))
         .when(kind == 3, F.lit("not a url"))
+        .when(kind == 5, F.concat(origin, F.lit("/x/../y/./z/%2E%2e/p"), page))
+        .when(kind == 6, F.concat(F.lit("http://"), page * 65537 % (1 << 32)))
+        .when(kind == 7, F.concat(F.lit("http://0300."), page % 256, F.lit("."), page % 65536))
+        .when(kind == 8, F.concat(F.lit("https://B\u00dcCHER.Example/\u00e9"), page))
+        .when(kind == 9, F.concat(F.lit("http://[2001:DB8:0:0:0:0:0:"), F.hex(page % 65536), F.lit("]")))
+        .when(kind == 10, F.concat(F.lit("http://256.1.2."), page))
+        .when(kind == 11, F.concat(F.lit("ftp://u ser:p@ss@"), name, F.lit(":021/a\"b`{"), page, F.lit("}?q='"), page))
         .otherwise(url)
     )
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")

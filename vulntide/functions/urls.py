@@ -1,30 +1,51 @@
-"""URL check and normal form, as far as regular expressions carry it."""
+"""Check and normal form of absolute URLs, after the WHATWG URL standard, as SQL expressions."""
 
 from __future__ import annotations
 
-from .sql import let, mapping, struct, text
+from .sql import cases, let, mapping, struct, text
 
 # Schemes with a host part that is required, and their default ports.
 SPECIAL = r"^(https?|wss?|ftp)\z"
 DEFAULT_PORTS = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 
+# Characters that each part of a URL holds percent-encoded.
+CONTROL_SET = r"\x00-\x1f\x7f-\x{10ffff}"
+FRAGMENT_SET = CONTROL_SET + r" \"<>`"
+QUERY_SET = CONTROL_SET + r" \"#<>"
+SPECIAL_QUERY_SET = QUERY_SET + "'"
+PATH_SET = QUERY_SET + r"?`{}"
+USERINFO_SET = PATH_SET + r"/:;=@\[\\\]\^|"
+
+# Characters that no host may hold, and further ones that no domain may.
+NO_HOST = r"\x00\t\n\r #/:<>?@\[\\\]\^|"
+NO_DOMAIN = NO_HOST + r"\x00-\x1f%\x7f\x{fffd}"
+
+# Fixed values of Punycode (RFC 3492).
+BASE, TMIN, TMAX, SKEW, DAMP, FIRST_BIAS, FIRST_POINT = 36, 1, 26, 38, 700, 72, 128
+DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+# Full-width forms of ASCII and ideographic full stops, beside the characters they mean in a host.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u3002\uff61"
+_NARROW = "".join(map(chr, range(0x21, 0x7F))) + ".."
+_UNSEEN = r"[\u00ad\u200b\u2060\ufeff]"
+
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
-_START = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:[/\\]*"
-_USERINFO = r"(?:[^/\\?#]*@)?"
-_NAME = r"(?:\[[^\]/\\?#]*\]|[^:/\\?#]*)"
-_USER = _START + r"([^/\\?#]*@)"
-_HOST = _START + _USERINFO + "(" + _NAME + ")"
-_PORT = _START + _USERINFO + _NAME + r":(\d*)(?:[/\\?#]|\z)"
-_PATH = _START + r"[^/\\?#]*([^?#]*)"
-_TAIL = _START + r"[^?#]*([\s\S]*)\z"
-# A host of valid characters, then a numeric port if any.
-_VALID = (
-    _START + _USERINFO
-    + r"(?:\[[0-9a-fA-F:.]+\]|[^\x00-\x20<>^|%\"`{}\[\]:/\\?#@]+)(?::\d{0,5})?(?:[/\\?#]|\z)"
-)
+_DOT = r"(?:\.|%2[eE])"
 
 # Already in normal form, as nearly all are: one match instead of a rebuild.
-_NORMAL = r"^https?://[a-z0-9]+(?:[.\-][a-z0-9]+)*/[\x21-\x5b\x5d-\x7e]*\z"
+_NORMAL = (
+    r"^https?://(?:[a-z0-9][a-z0-9.\-]*[.\-])?[a-z][a-z0-9]*(?=/)"
+    rf"(?![^?#]*/{_DOT}{{1,2}}(?:[/?#]|\z))"
+    r"/[!#-&(-;=?-\[\]-_a-z|~]*\z"
+)
+
+
+def _part(of: str, pattern: str) -> str:
+    return f"regexp_extract({of}, {text(pattern)}, 1)"
+
+
+def _like(of: str, pattern: str) -> str:
+    return f"{of} RLIKE {text(pattern)}"
 
 
 def _trimmed(t: str) -> str:
@@ -33,44 +54,250 @@ def _trimmed(t: str) -> str:
     return f"regexp_replace({t}, {text(dropped)}, '')"
 
 
-def _parts(url: str) -> str:
-    part = lambda pattern: f"regexp_extract({url}, {text(pattern)}, 1)"
-    return struct(
-        scheme=f"lower({part(_SCHEME)})",
-        user=part(_USER),
-        host=f"lower({part(_HOST)})",
-        port=part(_PORT),
-        path=part(_PATH),
-        tail=part(_TAIL),
-        url=url,
+def percent_encoded(t: str, characters: str) -> str:
+    """``t`` with the UTF-8 bytes of some characters, given as a class, as ``%XX``."""
+    wanted = f"[{characters}]"
+    coded = f"regexp_replace(hex(c), '(..)', '%$1')"
+    each = f"array_join(transform(split({t}, ''), c -> if({_like('c', wanted)}, {coded}, c)), '')"
+    return f"if({_like(t, wanted)}, {each}, {t})"
+
+
+def without_dot_segments(path: str) -> str:
+    """A path that is empty or begins with a slash, with ``.`` and ``..`` carried out."""
+    dots = rf"^{_DOT}{{1,2}}\z"
+    level = (
+        f"CASE WHEN {_like('s', rf'^{_DOT}{{2}}' + chr(92) + 'z')} THEN slice(done, 1, greatest(size(done) - 1, 0)) "
+        f"WHEN {_like('s', rf'^{_DOT}' + chr(92) + 'z')} THEN done ELSE concat(done, array(s)) END"
+    )
+    # A last segment of dots leaves the slash before it.
+    ended = lambda a: f"if({_like(f'element_at({a}, -1)', dots)}, concat({a}, array('')), {a})"
+    fold = lambda a: (
+        f"concat('/', array_join(aggregate({ended(a)}, CAST(array() AS ARRAY<STRING>), (done, s) -> {level}), '/'))"
+    )
+    has_dots = rf"/{_DOT}{{1,2}}(?:/|\z)"
+    return f"if({_like(path, has_dots)}, {let('segments', f'split(substr({path}, 2), {text('/')})', fold)}, {path})"
+
+
+def _number(p: str) -> str:
+    """A part of an IPv4 address: decimal, octal after 0 or hexadecimal after 0x; null if none."""
+    return cases(
+        (_like(p, r"^0[xX]\z"), "0L"),
+        (_like(p, r"^0[xX][0-9a-fA-F]+\z"), f"try_cast(conv(substr({p}, 3), 16, 10) AS BIGINT)"),
+        (_like(p, r"^0[0-7]+\z"), f"try_cast(conv({p}, 8, 10) AS BIGINT)"),
+        (_like(p, r"^(?:0|[1-9]\d*)\z"), f"try_cast({p} AS BIGINT)"),
     )
 
 
-def _join(p: str) -> str:
-    ports = mapping({scheme: text(port) for scheme, port in DEFAULT_PORTS.items()})
-    usual = f"{p}.port = '' OR {p}.port <=> try_element_at({ports}, {p}.scheme)"
-    escaped = lambda t: f"replace({t}, ' ', '%20')"
-    slashed = f"translate({p}.path, {text(chr(92))}, '/')"
-    special = (
-        f"concat({p}.scheme, '://', {p}.user, {p}.host, "
-        f"if({usual}, '', concat(':', {p}.port)), "
-        f"if({p}.path = '', '/', {escaped(slashed)}), {escaped(p + '.tail')})"
+def ipv4(host: str) -> str:
+    """Dotted form of an address in one to four numbers, or null."""
+    value = (
+        "aggregate(numbers, struct(0L AS sum, 0 AS at), (a, n) -> struct(a.sum + "
+        "if(a.at = size(numbers) - 1, n, n * shiftleft(1L, 24 - 8 * a.at)) AS sum, a.at + 1 AS at), a -> a.sum)"
     )
-    valid = (
-        f"{p}.url RLIKE {text(_VALID)} AND ({p}.port = '' OR try_cast({p}.port AS INT) <= 65535)"
+    fits = (
+        "size(numbers) <= 4 AND forall(numbers, n -> n IS NOT NULL) "
+        "AND forall(slice(numbers, 1, size(numbers) - 1), n -> n <= 255) "
+        "AND element_at(numbers, -1) < shiftleft(1L, 8 * (5 - size(numbers)))"
     )
-    other = f"concat({p}.scheme, substr({p}.url, length({p}.scheme) + 1))"
+    dotted = lambda v: "concat_ws('.', " + ", ".join(f"(shiftright({v}, {s}) & 255)" for s in (24, 16, 8, 0)) + ")"
+    parts = f"split(regexp_replace({host}, {text(chr(92) + '.' + chr(92) + 'z')}, ''), {text(chr(92) + '.')})"
+    numbers = f"transform({parts}, p -> {_number('p')})"
+    return let("numbers", numbers, lambda _: f"if({fits}, {let('whole', value, dotted)}, NULL)")
+
+
+def ipv6(address: str) -> str:
+    """Shortest form of an address, without its brackets, or null."""
+    byte = r"(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    tail = rf":{byte}\.{byte}\.{byte}\.{byte}\z"
+    octet = lambda k: f"CAST(regexp_extract({address}, {text(tail)}, {k}) AS INT)"
+    pair = lambda k: f"hex({octet(k)} * 256 + {octet(k + 1)})"
+    plain = (
+        f"if({_like(address, tail)}, concat(regexp_replace({address}, {text(tail)}, ':'), "
+        f"{pair(1)}, ':', {pair(3)}), {address})"
+    )
+
+    def filled(a: str) -> str:
+        pieces = lambda side: f"filter(split({side}, ':'), p -> p <> '')"
+        left, right = pieces(f"split_part({a}, '::', 1)"), pieces(f"split_part({a}, '::', 2)")
+        gap = f"array_repeat('0', 8 - size({left}) - size({right}))"
+        return f"if(instr({a}, '::') > 0, concat({left}, {gap}, {right}), split({a}, ':'))"
+
+    def shortest(s: str) -> str:
+        # The first of the longest runs of two zeros or more.
+        run = lambda n: rf"^((?:[0-9a-f]+:){{0,7}}?)0(?::0){{{n - 1}}}(?::|\z)"
+        arms = [(_like(s, run(n)), f"regexp_replace({s}, {text(run(n))}, '$1:')") for n in range(8, 1, -1)]
+        return let("cut", cases(*arms, other=s), lambda c: f"if(startswith({c}, ':'), concat(':', {c}), {c})")
+
+    piece = r"[0-9a-f]{1,4}"
+    whole = rf"^{piece}(?::{piece}){{7}}\z"
+    side = rf"(?:{piece}(?::{piece}){{0,6}})?"
+    short = rf"^(?!(?:[^:]*:+){{8}}[^:]){side}::{side}\z"
+    joined = lambda a: f"array_join(transform({filled(a)}, p -> regexp_replace(p, '^0+(?=.)', '')), ':')"
+    count = lambda a: f"size(filter(split({a}, ':'), p -> p <> '')) <= 7"
+    good = lambda a: f"({_like(a, whole)} OR ({_like(a, short)} AND {count(a)}))"
+    return let("plain", f"lower({plain})", lambda a: f"if({good(a)}, {let('joined', joined(a), shortest)}, NULL)")
+
+
+def punycode(label: str) -> str:
+    """Punycode of a label that is not all ASCII.
+
+    Characters beyond ASCII are inserted by code point and place. What each adds to the
+    running number follows from the character before it in that order, so the numbers come
+    from one sorted array; only the bias runs from one to the next.
+    """
+    points = f"transform(split({label}, ''), c -> ascii(c))"
+    basic = f"array_join(filter(split({label}, ''), c -> ascii(c) < {FIRST_POINT}), '')"
+    inserted = (
+        f"array_sort(filter(transform(points, (p, i) -> struct(p AS point, i AS place, "
+        f"size(filter(slice(points, 1, i), q -> q <= p)) AS at)), x -> x.point >= {FIRST_POINT}))"
+    )
+    before = "get(order, k - 1)"
+    steps = (
+        f"transform(order, (x, k) -> CAST(x.point - coalesce({before}.point, {FIRST_POINT}) AS BIGINT) "
+        f"* (size(points) - size(order) + k + 1) + x.at - coalesce({before}.at + 1, 0))"
+    )
+    # One number in digits of growing weight; fourteen are enough for any label.
+    least = f"least(greatest({BASE} * k - s.bias, {TMIN}), {TMAX})"
+    digit = lambda value: f"substr('{DIGITS}', CAST({value} AS INT) + 1, 1)"
+    written = let(
+        "t", least,
+        lambda t: cases(
+            ("d.left IS NULL", "d"),
+            (f"d.left < {t}", f"struct(CAST(NULL AS BIGINT) AS left, concat(d.out, {digit('d.left')}) AS out)"),
+            other=f"struct((d.left - {t}) DIV ({BASE} - {t}) AS left, "
+                  f"concat(d.out, {digit(f'{t} + (d.left - {t}) % ({BASE} - {t})')}) AS out)",
+        ),
+    )
+    digits = f"aggregate(sequence(1, 14), struct(n AS left, s.out AS out), (d, k) -> {written}, d -> d.out)"
+    limit = (BASE - TMIN) * TMAX // 2
+    damped = f"if(s.done = 0, n DIV {DAMP}, n DIV 2)"
+    spread = let("half", damped, lambda h: f"{h} + {h} DIV (size(points) - size(order) + s.done + 1)")
+    bias = (
+        f"aggregate(sequence(1, 10), struct({spread} AS delta, 0L AS k), (b, r) -> if(b.delta > {limit}, "
+        f"struct(b.delta DIV {BASE - TMIN} AS delta, b.k + {BASE} AS k), b), "
+        f"b -> b.k + {BASE - TMIN + 1} * b.delta DIV (b.delta + {SKEW}))"
+    )
+    start = f"struct({text('')} AS out, {FIRST_BIAS}L AS bias, 0 AS done)"
+    coded = f"aggregate({steps}, {start}, (s, n) -> struct({digits} AS out, {bias} AS bias, s.done + 1 AS done), s -> s.out)"
+    in_order = lambda _: let("order", inserted, lambda _: coded)
+    return let("basic", basic, lambda b: f"concat(if({b} = '', '', concat({b}, '-')), {let('points', points, in_order)})")
+
+
+def domain(host: str) -> str:
+    """ASCII form of a host's name or IPv4 address, or null."""
+    decoded = f"if(instr({host}, '%') > 0, try_url_decode(replace({host}, '+', '%2B')), {host})"
+    mapped = f"lower(translate(regexp_replace({decoded}, {text(_UNSEEN)}, ''), {text(_WIDE)}, {text(_NARROW)}))"
+    beyond = r"[^\x00-\x7f]"
+    label = f"if({_like('l', beyond)}, concat('xn--', {punycode('l')}), l)"
+    named = lambda m: f"if({_like(m, beyond)}, array_join(transform(split({m}, {text(chr(92) + '.')}), l -> {label}), '.'), {m})"
+    numeric = r"(?:^|\.)(?:\d+|0[xX][0-9a-fA-F]*)\.?\z"
+    ascii_form = lambda m: cases(
+        (f"{m} = '' OR {_like(m, f'[{NO_DOMAIN}]')}", "NULL"),
+        (_like(m, numeric), ipv4(m)),
+        other=named(m),
+    )
+    return let("mapped", mapped, ascii_form)
+
+
+def _authority(a: str, scheme: str, special: bool) -> str:
+    """``//user:password@host:port`` in normal form, or null if it is none."""
+    user, place = _part(a, r"^([\s\S]*)@"), _part(a, r"([^@]*)\z")
+    ports = mapping({s: text(port) for s, port in DEFAULT_PORTS.items()})
+
+    def joined(p: str) -> str:
+        encoded = lambda t: percent_encoded(t, USERINFO_SET)
+        name, word = _part(f"{p}.user", "^([^:]*)"), _part(f"{p}.user", r"^[^:]*:([\s\S]*)")
+        credentials = (
+            f"if({p}.user IN ('', ':'), '', concat({encoded(name)}, "
+            f"if({word} = '', '', concat(':', {encoded(word)})), '@'))"
+        )
+        host = cases(
+            (f"startswith({p}.host, '[')", f"concat('[', {ipv6(f'substr({p}.host, 2, length({p}.host) - 2)')}, ']')"),
+            *([] if special else [(f"{p}.host = ''", f"if({p}.user = '' AND {p}.port = '', '', NULL)")]),
+            other=domain(f"{p}.host") if special
+            else f"if({_like(f'{p}.host', f'[{NO_HOST}]')}, NULL, {percent_encoded(f'{p}.host', CONTROL_SET)})",
+        )
+        usual = f"{p}.port = '' OR CAST({p}.number AS STRING) <=> try_element_at({ports}, {scheme})"
+        port = f"if({usual}, '', if({p}.number <= 65535, concat(':', {p}.number), NULL))"
+        return f"if({p}.whole, concat('//', {credentials}, {host}, {port}), NULL)"
+
+    def cut(h: str) -> str:
+        return struct(
+            user=user,
+            host=_part(h, r"^(\[[^\]]*\]|[^:]*)"),
+            port=_part(h, r":(\d*)\z"),
+            number=f"try_cast({_part(h, r':(' + chr(92) + r'd+)' + chr(92) + 'z')} AS INT)",
+            whole=_like(h, r"^(?:\[[^\]]*\]|[^:\[\]]*)(?::\d*)?\z"),
+        )
+
+    # A port that is a number too large has no value, so it makes the whole null.
+    return let("place", place, lambda h: let("p", cut(h), joined))
+
+
+def _special(scheme: str, rest: str) -> str:
+    """A URL of a scheme with a required host; backslashes count as slashes before the query."""
+    authority, path = _part(rest, r"^[/\\]*([^/\\?#]*)"), _part(rest, r"^[/\\]*[^/\\?#]*([^?#]*)")
+    slashed = f"translate({path}, {text(chr(92))}, '/')"
+    clean = let("path", slashed, lambda p: f"if({p} = '', '/', {let('coded', percent_encoded(p, PATH_SET), without_dot_segments)})")
+    front = let("authority", authority, lambda a: _authority(a, scheme, True))
+    return f"concat({scheme}, ':', {front}, {clean}, {_tail(rest, SPECIAL_QUERY_SET)})"
+
+
+def _file(rest: str) -> str:
+    """A file's URL; drive letters have no rules of their own."""
+    both = f"concat(translate({_part(rest, r'^([^?#]*)')}, {text(chr(92))}, '/'), {_part(rest, '([?#][' + chr(92) + 's' + chr(92) + r'S]*)')})"
+
+    def joined(r: str) -> str:
+        host, path = _part(r, "^//([^/?#]*)"), _part(r, "^(?://[^/?#]*)?([^?#]*)")
+        named = let("name", host, lambda h: f"if({h} = '', '', {let('found', domain(h), lambda d: f'if({d} = {text("localhost")}, {text("")}, {d})')})")
+        rooted = f"regexp_replace({path}, '^(?!/)', '/')"
+        clean = let("path", percent_encoded(rooted, PATH_SET), without_dot_segments)
+        return f"concat('file://', {named}, {clean}, {_tail(r, SPECIAL_QUERY_SET)})"
+
+    return let("both", both, joined)
+
+
+def _other(scheme: str, rest: str) -> str:
+    """A URL of any other scheme: with a host, with a path, or with a text as ``mailto:`` has."""
+    authority, path = _part(rest, "^//([^/?#]*)"), _part(rest, "^(?://[^/?#]*)?([^?#]*)")
+    has_host = f"startswith({rest}, '//')"
+    front = f"if({has_host}, {let('authority', authority, lambda a: _authority(a, scheme, False))}, '')"
+    clean = let("path", percent_encoded(path, PATH_SET), without_dot_segments)
+    # Two slashes at the start of a path alone would read as a host.
+    hierarchic = let("clean", clean, lambda c: f"if(NOT {has_host} AND startswith({c}, '//'), concat('/.', {c}), {c})")
+    opaque = percent_encoded(path, CONTROL_SET)
+    body = f"if(startswith({rest}, '/'), {hierarchic}, {opaque})"
+    return f"concat({scheme}, ':', {front}, {body}, {_tail(rest, QUERY_SET)})"
+
+
+def _tail(rest: str, query_set: str) -> str:
+    query, fragment = _part(rest, r"^[^?#]*(?:\?([^#]*))"), _part(rest, r"^[^#]*#([\s\S]*)")
     return (
-        f"CASE WHEN {p}.scheme RLIKE {text(SPECIAL)} THEN if({valid}, {special}, NULL) "
-        f"WHEN {p}.scheme <> '' THEN {other} END"
+        f"if({_like(rest, r'^[^?#]*' + chr(92) + '?')}, concat('?', {percent_encoded(query, query_set)}), ''), "
+        f"if(instr({rest}, '#') > 0, concat('#', {percent_encoded(fragment, FRAGMENT_SET)}), '')"
     )
 
 
 def normalise_url(t: str) -> str:
     """Normal form of an absolute URL, or null when it is none.
 
-    Lower-cases scheme and host, drops a default port, adds the root path and encodes
-    spaces. Dot segments, international host names and IP forms are left as they are.
+    Scheme and host in lower case, no default port, dot segments carried out, every part
+    percent-encoded by its own set, names beyond ASCII in Punycode, IPv4 and IPv6 addresses in
+    their one form. A name is lower-cased and its full-width ASCII narrowed; other
+    compatibility characters, decomposed letters and labels that are Punycode already stay as
+    they are, as do drive letters of files.
     """
-    rebuilt = let("u", _trimmed(t), lambda u: let("p", _parts(u), _join))
-    return f"CASE WHEN {t} RLIKE {text(_NORMAL)} THEN {t} ELSE {rebuilt} END"
+
+    def built(p: str) -> str:
+        scheme, rest = f"{p}.scheme", f"{p}.rest"
+        return cases(
+            (_like(scheme, SPECIAL), _special(scheme, rest)),
+            (f"{scheme} = 'file'", _file(rest)),
+            (f"{scheme} <> ''", _other(scheme, rest)),
+        )
+
+    halves = lambda u: struct(
+        scheme=f"lower({_part(u, _SCHEME)})", rest=f"substr({u}, length({_part(u, _SCHEME)}) + 2)"
+    )
+    rebuilt = let("u", _trimmed(t), lambda u: let("url", halves(u), built))
+    return f"CASE WHEN {_like(t, _NORMAL)} THEN {t} ELSE {rebuilt} END"
