@@ -31,13 +31,14 @@ _UNSEEN = r"[\u00ad\u200b\u2060\ufeff]"
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 _DOT = r"(?:\.|%2[eE])"
+END, ANY, DIGIT, QUESTION = r"\z", r"\s\S", r"\d", r"\?"
 
-# Already in normal form, as nearly all are: one match instead of a rebuild.
-_NORMAL = (
-    r"^https?://(?:[a-z0-9][a-z0-9.\-]*[.\-])?[a-z][a-z0-9]*(?=/)"
-    rf"(?![^?#]*/{_DOT}{{1,2}}(?:[/?#]|\z))"
-    r"/[!#-&(-;=?-\[\]-_a-z|~]*\z"
-)
+# A web address by name whose path, query and fragment are in normal form. Nearly all are; the
+# first pattern's are so as a whole.
+_CLEAN = rf"(?![^?#]*/{_DOT}{{1,2}}(?:[/?#]|\z))/[!#-&(-;=?-\[\]-_a-z|~]*\z"
+_NORMAL = r"^https?://(?:[a-z0-9][a-z0-9.\-]*[.\-])?[a-z][a-z0-9]*(?=/)" + _CLEAN
+_START = r"[hH][tT][tT][pP][sS]?://(?:[a-zA-Z0-9][a-zA-Z0-9.\-]*[.\-])?[a-zA-Z][a-zA-Z0-9]*"
+_PLAIN = rf"^{_START}(?:\z|(?=/){_CLEAN})"
 
 
 def _part(of: str, pattern: str) -> str:
@@ -199,83 +200,88 @@ def domain(host: str) -> str:
     return let("mapped", mapped, ascii_form)
 
 
-def _authority(a: str, scheme: str, special: bool) -> str:
+def _authority(u: str) -> str:
     """``//user:password@host:port`` in normal form, or null if it is none."""
-    user, place = _part(a, r"^([\s\S]*)@"), _part(a, r"([^@]*)\z")
     ports = mapping({s: text(port) for s, port in DEFAULT_PORTS.items()})
 
+    def cut(a: str) -> str:
+        place = f"if({u}.file, {a}, {_part(a, r'([^@]*)' + END)})"
+        return let("place", place, lambda h: struct(
+            user=f"if({u}.file, '', {_part(a, r'^([' + ANY + r']*)@')})",
+            host=f"if({u}.file, {h}, {_part(h, r'^(\[[^\]]*\]|[^:]*)')})",
+            port=f"if({u}.file, '', {_part(h, r':(' + DIGIT + '*)' + END)})",
+            whole=f"{u}.file OR {_like(h, r'^(?:\[[^\]]*\]|[^:\[\]]*)(?::' + DIGIT + '*)?' + END)}",
+        ))
+
     def joined(p: str) -> str:
         encoded = lambda t: percent_encoded(t, USERINFO_SET)
-        name, word = _part(f"{p}.user", "^([^:]*)"), _part(f"{p}.user", r"^[^:]*:([\s\S]*)")
+        name, word = _part(f"{p}.user", "^([^:]*)"), _part(f"{p}.user", f"^[^:]*:([{ANY}]*)")
         credentials = (
             f"if({p}.user IN ('', ':'), '', concat({encoded(name)}, "
             f"if({word} = '', '', concat(':', {encoded(word)})), '@'))"
         )
+        found = let("found", domain(f"{p}.host"), lambda d: f"if({u}.file AND {d} = 'localhost', '', {d})")
+        opaque = f"if({_like(f'{p}.host', f'[{NO_HOST}]')}, NULL, {percent_encoded(f'{p}.host', CONTROL_SET)})"
         host = cases(
-            (f"startswith({p}.host, '[')", f"concat('[', {ipv6(f'substr({p}.host, 2, length({p}.host) - 2)')}, ']')"),
-            *([] if special else [(f"{p}.host = ''", f"if({p}.user = '' AND {p}.port = '', '', NULL)")]),
-            other=domain(f"{p}.host") if special
-            else f"if({_like(f'{p}.host', f'[{NO_HOST}]')}, NULL, {percent_encoded(f'{p}.host', CONTROL_SET)})",
+            (f"{p}.host = '' AND NOT {u}.special", f"if({p}.user = '' AND {p}.port = '', '', NULL)"),
+            (_like(f"{p}.host", r"^\[[^\]]*\]" + END), f"concat('[', {ipv6(f'substr({p}.host, 2, length({p}.host) - 2)')}, ']')"),
+            (f"{u}.special OR {u}.file", found),
+            other=opaque,
         )
-        usual = f"{p}.port = '' OR CAST({p}.number AS STRING) <=> try_element_at({ports}, {scheme})"
-        port = f"if({usual}, '', if({p}.number <= 65535, concat(':', {p}.number), NULL))"
+        # A port that is a number too large has no value, so it makes the whole null.
+        number = f"try_cast({p}.port AS INT)"
+        usual = f"{p}.port = '' OR CAST({number} AS STRING) <=> try_element_at({ports}, {u}.scheme)"
+        port = f"if({usual}, '', if({number} <= 65535, concat(':', {number}), NULL))"
         return f"if({p}.whole, concat('//', {credentials}, {host}, {port}), NULL)"
 
-    def cut(h: str) -> str:
-        return struct(
-            user=user,
-            host=_part(h, r"^(\[[^\]]*\]|[^:]*)"),
-            port=_part(h, r":(\d*)\z"),
-            number=f"try_cast({_part(h, r':(' + chr(92) + r'd+)' + chr(92) + 'z')} AS INT)",
-            whole=_like(h, r"^(?:\[[^\]]*\]|[^:\[\]]*)(?::\d*)?\z"),
-        )
-
-    # A port that is a number too large has no value, so it makes the whole null.
-    return let("place", place, lambda h: let("p", cut(h), joined))
+    return let("a", f"{u}.authority", lambda a: let("p", cut(a), joined))
 
 
-def _special(scheme: str, rest: str) -> str:
-    """A URL of a scheme with a required host; backslashes count as slashes before the query."""
-    authority, path = _part(rest, r"^[/\\]*([^/\\?#]*)"), _part(rest, r"^[/\\]*[^/\\?#]*([^?#]*)")
-    slashed = f"translate({path}, {text(chr(92))}, '/')"
-    clean = let("path", slashed, lambda p: f"if({p} = '', '/', {let('coded', percent_encoded(p, PATH_SET), without_dot_segments)})")
-    front = let("authority", authority, lambda a: _authority(a, scheme, True))
-    return f"concat({scheme}, ':', {front}, {clean}, {_tail(rest, SPECIAL_QUERY_SET)})"
+def _path(u: str) -> str:
+    """The path in normal form; a URL without a host may have a text instead, as ``mailto:`` has."""
 
+    def clean(path: str) -> str:
+        bare = let("bare", let("coded", percent_encoded(path, PATH_SET), without_dot_segments), lambda b: (
+            # Two slashes at the start of a path alone would read as a host.
+            f"if(NOT {u}.has_host AND startswith({b}, '//'), concat('/.', {b}), {b})"
+        ))
+        return f"if({u}.has_host OR startswith({path}, '/'), {bare}, {percent_encoded(path, CONTROL_SET)})"
 
-def _file(rest: str) -> str:
-    """A file's URL; drive letters have no rules of their own."""
-    both = f"concat(translate({_part(rest, r'^([^?#]*)')}, {text(chr(92))}, '/'), {_part(rest, '([?#][' + chr(92) + 's' + chr(92) + r'S]*)')})"
+    rooted = f"if(({u}.special OR {u}.file) AND NOT startswith({u}.path, '/'), concat('/', {u}.path), {u}.path)"
+    return let("path", rooted, clean)
 
-    def joined(r: str) -> str:
-        host, path = _part(r, "^//([^/?#]*)"), _part(r, "^(?://[^/?#]*)?([^?#]*)")
-        named = let("name", host, lambda h: f"if({h} = '', '', {let('found', domain(h), lambda d: f'if({d} = {text("localhost")}, {text("")}, {d})')})")
-        rooted = f"regexp_replace({path}, '^(?!/)', '/')"
-        clean = let("path", percent_encoded(rooted, PATH_SET), without_dot_segments)
-        return f"concat('file://', {named}, {clean}, {_tail(r, SPECIAL_QUERY_SET)})"
 
-    return let("both", both, joined)
-
-
-def _other(scheme: str, rest: str) -> str:
-    """A URL of any other scheme: with a host, with a path, or with a text as ``mailto:`` has."""
-    authority, path = _part(rest, "^//([^/?#]*)"), _part(rest, "^(?://[^/?#]*)?([^?#]*)")
-    has_host = f"startswith({rest}, '//')"
-    front = f"if({has_host}, {let('authority', authority, lambda a: _authority(a, scheme, False))}, '')"
-    clean = let("path", percent_encoded(path, PATH_SET), without_dot_segments)
-    # Two slashes at the start of a path alone would read as a host.
-    hierarchic = let("clean", clean, lambda c: f"if(NOT {has_host} AND startswith({c}, '//'), concat('/.', {c}), {c})")
-    opaque = percent_encoded(path, CONTROL_SET)
-    body = f"if(startswith({rest}, '/'), {hierarchic}, {opaque})"
-    return f"concat({scheme}, ':', {front}, {body}, {_tail(rest, QUERY_SET)})"
+def _tail(u: str) -> str:
+    query, fragment = _part(f"{u}.rest", r"^[^?#]*\?([^#]*)"), _part(f"{u}.rest", f"^[^#]*#([{ANY}]*)")
+    return (
+        f"if({_like(f'{u}.rest', r'^[^?#]*' + QUESTION)}, concat('?', if({u}.special OR {u}.file, "
+        f"{percent_encoded(query, SPECIAL_QUERY_SET)}, {percent_encoded(query, QUERY_SET)})), ''), "
+        f"if(instr({u}.rest, '#') > 0, concat('#', {percent_encoded(fragment, FRAGMENT_SET)}), '')"
+    )
 
 
-def _tail(rest: str, query_set: str) -> str:
-    query, fragment = _part(rest, r"^[^?#]*(?:\?([^#]*))"), _part(rest, r"^[^#]*#([\s\S]*)")
-    return (
-        f"if({_like(rest, r'^[^?#]*' + chr(92) + '?')}, concat('?', {percent_encoded(query, query_set)}), ''), "
-        f"if(instr({rest}, '#') > 0, concat('#', {percent_encoded(fragment, FRAGMENT_SET)}), '')"
+def _rebuilt(t: str) -> str:
+    def scheme(t: str) -> str:
+        of = lambda s: struct(scheme=s, special=_like(s, SPECIAL), file=f"{s} = 'file'", t=f"substr({t}, length({s}) + 2)")
+        return let("s", f"lower({_part(t, _SCHEME)})", of)
+
+    def slashed(h: str) -> str:
+        # Backslashes count as slashes before the query, but not for schemes of other kinds.
+        front, back = _part(f"{h}.t", "^([^?#]*)"), _part(f"{h}.t", f"([?#][{ANY}]*)")
+        rest = f"if({h}.special OR {h}.file, concat(translate({front}, {text(chr(92))}, '/'), {back}), {h}.t)"
+        either = lambda r, special, other: f"if({h}.special, {_part(r, special)}, {_part(r, other)})"
+        return let("r", rest, lambda r: struct(
+            scheme=f"{h}.scheme", special=f"{h}.special", file=f"{h}.file", rest=r,
+            has_host=f"{h}.special OR {h}.file OR startswith({r}, '//')",
+            authority=either(r, "^/*([^/?#]*)", "^//([^/?#]*)"),
+            path=either(r, "^/*[^/?#]*([^?#]*)", "^(?://[^/?#]*)?([^?#]*)"),
+        ))
+
+    built = lambda u: (
+        f"if({u}.scheme = '', NULL, "
+        f"concat({u}.scheme, ':', if({u}.has_host, {_authority(u)}, ''), {_path(u)}, {_tail(u)}))"
     )
+    return let("trimmed", _trimmed(t), lambda t: let("h", scheme(t), lambda h: let("u", slashed(h), built)))
 
 
 def normalise_url(t: str) -> str:
@@ -287,17 +293,6 @@ def normalise_url(t: str) -> str:
     compatibility characters, decomposed letters and labels that are Punycode already stay as
     they are, as do drive letters of files.
     """
-
-    def built(p: str) -> str:
-        scheme, rest = f"{p}.scheme", f"{p}.rest"
-        return cases(
-            (_like(scheme, SPECIAL), _special(scheme, rest)),
-            (f"{scheme} = 'file'", _file(rest)),
-            (f"{scheme} <> ''", _other(scheme, rest)),
-        )
-
-    halves = lambda u: struct(
-        scheme=f"lower({_part(u, _SCHEME)})", rest=f"substr({u}, length({_part(u, _SCHEME)}) + 2)"
-    )
-    rebuilt = let("u", _trimmed(t), lambda u: let("url", halves(u), built))
-    return f"CASE WHEN {_like(t, _NORMAL)} THEN {t} ELSE {rebuilt} END"
+    start = f"regexp_extract({t}, {text(_START)}, 0)"
+    lowered = let("start", start, lambda b: f"concat(lower({b}), if(length({t}) = length({b}), '/', substr({t}, length({b}) + 1)))")
+    return cases((_like(t, _NORMAL), t), (_like(t, _PLAIN), lowered), other=_rebuilt(t))

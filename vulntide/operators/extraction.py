@@ -21,6 +21,9 @@ ADVISORY_DB_URL = (
 BLOCK_LINES = ["Name: ", "Version: ", "Advisory: ", "Criticality: ", "URL: ", "Title: ", "Solution:"]
 BLOCK = "(" + "".join(f"{line}[^\\n]*\\n" for line in BLOCK_LINES) + ")"
 
+# What a finding takes from its block.
+BLOCK_FIELDS = ["affected_package", "installed_version", "advisory_id", "advisory_url", "advisory_description"]
+
 SAFETY_FIELDS = [
     "affected_package", "affected_versions", "installed_version", "advisory_description",
     "advisory_id", "cvssv2", "cvssv3",
@@ -103,7 +106,7 @@ def _block_error(block: str) -> str:
         _empty(block, "affected_package"),
         _empty(block, "installed_version"),
         _empty(block, "advisory_url"),
-        fails(f"{normalise_url(block + '.advisory_url')} IS NULL", "advisory_url_invalid"),
+        fails(f"{block}.url IS NULL", "advisory_url_invalid"),
         _empty(block, "advisory_description"),
     )
 
@@ -128,11 +131,14 @@ def bundler_blocks(reports: DataFrame) -> DataFrame:
 def checked_bundler_blocks(reports: DataFrame) -> DataFrame:
     """Blocks per report with ``failed``, the first error; one bad block fails the report.
 
-    The check stays inside the report's own row, so it needs no shuffle.
+    The check stays inside the report's own row, so it needs no shuffle. Each block has its
+    URL's normal form beside it, computed here once.
     """
-    return with_computed(
-        bundler_blocks(reports), failed=first_match("blocks", "b", _block_error)
-    )
+    fields = struct(**{name: f"b.{name}" for name in BLOCK_FIELDS}, url=normalise_url("b.advisory_url"))
+    parsed = bundler_blocks(reports)
+    others = [c for c in parsed.columns if c != "blocks"]
+    with_url = with_computed(parsed.withColumnRenamed("blocks", "_raw"), blocks=f"transform(_raw, b -> {fields})")
+    return with_computed(with_url.select(*others, "blocks"), failed=first_match("blocks", "b", _block_error))
 
 
 def _safety_item(item: str) -> str:
@@ -194,7 +200,7 @@ def _explode(checked: DataFrame, items: str, url: str) -> DataFrame:
 
 def bundler_findings(checked: DataFrame) -> DataFrame:
     """One row per block of checked reports, in block order."""
-    return _explode(checked, "blocks", normalise_url("item.advisory_url"))
+    return _explode(checked, "blocks", "item.url")
 
 
 def safety_findings(checked: DataFrame) -> DataFrame:
