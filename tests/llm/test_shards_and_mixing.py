@@ -30,6 +30,19 @@ def test_shards_are_shuffled_and_repeat(spark):
     assert first != place(shards.shuffled_shards(docs, bucket_bytes=2000, seed=1))
 
 
+def test_order_does_not_depend_on_the_cluster(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "repeat(CAST(id AS STRING), 9) AS text")
+    before, orders = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for partitions in (4, 9):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            rows = shards.shuffled_shards(docs.repartition(partitions), bucket_bytes=4000)
+            orders.append({(r.doc_id, r.shard, r.slot) for r in rows.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert orders[0] == orders[1] and len(orders[0]) == 5000
+
+
 def test_copies_are_spread_over_buckets(spark):
     docs = spark.range(3000).selectExpr("CAST(NULL AS LONG) AS doc_id", "CAST(NULL AS STRING) AS text", "id AS other")
     docs = docs.union(spark.range(300).selectExpr("id AS doc_id", "'abc' AS text", "-id AS other")).repartition(5)

@@ -12,6 +12,7 @@ from ..session import materialise, new_folder
 
 SHARDS = 16
 BUCKET_BYTES = 16 << 20
+TASK_BUCKETS = 4
 SEED = 7_919
 
 _NEW = ["shard", "slot"]
@@ -34,7 +35,10 @@ def shuffled_shards(
 
     First pass: a seeded hash of id and text scatters the rows into buckets of about
     ``bucket_bytes``. Second pass: each bucket, put in a fixed order, is shuffled by
-    Fisher-Yates (the engine's ``shuffle``). A row's place in the whole order is its place
+    Fisher-Yates (the engine's ``shuffle``). Buckets are dealt to a number of tasks that their
+    count alone decides, ``TASK_BUCKETS`` each on average, and each task takes its own in
+    order, so the order of the rows depends on them and on ``seed``, not on the cluster.
+    Texts are only sized and hashed, so their length does not matter. A row's place in the whole order is its place
     in its bucket plus the rows of all buckets before; place ``p`` goes to shard ``p %
     shards``, slot ``p // shards``. So the law is ``rows``: counts differ by one at most and
     slots have no gaps.
@@ -60,14 +64,14 @@ def shuffled_shards(
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long"))
     bases = materialise(counts.withColumn("base", base).select("bucket", "base"), "shard-bases")
-    gathered = keyed.groupBy(bucket.alias("bucket")).agg(F.collect_list(F.struct("draw", "row")).alias("records"))
-    fixed = gathered.withColumn("records", F.array_sort("records", _by_draw))
-    permuted = (
-        fixed.join(bases, "bucket")
+    scattered = keyed.select(bucket.alias("bucket"), "draw", "row").repartition(math.ceil(buckets / TASK_BUCKETS), "bucket")
+    gathered = scattered.groupBy("bucket").agg(F.collect_list(F.struct("draw", "row")).alias("records"))
+    shuffled = (
+        gathered.withColumn("records", F.array_sort("records", _by_draw))
         .sortWithinPartitions("bucket")
-        .select("base", F.shuffle("records", F.lit(seed)).alias("records"))
-        .select("base", F.posexplode("records").alias("place", "record"))
+        .select("bucket", F.shuffle("records", F.lit(seed)).alias("records"))
     )
+    permuted = shuffled.join(bases, "bucket").select("base", F.posexplode("records").alias("place", "record"))
     place = F.col("base") + F.col("place")
     return permuted.select(
         "record.row.*",
