@@ -36,7 +36,7 @@ def test_order_does_not_depend_on_the_cluster(spark):
     try:
         for partitions in (4, 9):
             spark.conf.set("spark.sql.shuffle.partitions", partitions)
-            rows = shards.shuffled_shards(docs.repartition(partitions), bucket_bytes=4000)
+            rows = shards.shuffled_shards(docs.repartition(partitions), bucket_bytes=4000, task_bytes=20000)
             orders.append({(r.doc_id, r.shard, r.slot) for r in rows.collect()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -12,7 +12,7 @@ from ..session import materialise, new_folder
 
 SHARDS = 16
 BUCKET_BYTES = 16 << 20
-TASK_BUCKETS = 4
+TASK_BYTES = 64 << 20
 SEED = 7_919
 
 _NEW = ["shard", "slot"]
@@ -30,13 +30,14 @@ def shuffled_shards(
     text: str = "text",
     bucket_bytes: int = BUCKET_BYTES,
     seed: int = SEED,
+    task_bytes: int = TASK_BYTES,
 ) -> DataFrame:
     """``docs`` in random order, dealt to ``shards`` shards: adds ``shard`` and ``slot``.
 
     First pass: a seeded hash of id and text scatters the rows into buckets of about
     ``bucket_bytes``. Second pass: each bucket, put in a fixed order, is shuffled by
-    Fisher-Yates (the engine's ``shuffle``). Buckets are dealt to a number of tasks that their
-    count alone decides, ``TASK_BUCKETS`` each on average, and each task takes its own in
+    Fisher-Yates (the engine's ``shuffle``). Buckets are dealt to a number of tasks that the
+    table's size alone decides, ``task_bytes`` each on average, and each task takes its own in
     order, so the order of the rows depends on them and on ``seed``, not on the cluster.
     Texts are only sized and hashed, so their length does not matter. A row's place in the whole order is its place
     in its bucket plus the rows of all buckets before; place ``p`` goes to shard ``p %
@@ -50,7 +51,7 @@ def shuffled_shards(
     """
     rows = docs.drop(*[c for c in docs.columns if c.lower() in _NEW])
     total = rows.agg(F.sum(record_size(text))).first()[0] or 0
-    buckets = max(1, math.ceil(total / bucket_bytes))
+    buckets, tasks = (max(1, math.ceil(total / size)) for size in (bucket_bytes, task_bytes))
     draw = F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text))
     keyed = rows.select(draw.alias("draw"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"))
     alike = rows.groupBy(draw.alias("draw")).agg(F.count(F.lit(1)).alias("rows"), F.sum(record_size(text)).alias("bytes"))
@@ -64,7 +65,7 @@ def shuffled_shards(
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = F.coalesce(F.sum("rows").over(before), F.lit(0).cast("long"))
     bases = materialise(counts.withColumn("base", base).select("bucket", "base"), "shard-bases")
-    scattered = keyed.select(bucket.alias("bucket"), "draw", "row").repartition(math.ceil(buckets / TASK_BUCKETS), "bucket")
+    scattered = keyed.select(bucket.alias("bucket"), "draw", "row").repartition(tasks, "bucket")
     gathered = scattered.groupBy("bucket").agg(F.collect_list(F.struct("draw", "row")).alias("records"))
     shuffled = (
         gathered.withColumn("records", F.array_sort("records", _by_draw))
