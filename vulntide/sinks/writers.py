@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import FINDING, REPORT
 from . import manifests
 
 APP = "application_name"
+REPORT_KEYS = ["event_id"]
+FINDING_KEYS = ["event_id", "parent_event_id", "advisory_id"]
 
 
 def _clustered(df: DataFrame, *order: str) -> DataFrame:
@@ -42,12 +44,30 @@ def publish_batch(spark: SparkSession, path: str, batch_id: int, write: Callable
     manifests.publish(spark, path, batch_name(batch_id), write)
 
 
-def _write(df: DataFrame, path: str, batch_id: int | None, kind: str = "parquet") -> None:
+def _writer(df: DataFrame, kind: str = "parquet", looked_up: Iterable[str] = ()) -> DataFrameWriter:
+    """Columns that are looked up by value get Bloom filters, of the size that their values need.
+
+    Row groups whose range holds a value, but not the value, are then not read. Parquet writes
+    none for columns that a dictionary covers, which tells as much.
+    """
+    writer = df.write.format(kind)
+    names = list(looked_up)
+    if names:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", True)
+    for name in names:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", True)
+    return writer
+
+
+def _write(
+    df: DataFrame, path: str, batch_id: int | None, kind: str = "parquet", looked_up: Iterable[str] = ()
+) -> None:
     """Append, or publish a batch."""
+    writer = _writer(df, kind, looked_up)
     if batch_id is None:
-        df.write.mode("append").format(kind).save(path)
+        writer.mode("append").save(path)
     else:
-        publish_batch(df.sparkSession, path, batch_id, lambda folder: df.write.format(kind).save(folder))
+        publish_batch(df.sparkSession, path, batch_id, writer.save)
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFrame:
@@ -57,9 +77,12 @@ def read_table(spark: SparkSession, path: str, kind: str = "parquet") -> DataFra
     return spark.read.format(kind).option("recursiveFileLookup", True).load(path)
 
 
+def _ordered_reports(reports: DataFrame) -> DataFrame:
+    return _clustered(reports.select(*REPORT.fieldNames()), "end_time", "event_id")
+
+
 def append_reports(reports: DataFrame, path: str, batch_id: int | None = None) -> None:
-    ordered = _clustered(reports.select(*REPORT.fieldNames()), "end_time", "event_id")
-    _write(ordered, path, batch_id)
+    _write(_ordered_reports(reports), path, batch_id, looked_up=REPORT_KEYS)
 
 
 def finding_columns(findings: DataFrame) -> list[str]:
@@ -68,10 +91,29 @@ def finding_columns(findings: DataFrame) -> list[str]:
     return FINDING.fieldNames() + keys
 
 
-def append_findings(findings: DataFrame, path: str, batch_id: int | None = None) -> None:
+def _ordered_findings(findings: DataFrame) -> DataFrame:
     columns = finding_columns(findings)
     order = [c for c in ("timestamp", "event_id", "cve_position") if c in columns]
-    _write(_clustered(findings.select(*columns), *order), path, batch_id)
+    return _clustered(findings.select(*columns), *order)
+
+
+def append_findings(findings: DataFrame, path: str, batch_id: int | None = None) -> None:
+    _write(_ordered_findings(findings), path, batch_id, looked_up=FINDING_KEYS)
+
+
+def compact_reports(spark: SparkSession, path: str, least: int = 2) -> bool:
+    """Rewrite a log's batches, if there are ``least`` or more, as one in the log's order.
+
+    The batches stay as they are for readers that have begun; see :func:`manifests.compact`.
+    """
+    write = lambda rows, folder: _writer(_ordered_reports(rows), looked_up=REPORT_KEYS).save(folder)
+    return manifests.compact(spark, path, write, least)
+
+
+def compact_findings(spark: SparkSession, path: str, least: int = 2) -> bool:
+    """As :func:`compact_reports`, for findings."""
+    write = lambda rows, folder: _writer(_ordered_findings(rows), looked_up=FINDING_KEYS).save(folder)
+    return manifests.compact(spark, path, write, least)
 
 
 def append_outbox(messages: DataFrame, path: str, batch_id: int | None = None) -> None:
