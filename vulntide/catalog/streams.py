@@ -204,6 +204,20 @@ def replayed_batch(spark, sf_dir):
     return _logged(writers.read_table(spark, path))
 
 
+@query("compacted_findings", duck(f"SELECT {_ALL_COLUMNS} FROM flagged", **_ALL))
+def compacted_findings(spark, sf_dir):
+    """Findings in three batches, compacted into one; a batch comes again after that."""
+    path = new_folder(spark, "compacted")
+    rows = materialise(_flow(spark, sf_dir).good, "findings")
+    third = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    batches = [rows.where(third == k) for k in range(3)]
+    for batch_id, batch in enumerate(batches):
+        writers.append_findings(batch, path, batch_id)
+    writers.compact_findings(spark, path)
+    writers.append_findings(batches[1], path, 1)
+    return _logged(writers.read_table(spark, path))
+
+
 @query("stream_intake_by_bytes", duck(_TYPED, checked=o.CHECKED))
 def stream_intake_by_bytes(spark, sf_dir):
     """Micro-batches bounded by bytes, not by files."""
