@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..fixtures import duck, view
 from ..operators import analytics, commits as history
 from ..plans.pipelines import remediation
-from ..session import materialise, new_folder
+from ..session import materialise, new_folder, settled
 from ..sinks import writers
 from ..sources import readers
 from . import oracles as o
@@ -148,10 +148,11 @@ def join_publication(spark, sf_dir):
 )
 def locate_commit(spark, sf_dir):
     log = materialise(commits(spark, sf_dir), "commits")
-    sequence = materialise(history.first_parent_sequence(log), "sequence")
+    sequence = settled(spark, "sequence", lambda: history.first_parent_sequence(log))
     key = ["application_name", "commit_id"]
     branch = log.join(sequence.select(*key), key, "left_semi")
-    seen = analytics.first_last_seen(findings(spark, sf_dir))
+    seen = analytics.first_last_seen(findings(spark, sf_dir)).select("application_name", "advisory_id", "last_commit")
+    seen = materialise(seen, "seen")
     located = analytics.locate_fix(seen, branch).withColumnRenamed("last_commit", "commit_id")
     placed = located.join(sequence, key, "left").withColumnRenamed("commit_id", "last_commit")
     return placed.select("application_name", "advisory_id", "last_commit", "fixing_commit", "seq")

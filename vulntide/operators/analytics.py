@@ -110,8 +110,12 @@ def complete_rows(rows: DataFrame) -> DataFrame:
 def remediation_times(
     findings: DataFrame, branch_commits: DataFrame, published: DataFrame
 ) -> DataFrame:
-    """Per (application, CVE): first commit, fixing commit, dates and seconds to remediate."""
-    located = locate_fix(first_last_seen(findings), branch_commits)
+    """Per (application, CVE): first commit, fixing commit, dates and seconds to remediate.
+
+    The sightings are stored, so that what the findings shuffled is gone when they are joined.
+    """
+    seen = first_last_seen(findings).select(APP, "advisory_id", "first_commit", "last_commit")
+    located = locate_fix(materialise(seen, "seen"), branch_commits)
     rows = complete_rows(
         join_publication(located, published).select(
             APP, "advisory_id", "first_commit", "fixing_commit", "fix_date", "cve_date"

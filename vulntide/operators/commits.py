@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialise
+from ..session import drop_folder, materialise, new_folder, settled, stored
 
 KEY = ["application_name", "commit_id"]
 
@@ -48,7 +48,8 @@ def _celled(commits: DataFrame, cell_rows: int) -> DataFrame:
 def _per_cell(rows: DataFrame, names: list[str], order: list[str], schema: str, compute: Callable, cell_rows: int) -> DataFrame:
     """``compute(table, number)`` over runs of rows that agree in the columns ``names``.
 
-    A run longer than ``cell_rows`` is cut, so no more than a cell is held at a time.
+    A run longer than ``cell_rows`` is cut, so no more than a cell is held at a time. The
+    number of a run is that of its first row; no two rows share a number.
     """
     width = len(names)
 
@@ -71,7 +72,7 @@ def _per_cell(rows: DataFrame, names: list[str], order: list[str], schema: str,
                 while first < end:
                     if held and (name != last or size >= cell_rows):
                         yield from compute(pa.Table.from_batches(held), number).to_batches()
-                        held, size, number = [], 0, number + 1
+                        held, size, number = [], 0, number + size
                     part = batch.slice(first, min(end - first, cell_rows - size))
                     held.append(part)
                     size, last, first = size + part.num_rows, name, first + part.num_rows
@@ -85,15 +86,15 @@ def _per_cell(rows: DataFrame, names: list[str], order: list[str], schema: str,
 
 _CELL = (
     "application_name string, commit_id string, parent string, commit_time long, is_head boolean, "
-    "root string, depth long, marked boolean, cell long"
+    "root long, depth long, marked boolean, cell long"
 )
 
 
 def _contracted(commits: DataFrame, cell_rows: int) -> DataFrame:
     """First parents with each commit's ``root``, ``depth``, ``marked`` and ``cell``.
 
-    The root is the oldest commit that first parents lead to within the commit's cell, and
-    the depth is the way there. Marked are heads of the cell and what they lead to in it.
+    The root is the oldest commit that first parents lead to within the commit's cell, by its
+    row's number, and the depth is the way there. Marked are heads of the cell and what they lead to in it.
     Commits that lead into a circle are roots, each its own.
     """
     names = [part.split()[0] for part in _CELL.split(", ")]
@@ -124,12 +125,12 @@ def _contracted(commits: DataFrame, cell_rows: int) -> DataFrame:
         circle = at[up] >= 0
         up, depth = np.where(circle, own, up), np.where(circle, 0, depth)
         columns = [table.column(name) for name in names[:5]]
-        columns += [commit.take(pa.array(up)), pa.array(depth), pa.array(marked), pa.array(np.full(n, number, np.int64))]
+        columns += [pa.array(x) for x in (number + up, depth, marked, np.full(n, number, np.int64))]
         return pa.Table.from_arrays([pc.cast(c, t) for c, t in zip(columns, kinds)], names=names)
 
     import pyarrow as pa
 
-    kinds = [pa.string()] * 3 + [pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.bool_(), pa.int64()]
+    kinds = [pa.string()] * 3 + [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
     rows = _celled(commits, cell_rows)
     return _per_cell(rows, ["application_name", "slice"], ["commit_time", "commit_id"], _CELL, compute, cell_rows)
 
@@ -176,27 +177,22 @@ def _doubled(tree: DataFrame) -> DataFrame:
     that there are more. A mark passes to that ancestor. Bit by bit, from the lowest, a mark
     so reaches every ancestor: any distance is a sum of reaches that the nodes on the way have.
     """
-    reached = (
-        tree.filter("marked AND open")
-        .select("application_name", F.col("at").alias("commit_id"))
-        .distinct()
-        .withColumn("reached", F.lit(True))
-    )
+    reached = tree.filter("marked AND open").select(F.col("at").alias("node")).distinct()
+    reached = reached.withColumn("reached", F.lit(True))
     further = tree.select(
-        "application_name",
-        F.col("commit_id").alias("at"),
+        F.col("node").alias("at"),
         F.col("at").alias("further"),
         F.col("steps").alias("more"),
         F.col("open").alias("onward"),
     )
     # Nodes at the end of their chain stay as they are: they all share a few roots.
-    longer = tree.filter("open").join(further, ["application_name", "at"]).select(
-        *KEY, F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps"),
+    longer = tree.filter("open").join(further, "at").select(
+        "node", F.col("further").alias("at"), (F.col("steps") + F.col("more")).alias("steps"),
         F.col("onward").alias("open"), "marked",
     )
-    both = tree.filter("NOT open").select(*KEY, "at", "steps", "open", "marked").unionByName(longer)
-    return both.join(reached, KEY, "left").select(
-        *KEY, "at", "steps", "open", (F.col("marked") | F.coalesce("reached", F.lit(False))).alias("marked")
+    both = tree.filter("NOT open").select("node", "at", "steps", "open", "marked").unionByName(longer)
+    return both.join(reached, "node", "left").select(
+        "node", "at", "steps", "open", (F.col("marked") | F.coalesce("reached", F.lit(False))).alias("marked")
     )
 
 
@@ -216,44 +212,40 @@ def branch(commits: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     are, never the result: branches may interleave, and where no time rises along a chain,
     all commits of an application beyond one cell are nodes.
     """
+    spark = commits.sparkSession
     cells = materialise(_contracted(commits, cell_rows), "cells")
-    roots = cells.filter("depth = 0").select(*KEY, "parent")
+    # A node goes by the number of its row: ids are long, and travel in every round.
+    roots = cells.filter("depth = 0").select(F.col("root").alias("node"), "application_name", "parent")
     known = cells.select(
         "application_name", F.col("commit_id").alias("parent"), F.col("root").alias("at"),
         (F.col("depth") + 1).alias("steps"), "cell",
     )
     beyond = roots.filter("parent IS NOT NULL").join(known, ["application_name", "parent"])
-    crossed = materialise(beyond.select(*KEY, "parent", "at", "steps", "cell"), "crossings")
+    crossed = materialise(beyond.select("node", "application_name", "parent", "at", "steps", "cell"), "crossings")
     if crossed.isEmpty():
         # No chain leaves its cell: there is nothing to rank, and the marks are complete.
         return cells.filter("marked").select(*KEY, "parent", "commit_time", F.col("depth").alias("seq"))
-    headed = cells.filter("is_head").select(
-        F.col("application_name").alias("application"), F.col("root").alias("headed")
-    ).distinct()
-    state = roots.drop("parent").join(crossed.drop("parent", "cell"), KEY, "left").join(
-        headed, F.expr("application_name <=> application AND commit_id <=> headed"), "left"
-    )
-    state = materialise(
-        state.select(
-            *KEY, F.coalesce("at", "commit_id").alias("at"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"),
-            F.col("at").isNotNull().alias("open"), F.expr("commit_id <=> headed AND headed IS NOT NULL").alias("marked"),
-        ),
-        "branch",
+    headed = cells.filter("is_head").select(F.col("root").alias("node")).distinct().withColumn("headed", F.lit(True))
+    state = roots.select("node").join(crossed.select("node", "at", "steps"), "node", "left").join(headed, "node", "left")
+    state = state.select(
+        "node", F.coalesce("at", "node").alias("at"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"),
+        F.col("at").isNotNull().alias("open"), F.col("headed").isNotNull().alias("marked"),
     )
+    folder = new_folder(spark, "branch")
+    state = stored(state, folder)
     limit, reach = None, 1
     while not state.filter("open").isEmpty():
         limit = limit or state.count()
         if reach > 4 * limit:
             raise ValueError("the first-parent chain of a commit leads back to itself")
-        state, reach = materialise(_doubled(state), "branch"), reach * 2
+        before, folder, reach = folder, new_folder(spark, "branch"), reach * 2
+        state = stored(_doubled(state), folder)
+        drop_folder(spark, before)
     on_branch = state.filter("marked")
-    nodes = on_branch.select(
-        F.col("application_name").alias("application"), F.col("commit_id").alias("node"), F.col("steps").alias("base")
-    )
-    based = cells.join(nodes, F.expr("application_name <=> application AND root <=> node")).drop("application", "node")
+    based = cells.join(on_branch.select(F.col("node").alias("root"), F.col("steps").alias("base")), "root")
     # Where the chain of a marked node goes on in an older cell. Only such cells are read
     # again as a whole; in all others the marks within the cell are complete.
-    entries = crossed.join(on_branch.select(*KEY), KEY, "left_semi")
+    entries = crossed.join(on_branch.select("node"), "node", "left_semi")
     entered = entries.select("cell", "application_name", F.col("parent").alias("commit_id")).distinct()
     touched = entered.select("cell").distinct()
     complete = based.join(touched, "cell", "left_anti").filter("marked")
@@ -272,7 +264,8 @@ def first_parent_sequence(commits: DataFrame, cell_rows: int = CELL_ROWS) -> Dat
 
 def mainline(commits: DataFrame) -> DataFrame:
     """Commits on the default branch, with all their columns. The branch is stored first."""
-    return commits.join(materialise(first_parent_sequence(commits).select(*KEY), "mainline"), KEY, "left_semi")
+    named = settled(commits.sparkSession, "mainline", lambda: first_parent_sequence(commits).select(*KEY))
+    return commits.join(named, KEY, "left_semi")
 
 
 def branch_links(commits: DataFrame) -> DataFrame:
