@@ -10,7 +10,7 @@ from ..functions.text import branch_text, tool_version_text
 from ..functions.times import format_rfc3339, parse_rfc3339
 from ..operators import audit, validation
 from ..plans.pipelines import intake
-from ..session import new_folder
+from ..session import materialise, new_folder, scratch
 from ..sinks import writers
 from ..sources import readers
 from . import oracles as o
@@ -111,7 +111,8 @@ def append_rejected(spark, sf_dir):
 )
 def read_reports(spark, sf_dir):
     path = new_folder(spark, "reports")
-    writers.append_reports(reports(spark, sf_dir), path)
+    with scratch(spark):
+        writers.append_reports(materialise(reports(spark, sf_dir), "reports"), path)
     return readers.read_reports(spark, path).select(
         "event_id", "application_name", F.md5("tool_output").alias("output_digest"),
         micros("start_time"), F.size("suppressed_issues").alias("n_suppressed"),
